@@ -7,7 +7,7 @@ The first occurrence anywhere stays.
 Defined results: a text under three lines has no window and stays as it is, as do null and empty texts; a run of equal
 lines keeps its first line; rows that repeat a document (same id, same text) count as that one document and all get its
 result; documents of one id but other text are told apart by their text's hash; a null id sorts first; extra columns of
-the input are not carried, so their names cannot clash; an empty table gives an empty result.
+the input are carried by ``cleaned`` (names that begin with two underscores are its own) and not by ``dedup_lines``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,34 +48,40 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return found.join(first, ["h1", "h2"]).where(~at.eqNullSafe(F.col("first"))).select("doc_id", "th", "pos")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, n_lines, n_removed), one row for each row of ``docs`` (doc_id, text)."""
-    starts = repeated_windows(docs).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
-    starts = starts.select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), "starts")
-    source = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("lines"))
-    joined = source.join(starts, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th")), "left")
-    n, k = F.size("lines"), F.size("starts")
+def cleaned(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` with repeats taken out of ``text``, and __n_lines and __n_removed."""
+    starts = repeated_windows(docs).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("__starts"))
+    starts = starts.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__starts")
+    source = docs.withColumn("__lines", F.split("text", "\n"))
+    joined = source.join(starts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left")
+    n, k = F.size("__lines"), F.size("__starts")
     # what stays lies between the end of one covered span and the start of the next
     gaps = F.filter(
         F.transform(
             F.sequence(F.lit(0), k),
             lambda i: F.struct(
-                F.when(i == 0, F.lit(0)).otherwise(F.get("starts", i - 1) + WINDOW).alias("a"),
-                F.when(i == k, n).otherwise(F.get("starts", i)).alias("b"),
+                F.when(i == 0, F.lit(0)).otherwise(F.get("__starts", i - 1) + WINDOW).alias("a"),
+                F.when(i == k, n).otherwise(F.get("__starts", i)).alias("b"),
             ),
         ),
         lambda g: g["a"] < g["b"],
     )
-    kept = F.when(F.col("starts").isNotNull(), F.flatten(F.transform(gaps, lambda g: F.slice("lines", g["a"] + 1, g["b"] - g["a"]))))
-    out = joined.select("doc_id", "text", "lines", kept.alias("kept"))
+    kept = F.when(F.col("__starts").isNotNull(), F.flatten(F.transform(gaps, lambda g: F.slice("__lines", g["a"] + 1, g["b"] - g["a"]))))
+    out = joined.withColumn("__kept", kept)
+    text = F.when(F.col("__kept").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
     return out.select(
-        "doc_id",
-        F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")).alias("text"),
-        F.coalesce(F.size("lines"), F.lit(0)).cast("bigint").alias("n_lines"),
-        F.when(F.col("kept").isNull(), 0).otherwise(F.size("lines") - F.size("kept")).cast("bigint").alias("n_removed"),
+        *(text.alias(c) if c == "text" else F.col(c) for c in docs.columns),
+        F.coalesce(F.size("__lines"), F.lit(0)).cast("bigint").alias("__n_lines"),
+        F.when(F.col("__kept").isNull(), 0).otherwise(F.size("__lines") - F.size("__kept")).cast("bigint").alias("__n_removed"),
     )
 
 
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, n_lines, n_removed), one row for each row of ``docs`` (doc_id, text)."""
+    out = cleaned(docs.select("doc_id", "text"))
+    return out.select("doc_id", "text", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"))
+
+
 ORACLE_DEDUP = """
 WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 p AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM l),

@@ -150,3 +150,17 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
             yield batch.assign(score=known.score(sizer.features(texts)))
 
     return chosen.mapInPandas(run, schema).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, all columns as they are. One narrow pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most DICT_BYTES
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        sizer = Sizer(known.good, known.bad)
+        for batch in batches:
+            scores = known.score(sizer.features([t if isinstance(t, str) else None for t in batch["text"]]))
+            yield batch[scores >= threshold]
+
+    return docs.mapInPandas(run, docs.schema)

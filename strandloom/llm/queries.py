@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, langid, lines, near_text, packing, pii, quality
+from . import ann, bpe, html, langid, lines, near_text, near_vectors, packing, pii, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op1_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.mark(table(spark, sf_dir, "documents"))
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.mark(table(spark, sf_dir, "embeddings"))
+
+
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.every(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -54,6 +62,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_near_text": op1_near_text,
+    "op2_near_vectors": op2_near_vectors,
+    "op3_ann": op3_ann,
     "op4_pii": op4_pii,
     "op5_bpe": op5_bpe,
     "op6_language": op6_language,
