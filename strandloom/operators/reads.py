@@ -64,7 +64,7 @@ def variant_calls(sam: DataFrame, backbone: str) -> DataFrame:
         .otherwise(F.array().cast("array<struct<at:int,k:string,nts:string,r:int>>"))
     )
     called = ops.withColumn("__calls", F.flatten(F.transform("__ops", one)))
-    outer = F.element_at("__ops", 1)["op"].isin("I", "D") | F.element_at("__ops", -1)["op"].isin("I", "D")
+    outer = F.coalesce(F.try_element_at("__ops", F.lit(1))["op"].isin("I", "D") | F.try_element_at("__ops", F.lit(-1))["op"].isin("I", "D"), F.lit(False))
     edge = outer | F.exists("__calls", lambda c: (c["k"] == "M") & ((c["r"] == 0) | (c["r"] + F.length(c["nts"]) == F.length("seq"))))
     tokens = F.transform("__calls", lambda c: F.concat_ws("-", c["at"].cast("string"), c["k"], c["nts"]))
     return called.withColumn("calls", F.when(edge, F.array().cast("array<string>")).otherwise(F.array_distinct(tokens))).withColumn("aligned_end", aligned_end(F.col("__ops"), F.col("pos"))).drop("__ops", "__calls")

@@ -39,7 +39,7 @@ def fastq(spark: SparkSession, path: str) -> DataFrame:
     Lines are numbered within their file by their byte order: a record never spans files, and quality lines may begin
     with any mark, so the lines are counted, not searched.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.split("value", r"\r?\n").alias("l"))
+    whole = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("l"))
     rows = whole.select(F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("l") - 3) / 4).cast("int")), lambda i: F.struct(F.get("l", i * 4).alias("h"), F.get("l", i * 4 + 1).alias("seq"), F.get("l", i * 4 + 3).alias("qual")))).alias("r"))
     return rows.where(F.col("r.h").startswith("@")).select(F.regexp_extract("r.h", r"^@(\S+)", 1).alias("read_id"), "r.seq", "r.qual")
 
@@ -75,7 +75,7 @@ def signal_file(spark: SparkSession, path: str) -> DataFrame:
 
     A file is one row at first (its header holds for all its records), then one row for each of its records.
     """
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     head = lambda name: F.regexp_extract(F.split("value", r"\n>")[0], rf"@{name}\s+(\d+)", 1).try_cast("int")
     records = whole.select(head("ref_length").alias("ref_length"), head("left_offset").alias("left_offset"), head("right_offset").alias("right_offset"), F.explode(F.slice(F.split("value", r"(?:^|\n)>"), F.lit(2), F.lit(1 << 30))).alias("r"))
     lines = F.transform(F.split("r", r"\r?\n"), F.trim)
@@ -171,7 +171,7 @@ def loops(spark: SparkSession, path: str, trim: int = 0) -> DataFrame:
 
 def assays(spark: SparkSession, path: str) -> DataFrame:
     """(sample, rep, time, value): "@sample" sections of rows "time v v ..."; a repeated name is skipped after its first."""
-    records = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.slice(F.split("value", r"(?:^|\n)@"), F.lit(2), F.lit(1 << 30))).alias("i", "r"))
+    records = spark.read.text(path, wholetext=True).select(F.posexplode(F.slice(F.split("value", r"(?:^|\n)@"), F.lit(2), F.lit(1 << 30))).alias("i", "r"))
     named = records.select("i", F.trim(F.split("r", r"\r?\n")[0]).alias("sample"), F.slice(F.split("r", r"\r?\n"), F.lit(2), F.lit(1 << 30)).alias("l"))
     first = named.groupBy("sample").agg(F.min_by("l", "i").alias("l"))
     rows = first.select("sample", F.explode("l").alias("line")).select("sample", F.transform(_fields(F.col("line")), lambda x: x.try_cast("double")).alias("v"))
