@@ -86,16 +86,25 @@ def design(features: np.ndarray) -> np.ndarray:
     return np.stack([10 * d, 10 * d * size, size * there, size * size, np.ones(len(d))], axis=1)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, steps: int = 60) -> np.ndarray:
-    """Weighted logistic regression by Newton steps with a small ridge."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-2, steps: int = 100) -> np.ndarray:
+    """Weighted logistic regression with a small ridge, by Newton steps that are halved until the loss falls."""
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + penalty / 2 * (w @ w))
+
     w = np.zeros(x.shape[1])
+    now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
         grad = x.T @ (weight * (p - y)) + penalty * w
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + (penalty + 1e-9) * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w)), grad)
+        size = 1.0
+        while (new := loss(w - size * step)) > now and size > 1e-6:
+            size /= 2
+        if new > now:
+            break
+        w, gain, now = w - size * step, now - new, new
+        if gain < 1e-10 * max(now, 1e-12):
             break
     return w
 
