@@ -27,8 +27,13 @@ from pyspark.sql import functions as F
 
 #: Unicode's White_Space, which \s stands for in tiktoken's patterns (fixed values).
 WHITE = r"\t-\r \x85\xa0  -     　"
-#: Entries of a worker's memory of pieces already encoded; it is emptied when full, which changes no result.
-MEMORY = 500_000
+#: Entries of a worker's memory of pre-tokens already encoded, and of chunks of them; emptied when full, which changes no
+#: result.
+MEMORY = 1_000_000
+CHUNKS = 300_000
+
+
+BIT = [1 << i for i in range(64)]
 
 
 class RankQueue:
@@ -45,32 +50,39 @@ class RankQueue:
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
+        if bucket:
+            heappush(bucket, position)
+            return
         if bucket is None:
             self.buckets[rank] = [position]
-            word = rank >> 6
-            self.low[word] |= 1 << (rank & 63)
-            self.mid[word >> 6] |= 1 << (word & 63)
-            self.top |= 1 << (word >> 6)
         else:
-            heappush(bucket, position)
+            bucket.append(position)
+        word = rank >> 6
+        if not self.low[word]:
+            high = word >> 6
+            self.mid[high] |= BIT[word & 63]
+            self.top |= BIT[high]
+        self.low[word] |= BIT[rank & 63]
 
     def pop(self) -> tuple[int, int]:
         """The lowest rank and its leftmost position, of a queue that isn't empty (``top`` is not 0)."""
-        high = (self.top & -self.top).bit_length() - 1
+        top = self.top
+        high = (top & -top).bit_length() - 1
         x = self.mid[high]
-        word = (high << 6) | ((x & -x).bit_length() - 1)
-        x = self.low[word]
-        rank = (word << 6) | ((x & -x).bit_length() - 1)
+        word = high << 6 | (x & -x).bit_length() - 1
+        y = self.low[word]
+        rank = word << 6 | (y & -y).bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[word] &= ~(1 << (rank & 63))
-            if not self.low[word]:
-                self.mid[high] &= ~(1 << (word & 63))
-                if not self.mid[high]:
-                    self.top &= ~(1 << high)
-        return rank, position
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        y &= y - 1
+        self.low[word] = y
+        if not y:
+            x &= x - 1
+            self.mid[high] = x
+            if not x:
+                self.top = top & top - 1
+        return rank, bucket.pop()
 
 
 class Encoder:
@@ -94,6 +106,7 @@ class Encoder:
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token's bytes."""
         ranks, queue = self.ranks, self.queue
+        push, pop = queue.push, queue.pop
         whole = ranks.get(data)
         if whole is not None:
             return [whole]
@@ -101,34 +114,33 @@ class Encoder:
         ends = list(range(1, n + 1))  # of the token that begins here; 0 where none does
         before = list(range(-1, n - 1))
         waiting = [-1] * n  # the rank under which the pair that begins here waits
+        get = ranks.get
         for i in range(n - 1):
-            rank = ranks.get(data[i : i + 2])
+            rank = get(data[i : i + 2])
             if rank is not None:
                 waiting[i] = rank
-                queue.push(rank, i)
+                push(rank, i)
         while queue.top:
-            rank, i = queue.pop()
+            rank, i = pop()
             if waiting[i] != rank:
                 continue  # stale
             mid = ends[i]
             end = ends[mid]
-            ends[i], ends[mid], waiting[mid] = end, 0, -1
+            ends[i], ends[mid], waiting[mid], waiting[i] = end, 0, -1, -1
             if end < n:
                 before[end] = i
-                now = ranks.get(data[i : ends[end]])
-                waiting[i] = -1 if now is None else now
+                now = get(data[i : ends[end]])
                 if now is not None:
-                    queue.push(now, i)
-            else:
-                waiting[i] = -1
+                    waiting[i] = now
+                    push(now, i)
             left = before[i]
             if left >= 0:
-                now = ranks.get(data[left:end])
+                now = get(data[left:end])
                 if now is None:
                     waiting[left] = -1
                 elif now != waiting[left]:
                     waiting[left] = now
-                    queue.push(now, left)
+                    push(now, left)
         out, i = [], 0
         while i < n:
             out.append(ranks[data[i : ends[i]]])
@@ -156,7 +168,7 @@ class Encoder:
             if known is None:
                 known = self._chunk(chunk)
                 if len(chunk) <= 64:
-                    if len(seen) >= self.memory:
+                    if len(seen) >= CHUNKS:
                         seen.clear()
                     seen[chunk] = known
             out.append(known)
