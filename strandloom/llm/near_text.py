@@ -22,6 +22,7 @@ result; extra columns are not carried. A null id stays out of all comparison, wi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,38 +86,32 @@ def darts(element: np.ndarray, weight: np.ndarray, owner: np.ndarray, low: np.nd
     The plane is cut into unit cells of weight and rank. A cell's number of darts is Poisson with mean 1, drawn from
     the hash of element and cell; each dart's place and coordinate are drawn from the hash of element, cell and number.
     """
-    owners, coordinates, ranks = [], [], []
-    # the cumulative probabilities of a Poisson variable of mean 1
-    steps, p = [], np.exp(-1.0)
-    for i in range(1, 20):
-        steps.append(p)
-        p = p / i
-    bounds = np.cumsum(steps)
-    for v in range(int(np.ceil(weight.max())) if len(weight) else 0):
-        at = np.flatnonzero(weight > v)
-        r = np.floor(low[owner[at]]).astype(np.int64)
-        while len(at):
-            inside = r < high[owner[at]]
-            at, r = at[inside], r[inside]
-            if not len(at):
-                break
-            cell = mix(element[at] ^ mix(r.astype(U64) * GOLD + U64(v + 1)))
-            count = np.searchsorted(bounds, (cell >> U64(11)).astype(np.float64) * 2.0**-53, side="right")
-            for x in range(int(count.max())):
-                more = np.flatnonzero(count > x)
-                place = mix(cell[more] + U64(x + 1) * GOLD)
-                here = at[more]
-                rank = r[more] + (place >> U64(32)).astype(np.float64) * 2.0**-32
-                w = v + (mix(place) >> U64(40)).astype(np.float64) * 2.0**-24
-                own = owner[here]
-                good = (w < weight[here]) & (rank >= low[own]) & (rank < high[own])
-                owners.append(own[good])
-                ranks.append(rank[good])
-                coordinates.append(((mix(place ^ GOLD)[good] >> U64(32)) * U64(k) >> U64(32)).astype(np.int64))
-            r = r + 1
-    if not owners:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(owners), np.concatenate(coordinates), np.concatenate(ranks)
+    # all cells of all elements at once: floor(low) .. high of rank, times the unit steps of weight
+    first = np.floor(low).astype(np.int64)
+    span = np.maximum(np.ceil(high).astype(np.int64) - first, 0)[owner]
+    cells = span * np.ceil(weight).astype(np.int64)
+    at = np.repeat(np.arange(len(element)), cells)
+    number = np.arange(len(at)) - np.repeat(np.cumsum(cells) - cells, cells)
+    v, r = np.divmod(number, span[at]) if len(at) and weight.max() > 1 else (np.zeros(len(at), np.int64), number)
+    r += first[owner[at]]
+    cell = mix(element[at] ^ mix(r.astype(U64) * GOLD + (v + 1).astype(U64)))
+    count = np.searchsorted(POISSON, (cell >> U64(11)).astype(np.float64) * 2.0**-53, side="right")
+    # one row for each dart, numbered within its cell
+    which = np.repeat(np.arange(len(cell)), count)
+    x = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    place = mix(cell[which] + (x + 1).astype(U64) * GOLD)
+    rank = r[which] + (place >> U64(32)).astype(np.float64) * 2.0**-32
+    here = at[which]
+    own = owner[here]
+    good = (rank >= low[own]) & (rank < high[own])
+    other = mix(place)
+    good &= v[which] + (other >> U64(40)).astype(np.float64) * 2.0**-24 < weight[here]
+    coordinate = (((other & U64(0xFFFFFFFF)) * U64(k)) >> U64(32)).astype(np.int64)
+    return own[good], coordinate[good], rank[good]
+
+
+#: Cumulative probabilities of a Poisson variable of mean 1.
+POISSON = np.cumsum([np.exp(-1.0) / math.factorial(i) for i in range(20)])
 
 
 def signatures(element: np.ndarray, weight: np.ndarray, owner: np.ndarray, sets: int, k: int) -> np.ndarray:
@@ -154,8 +149,8 @@ def band_keys(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted: b
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.iloc[i : i + 256]
+            for i in range(0, len(batch), 64):
+                part = batch.iloc[i : i + 64]
                 signed, sizes = sign_batch(part["text"].tolist(), shingler, bands * rows, weighted)
                 keys = np.zeros((len(part), bands), U64)
                 for r in range(rows):
