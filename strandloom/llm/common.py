@@ -56,13 +56,15 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 40) ->
     now = written(canon(edges), name)
     before = state(now)
     for _ in range(rounds):
+        # large star: each larger neighbour of a node goes to the node's least neighbour or itself; a hub's edges are
+        # minimised before they move, and their join splits by rows
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = written(canon(large.union(now.join(low, "a").where("m < a").select("a", F.col("m").alias("b")))), name)
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).repartition("a")
+        # small star: a node and its smaller neighbours go to the least of those
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(canon(small.union(least.select("a", F.col("m").alias("b")))), name)
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), name)
         after = state(now)
         if after == before:
             break
