@@ -8,8 +8,8 @@ beyond it only while a coordinate is still empty; so the work is that of K log K
 
 Copies (equal words in equal order) are folded into the smallest id. The signatures of what stays are banded (BANDS bands
 of ROWS coordinates: a pair at similarity 0.8 is missed with probability below 1e-4). In each band bucket every member is
-compared with the bucket's smallest id, exactly, on the shingles, and linked documents join. What a bucket then still has
-to compare are members of different components; of those, the pairs whose distances to the bucket's centre differ by more
+compared with the bucket's smallest id, exactly, on the shingles, and linked documents join: first in a few bands, then in
+all, where the two are not joined yet. What a bucket then still has to compare are members of different components; of those, the pairs whose distances to the bucket's centre differ by more
 than a link's distance cannot be links, since Jaccard distance is a metric, and are never made. The rest is compared
 exactly. So a bucket's pairs are not listed, however many near copies it holds, and no pair of a bucket that could be a
 link is left out unless its two documents are joined already.
@@ -36,6 +36,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 40
 ROWS = 7
+#: Bands whose buckets are compared before the others.
+FIRST_BANDS = 6
 #: Words whose hashes a worker remembers; emptied when full, which changes no result.
 MEMORY = 500_000
 
@@ -194,32 +196,49 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     signed = band_keys(source.where("text IS NOT NULL"), bands, rows, weighted).where("n > 0")
     signed = signed.join(alone, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("keys", "n")).alias("x"))
     signed = written(signed.select("doc_id", "x.keys", "x.n"), "bands")
-    exploded = signed.select("doc_id", "n", F.explode("keys").alias("key"))
+    exploded = signed.select("doc_id", "n", F.posexplode("keys").alias("band", "key"))
     centre = exploded.groupBy("key").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "b")
-    members = written(exploded.join(centre, "key").select("key", F.col("doc_id").alias("a"), "b", "n"), "members")
-    pairs = written(members.where("a <> b").select("a", "b").distinct(), "pairs")
-    near = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "candidates")
+    members = written(exploded.join(centre, "key").select("band", "key", F.col("doc_id").alias("a"), "b", "n"), "members")
+    near = members.where("a <> b").select("a", "b").select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = written(shingle_sets(source.join(near, "doc_id", "left_semi")).groupBy("doc_id").agg(F.min("s").alias("s")), "shingles")
-    stars = written(scored(pairs, sets), "stars")
-    links = stars.where(F.col("jaccard") >= similarity).select("a", "b")
-    roots = components(links, "classes")
-    # what a bucket still has to compare: members of different components whose distances to the bucket's centre differ
-    # by no more than the distance of a link (Jaccard distance obeys the triangle inequality) and whose sizes allow one
-    apart = 1.0 - similarity
-    placed = members.join(stars, ["a", "b"], "left").join(roots.withColumnRenamed("node", "a"), "a", "left")
-    distance = F.when(F.col("a") == F.col("b"), 0.0).otherwise(1.0 - F.col("jaccard"))
-    placed = written(placed.select("key", "a", "n", distance.alias("d"), F.coalesce("root", "a").alias("root")), "placed")
-    unsettled = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    left = placed.join(unsettled, "key", "left_semi").withColumn("cell", F.floor(F.col("d") / apart))
-    right = left.select("key", *(F.col(c).alias(f"{c}2") for c in ("a", "n", "d", "root")), F.explode(F.array(*(F.col("cell") + i for i in (-1, 0, 1)))).alias("cell"))
+    # a few bands join most copies, which then need no more comparing in the other bands
+    stars = written(scored(members.where((F.col("band") < FIRST_BANDS) & (F.col("a") != F.col("b"))).select("a", "b").distinct(), sets), "stars")
+
+    def joined(found: DataFrame) -> DataFrame:
+        return components(found.where(F.col("jaccard") >= similarity).select("a", "b"), "classes")
+
+    def with_roots(rows: DataFrame, *names: str) -> DataFrame:
+        for name in names:
+            rows = rows.join(roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}")), name, "left").withColumn(f"root_{name}", F.coalesce(f"root_{name}", name))
+        return rows
+
+    roots = joined(stars)
+    apart = with_roots(members.where("a <> b").select("a", "b").distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), "a", "b").where("root_a <> root_b")
+    stars = written(stars.union(scored(written(apart.select("a", "b"), "pairs"), sets)), "stars")
+    roots = joined(stars)
+    # what a bucket still has to compare: members of different components whose distances to a pivot differ by no more than
+    # the distance of a link (Jaccard distance obeys the triangle inequality) and whose sizes allow one; the pivot is the
+    # root of the component with most members there, so that a large component is measured once and not in every band
+    reach = 1.0 - similarity
+    placed = written(with_roots(members.select("key", "a", "n"), "a"), "placed")
+    parts = placed.groupBy("key", "root_a").agg(F.count(F.lit(1)).alias("m"))
+    pivots = parts.groupBy("key").agg(F.max(F.struct("m", (-F.col("root_a")).alias("r"))).alias("x"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    placed = placed.join(pivots.select("key", (-F.col("x.r")).alias("p")), "key")
+    placed = written(placed.select("key", "a", "n", "root_a", F.greatest("a", "p").alias("hi"), F.least("a", "p").alias("lo")), "unsettled")
+    asked = placed.where("hi <> lo").select(F.col("hi").alias("a"), F.col("lo").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    stars = stars.union(written(scored(written(asked, "pairs"), sets), "stars"))
+    measured = stars.select(F.col("a").alias("hi"), F.col("b").alias("lo"), "jaccard")
+    distance = F.when(F.col("hi") == F.col("lo"), 0.0).otherwise(1.0 - F.col("jaccard"))
+    left = written(placed.join(measured, ["hi", "lo"], "left").select("key", "a", "n", distance.alias("d"), "root_a"), "distances").withColumn("cell", F.floor(F.col("d") / reach))
+    right = left.select("key", *(F.col(c).alias(f"{c}2") for c in ("a", "n", "d", "root_a")), F.explode(F.array(*(F.col("cell") + i for i in (-1, 0, 1)))).alias("cell"))
     fresh = left.join(right, ["key", "cell"]).where(
-        (F.col("a") > F.col("a2")) & (F.col("root") != F.col("root2")) & (F.abs(F.col("d") - F.col("d2")) <= apart + 1e-9)
+        (F.col("a") > F.col("a2")) & (F.col("root_a") != F.col("root_a2")) & (F.abs(F.col("d") - F.col("d2")) <= reach + 1e-9)
         & (F.least("n", "n2") >= (similarity - 1e-9) * F.greatest("n", "n2"))
     )
-    fresh = fresh.select("a", F.col("a2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = written(scored(written(fresh, "pairs"), sets).where(F.col("jaccard") >= similarity).select("a", "b"), "links")
+    fresh = fresh.select("a", F.col("a2").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    more = written(scored(written(fresh, "pairs"), sets).where(F.col("jaccard") >= similarity), "links")
     if not more.isEmpty():
-        roots = components(links.union(more), "classes")
+        roots = joined(stars.union(more))
     labelled = copies.join(roots.withColumnRenamed("node", "rep_id"), "rep_id", "left")
     labelled = labelled.select("doc_id", "rep_id", F.coalesce("root", "rep_id").alias("class_id"))
     others = source.select("doc_id").join(copies, "doc_id", "left_anti").distinct()
