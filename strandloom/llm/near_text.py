@@ -9,10 +9,11 @@ beyond it only while a coordinate is still empty; so the work is that of K log K
 Copies (equal words in equal order) are folded into the smallest id. The signatures of what stays are banded (BANDS bands
 of ROWS coordinates: a pair at similarity 0.8 is missed with probability below 1e-4). In each band bucket every member is
 compared with the bucket's smallest id, exactly, on the shingles, and linked documents join: first in a few bands, then in
-all, where the two are not joined yet. What a bucket then still has to compare are members of different components; of those, the pairs whose distances to the bucket's centre differ by more
-than a link's distance cannot be links, since Jaccard distance is a metric, and are never made. The rest is compared
-exactly. So a bucket's pairs are not listed, however many near copies it holds, and no pair of a bucket that could be a
-link is left out unless its two documents are joined already.
+all, where the two are not joined yet. What a bucket then still has to compare are members of different components; of
+those, the pairs whose distances to the bucket's pivot (the root of its largest component) differ by more than a link's
+distance cannot be links, since Jaccard distance is a metric, and are never made. The rest is compared exactly. So a
+bucket's pairs are not listed, however many near copies it holds, and no pair of a bucket that could be a link is left
+out unless its two documents are joined already.
 
 Defined results: a text of fewer than five words is one shingle of all its words; null texts and texts without a word
 are near nothing, each a class of its own; a repeated row counts once, and its rows get the same class; rows of one id
