@@ -2,10 +2,11 @@
 
 Equal vectors of a label are folded into the smallest id. The neighbour graph starts from random-hyperplane buckets and is
 refined by local joins: the neighbours and reverse neighbours of a vector are compared with each other, and each keeps its
-best. A list all of whose entries are links is saturated; the lists grow (GROWTH times) while a sampled audit against
-brute force finds that links are missing. Comparisons so far use vectors rounded to bytes. The edges near the threshold
-are then checked exactly, in double precision, and joined into components; saturated lists are enlarged to their whole
-component: its members are compared exactly in blocks, so every link inside a component counts, without a row for it.
+best. The lists grow (GROWTH times) while a sampled audit against brute force finds that links are missing. Comparisons so
+far use vectors rounded to bytes. The edges near the threshold are then checked exactly, in double precision, and joined
+into components. A list all of whose entries may be links is saturated: links beyond it, also to other components, don't
+show. So its vector is compared exactly with all vectors of its label, and what that finds joins the components too. The
+members of a component are compared exactly in blocks, so every link inside a component counts, without a row for it.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those without a label,
 link with nothing; vectors of other lengths link with nothing of this length; copies are links of each other; rows that
@@ -35,6 +36,8 @@ AUDIT = 128
 RECALL = 0.999
 #: Members of a component's block.
 BLOCK = 768
+#: Vectors of a group's block, where vectors are held against their whole group.
+WIDE = 8192
 #: What rounding to bytes can change in a cosine, by far.
 SLACK = 0.03
 
@@ -183,6 +186,41 @@ def audit(vectors: DataFrame, roots: DataFrame, threshold: float) -> float:
     return (found["hit"] or 0) / found["n"] if found["n"] else 1.0
 
 
+def outside_links(nodes: DataFrame, roots: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join each vector of ``asked`` (id) to all components it has a link to, found by exact comparison
+    with every vector of its group. Of several links that join the same components a task gives one."""
+    placed = nodes.join(roots, nodes["id"] == roots["node"], "left").select("id", "g", "v", "norm", F.coalesce("root", "id").alias("root"))
+    placed = placed.join(asked.select("id").distinct().withColumn("open", F.lit(True)), "id", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    sizes = placed.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / WIDE).cast("int").alias("blocks"), F.max("open").alias("any")).where("any").drop("any")
+    placed = placed.join(sizes, "g").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = other.select("g", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "id", "v", "norm", "root", "open")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        u = matrix(group["v"]) / group["norm"].to_numpy()[:, None]
+        ids, part = group["id"].to_numpy(), np.unique(group["root"].to_numpy(), return_inverse=True)[1]
+        ask, a, b = np.flatnonzero(group["open"].to_numpy(dtype=bool)), [], []
+        for s in range(0, len(ask), 256):
+            rows = ask[s : s + 256]
+            near = u[rows] @ u.T >= threshold
+            for x in np.flatnonzero((near & (part[rows][:, None] != part[None])).any(1)):
+                row = rows[x]
+                hit = np.flatnonzero(near[x] & (part != part[row]))
+                found, first = np.unique(part[hit], return_index=True)
+                a += [ids[row]] * len(first)
+                b += ids[hit[first]].tolist()
+                part[np.isin(part, found)] = part[row]
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return dealt.groupBy("g", "lo", "hi").applyInPandas(compare, "a bigint, b bigint")
+
+
+def saturated(lists: DataFrame, k: int, threshold: float) -> DataFrame:
+    """The ids (id) whose list is full of entries that may be links."""
+    full = lists.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low"))
+    return full.where((F.col("n") >= k) & (F.col("low") >= threshold - SLACK)).select("id")
+
+
 def link_counts(members: DataFrame, threshold: float) -> DataFrame:
     """(id, links) among the members (root, id, m, v, norm) of each component, exactly, each neighbour counted m times."""
     sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -233,7 +271,11 @@ def mark(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     while True:
         lists = descend(small, k, seed, lists)
         close = lists.where(F.col("sim") >= threshold - SLACK).select(F.greatest("id", "nb").alias("a"), F.least("id", "nb").alias("b")).distinct()
-        roots = written(components(exact_links(close, nodes, threshold), "classes"), "roots")
+        links = written(exact_links(close, nodes, threshold), "links")
+        roots = written(components(links, "classes"), "roots")
+        more = written(outside_links(nodes, roots, saturated(lists, k, threshold), threshold), "more")
+        if not more.isEmpty():
+            roots = written(components(links.union(more), "classes"), "roots")
         recall = audit(nodes, roots, threshold)
         if recall >= RECALL or k >= 16 * NEIGHBOURS or k >= total:
             break

@@ -130,6 +130,26 @@ def test_near_vectors_equal_brute_force(spark):
     assert near_vectors.mark(vectors_of(spark, [])).count() == 0
 
 
+def two_tight_groups():
+    """Two groups of 40 whose vectors link to all of both groups, and have all their nearest vectors in their own."""
+    rng = np.random.default_rng(8)
+    base, off = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+    sides = (base, 0.95 * base + np.sqrt(1 - 0.95**2) * off)
+    return [(i, (sides[i // 40] + rng.normal(size=32) * 0.008).tolist(), 1) for i in range(80)]
+
+
+def test_near_vectors_links_beyond_saturated_lists(spark, monkeypatch):
+    rows = two_tight_groups()
+    x = np.array([r[1] for r in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert (x @ x.T >= 0.93).all() and all((np.argsort(-s)[:11] // 40 == i // 40).all() for i, s in enumerate(x @ x.T))
+    monkeypatch.setattr(near_vectors, "audit", lambda *_: 1.0, raising=False)
+    monkeypatch.setattr(near_vectors, "BUCKET", 40)
+    monkeypatch.setattr(near_vectors, "WIDE", 30, raising=False)
+    got = near_vectors.mark(vectors_of(spark, rows)).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(79, 0)}
+
+
 def test_ann_recall_and_order(spark):
     rows = cluster_rows() + [(4000, None, 1), (4020, [0.0] * 16, 1), (4040, [float("inf")] * 16, 1)]
     got = collections.defaultdict(list)
