@@ -2,11 +2,14 @@
 
 Equal vectors of a label are folded into the smallest id. The neighbour graph starts from random-hyperplane buckets and is
 refined by local joins: the neighbours and reverse neighbours of a vector are compared with each other, and each keeps its
-best. The lists grow (GROWTH times) while a sampled audit against brute force finds that links are missing. Comparisons so
-far use vectors rounded to bytes. The edges near the threshold are then checked exactly, in double precision, and joined
-into components. A list all of whose entries may be links is saturated: links beyond it, also to other components, don't
-show. So its vector is compared exactly with all vectors of its label, and what that finds joins the components too. The
-members of a component are compared exactly in blocks, so every link inside a component counts, without a row for it.
+best. Comparisons so far use vectors rounded to bytes. The edges near the threshold are then checked exactly, in double
+precision, and joined into components.
+
+Lists can't show that they hold all links: one full of links hides those beyond it, and a pair that shares no bucket and
+no neighbour is never met; a sample without links is no evidence either. So every vector is then compared exactly, in
+blocks, with all vectors of its label that are outside its component, and the links found join the components too. This
+takes time with the square of a label's vectors. The members of a component are compared exactly in blocks too, so every
+link inside a component counts, without a row for it.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those without a label,
 link with nothing; vectors of other lengths link with nothing of this length; copies are links of each other; rows that
@@ -22,18 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ann import matrix, usable
-from .common import components, lowest_by_hash, written
+from .common import components, written
 
 THRESHOLD = 0.93
-#: Entries of a list at first; tables of buckets; vectors of a bucket's block; rounds of local joins at most.
+#: Entries of a list; tables of buckets; vectors of a bucket's block; rounds of local joins at most.
 NEIGHBOURS = 10
 TABLES = 6
 BUCKET = 96
 ROUNDS = 4
-GROWTH = 2
-#: The documented bound of the audit: so many vectors held against all.
-AUDIT = 128
-RECALL = 0.999
 #: Members of a component's block.
 BLOCK = 768
 #: Vectors of a group's block, where vectors are held against their whole group.
@@ -106,7 +105,7 @@ def first_lists(nodes: DataFrame, k: int, seed: int) -> DataFrame:
 
 def local_join(lists: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """New neighbours among the neighbours and reverse neighbours of each vector."""
-    # reverse neighbours are sampled to k a vector, by hash; what that leaves out comes by other ways or by the audit
+    # reverse neighbours are sampled to k a vector, by hash; what that leaves out comes by other ways or by the exact comparison
     order = Window.partitionBy("nb").orderBy(F.xxhash64("id", "nb"))
     back = lists.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select(F.col("nb").alias("w"), F.col("id").alias("m"))
     around = lists.select(F.col("id").alias("w"), F.col("nb").alias("m")).union(back).distinct()
@@ -142,10 +141,9 @@ def local_join(lists: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return dealt.groupBy("p").applyInPandas(join, EDGE)
 
 
-def descend(nodes: DataFrame, k: int, seed: int, lists: DataFrame | None = None) -> DataFrame:
+def descend(nodes: DataFrame, k: int, seed: int) -> DataFrame:
     """Neighbour lists of k entries, refined until a round changes few of them."""
-    fresh = first_lists(nodes, k, seed)
-    now = written(fresh if lists is None else top_lists(fresh.union(lists), k), "lists")
+    now = written(first_lists(nodes, k, seed), "lists")
     entries = now.count()
     for _ in range(ROUNDS):
         better = written(local_join(now, nodes, k).groupBy("id", "nb").agg(F.max("sim").alias("sim")), "better")
@@ -163,49 +161,28 @@ def exact_links(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataF
     return pairs.join(a, "a").join(b, "b").where(dot / (F.col("na") * F.col("nb")) >= threshold).select("a", "b")
 
 
-def audit(vectors: DataFrame, roots: DataFrame, threshold: float) -> float:
-    """Share of the links of a bounded sample, found by brute force over all vectors, that lie inside a component."""
-    spark = vectors.sparkSession
-    some = lowest_by_hash(vectors, "id", AUDIT).collect()
-    shared = spark.sparkContext.broadcast([(r["id"], r["g"], np.array(r["v"]) / r["norm"]) for r in some])
-
-    def run(batches):
-        for batch in batches:
-            for size, part in batch.groupby(batch["v"].map(len)):
-                asked = [x for x in shared.value if len(x[2]) == size]
-                if asked:
-                    ids, g = part["id"].to_numpy(), part["g"].to_numpy()
-                    sim = np.array([x[2] for x in asked]) @ (matrix(part["v"]) / part["norm"].to_numpy()[:, None]).T
-                    own, groups = np.array([x[0] for x in asked]), np.array([x[1] for x in asked])
-                    q, r = np.nonzero((sim >= threshold) & (own[:, None] != ids[None]) & (groups[:, None] == g[None]))
-                    yield pd.DataFrame({"a": own[q], "b": ids[r]})
-
-    truth = vectors.select("id", "g", "v", "norm").mapInPandas(run, "a bigint, b bigint")
-    ra, rb = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-    found = truth.join(ra, "a", "left").join(rb, "b", "left").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("ra") == F.col("rb")).cast("int")).alias("hit")).first()
-    return (found["hit"] or 0) / found["n"] if found["n"] else 1.0
-
-
-def outside_links(nodes: DataFrame, roots: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) that join each vector of ``asked`` (id) to all components it has a link to, found by exact comparison
-    with every vector of its group. Of several links that join the same components a task gives one."""
+def outside_links(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join each vector to all components it has a link to, found by exact comparison with every vector
+    of its group. Of several links that join the same components a task gives one."""
     placed = nodes.join(roots, nodes["id"] == roots["node"], "left").select("id", "g", "v", "norm", F.coalesce("root", "id").alias("root"))
-    placed = placed.join(asked.select("id").distinct().withColumn("open", F.lit(True)), "id", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-    sizes = placed.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / WIDE).cast("int").alias("blocks"), F.max("open").alias("any")).where("any").drop("any")
+    sizes = nodes.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / WIDE).cast("int").alias("blocks"))
     placed = placed.join(sizes, "g").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = other.select("g", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "id", "v", "norm", "root", "open")
+    dealt = other.select("g", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "id", "v", "norm", "root")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         u = matrix(group["v"]) / group["norm"].to_numpy()[:, None]
         ids, part = group["id"].to_numpy(), np.unique(group["root"].to_numpy(), return_inverse=True)[1]
-        ask, a, b = np.flatnonzero(group["open"].to_numpy(dtype=bool)), [], []
-        for s in range(0, len(ask), 256):
-            rows = ask[s : s + 256]
-            near = u[rows] @ u.T >= threshold
-            for x in np.flatnonzero((near & (part[rows][:, None] != part[None])).any(1)):
+        # one block's rows against the other's; a block with itself is a pair of its own
+        low = group["i"].to_numpy() == group["lo"].iloc[0]
+        own, across, a, b = np.flatnonzero(low), np.flatnonzero(~low), [], []
+        cols = own if not len(across) else across
+        for s in range(0, len(own), 256):
+            rows = own[s : s + 256]
+            near = u[rows] @ u[cols].T >= threshold
+            for x in np.flatnonzero((near & (part[rows][:, None] != part[cols][None])).any(1)):
                 row = rows[x]
-                hit = np.flatnonzero(near[x] & (part != part[row]))
+                hit = cols[near[x] & (part[cols] != part[row])]
                 found, first = np.unique(part[hit], return_index=True)
                 a += [ids[row]] * len(first)
                 b += ids[hit[first]].tolist()
@@ -215,12 +192,6 @@ def outside_links(nodes: DataFrame, roots: DataFrame, asked: DataFrame, threshol
     return dealt.groupBy("g", "lo", "hi").applyInPandas(compare, "a bigint, b bigint")
 
 
-def saturated(lists: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The ids (id) whose list is full of entries that may be links."""
-    full = lists.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low"))
-    return full.where((F.col("n") >= k) & (F.col("low") >= threshold - SLACK)).select("id")
-
-
 def link_counts(members: DataFrame, threshold: float) -> DataFrame:
     """(id, links) among the members (root, id, m, v, norm) of each component, exactly, each neighbour counted m times."""
     sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -266,20 +237,13 @@ def mark(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 yield pd.DataFrame({"id": part["id"], "g": part["g"], "u": as_bytes(matrix(part["v"]))})
 
     small = written(nodes.select("id", "g", "v").mapInPandas(rounded, "id bigint, g bigint, u binary"), "bytes")
-    k, seed, lists = NEIGHBOURS, 1, None
-    total = nodes.count()
-    while True:
-        lists = descend(small, k, seed, lists)
-        close = lists.where(F.col("sim") >= threshold - SLACK).select(F.greatest("id", "nb").alias("a"), F.least("id", "nb").alias("b")).distinct()
-        links = written(exact_links(close, nodes, threshold), "links")
-        roots = written(components(links, "classes"), "roots")
-        more = written(outside_links(nodes, roots, saturated(lists, k, threshold), threshold), "more")
-        if not more.isEmpty():
-            roots = written(components(links.union(more), "classes"), "roots")
-        recall = audit(nodes, roots, threshold)
-        if recall >= RECALL or k >= 16 * NEIGHBOURS or k >= total:
-            break
-        k, seed = k * GROWTH, seed + 1
+    lists = descend(small, NEIGHBOURS, 1)
+    close = lists.where(F.col("sim") >= threshold - SLACK).select(F.greatest("id", "nb").alias("a"), F.least("id", "nb").alias("b")).distinct()
+    links = written(exact_links(close, nodes, threshold), "links")
+    roots = written(components(links, "classes"), "roots")
+    more = written(outside_links(nodes, roots, threshold), "more")
+    if not more.isEmpty():
+        roots = written(components(links.union(more), "classes"), "roots")
     members = roots.withColumnRenamed("node", "id").join(nodes, "id").select("root", "id", "m", "v", "norm")
     counts = link_counts(members, threshold)
     result = place.join(nodes.select(F.col("id").alias("node"), "m"), "node").join(roots, "node", "left").join(counts.withColumnRenamed("id", "node"), "node", "left")

@@ -150,6 +150,24 @@ def test_near_vectors_links_beyond_saturated_lists(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in got} == {(79, 0)}
 
 
+def test_near_vectors_pairs_that_no_list_holds(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = [(i, (base * (i + 1)).tolist(), 1) for i, base in enumerate(rng.normal(size=(60, 32)))]
+    rows += [(100 + i, (np.array(rows[i][1]) / (i + 1) + rng.normal(size=32) * 0.15).tolist(), 1) for i in range(6)]
+    rows += [(200 + i, (np.array(rows[50][1]) / 51 + rng.normal(size=32) * 0.02).tolist(), 1) for i in range(40)]
+    monkeypatch.setattr(near_vectors, "WIDE", 25, raising=False)
+    monkeypatch.setattr(near_vectors, "AUDIT", 1, raising=False)
+    met = near_vectors.descend
+
+    def blind(*given):
+        return met(*given).where("(id < 100 OR id >= 200) AND (nb < 100 OR nb >= 200)")
+
+    monkeypatch.setattr(near_vectors, "descend", blind)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.mark(vectors_of(spark, rows)).collect()}
+    assert [got[100 + i] for i in range(6)] == [(1, i) for i in range(6)]
+    assert {got[i] for i in [50, *range(200, 240)]} == {(40, 50)} and got[20] == (0, 20)
+
+
 def test_ann_recall_and_order(spark):
     rows = cluster_rows() + [(4000, None, 1), (4020, [0.0] * 16, 1), (4040, [float("inf")] * 16, 1)]
     got = collections.defaultdict(list)
