@@ -33,7 +33,9 @@ CONTEXT = 20
 SUPPORT = 3
 DISCLOSURE = 0.8
 REMOVAL = 0.95
-#: Terms or disclosing pairs up to this number go to the executors as a broadcast; beyond it they are joined.
+#: Terms whose counts a task holds before it passes them on.
+HELD_TERMS = 200_000
+#: Disclosing pairs up to this number go to the executors as a broadcast; beyond it they are joined.
 BROADCAST_TERMS = 200_000
 
 # A run of local-part characters is taken whole, with the rest of the address if it follows: a match can begin nowhere
@@ -128,23 +130,25 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, docs_t): how many rows of ``docs`` hold each of ``terms`` (distinct) anywhere."""
-    n = terms.count()
-    if n == 0:
-        return terms.select("term", F.lit(0).cast("bigint").alias("docs_t"))
-    if n > BROADCAST_TERMS:
-        words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,})"), F.lit(1)))
-        return docs.select(F.explode(words).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("docs_t"))
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in terms.collect()))  # n is at most BROADCAST_TERMS
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted, found = shared.value, Counter()
+        found: Counter[str] = Counter()
+
+        def counted() -> Iterator[pd.DataFrame]:
+            items = list(found.items())
+            for i in range(0, len(items), 10_000):
+                yield pd.DataFrame(items[i : i + 10_000], columns=["term", "n"])
+            found.clear()
+
         for batch in batches:
             for text in batch["text"].tolist():
                 if text:
-                    found.update(wanted.intersection(WORD.findall(text.lower())))
-        yield pd.DataFrame({"term": list(found), "n": list(found.values())})
+                    found.update({w.lower() for w in set(WORD.findall(text))})
+                if len(found) > HELD_TERMS:
+                    yield from counted()
+        yield from counted()
 
-    return docs.select("text").mapInPandas(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("docs_t"))
+    each = docs.select("text").mapInPandas(run, "term string, n bigint")
+    return each.join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").cast("bigint").alias("docs_t"))
 
 
 def disclosures(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, threshold: float = DISCLOSURE) -> DataFrame:

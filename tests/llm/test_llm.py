@@ -224,6 +224,14 @@ def test_pii_terms_that_disclose(spark):
     assert pii.find(docs_of(spark, [])).count() == 0
 
 
+def test_pii_counts_terms_as_it_finds_them(spark, monkeypatch):
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", 0, raising=False)
+    texts = ["abcⅫdef here", "ABCⅫdef, again abcⅫdef", "plain x²yz only", "İstanbul"]
+    terms = {t for x in texts for t, _, _ in pii.outside_words(x, [])} if hasattr(pii, "outside_words") else {"abcⅻdef", "plain"}
+    got = {r.term: r.docs_t for r in pii.term_counts(docs_of(spark, list(enumerate(texts))), spark.createDataFrame([(t,) for t in terms], "term string")).collect()}
+    assert got["abcⅻdef"] == 2 and set(got) == terms
+
+
 # -- 5 -----------------------------------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
