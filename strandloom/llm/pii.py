@@ -1,13 +1,15 @@
 """Personal data: patterns for the base kinds, and terms that the corpus shows to disclose them.
 
 Base spans come from the four patterns, leftmost and without overlap for each kind, in one pass that is linear in the
-text. Each base value is a protected entity. The terms within CONTEXT words of it are counted over the corpus: with N
-documents, a term t discloses the share
+text. Each base value is a protected entity, however rare. The terms of all texts that hold it are counted over the
+corpus: with N documents, a term t discloses the share
 
-    log2(N * joint(e, t) / (docs(e) * docs(t)))  /  log2(N / docs(e))
+    log2(N / docs(e) * (joint(e, t) + docs(e) / N) / (docs(t) + 1))  /  log2(N / docs(e))
 
-of an entity e's information. From DISCLOSURE on, with at least SUPPORT different texts to show it, the term is
-generalised where it stands near e; from REMOVAL on it is removed.
+of an entity e's information: P(e | t), smoothed by one document in which e has its corpus share. From DISCLOSURE on the
+term is generalised wherever it stands in a text with e; from REMOVAL on, which a few documents alone don't reach unless
+the corpus is very large, it is removed. Entities that only one text holds have the same counts with each of its terms, so
+they count as one.
 
 Defined results: null and empty texts have no spans and stay as they are; texts of any length are scanned whole; equal
 rows get equal spans; documents of one id but other text are told apart by the text's hash; an empty table gives an
@@ -18,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,14 +30,10 @@ from pyspark.sql import functions as F
 from .common import written
 
 KINDS = ("email", "ip", "card", "phone", "term")
-CONTEXT = 20
-SUPPORT = 3
 DISCLOSURE = 0.8
 REMOVAL = 0.95
 #: Terms whose counts a task holds before it passes them on.
 HELD_TERMS = 200_000
-#: Disclosing pairs up to this number go to the executors as a broadcast; beyond it they are joined.
-BROADCAST_TERMS = 200_000
 
 # A run of local-part characters is taken whole, with the rest of the address if it follows: a match can begin nowhere
 # else but at the run's start, since all later starts of the run meet the same rest. The same holds for runs of digits.
@@ -84,45 +81,39 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind == 'email' else value if kind == 'ip' else ''.join(filter(str.isdigit, value))}"
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) for the terms within CONTEXT words of each base span, outside all base spans."""
-    if not spans:
-        return []
+def outside_words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of the words outside all base spans."""
     taken = sorted((s, e) for _, s, e in spans)
-    words, k = [], 0
+    out, k, upto = [], 0, 0
     for m in WORD.finditer(text):
         s, e = m.span()
-        while k < len(taken) and taken[k][1] <= s:
+        # spans of different kinds may overlap: upto is the furthest end of those that start before the word's end
+        while k < len(taken) and taken[k][0] < e:
+            upto = max(upto, taken[k][1])
             k += 1
-        if k == len(taken) or e <= taken[k][0]:
-            words.append((s, e))
-    starts = [s for s, _ in words]
-    out = set()
-    for kind, s, e in spans:
-        at = bisect_left(starts, s)
-        for a, b in words[max(0, at - CONTEXT) : at + CONTEXT]:
-            out.add((entity(kind, text[s:e]), text[a:b].lower(), a, b))
-    return sorted(out, key=lambda x: (x[2], x[0]))
+        if upto <= s:
+            out.append((m[0].lower(), s, e))
+    return out
 
 
 def span_text(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-SCAN = "doc_id bigint, th bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, entities array<string>, near array<struct<entity:string,term:string,s:int,e:int>>"
+SCAN = "doc_id bigint, th bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, entities array<string>, words array<struct<term:string,s:int,e:int>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Base spans of each row, its entities and the terms near them. One narrow pass; texts aren't carried on."""
+    """Base spans of each row, its entities and, if it has any, its words. One narrow pass; texts aren't carried on."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for text in batch.pop("text").tolist():
                 spans = base_spans(text)
                 found = Counter(k for k, _, _ in spans)
-                near = [dict(zip(("entity", "term", "s", "e"), x, strict=True)) for x in contexts(text, spans)] if spans else []
-                rows.append((*(found[k] for k in KINDS[:4]), span_text(spans), sorted({entity(k, text[s:e]) for k, s, e in spans}), near))
-            more = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base", "entities", "near"], index=batch.index)
+                words = [dict(zip(("term", "s", "e"), x, strict=True)) for x in outside_words(text, spans)] if spans else []
+                rows.append((*(found[k] for k in KINDS[:4]), span_text(spans), sorted({entity(k, text[s:e]) for k, s, e in spans}), words))
+            more = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base", "entities", "words"], index=batch.index)
             yield pd.concat([batch, more], axis=1)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInPandas(run, SCAN)
@@ -151,38 +142,54 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return each.join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").cast("bigint").alias("docs_t"))
 
 
-def disclosures(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, threshold: float = DISCLOSURE) -> DataFrame:
-    """(entity, term, share): pairs whose share of disclosed information reaches ``threshold``."""
-    n = scanned.count()
-    each = scanned.where(F.size("entities") > 0).select("th", F.explode("entities").alias("entity"))
-    known = each.groupBy("entity").agg(F.count(F.lit(1)).alias("docs_e"), F.count_distinct("th").alias("texts_e")).where(F.col("texts_e") >= support)
-    known = written(known.select("entity", "docs_e"), "entities")
-    pairs = scanned.where(F.size("entities") > 0).select("doc_id", "th", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p"))
-    pairs = pairs.select("th", "p.entity", "p.term").join(known, "entity")
-    joint = pairs.groupBy("entity", "term", "docs_e").agg(F.count(F.lit(1)).alias("joint"), F.count_distinct("th").alias("texts")).where(F.col("texts") >= support)
-    joint = written(joint, "joint")
-    share = F.log2(F.lit(float(n)) * F.col("joint") / (F.col("docs_e") * F.col("docs_t"))) / F.log2(F.lit(float(n)) / F.col("docs_e"))
-    counted = joint.join(term_counts(docs, written(joint.select("term").distinct(), "terms")), "term")
-    return written(counted.where(F.col("docs_e") < n).select("entity", "term", share.alias("share")).where(F.col("share") >= threshold), "disclosures")
+def disclosures(docs: DataFrame, scanned: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
+    """(th, hits): for each text with entities the terms (term, share) that disclose ``threshold`` of one or more."""
+    n = float(scanned.count())
+    terms = F.array_distinct(F.transform("words", lambda x: x["term"])).alias("terms")
+    texts = scanned.where(F.size("entities") > 0).select("th", "entities", terms)
+    texts = written(texts.groupBy("th").agg(F.count(F.lit(1)).alias("m"), F.first("entities").alias("entities"), F.first("terms").alias("terms")), "texts")
+    each = texts.select("th", "m", F.explode("entities").alias("entity"))
+    known = written(each.groupBy("entity").agg(F.sum("m").alias("docs_e"), F.count(F.lit(1)).alias("texts_e")), "entities")
+    counts = written(term_counts(docs, written(texts.select(F.explode("terms").alias("term")).distinct(), "terms")), "counts")
+    share = F.log2(n / F.col("docs_e") * (F.col("joint") + F.col("docs_e") / n) / (F.col("docs_t") + 1)) / F.log2(n / F.col("docs_e"))
+
+    def disclosing(joint: DataFrame) -> DataFrame:
+        return joint.where(F.col("docs_e") < n).join(counts, "term").withColumn("share", share).where(F.col("share") >= threshold)
+
+    alone = each.join(known.where("texts_e = 1"), "entity").select("th").distinct()
+    alone = texts.join(alone, "th").select("th", F.col("m").alias("docs_e"), F.col("m").alias("joint"), F.explode("terms").alias("term"))
+    shared = each.join(known.where("texts_e > 1"), "entity").select("th", "entity", "docs_e")
+    shared = texts.join(shared, "th").select("th", "m", "entity", "docs_e", F.explode("terms").alias("term"))
+    pairs = disclosing(shared.groupBy("entity", "docs_e", "term").agg(F.sum("m").alias("joint"))).select("entity", "term", "share")
+    found = disclosing(alone).select("th", "term", "share").union(shared.join(pairs, ["entity", "term"]).select("th", "term", "share"))
+    best = found.groupBy("th", "term").agg(F.max("share").alias("share"))
+    return written(best.groupBy("th").agg(F.collect_list(F.struct("term", "share")).alias("hits")), "disclosures")
+
+
+FOUND = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_term bigint"
 
 
 def find(docs: DataFrame) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): base counts, base_sha256, all spans and the number of disclosing terms."""
     scanned = written(scan(docs), "scan")
-    pairs = disclosures(docs, scanned)
-    near = scanned.where(F.size("near") > 0).select("doc_id", "th", F.explode("near").alias("x")).select("doc_id", "th", "x.*")
-    hits = near.join(pairs, ["entity", "term"]).select("doc_id", "th", "s", "e").distinct()
-    terms = hits.groupBy(F.col("doc_id").alias("t_id"), F.col("th").alias("t_th")).agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("terms"))
-    joined = scanned.select("doc_id", "th", *(f"n_{k}" for k in KINDS[:4]), "base").join(
-        terms, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("th") == F.col("t_th")), "left"
-    )
-    more = F.array_join(F.transform("terms", lambda x: F.concat(F.lit("term:"), x["s"], F.lit(":"), x["e"])), ",")
-    return joined.select(
-        "doc_id", *(f"n_{k}" for k in KINDS[:4]),
-        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
-        F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), more).alias("spans"),
-        F.coalesce(F.size("terms"), F.lit(0)).cast("bigint").alias("n_term"),
+    hits = disclosures(docs, scanned)
+    columns = ("doc_id", *(f"n_{k}" for k in KINDS[:4]), "base")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for base, words, found in zip(batch["base"], batch.pop("words"), batch.pop("hits"), strict=True):
+                known = {x["term"] for x in found} if found is not None else ()
+                terms = [("term", x["s"], x["e"]) for x in words if x["term"] in known] if known else []
+                rows.append((hashlib.sha256(base.encode()).hexdigest(), ",".join(filter(None, (base, span_text(terms)))), len(terms)))
+            yield pd.concat([batch.drop(columns="base"), pd.DataFrame(rows, columns=["base_sha256", "spans", "n_term"], index=batch.index)], axis=1)
+
+    # rows without entities need no join, so copies of their texts don't meet in a task
+    rest = scanned.where(F.size("entities") > 0).join(hits, "th", "left").select(*columns, "words", "hits").mapInPandas(run, FOUND)
+    plain = scanned.where(F.size("entities") == 0).select(
+        *columns[:-1], F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), F.lit("").alias("spans"), F.lit(0).cast("bigint").alias("n_term")
     )
+    return plain.union(rest)
 
 
 def masked(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
@@ -197,42 +204,22 @@ def masked(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` generalised, disclosing terms generalised or removed; all columns stay."""
-    scanned = written(scan(docs), "scan")
-    pairs = disclosures(docs, scanned)
-    schema = docs.schema
-    if pairs.count() <= BROADCAST_TERMS:
-        table: dict[str, dict[str, float]] = {}
-        for r in pairs.collect():  # at most BROADCAST_TERMS pairs
-            table.setdefault(r["entity"], {})[r["term"]] = r["share"]
-        shared = docs.sparkSession.sparkContext.broadcast(table)
-
-        def shares(text, spans, _):
-            known = shared.value
-            return [(a, b, known[x][t]) for x, t, a, b in contexts(text, spans) if t in known.get(x, ())] if known else []
-
-        source = docs
-    else:
-        near = scanned.where(F.size("near") > 0).select("doc_id", "th", F.explode("near").alias("x")).select("doc_id", "th", "x.*")
-        hits = near.join(pairs, ["entity", "term"]).groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
-        hits = hits.agg(F.collect_set(F.struct("s", "e", "share")).alias("__hits"))
-        source = docs.join(hits, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left").select(*docs.columns, "__hits")
-
-        def shares(text, spans, hits):
-            return [(x["s"], x["e"], x["share"]) for x in hits] if hits is not None else []
+    hits = disclosures(docs, written(scan(docs), "scan")).select(F.col("th").alias("__th"), F.col("hits").alias("__hits"))
+    source = docs.join(hits, F.xxhash64("text") == F.col("__th"), "left").select(*docs.columns, "__hits")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hits = batch.pop("__hits").tolist() if "__hits" in batch else [None] * len(batch)
             out = []
-            for text, found in zip(batch["text"].tolist(), hits, strict=True):
+            for text, found in zip(batch["text"].tolist(), batch.pop("__hits").tolist(), strict=True):
                 spans = base_spans(text)
                 if spans:
-                    terms = {(a, b): share for a, b, share in sorted(shares(text, spans, found), key=lambda x: x[2])}
-                    text = masked(text, [(k, s, e, False) for k, s, e in spans] + [("term", a, b, share >= REMOVAL) for (a, b), share in terms.items()])
+                    known = {x["term"]: x["share"] for x in found} if found is not None else {}
+                    terms = [("term", a, b, known[t] >= REMOVAL) for t, a, b in outside_words(text, spans) if t in known] if known else []
+                    text = masked(text, [(k, s, e, False) for k, s, e in spans] + terms)
                 out.append(text)
             yield batch.assign(text=pd.Series(out, index=batch.index, dtype=object))
 
-    return source.mapInPandas(run, schema)
+    return source.mapInPandas(run, docs.schema)
 
 
 def digest(spans: list[tuple[str, int, int]]) -> str:

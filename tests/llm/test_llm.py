@@ -232,6 +232,19 @@ def test_pii_counts_terms_as_it_finds_them(spark, monkeypatch):
     assert got["abcⅻdef"] == 2 and set(got) == terms
 
 
+def test_pii_terms_of_one_text(spark):
+    common = "and then the others also came to this place with more of the same things as before"
+    rows = [(i, f"{common} {common}") for i in range(100)]
+    rows += [(200, f"Quillandra wrote. {common} {common} Mail: bo.li@one.example.com"), (201, f"{common} call +44 20 7946 0958 or ask vexborough"), (202, "Ask wilhelmina about this")]
+    texts = dict(rows)
+    found = {r.doc_id: r for r in pii.find(docs_of(spark, rows)).collect()}
+    assert "term:0:10" in found[200].spans and found[201].n_term >= 1 and found[202].n_term == found[5].n_term == 0
+    at = texts[200].index("others")
+    assert f"term:{at}:" not in found[200].spans
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs_of(spark, rows)).collect()}
+    assert "Quillandra" not in clean[200] and "others" in clean[200] and "vexborough" not in clean[201] and clean[202] == texts[202]
+
+
 # -- 5 -----------------------------------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
