@@ -277,7 +277,7 @@ def linear_impute(spark, sf):
 
 @query()
 def bayes_impute(spark, sf):
-    return _cells(I.bayesian(strand_arrays(spark, sf).withColumn("g", F.pmod("id", F.lit(16))), ["g"], cycles=60, burn=20))
+    return _cells(I.bayesian(strand_arrays(spark, sf).withColumn("g", F.pmod("id", F.lit(16))), ["g"]))
 
 
 @query("SELECT user_id, round(avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END), 6) AS share FROM events GROUP BY user_id")
@@ -684,7 +684,7 @@ def kmeans(spark, sf):
 def nmf(spark, sf):
     from ..models import matrices
 
-    return matrices.nmf(G.to_arrays(brand_signal(spark, sf), ["id"]), "id", "values", 3, rounds=10)[0]
+    return matrices.nmf(G.to_arrays(brand_signal(spark, sf), ["id"]), "id", "values", 3)[0]
 
 
 def nation_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -724,14 +724,14 @@ def diffusion_map(spark, sf):
 def tsne(spark, sf):
     from ..models import matrices
 
-    return spark.createDataFrame(matrices.tsne(nation_pairs(spark, sf), "js", rounds=200))
+    return spark.createDataFrame(matrices.tsne(nation_pairs(spark, sf), "js"))
 
 
 @query()
 def em_deconvolution(spark, sf):
     from ..models import simulate
 
-    return simulate.deconvolve(strand_arrays(spark, sf), "id", {"R": {-OFFSET: 1.0}, "L": {OFFSET: 1.0}}, rounds=50)
+    return simulate.deconvolve(strand_arrays(spark, sf), "id", {"R": {-OFFSET: 1.0}, "L": {OFFSET: 1.0}})
 
 
 @query()

@@ -89,3 +89,20 @@ def test_deconvolution_finds_the_centre(spark):
 def test_prior_integrates_to_one():
     x = np.linspace(1e-3, 30, 4000)
     assert np.trapezoid([simulate.ratio_prior(v, 2.0, 3, 400) for v in x], x) == pytest.approx(1.0, abs=0.02)
+
+
+def test_registered_models_run_their_default_rounds(spark, sf, monkeypatch):
+    from strandloom.operators import impute
+    from strandloom.plans import catalog
+
+    class Called(Exception):
+        pass
+
+    def record(*_, **given):
+        raise Called(given)
+
+    for where, name, query in ((impute, "bayesian", "bayes_impute"), (matrices, "nmf", "nmf"), (matrices, "tsne", "tsne"), (simulate, "deconvolve", "em_deconvolution")):
+        monkeypatch.setattr(where, name, record)
+        with pytest.raises(Called) as found:
+            catalog.QUERIES[query](spark, sf)
+        assert not {"rounds", "cycles", "burn"} & set(found.value.args[0])
