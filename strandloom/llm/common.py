@@ -4,19 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_BASE: str | None = None
+_BLOCK: ContextVar[list[str] | None] = ContextVar("block", default=None)
 
 
 def scratch_base(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one where it is unset, as in tests."""
+    """The folder all executors share (``spark.checkpoint.dir``). Where it is unset, a temporary one in local mode, as in
+    tests; elsewhere executors couldn't see each other's files, so that is an error."""
     global _LOCAL_BASE
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _LOCAL_BASE is None:
         _LOCAL_BASE = tempfile.mkdtemp(prefix="strandloom-")
     return _LOCAL_BASE
@@ -25,17 +32,40 @@ def scratch_base(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    This cuts the lineage with files that outlive any executor. The folder goes when the application ends.
+    This cuts the lineage with files that outlive any executor. The folder goes at the end of the ``settled`` block that
+    it was written in, or else when the application ends.
     """
     spark = df.sparkSession
     path = f"{scratch_base(spark)}/strandloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    files(spark, path, lambda system, at: system.deleteOnExit(at))
+    if (block := _BLOCK.get()) is not None:
+        block.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def files(spark: SparkSession, path: str, act) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    act(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)
+
+
+def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Write what ``build`` returns and read it back; the tables that were written on the way go."""
+    mark = _BLOCK.set([])
+    try:
+        out, on_the_way = build(), _BLOCK.get()
+        _BLOCK.reset(mark)
+        mark = None
+        out = written(out, name)
+    finally:
+        if mark is not None:
+            on_the_way = _BLOCK.get()
+            _BLOCK.reset(mark)
+        for path in on_the_way:
+            files(spark, path, lambda system, at: system.delete(at, True))
+    return out
+
+
 def lowest_by_hash(rows: DataFrame, key: str, limit: int) -> DataFrame:
     """A repeatable sample of at most ``limit`` rows: those whose key hashes lowest (ties by key)."""
     return rows.orderBy(F.xxhash64(F.col(key), F.lit(20)), F.col(key)).limit(limit)
@@ -53,22 +83,23 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 40) ->
     def state(df: DataFrame):
         return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
-    now = written(canon(edges), name)
-    before = state(now)
-    for _ in range(rounds):
-        # large star: each larger neighbour of a node goes to the node's least neighbour or itself; a hub's edges are
-        # minimised before they move, and their join splits by rows
-        both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).repartition("a")
-        # small star: a node and its smaller neighbours go to the least of those
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), name)
-        after = state(now)
-        if after == before:
-            break
-        before = after
-    else:
+    def settle() -> DataFrame:
+        now = written(canon(edges), name)
+        before = state(now)
+        for _ in range(rounds):
+            # large star: each larger neighbour of a node goes to the node's least neighbour or itself; a hub's edges are
+            # minimised before they move, and their join splits by rows
+            both = now.union(now.select("b", "a"))
+            low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+            large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).repartition("a")
+            # small star: a node and its smaller neighbours go to the least of those
+            least = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            now = written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), name)
+            after = state(now)
+            if after == before:
+                return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
+            before = after
         raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
+
+    return settled(edges.sparkSession, name, settle)

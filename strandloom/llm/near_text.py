@@ -7,13 +7,15 @@ shingle's weight. Ranks are searched up to a threshold at which about K log K da
 beyond it only while a coordinate is still empty; so the work is that of K log K + n darts, not K * n.
 
 Copies (equal words in equal order) are folded into the smallest id. The signatures of what stays are banded (BANDS bands
-of ROWS coordinates: a pair at similarity 0.8 is missed with probability below 1e-4). In each band bucket every member is
-compared with the bucket's smallest id, exactly, on the shingles, and linked documents join: first in a few bands, then in
-all, where the two are not joined yet. What a bucket then still has to compare are members of different components; of
-those, the pairs whose distances to the bucket's pivot (the root of its largest component) differ by more than a link's
-distance cannot be links, since Jaccard distance is a metric, and are never made. The rest is compared exactly. So a
-bucket's pairs are not listed, however many near copies it holds, and no pair of a bucket that could be a link is left
-out unless its two documents are joined already.
+of ROWS coordinates: a pair at similarity 0.8 is missed with probability below 1e-4), and the smallest id of a band bucket
+is its centre. Each member is compared, exactly, on the shingles, with the centre that it shares most buckets with, and
+linked documents join; then with its other centres that it isn't joined to yet: at most one comparison a band.
+
+Buckets whose members are all joined then need no more. The members of the others are joined on rare shingles: in the order
+of their frequency (shingles that one component alone holds first), two sets of similarity t have a common shingle so early
+in both that as many as a link needs can follow it. Only such pairs of different components are listed and compared, of
+those with one component one first. So near copies that are apart by edits of their own make no pairs, however many stand in
+a bucket, and no pair of a bucket that could be a link is left out unless its two documents are joined already.
 
 Defined results: a text of fewer than five words is one shingle of all its words; null texts and texts without a word
 are near nothing, each a class of its own; a repeated row counts once, and its rows get the same class; rows of one id
@@ -31,14 +33,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, settled, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 40
 ROWS = 7
-#: Bands whose buckets are compared before the others.
-FIRST_BANDS = 6
 #: Words whose hashes a worker remembers; emptied when full, which changes no result.
 MEMORY = 500_000
 
@@ -183,6 +183,34 @@ def scored(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", (F.col("common") / (F.size("sa") + F.size("sb") - F.col("common"))).alias("jaccard"))
 
 
+def early(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, n, root, token, p): the shared shingles of (a, n, root, s) that stand early enough for a link, p from 0.
+
+    A set's shingles are in the order of their frequency; those that one component alone holds come first and can't be
+    common to sets of two components, so only their number counts.
+    """
+    tokens = sets.select("a", "n", "root", F.explode("s").alias("token"))
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    rows = tokens.join(common.select("token", "c"), "token").groupBy("a", "n", "root").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("t"))
+    last = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9)
+    rows = rows.withColumn("u", F.col("n") - F.size("t")).where(F.col("u") <= last)
+    rows = rows.select("a", "n", "root", "u", F.posexplode(F.slice("t", F.lit(1), (last - F.col("u") + 1).cast("int"))).alias("i", "x"))
+    return rows.select("a", "n", "root", F.col("x.token").alias("token"), (F.col("u") + F.col("i")).alias("p"))
+
+
+def apart(postings: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, root): pairs of different components, b not the larger set, that may be as similar; root is that of b."""
+    share = similarity / (1.0 + similarity)
+    large = postings.select("token", "a", "n", F.col("root").alias("root_a"), "p")
+    small = postings.where(F.col("p") <= F.col("n") - F.ceil(2 * share * F.col("n") - 1e-9))
+    small = small.select("token", F.col("a").alias("b"), F.col("n").alias("n2"), F.col("root").alias("root"), F.col("p").alias("p2"))
+    # as many shingles as a link needs can follow the first common one in either set
+    need = F.ceil(share * (F.col("n") + F.col("n2")) - 1e-9)
+    ordered = (F.col("n2") < F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("b") < F.col("a")))
+    follows = (F.col("n") - F.col("p") >= need) & (F.col("n2") - F.col("p2") >= need)
+    return large.join(small, "token").where((F.col("root") != F.col("root_a")) & ordered & follows).select("a", "b", "root").distinct()
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
     """(doc_id, rep_id, class_id) for each distinct id: the copy that stands for it, and the smallest id of its class."""
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL")
@@ -190,20 +218,19 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     digest = F.struct(F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(3), "norm").alias("h2"))
     digests = keyed.where("norm <> ''").groupBy("doc_id").agg(F.min(digest).alias("d")).select("doc_id", "d.h1", "d.h2")
     digests = written(digests, "digests")
-    reps = digests.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep_id"))
-    copies = written(digests.join(reps, ["h1", "h2"]).select("doc_id", "rep_id"), "copies")
+    # written first, so that the join can split the rows of a text with very many copies
+    reps = digests.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    copies = digests.join(written(reps, "copied"), ["h1", "h2"], "left").select("doc_id", F.coalesce("rep_id", "doc_id").alias("rep_id"))
+    copies = written(copies, "copies")
     # signatures are made in the narrow pass over the texts; those of copies go before they are banded
     alone = copies.where("doc_id = rep_id").select("doc_id")
     signed = band_keys(source.where("text IS NOT NULL"), bands, rows, weighted).where("n > 0")
     signed = signed.join(alone, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("keys", "n")).alias("x"))
     signed = written(signed.select("doc_id", "x.keys", "x.n"), "bands")
-    exploded = signed.select("doc_id", "n", F.posexplode("keys").alias("band", "key"))
+    exploded = signed.select("doc_id", "n", F.explode("keys").alias("key"))
     centre = exploded.groupBy("key").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "b")
-    members = written(exploded.join(centre, "key").select("band", "key", F.col("doc_id").alias("a"), "b", "n"), "members")
-    near = members.where("a <> b").select("a", "b").select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(shingle_sets(source.join(near, "doc_id", "left_semi")).groupBy("doc_id").agg(F.min("s").alias("s")), "shingles")
-    # a few bands join most copies, which then need no more comparing in the other bands
-    stars = written(scored(members.where((F.col("band") < FIRST_BANDS) & (F.col("a") != F.col("b"))).select("a", "b").distinct(), sets), "stars")
+    members = written(exploded.join(centre, "key").select("key", F.col("doc_id").alias("a"), "b", "n"), "members")
+    sets = written(shingle_sets(source.join(members.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi")).groupBy("doc_id").agg(F.min("s").alias("s")), "shingles")
 
     def joined(found: DataFrame) -> DataFrame:
         return components(found.where(F.col("jaccard") >= similarity).select("a", "b"), "classes")
@@ -213,33 +240,28 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
             rows = rows.join(roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}")), name, "left").withColumn(f"root_{name}", F.coalesce(f"root_{name}", name))
         return rows
 
+    asked = members.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"), F.min("n").alias("n"))
+    asked = asked.join(signed.select(F.col("doc_id").alias("b"), F.col("n").alias("n2")), "b")
+    asked = written(asked.where(F.least("n", "n2") >= (similarity - 1e-9) * F.greatest("n", "n2")).select("a", "b", "votes"), "centres")
+    first = asked.groupBy("a").agg(F.max(F.struct("votes", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b"))
+    stars = written(scored(first, sets), "stars")
     roots = joined(stars)
-    apart = with_roots(members.where("a <> b").select("a", "b").distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), "a", "b").where("root_a <> root_b")
-    stars = written(stars.union(scored(written(apart.select("a", "b"), "pairs"), sets)), "stars")
-    roots = joined(stars)
-    # what a bucket still has to compare: members of different components whose distances to a pivot differ by no more than
-    # the distance of a link (Jaccard distance obeys the triangle inequality) and whose sizes allow one; the pivot is the
-    # root of the component with most members there, so that a large component is measured once and not in every band
-    reach = 1.0 - similarity
-    placed = written(with_roots(members.select("key", "a", "n"), "a"), "placed")
-    parts = placed.groupBy("key", "root_a").agg(F.count(F.lit(1)).alias("m"))
-    pivots = parts.groupBy("key").agg(F.max(F.struct("m", (-F.col("root_a")).alias("r"))).alias("x"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    placed = placed.join(pivots.select("key", (-F.col("x.r")).alias("p")), "key")
-    placed = written(placed.select("key", "a", "n", "root_a", F.greatest("a", "p").alias("hi"), F.least("a", "p").alias("lo")), "unsettled")
-    asked = placed.where("hi <> lo").select(F.col("hi").alias("a"), F.col("lo").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    stars = stars.union(written(scored(written(asked, "pairs"), sets), "stars"))
-    measured = stars.select(F.col("a").alias("hi"), F.col("b").alias("lo"), "jaccard")
-    distance = F.when(F.col("hi") == F.col("lo"), 0.0).otherwise(1.0 - F.col("jaccard"))
-    left = written(placed.join(measured, ["hi", "lo"], "left").select("key", "a", "n", distance.alias("d"), "root_a"), "distances").withColumn("cell", F.floor(F.col("d") / reach))
-    right = left.select("key", *(F.col(c).alias(f"{c}2") for c in ("a", "n", "d", "root_a")), F.explode(F.array(*(F.col("cell") + i for i in (-1, 0, 1)))).alias("cell"))
-    fresh = left.join(right, ["key", "cell"]).where(
-        (F.col("a") > F.col("a2")) & (F.col("root_a") != F.col("root_a2")) & (F.abs(F.col("d") - F.col("d2")) <= reach + 1e-9)
-        & (F.least("n", "n2") >= (similarity - 1e-9) * F.greatest("n", "n2"))
-    )
-    fresh = fresh.select("a", F.col("a2").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    more = written(scored(written(fresh, "pairs"), sets).where(F.col("jaccard") >= similarity), "links")
-    if not more.isEmpty():
-        roots = joined(stars.union(more))
+    # the other centres of what isn't joined to them
+    others = with_roots(asked.join(stars, ["a", "b"], "left_anti"), "a", "b").where("root_a <> root_b").select("a", "b")
+    links = written(stars.union(written(scored(written(others, "others"), sets), "stars")).where(F.col("jaccard") >= similarity), "links")
+    roots = joined(links)
+    # members of the buckets that still hold several components
+    placed = with_roots(members.select("key", "a", "n"), "a")
+    several = placed.groupBy("key").agg(F.min("root_a").alias("low"), F.max("root_a").alias("high")).where("low <> high").select("key")
+    unsettled = with_roots(members.join(several, "key").select("a", "n").distinct(), "a").select("a", "n", F.col("root_a").alias("root"))
+    unsettled = written(unsettled.join(sets.select(F.col("doc_id").alias("a"), "s"), "a"), "unsettled")
+    pairs = written(apart(written(early(unsettled, similarity), "early"), similarity), "pairs")
+    if not pairs.isEmpty():
+        one = pairs.groupBy("a", "root").agg(F.min("b").alias("b")).select("a", "b")
+        tried = written(scored(one, sets), "tried")
+        roots = joined(links.union(tried))
+        left = with_roots(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), "a", "b").where("root_a <> root_b").select("a", "b")
+        roots = joined(links.union(tried).union(scored(written(left, "left"), sets)))
     labelled = copies.join(roots.withColumnRenamed("node", "rep_id"), "rep_id", "left")
     labelled = labelled.select("doc_id", "rep_id", F.coalesce("root", "rep_id").alias("class_id"))
     others = source.select("doc_id").join(copies, "doc_id", "left_anti").distinct()
@@ -247,6 +269,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
 
 
 def mark(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, class_id, kept): a row for each distinct id; the smallest id of a class is kept."""
-    found = written(classes(docs, **options), "near")
-    return found.select("doc_id", "class_id", "rep_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    """(doc_id, class_id, rep_id, kept): a row for each distinct id, of which the smallest of a class is kept, and for each
+    row without an id."""
+    found = settled(docs.sparkSession, "near", lambda: classes(docs, **options))
+    found = found.select("doc_id", "class_id", "rep_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    none = F.lit(None).cast("bigint")
+    return found.union(docs.where("doc_id IS NULL").select(none, none, none, F.lit(True)))
