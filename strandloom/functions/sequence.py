@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,10 +57,18 @@ def run_starts(frame: DataFrame, key: str, seq: str, letters: str, at_least: int
     return found.where(F.col("letter").isin(*letters) & (F.col("size") >= at_least))
 
 
+def letters_once(seq: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` on the array of the sequence's letters, which is made once a row. Substrings by place walk from the start
+    of a text each time; slices of the array don't."""
+    return F.element_at(F.transform(F.array(F.split(seq, "")), use), 1)
+
+
 def pieces(seq: Column, k: int) -> Column:
-    """All overlapping substrings of length k, in order; empty where the sequence is shorter."""
-    n = F.length(seq)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """All overlapping substrings of length k, in order; empty where the sequence is shorter.
+
+    One pass of a matcher that looks k letters ahead and takes one: linear in the text, and letters beyond 16 bits count once.
+    """
+    return F.when(F.length(seq) >= k, F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))).otherwise(F.array().cast("array<string>"))
 
 
 def explode_pieces(frame: DataFrame, key: list[str], seq: str, k: int) -> DataFrame:

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import letters_once
+
 
 def contexts(seqs: DataFrame, key: str, seq: str, order: int) -> DataFrame:
     """(key, ord, pos, prev, cur) for every position and every order up to ``order``."""
-    letters = seqs.select(key, seq, F.explode(F.sequence(F.lit(0), F.length(seq) - 1)).alias("pos")).where(F.length(seq) > 0)
-    rows = letters.withColumn("ord", F.explode(F.sequence(F.lit(0), F.least(F.lit(order), F.col("pos")))))
-    return rows.select(key, "ord", "pos", F.substring(F.col(seq), F.col("pos") - F.col("ord") + 1, F.col("ord")).alias("prev"), F.substring(F.col(seq), F.col("pos") + 1, F.lit(1)).alias("cur"))
+    def at(letters: Column, pos: Column) -> Column:
+        before = lambda o: F.array_join(F.slice(letters, pos - o + 1, o), "")
+        return F.transform(F.sequence(F.lit(0), F.least(F.lit(order), pos)), lambda o: F.struct(o.alias("ord"), pos.alias("pos"), before(o).alias("prev"), F.get(letters, pos).alias("cur")))
+
+    every = letters_once(F.col(seq), lambda c: F.flatten(F.transform(F.sequence(F.lit(0), F.size(c) - 1), lambda pos: at(c, pos))))
+    return seqs.where(F.length(seq) > 0).select(key, F.explode(every).alias("x")).select(key, "x.*")
 
 
 def table(seqs: DataFrame, key: str, seq: str, order: int, positional: bool = True) -> DataFrame:

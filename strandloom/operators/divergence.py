@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import all_pairs, similarity
+from .joins import all_pairs, in_blocks, similarity
 
 
 def _total(values: Column) -> Column:
@@ -39,9 +39,9 @@ def bhattacharyya(p: Column, q: Column) -> Column:
     return F.when(c > 0, -F.log(c))
 
 
-def pair_divergences(rows: DataFrame, key: str, values: str, blocks: int = 4) -> DataFrame:
+def pair_divergences(rows: DataFrame, key: str, values: str) -> DataFrame:
     """(id1, id2, kl, js) of all pairs id1 < id2 of masses."""
-    both = all_pairs(rows.select(key, mass(F.col(values)).alias("__m")), key, "__m", F.struct(kl(F.col("x"), F.col("y")).alias("kl"), js(F.col("x"), F.col("y")).alias("js")), blocks)
+    both = all_pairs(rows.select(key, mass(F.col(values)).alias("__m")), key, "__m", F.struct(kl(F.col("x"), F.col("y")).alias("kl"), js(F.col("x"), F.col("y")).alias("js")))
     return both.select("id1", "id2", "score.kl", "score.js")
 
 
@@ -54,8 +54,9 @@ def silhouette(rows: DataFrame, key: str, values: str, cluster: str) -> DataFram
     labelled = rows.select(key, F.struct(F.col(values).alias("v"), F.col(cluster).alias("c")).alias("__r"))
     gap = F.sqrt(_total(F.zip_with(F.col("x.v"), F.col("y.v"), lambda a, b: (a - b) * (a - b))))
     pairs = all_pairs(labelled, key, "__r", F.struct(gap.alias("d"), F.col("x.c").alias("c1"), F.col("y.c").alias("c2")))
-    half = pairs.select("id1", "id2", "score.*")
-    both = half.select(F.col("id1").alias(key), F.col("c1").alias("own"), F.col("c2").alias("other"), "d").union(half.select("id2", "c2", "c1", "d"))
+    # both directions of a pair in its own task, so that sums by row and cluster are all that is shuffled
+    way = lambda i, a, b: F.struct(F.col(i).alias("id"), F.col(f"score.{a}").alias("own"), F.col(f"score.{b}").alias("other"), F.col("score.d").alias("d"))
+    both = pairs.select(F.explode(F.array(way("id1", "c1", "c2"), way("id2", "c2", "c1"))).alias("w")).select(F.col("w.id").alias(key), "w.own", "w.other", "w.d")
     means = both.groupBy(key, "own", "other").agg(F.avg("d").alias("m"))
     sides = means.groupBy(key, "own").agg(F.max(F.when(F.col("own") == F.col("other"), F.col("m"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("m"))).alias("b"))
     score = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
@@ -64,11 +65,11 @@ def silhouette(rows: DataFrame, key: str, values: str, cluster: str) -> DataFram
 
 def reproducibility(rows: DataFrame, dataset: str, key: str, values: str, scale: float = 10.0) -> DataFrame:
     """(set1, set2, similarity): mean exp(-scale * JS) over all pairs of ids of two data sets (set1 <= set2)."""
-    masses = rows.select(dataset, key, mass(F.col(values)).alias("m"))
-    left = masses.select(F.col(dataset).alias("set1"), F.col(key).alias("__a"), F.col("m").alias("x"))
-    right = masses.select(F.col(dataset).alias("set2"), F.col(key).alias("__b"), F.col("m").alias("y"))
+    masses = in_blocks(rows.select(dataset, key, mass(F.col(values)).alias("m")), key)
     sets = masses.select(F.col(dataset).alias("set1")).distinct()
-    # the pairs of data sets are an equality key; within one, every pair of ids is asked for
+    # the pairs of data sets are an equality key, with the pair of blocks: every pair of ids of two sets is asked for
     grid = sets.crossJoin(F.broadcast(sets.withColumnRenamed("set1", "set2"))).where("set1 <= set2")
-    both = left.join(grid, "set1").join(right, "set2")
+    left = masses.select(F.col(dataset).alias("set1"), F.col("m").alias("x"), F.col("__i").alias("i"), F.explode("__all").alias("j"))
+    right = masses.select(F.col(dataset).alias("set2"), F.col("m").alias("y"), F.explode("__all").alias("i"), F.col("__i").alias("j"))
+    both = left.join(grid, "set1").join(right, ["set2", "i", "j"])
     return both.groupBy("set1", "set2").agg(F.avg(similarity(js(F.col("x"), F.col("y")), scale)).alias("similarity"))

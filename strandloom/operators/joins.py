@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import letters_once, pieces
+
 
 def interval_join(points: DataFrame, intervals: DataFrame, point: str, low: str, high: str, width: float, on: list[str] | None = None, strict: bool = True) -> DataFrame:
     """Pairs of a point and an interval that holds it (strictly inside, or ends included), within equal ``on`` columns.
@@ -31,18 +31,38 @@ def window_profile(points: DataFrame, centres: DataFrame, point: str, centre: st
 def asof_next(left: DataFrame, right: DataFrame, on: list[str], at: str, right_at: str, carry: list[str], strict: bool = False) -> DataFrame:
     """Each left row with the nearest right row at or after it (or strictly after), null where there is none.
 
-    The two sides are laid out as one and a window carries the next right row back: one shuffle by key and one sort,
-    O(n log n), where a nested loop would compare all. Of right rows at one moment the one with the least ``carry`` counts.
+    The two sides are laid out as one, latest first, and a running window carries the right row met last: one shuffle by
+    key and one sort, O(n log n). Of right rows at one moment the one with the least ``carry`` counts.
     """
     pack = F.struct(F.col(right_at).alias("__at"), *carry)
     rows = left.select(*(F.col(c) for c in left.columns), F.col(at).alias("__t"), F.lit(1 if strict else 0).alias("__o"), F.lit(None).cast(right.select(pack).schema[0].dataType).alias("__next"))
     marks = right.select(*(F.col(c) if c in on else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns), F.col(right_at).alias("__t"), F.lit(0 if strict else 1).alias("__o"), pack.alias("__next"))
-    w = Window.partitionBy(*on).orderBy("__t", "__o", F.col("__next").asc_nulls_first()).rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy(*on).orderBy(F.desc("__t"), F.desc("__o"), F.col("__next").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     both = rows.withColumn("__left", F.lit(True)).unionByName(marks.withColumn("__left", F.lit(False)))
-    found = both.withColumn("__n", F.first("__next", ignorenulls=True).over(w)).where("__left")
+    found = both.withColumn("__n", F.last("__next", ignorenulls=True).over(w)).where("__left")
     return found.select(*left.columns, F.col("__n.__at").alias(f"next_{right_at}"), *(F.col(f"__n.{c}").alias(f"next_{c}") for c in carry))
 
 
+def asof_strand(left: DataFrame, right: DataFrame, on: list[str], at: str, end: str, strand: str, right_at: str, carry: list[str]) -> DataFrame:
+    """Each left row with the nearest right row in its direction: the first at or after ``at`` on the strand "+", the last
+    at or before it on "-", and no further than ``end``; null where there is none."""
+    ahead = asof_next(left.where(F.col(strand) == "+"), right, on, at, right_at, carry)
+    behind = asof_last(left.where(F.col(strand) == "-"), right, on, at, right_at, carry)
+    names = [right_at, *carry]
+    both = ahead.select(*left.columns, *(F.col(f"next_{c}").alias(f"near_{c}") for c in names))
+    both = both.union(behind.select(*left.columns, *(F.col(f"last_{c}").alias(f"near_{c}") for c in names)))
+    near = F.col(f"near_{right_at}")
+    inside = F.when(F.col(strand) == "+", near <= F.col(end)).otherwise(near >= F.col(end))
+    return both.select(*left.columns, *(F.when(inside, F.col(f"near_{c}")).alias(f"near_{c}") for c in names))
+
+
+def interval_order(points: DataFrame, intervals: DataFrame, point: str, low: str, high: str, strand: str, by: list[str], width: float, on: list[str] | None = None) -> DataFrame:
+    """The pairs of ``interval_join`` with ``order`` from 1 along each interval (``by``): rising on "+", falling on "-"."""
+    sign = F.when(F.col(strand) == "-", -1).otherwise(1)
+    along = Window.partitionBy(*by).orderBy(F.col(point) * sign)
+    return interval_join(points, intervals, point, low, high, width, on).withColumn("order", F.row_number().over(along))
+
+
 def asof_last(left: DataFrame, right: DataFrame, on: list[str], at: str, right_at: str, carry: list[str]) -> DataFrame:
     """Each left row with the latest right row at or before it: the state that holds then."""
     pack = F.struct(F.col(right_at).alias("__at"), *carry)
@@ -65,21 +85,30 @@ def interval_mean_rollup(spans: DataFrame, start: str, end: str, value: str, by:
     return grown.rollup("pos", by).agg(F.avg(value).alias("value"), F.count(F.lit(1)).alias("n")).where("pos IS NOT NULL")
 
 
-def all_pairs(rows: DataFrame, key: str, values: str, score: Column, blocks: int | None = None) -> DataFrame:
+#: Rows of a block of all_pairs: a task holds two, and compares about this number squared.
+BLOCK_ROWS = 4096
+
+
+def all_pairs(rows: DataFrame, key: str, values: str, score: Column, least: int = 8) -> DataFrame:
     """(id1, id2, score) for all pairs id1 < id2, with ``score`` over the arrays ``x`` and ``y``.
 
     This is an n^2 operator by definition, so it is cut into block pairs: each row is sent to the blocks it meets, the
     join is an equality join on the pair of blocks (every task holds two blocks, never all rows), and the vectors are
-    compared inside array expressions. ``blocks`` grows with the root of the pairs a task should take.
+    compared inside array expressions. The blocks grow in number, not in size, with the rows; there are ``least`` or more.
     """
-    b = blocks or 8
-    named = rows.select(F.col(key).alias("id"), F.col(values).alias("v"), F.pmod(F.xxhash64(F.col(key)), F.lit(b)).cast("int").alias("g"))
-    ids = F.sequence(F.lit(0), F.lit(b - 1))
-    left = named.select(F.col("id").alias("id1"), F.col("v").alias("x"), F.col("g").alias("i"), F.explode(ids).alias("j"))
-    right = named.select(F.col("id").alias("id2"), F.col("v").alias("y"), F.explode(ids).alias("i"), F.col("g").alias("j"))
+    named = in_blocks(rows.select(F.col(key).alias("id"), F.col(values).alias("v")), "id", least)
+    left = named.select(F.col("id").alias("id1"), F.col("v").alias("x"), F.col("__i").alias("i"), F.explode("__all").alias("j"))
+    right = named.select(F.col("id").alias("id2"), F.col("v").alias("y"), F.explode("__all").alias("i"), F.col("__i").alias("j"))
     return left.join(right.hint("shuffle_hash"), ["i", "j"]).where("id1 < id2").select("id1", "id2", score.alias("score"))
 
 
+def in_blocks(rows: DataFrame, key: str, least: int = 8) -> DataFrame:
+    """``rows`` with the number __i of a block of about BLOCK_ROWS rows, by the hash of ``key``, and __all the blocks."""
+    blocks = F.greatest(F.lit(least), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS)).cast("int")
+    sized = rows.crossJoin(F.broadcast(rows.agg(blocks.alias("__b"))))  # one row
+    return sized.withColumn("__i", F.pmod(F.xxhash64(key), F.col("__b")).cast("int")).withColumn("__all", F.sequence(F.lit(0), F.col("__b") - 1)).drop("__b")
+
+
 def euclidean(x: Column, y: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
 
@@ -106,16 +135,18 @@ def by_centre(a: DataFrame, b: DataFrame, seq_a: str, seq_b: str, size: int, sid
 def containment(queries: DataFrame, texts: DataFrame, query_id: str, query: str, text_id: str, text: str, size: int, unique: bool = True) -> DataFrame:
     """(query_id, text_id, pos) of exact occurrences; with ``unique`` only of queries that occur once.
 
-    The first ``size`` letters of a query are an equality key into the texts' overlapping pieces; the rest is compared
-    after the join. Queries shorter than ``size`` are not looked up.
+    The first ``size`` letters of a query are an equality key into the texts' overlapping pieces, which carry no text; the
+    places so found go back to their texts, where the rest is compared. Queries shorter than ``size`` are not looked up.
     """
     q = queries.where(F.length(query) >= size).select(F.col(query_id), F.col(query).alias("__q"), F.left(query, F.lit(size)).alias("__k"))
-    n = F.length(text)
-    starts = F.explode(F.sequence(F.lit(1), n - size + 1))
-    t = texts.where(n >= size).select(text_id, text, starts.alias("__p")).withColumn("__k", F.substring(F.col(text), F.col("__p"), F.lit(size)))
-    hits = t.join(q, "__k").where(F.substring(F.col(text), F.col("__p"), F.length("__q")) == F.col("__q"))
-    hits = hits.select(query_id, text_id, (F.col("__p") - 1).alias("pos"))
-    return hits.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(query_id))).where("__n = 1").drop("__n") if unique else hits
+    named = texts.where(F.length(text) >= size).select(text_id, F.col(text).alias("__t"), F.xxhash64(text).alias("__h"))
+    places = named.select(text_id, "__h", F.posexplode(pieces(F.col("__t"), size)).alias("__p", "__k"))
+    found = places.join(q, "__k").groupBy(text_id, "__h", query_id, "__q").agg(F.sort_array(F.collect_set("__p")).alias("__p"))
+    # a query's places in one text: as many as the text has letters at most
+    hits = named.join(found, [text_id, "__h"]).select(query_id, text_id, letters_once(F.col("__t"), lambda c: F.filter("__p", lambda p: F.array_join(F.slice(c, p + 1, F.length("__q")), "") == F.col("__q"))).alias("__p"))
+    hits = hits.select(query_id, text_id, F.explode("__p").alias("pos"))
+    once = hits.groupBy(query_id).agg(F.count(F.lit(1)).alias("__n")).where("__n = 1").select(query_id)
+    return hits.join(once, query_id, "left_semi") if unique else hits
 
 
 def shifted(signal: DataFrame, other: DataFrame, key: list[str], shift: int, name: str) -> DataFrame:
@@ -128,8 +159,3 @@ def membership(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     """(inside, outside): how many rows of ``a`` have, and have not, a partner in ``b``, by one pass over ``a``."""
     keys = b.select(*on).distinct().withColumn("__in", F.lit(1))
     return a.join(keys, on, "left").agg(F.count("__in").alias("inside"), F.count_if(F.col("__in").isNull()).alias("outside"))
-
-
-def blocks_for(rows: int, pairs_per_task: int = 20_000_000) -> int:
-    """Blocks for all_pairs so that a task compares about ``pairs_per_task`` pairs."""
-    return max(1, math.ceil(rows / math.sqrt(pairs_per_task)))

@@ -19,6 +19,7 @@ from ..operators import joins as J
 from ..operators import reads as R
 from ..operators import sampling as P
 from ..operators import signal as G
+from ..sources.partitions import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -136,7 +137,7 @@ def positional_bigram(spark, sf):
 @query("""WITH p AS (SELECT lang, text, unnest(range(1, length(text) - 1)) AS i FROM documents WHERE length(text) >= 3)
 SELECT lang, substr(text, i, 3) AS kmer, count(*) AS n FROM p GROUP BY ALL""")
 def kmer_freq(spark, sf):
-    docs = read(spark, sf, "documents").select("doc_id", "lang", "text")
+    docs = spread(read(spark, sf, "documents").select("lang", "text"))
     return S.explode_pieces(docs, ["lang"], "text", 3).groupBy("lang", "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -556,20 +557,18 @@ def key_except(spark, sf):
     return read(spark, sf, "customer").select(F.col("c_custkey").alias("k")).subtract(read(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_custkey"))
 
 
-@query("""SELECT a.p_partkey AS p1, b.p_partkey AS p2 FROM part a JOIN part b ON substr(a.p_name, length(a.p_name) // 2 - 2, 3) = substr(b.p_type, length(b.p_type) // 2 - 2, 3)
-WHERE length(a.p_name) // 2 >= 3 AND length(b.p_type) // 2 >= 3""")
+@query("""WITH n AS (SELECT DISTINCT p_name AS n FROM part WHERE length(p_name) // 2 >= 3)
+SELECT a.n AS n1, b.n AS n2 FROM n a JOIN n b ON substr(a.n, length(a.n) // 2 - 2, 3) = substr(b.n, length(b.n) // 2 - 2, 3)""")
 def substring_join(spark, sf):
-    a = read(spark, sf, "part").select(F.col("p_partkey").alias("p1"), "p_name").where(F.floor(F.length("p_name") / 2) >= 3)
-    b = read(spark, sf, "part").select(F.col("p_partkey").alias("p2"), "p_type").where(F.floor(F.length("p_type") / 2) >= 3)
-    return J.by_centre(a, b, "p_name", "p_type", 3, "left").select("p1", "p2")
+    names = read(spark, sf, "part").select("p_name").where(F.floor(F.length("p_name") / 2) >= 3).distinct()
+    return J.by_centre(names.select(F.col("p_name").alias("n1")), names.select(F.col("p_name").alias("n2")), "n1", "n2", 3, "left").select("n1", "n2")
 
 
-@query("""WITH q AS (SELECT n_nationkey AS qid, lower(n_name) AS q FROM nation WHERE length(n_name) >= 4), t AS (SELECT DISTINCT lower(p_name) || ' ' || lower(p_type) AS t FROM part),
-s AS (SELECT t, unnest(range(1, length(t) - 2)) AS i FROM t) SELECT qid, t, CAST(i - 1 AS INT) AS pos FROM s JOIN q ON substr(t, i, length(q)) = q""")
+@query("""WITH q AS (SELECT item_id, substr(text, 1, 24) AS q FROM benchmark WHERE length(text) >= 24), h AS (SELECT item_id, doc_id, q, string_split(text, q) AS parts FROM documents JOIN q ON contains(text, q)),
+o AS (SELECT item_id, doc_id, q, parts, unnest(range(1, len(parts))) AS i FROM h) SELECT item_id, doc_id, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * 24 AS INT) AS pos FROM o""")
 def containment(spark, sf):
-    queries = read(spark, sf, "nation").select(F.col("n_nationkey").alias("qid"), F.lower("n_name").alias("q"))
-    texts = read(spark, sf, "part").select(F.concat_ws(" ", F.lower("p_name"), F.lower("p_type")).alias("t")).distinct().withColumn("tid", F.col("t"))
-    return J.containment(queries, texts, "qid", "q", "tid", "t", 4, unique=False).select("qid", F.col("tid").alias("t"), "pos")
+    queries = read(spark, sf, "benchmark").where(F.length("text") >= 24).select("item_id", F.left("text", F.lit(24)).alias("q"))
+    return J.containment(queries, spread(read(spark, sf, "documents").select("doc_id", "text")), "item_id", "q", "doc_id", "text", 12, unique=False)
 
 
 @query("""SELECT c.c_custkey, n.n_name, s.s FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey LEFT JOIN (SELECT o_custkey, round(sum(o_totalprice), 2) AS s FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) s ON s.o_custkey = c.c_custkey""")

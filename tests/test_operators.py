@@ -136,3 +136,26 @@ def test_streaming_counts_equal_batch(spark, tmp_path):
     run.awaitTermination(60)
     batch = R.dyad_histogram(R.cuts(spark.createDataFrame(rows, schema)))
     assert sorted(spark.table("dyads").collect()) == sorted(batch.collect())
+
+
+def test_asof_along_a_strand(spark):
+    genes = spark.createDataFrame([(1, "c", "+", 100, 200), (2, "c", "-", 300, 180), (3, "c", "+", 210, 215), (4, "d", "-", 50, 10)], "gene int, chr string, strand string, tss int, tes int")
+    marks = spark.createDataFrame([("c", 90, 1), ("c", 150, 2), ("c", 190, 3), ("c", 290, 4)], "chr string, pos int, n int")
+    got = {r.gene: (r.near_pos, r.near_n) for r in J.asof_strand(genes, marks, ["chr"], "tss", "tes", "strand", "pos", ["n"]).collect()}
+    assert got == {1: (150, 2), 2: (290, 4), 3: (None, None), 4: (None, None)}
+    spans = genes.select("gene", "chr", "strand", F.least("tss", "tes").alias("lo"), F.greatest("tss", "tes").alias("hi"))
+    order = J.interval_order(marks, spans, "pos", "lo", "hi", "strand", ["gene"], 100, ["chr"])
+    assert {(r.gene, r.pos): r.order for r in order.collect()} == {(1, 150): 1, (1, 190): 2, (2, 290): 1, (2, 190): 2}
+
+
+def test_pieces_of_wide_letters(spark):
+    rows = spark.createDataFrame([("x😀y\n😀z",), ("ab",), ("",)], "t string")
+    assert [r.p for r in rows.select(S.pieces(F.col("t"), 3).alias("p")).collect()] == [["x😀y", "😀y\n", "y\n😀", "\n😀z"], [], []]
+
+
+def test_containment_places(spark):
+    texts = spark.createDataFrame([(1, "aaaaaXYaaaaa"), (2, "none"), (1, "aaaaaXYaaaaa")], "tid int, t string")
+    asked = spark.createDataFrame([(7, "aaaa"), (8, "aXYaa"), (9, "abcd")], "qid int, q string")
+    got = sorted(tuple(r) for r in J.containment(asked, texts.dropDuplicates(), "qid", "q", "tid", "t", 4, unique=False).collect())
+    assert got == [(7, 1, 0), (7, 1, 1), (7, 1, 7), (7, 1, 8), (8, 1, 4)]
+    assert [r.qid for r in J.containment(asked, texts.dropDuplicates(), "qid", "q", "tid", "t", 4).collect()] == [8]

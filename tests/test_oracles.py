@@ -1,10 +1,10 @@
 """Every query with SQL against DuckDB on the smallest tables, and a schema for every other one."""
 
 import glob
-import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from strandloom.plans import catalog
@@ -18,8 +18,12 @@ def duck(sf):
     return con
 
 
+#: Queries whose result is empty on the smallest tables.
+EMPTY = {"range_join"}
+
+
 def rows(frame):
-    cell = lambda v: "null" if v is None or (isinstance(v, float) and math.isnan(v)) else f"{v:.9g}" if isinstance(v, float) else str(v)
+    cell = lambda v: "null" if pd.api.types.is_scalar(v) and pd.isna(v) else f"{v:.9g}" if isinstance(v, float) else str(v)
     return sorted(tuple(cell(v) for v in r) for r in frame[sorted(frame.columns)].itertuples(index=False))
 
 
@@ -28,6 +32,7 @@ def test_oracle(spark, duck, sf, name):
     ours, theirs = catalog.QUERIES[name](spark, sf).toPandas(), duck.execute(catalog.ORACLES[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert rows(ours) == rows(theirs)
+    assert len(ours) or name in EMPTY
 
 
 def test_every_oracle_has_a_query():
