@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -342,7 +343,7 @@ def test_html_article(spark):
 
 
 def test_html_host_boilerplate_across_shards(spark, monkeypatch):
-    monkeypatch.setattr(html, "SHARD_PAGES", 3)
+    monkeypatch.setattr(html, "SHARD_CHARS", 3500)
     body = lambda i: f"<body><div>Home News Sport Weather Travel Contact Us</div><div>Story {i} alpha{i} beta{i} gamma{i} delta{i} eps{i}</div><div>All rights reserved by the same old firm</div></body>"
     got = html.extract(pages_of(spark, [(i, f"http://h/{i}", body(i)) for i in range(12)] + [(99, "http://other/1", body(99))]))
     for r in got.collect():
@@ -350,6 +351,72 @@ def test_html_host_boilerplate_across_shards(spark, monkeypatch):
         assert r.text == story if r.page_id < 99 else story in r.text and "Home" in r.text
 
 
+def blocks_of(page, kind=html.KEEP):
+    return [t for k, t in html.page_blocks(page) if k == kind]
+
+
+def test_html_attributes_and_marks_inside_the_article():
+    assert blocks_of("<article><p>One <a title=it's href=x>two</a> three</p><p>four's five</p></article>") == ["One two three", "four's five"]
+    assert blocks_of("<article><p class='search-tips'>a</p><div class=article-header><p>b</p></div><div class='ad-slot x'>c</div><p id=comments>d</p></article>") == ["a", "b"]
+    assert blocks_of("<article><p title='a>b' data-class=ad>x</p><p class = \"q ad\">y</p></article>") == ["x"]
+    assert blocks_of("<article>a < b &lt;c&gt; <!-- > <p>no</p> --><!--> d</ x>e<script>'</p>'</script ><p/>f<![CDATA[g]]></article>") == ["a < b <c> de", "f"]
+    assert blocks_of("<article><p title=\"never closed href=x>kept</p><p>too</p></article>") == ["kept", "too"]
+
+
+@pytest.mark.parametrize("part", ['<b c="', "<b c='", "<b c=", "<a b=\"x", "<!--", "</", "<p class=ad ", "<script>", "= '\" <x "])
+def test_html_is_linear_in_malformed_pages(part):
+    began = time.process_time()
+    html.page_blocks("<article>" + part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 10
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<b>", "</b>", "<div class='x'>", "</div>", "word", " ", "a&amp;b", "<br>", "<img alt='>'>", "<i title=\"<p>\">", "</i>", "<!-- <p> -->"]), max_size=14))
+def test_html_text_is_what_stands_outside_tags(parts):
+    """Against the standard library's parser: the same characters, whatever the markup."""
+    import html.parser
+
+    class Plain(html.parser.HTMLParser):
+        def handle_data(self, data):
+            seen.append(data)
+
+        def handle_starttag(self, tag, attrs):
+            seen.append(" " if tag == "br" else "")
+
+    seen = []
+    parser = Plain(convert_charrefs=True)
+    parser.feed("<article>" + "".join(parts) + "</article>")
+    parser.close()
+    found = blocks_of("<article>" + "".join(parts) + "</article>")
+    assert re.sub(r"\s", "", "".join(found)) == re.sub(r"\s", "", "".join(seen)) and all(t == " ".join(t.split()) != "" for t in found)
+
+
+def test_html_runs_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(html, "SHARD_CHARS", 2500)
+    rng = random.Random(5)
+    pool = [prose(900 + i, 9) for i in range(5)]
+    rows = []
+    for i in range(40):
+        blocks = [prose(i, 8), *rng.sample(pool, 2), prose(2000 + i % 20, 7)]
+        rows.append((i, f"http://h{i % 3}/{i}", "".join(f"<div>{b}</div>" for b in blocks)))
+    rows += [rows[0], rows[0]]
+    streams = [[b.split() for b in blocks_of(r[2], html.OPEN)] for r in rows]
+    have = collections.defaultdict(set)
+    for n, (r, blocks) in enumerate(zip(rows, streams)):
+        for b in blocks:
+            for i in range(len(b) - html.RUN + 1):
+                have[r[1].split("/")[2], tuple(b[i : i + html.RUN])].add(n)
+    want = collections.Counter()
+    for r, blocks in zip(rows, streams):
+        kept = []
+        for b in blocks:
+            gone = {j for i in range(len(b) - html.RUN + 1) if len(have[r[1].split("/")[2], tuple(b[i : i + html.RUN])]) >= html.PAGES for j in range(i, i + html.RUN)}
+            if left := [w for j, w in enumerate(b) if j not in gone]:
+                kept.append(" ".join(left))
+        want[r[0], "\n".join(kept)] += 1
+    assert collections.Counter((r.page_id, r.text) for r in html.extract(pages_of(spark, rows)).collect()) == want
+
+
 def test_suffix_array_order():
     tokens = np.random.default_rng(0).integers(0, 3, 60)
     order = html.suffix_array(tokens)
