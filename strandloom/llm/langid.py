@@ -5,8 +5,9 @@ pairs and triples, and the word itself (the lexicon). Learned transition scores
 gives each word's probabilities, so switches inside a text show. A document's language has the largest mean probability
 over its words; that mean is its score.
 
-Words are labelled in chains of CHAIN words, run in step for many chains at once. The model learns from chains spliced
-from labelled texts of several languages, by gradient descent on the exact log-likelihood.
+The words of a text are one chain, however many; texts of about one length run in step, and a very long text in segments
+that pass their forward and backward sums on. The model learns from chains of CHAIN words spliced from labelled texts of
+several languages, by gradient descent on the exact log-likelihood.
 
 Defined results: null texts and texts without a letter get ``und`` and score 0; ties go to the first language in order;
 a run of over WORD letters counts as several words; texts of any length are read whole; without any labelled text every
@@ -21,19 +22,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lowest_by_hash
-
 WORD = 20
 CHAIN = 48
 #: Buckets of hashed features, a power of two.
 BUCKETS = 1 << 16
-#: The documented bound of the sample that teaches: so many texts a language, each of at most so many characters.
+#: The documented bound of the sample that teaches: so many texts a language, each of at most so many characters, and so
+#: many texts in all (but one of each language at least).
 SAMPLE_PER_LANGUAGE = 100
 SAMPLE_CHARS = 6_000
-LANGUAGES = 200
+SAMPLE_ROWS = 20_000
+#: Words that are labelled in one go, of many texts or of a long one.
+SEGMENT = 98_304
 #: Words whose scores a worker remembers; emptied when full, which changes no result.
 MEMORY = 300_000
 LETTERS = re.compile(rf"[^\W\d_]{{1,{WORD}}}")
@@ -182,14 +184,17 @@ def train(texts: list[str], labels: list[str], rounds: int = 30, seed: int = 11)
 
 
 def fit(docs: DataFrame, learn: Column | None = None, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Learn from (doc_id, text, lang) rows with a language, only where ``learn`` (a condition on doc_id) holds."""
+    """Learn from (doc_id, text, lang) rows with a language, only where ``learn`` (a condition on doc_id) holds.
+
+    One pass takes the texts whose ids hash lowest in each language, by a window that each task limits before the shuffle.
+    """
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.length("text").between(1, SAMPLE_CHARS))
     if learn is not None:
         known = known.where(learn)
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    rows = []
-    for r in counts:  # at most LANGUAGES samples of at most per_language texts
-        rows += lowest_by_hash(known.where(F.col("lang") == r["lang"]), "doc_id", per_language).collect()
+    languages = known.select("lang").distinct().count()
+    each = max(1, min(per_language, SAMPLE_ROWS // max(languages, 1)))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(20)), "doc_id", F.xxhash64("text"))
+    rows = known.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= each).drop("__r").collect()
     rows = sorted({(r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["text"]) for r in rows})
     return train([r[3] for r in rows], [r[2] for r in rows])
 
@@ -197,13 +202,14 @@ def fit(docs: DataFrame, learn: Column | None = None, per_language: int = SAMPLE
 class Labeller:
     """Documents' languages by a model, with a memory of words."""
 
-    def __init__(self, model: Model, memory: int = MEMORY):
-        self.model, self.memory = model, memory
+    def __init__(self, model: Model, memory: int = MEMORY, segment: int = SEGMENT):
+        self.model, self.memory, self.segment = model, memory, segment
         self.known: dict[str, int] = {}
         self.table = np.zeros((1024, len(model.languages)), np.float32)
+        self.move = np.exp(model.move)
 
-    def rows(self, words: list[str]) -> np.ndarray:
-        """Numbers of the words' rows in the table of scores."""
+    def scores(self, words: list[str]) -> np.ndarray:
+        """The words' rows of the table of scores, as factors of at most 1."""
         known = self.known
         fresh = [w for w in dict.fromkeys(words) if w not in known]
         if fresh:
@@ -214,98 +220,100 @@ class Labeller:
             while len(self.table) < base + len(fresh):
                 self.table = np.vstack([self.table, np.zeros_like(self.table)])
             for i in range(0, len(fresh), 20_000):
-                part = fresh[i : i + 20_000]
-                self.table[base + i : base + i + len(part)] = self.model.emissions(part)
+                part = self.model.emissions(fresh[i : i + 20_000])
+                self.table[base + i : base + i + len(part)] = np.exp(part - part.max(1, keepdims=True))
             known.update(zip(fresh, range(base, base + len(fresh)), strict=True))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return self.table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].astype(float)
+
+    def segments(self, words: list[str]) -> Iterator[np.ndarray]:
+        """Probabilities (words x labels) of one text's segments, the last segment first.
+
+        The forward sums at the segments' starts are kept; each segment's own are made again on the way back.
+        """
+        parts = [words[i : i + self.segment] for i in range(0, len(words), self.segment)]
+        starts = [np.exp(self.model.start)[None]]
+        for part in parts[:-1]:
+            last = forward(self.scores(part)[:, None], self.move, starts[-1], np.ones(len(part), np.int64))[-1]
+            starts.append(last @ self.move)
+        back = np.ones((1, len(self.model.languages)))
+        for part in reversed(parts):
+            one = np.ones(len(part), np.int64)
+            e = self.scores(part)[:, None]
+            alpha = forward(e, self.move, starts.pop(), one)
+            back = backward(alpha, e, self.move, back, one)
+            yield alpha[:, 0]
 
     def words(self, words: list[str]) -> np.ndarray:
-        """Probabilities (words x labels) along the chains of one text, in memory bounded by a block of chains."""
-        out = []
-        for i in range(0, len(words), CHAIN * 2048):
-            part = words[i : i + CHAIN * 2048]
-            n, chains = len(part), -(-len(part) // CHAIN)
-            emit = np.zeros((chains * CHAIN, len(self.model.languages)))
-            rows = self.rows(part)
-            emit[:n] = self.table[rows]
-            on = (np.arange(chains * CHAIN) < n).reshape(chains, CHAIN)
-            gamma = posteriors(emit.reshape(chains, CHAIN, -1), self.model.move, self.model.start, on)
-            out.append(gamma.reshape(chains * CHAIN, -1)[:n])
+        """Probabilities (words x labels) along the chain of one text."""
+        out = list(self.segments(words))[::-1]
         return np.vstack(out) if out else np.zeros((0, len(self.model.languages)))
 
+    def means(self, texts: list[list[str]]) -> np.ndarray:
+        """Mean probabilities (texts x labels) over the words of each text; the texts go from the longest to the shortest."""
+        k = len(self.model.languages)
+        if len(texts) == 1 and len(texts[0]) > self.segment:
+            return sum(part.sum(0) for part in self.segments(texts[0]))[None] / len(texts[0])
+        length = np.array([len(t) for t in texts])
+        count = (length[None] > np.arange(length[0])[:, None]).sum(1)
+        e = np.ones((length[0], len(texts), k))
+        filled = np.arange(length[0])[:, None] < length[None]
+        e.transpose(1, 0, 2)[filled.T] = self.scores([w for t in texts for w in t])
+        alpha = forward(e, self.move, np.exp(self.model.start)[None], count)
+        backward(alpha, e, self.move, np.ones((len(texts), k)), count)
+        return (alpha * filled[:, :, None]).sum(0) / length[:, None]
+
     def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
         if not self.model.languages:
             return names, scores
-        # chains of many texts run together; a text's chains are its own
-        todo: list[tuple[int, list[str]]] = []
-        size = 0
-
-        def flush() -> None:
-            nonlocal todo, size
-            padded, owner, real = [], [], []
-            for i, words in todo:
-                fill = -len(words) % CHAIN
-                padded += words
-                padded += [""] * fill
-                owner += [i] * ((len(words) + fill) // CHAIN)
-                real.append(len(words))
-            chains = len(owner)
-            filled = np.array(padded, dtype=object) != ""
-            emit = np.zeros((chains * CHAIN, len(self.model.languages)))
-            rows = self.rows([w for w in padded if w])
-            emit[filled] = self.table[rows]
-            gamma = posteriors(emit.reshape(chains, CHAIN, -1), self.model.move, self.model.start, filled.reshape(chains, CHAIN))
-            sums, where = gamma.sum(1), np.array(owner)
-            ids = [i for i, _ in todo]
-            place = np.searchsorted(ids, where)
-            total = np.zeros((len(ids), sums.shape[1]))
-            np.add.at(total, place, sums)
-            mean = total / np.array(real)[:, None]
-            for j, i in enumerate(ids):
-                best = int(mean[j].argmax())
-                names[i], scores[i] = self.model.languages[best], float(min(1.0, max(0.0, mean[j, best])))
-            todo, size = [], 0
-
+        todo = []
         for i, text in enumerate(texts):
             words = LETTERS.findall(text.lower()) if text else []
-            if not any(c.isalpha() for w in words for c in w):  # numerals can look like letters
-                continue
-            if len(words) > CHAIN * 2048:
-                mean = self.words(words).mean(0)
+            if any(c.isalpha() for w in words for c in w):  # numerals can look like letters
+                todo.append((len(words), i, words))
+        todo.sort(key=lambda x: (-x[0], x[1]))
+        at = 0
+        while at < len(todo):
+            # as many texts as fit when each is as long as the first
+            group = todo[at : at + max(1, self.segment // todo[at][0])]
+            at += len(group)
+            for (_, i, _), mean in zip(group, self.means([w for _, _, w in group]), strict=True):
                 best = int(mean.argmax())
                 names[i], scores[i] = self.model.languages[best], float(min(1.0, max(0.0, mean[best])))
-                continue
-            todo.append((i, words))
-            size += len(words) + CHAIN
-            if size >= CHAIN * 2048:
-                flush()
-        if todo:
-            flush()
         return names, scores
 
 
+def forward(e: np.ndarray, move: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Forward sums (steps x texts x labels), each of sum 1. ``e``, ``move``: factors; ``first``: those before the first word;
+    ``count``: how many texts, the first ones, have so many words."""
+    alpha = np.ones_like(e)
+    for t, n in enumerate(count.tolist()):
+        a = (alpha[t - 1, :n] @ move if t else first) * e[t, :n]
+        alpha[t, :n] = a / a.sum(1, keepdims=True)
+    return alpha
+
+
+def backward(alpha: np.ndarray, e: np.ndarray, move: np.ndarray, back: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Turns forward sums into probabilities; ``back``: the sums behind the last words. Returns those before the first."""
+    for t in range(len(count) - 1, -1, -1):
+        n = int(count[t])
+        a = alpha[t, :n] * back[:n]
+        alpha[t, :n] = a / a.sum(1, keepdims=True)
+        b = (e[t, :n] * back[:n]) @ move.T
+        back[:n] = b / b.sum(1, keepdims=True)
+    return back
+
+
 def posteriors(emit: np.ndarray, move: np.ndarray, start: np.ndarray, there: np.ndarray) -> np.ndarray:
     """As forward_backward, the word probabilities alone."""
-    chains, steps, labels = emit.shape
-    e = np.exp(emit - emit.max(2, keepdims=True)).transpose(1, 0, 2).copy()
-    e[~there.T] = 1.0
-    m = np.exp(move)
-    alpha = np.empty_like(e)
-    a = e[0] * np.exp(start)
-    for t in range(steps):
-        if t:
-            a = np.where(there[:, t, None], (a @ m) * e[t], a)
-        a = a / a.sum(1, keepdims=True)
-        alpha[t] = a
-    beta = np.ones((chains, labels))
-    for t in range(steps - 1, -1, -1):
-        alpha[t] *= beta
-        if t:
-            back = (e[t] * beta) @ m.T
-            beta = np.where(there[:, t, None], back / back.sum(1, keepdims=True), beta)
-    alpha /= alpha.sum(2, keepdims=True)
-    return alpha.transpose(1, 0, 2) * there[:, :, None]
+    order = np.argsort(-there.sum(1), kind="stable")
+    count = there[order].sum(0)
+    e = np.exp(emit - emit.max(2, keepdims=True))[order].transpose(1, 0, 2).copy()
+    alpha = forward(e, np.exp(move), np.exp(start)[None], count)
+    backward(alpha, e, np.exp(move), np.ones((len(order), emit.shape[2])), count)
+    out = np.empty_like(emit)
+    out[order] = alpha.transpose(1, 0, 2)
+    return out * there[:, :, None]
 
 
 def label_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

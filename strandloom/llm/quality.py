@@ -6,7 +6,7 @@ into a probability by a logistic curve fitted on labelled rows that built neithe
 
 Defined results: a null or empty text has no blocks and gets the score of the empty text (all features 0); text of any
 length is read whole, in blocks; rows that repeat get the same score; an empty table gives an empty result; labels that
-are null, or that contradict each other for one id, teach nothing; without labels of both kinds every score is the share
+are null, or that contradict each other for one id, teach nothing, and of rows of one id the smallest text teaches; without labels of both kinds every score is the share
 of good labels (0.5 without any). Other columns of the input, whatever their names, are left out of the result.
 """
 
@@ -121,9 +121,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_cla
     if not counts.get(0) or not counts.get(1):
         odds = np.log(np.clip(prior, 0.01, 0.99) / np.clip(1 - prior, 0.01, 0.99))
         return Model(b"", b"", (0.0, 0.0, 0.0, 0.0, float(odds)))
-    picked = lowest_by_hash(known.where("y = 1"), "doc_id", per_class).union(lowest_by_hash(known.where("y = 0"), "doc_id", per_class))
-    # at most 2 x per_class rows: bounded by the parameter, so the broadcast is too
+    picked = lowest_by_hash(known.where("y = 1"), "doc_id", per_class, counts[1]).union(lowest_by_hash(known.where("y = 0"), "doc_id", per_class, counts[0]))
+    # at most 2 x per_class rows: bounded by the parameter, so the broadcast is too; of rows of one id the smallest text
     rows = docs.select("doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS)).join(F.broadcast(picked.select("doc_id", "y")), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     rows = sorted({(r["doc_id"], r["y"], r["text"]) for r in rows.collect()}, key=lambda r: (hash_order(r[0]), r[2]))
     texts = {c: [r[2] for r in rows if r[1] == c] for c in (0, 1)}
     teach = {c: texts[c][: max(1, len(texts[c]) // 2)] for c in (0, 1)}

@@ -312,6 +312,56 @@ def test_posteriors_equal_enumeration():
     assert np.allclose(langid.posteriors(emit, move, start, there)[0], want) and np.allclose(langid.forward_backward(emit, move, start, there)[0][0], want)
 
 
+def test_chains_of_any_length_equal_one_chain():
+    """Texts in step, and a long text in segments, against forward-backward over each whole text alone."""
+    rng = np.random.default_rng(3)
+    model = langid.Model(["a", "b", "c"], rng.normal(size=(langid.BUCKETS, 3)).astype(np.float32) * 0.2, rng.normal(size=(3, 3)), rng.normal(size=3))
+    texts = [prose(i, n).translate({ord(c): None for c in "0123456789"}) for i, n in enumerate([1, 7, 300, 2, 61, 0, 180])]
+
+    def alone(text):
+        words = text.split()
+        return langid.forward_backward(model.emissions(words)[None], model.move, model.start, np.ones((1, len(words)), bool))[0][0]
+
+    for segment in (10**6, 64, 5):
+        labeller = langid.Labeller(model, segment=segment)
+        names, scores = labeller.label(texts)
+        for text, name, score in zip(texts, names, scores):
+            if text:
+                want = alone(text)
+                assert np.allclose(labeller.words(text.split()), want, atol=1e-5)
+                assert abs(score - want.mean(0).max()) < 1e-5 and name == "abc"[want.mean(0).argmax()]
+            else:
+                assert (name, score) == ("und", 0.0)
+
+
+def test_language_query_learns_from_its_fold_alone(spark, tmp_path):
+    """The registered query: held-out rows teach nothing, and every language of the others can be predicted."""
+    from strandloom.llm import queries
+
+    def text(lang, i):
+        return " ".join(w[::-1] + f"{'xyz'[lang % 3]}{chr(97 + lang // 3)}" if lang else w for w in re.sub(r"\d", "", prose(i, 40)).split())
+
+    held = {i for i in range(2000) if zlib.crc32(str(i).encode()) % 4 == 2}
+    rows = [(i, text(i % 9, i), f"l{i % 9}", "s", 0) for i in range(400)]
+    rows += [(i, text(0, i), "wrong", "s", 0) for i in sorted(held) if i >= 400] + [(None, text(1, 7), None, "s", 0), (5000, None, None, "s", 0)]
+    spark.createDataFrame(rows, DOCS).withColumn("score", F.lit("clash")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op6_language(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(r.held_out == (r.doc_id in held) for r in got if r.doc_id is not None and r.doc_id < 2000)
+    first = [r for r in got if r.doc_id is not None and r.doc_id < 400]
+    assert np.mean([r.lang_pred == f"l{r.doc_id % 9}" for r in first if r.held_out]) > 0.95
+    assert "wrong" not in {r.lang_pred for r in got} and {r.lang_pred for r in got if r.doc_id == 5000} == {"und"}
+
+
+def test_language_odd_tables(spark):
+    docs = docs_of(spark, ODD + [(9, "kana lode " * 30_000)]).withColumn("__text", F.lit("clash")).withColumn("lang_pred", F.lit("clash"))
+    model = langid.fit(docs)
+    got = {r.doc_id: r for r in langid.label_documents(docs, model).collect()}
+    assert got[9].lang_pred == "xx" and abs(got[9].score - 1) < 1e-9 and got[3].lang_pred == "und"
+    assert langid.label_documents(docs_of(spark, []), model).count() == 0
+    even = langid.Model(["a", "b"], np.zeros((langid.BUCKETS, 2), np.float32), np.zeros((2, 2)), np.zeros(2))
+    assert langid.Labeller(even).label(["some words"]) == (["a"], [0.5])
+
+
 def test_language_of_mixed_text(spark):
     one, two = [w for w in WORDS if w[0] in "klmn"], [w[::-1] + "q" for w in WORDS if w[0] in "strp"]
     clean = lambda words, seed: re.sub(r"\d", "", prose(seed, 60, words))
@@ -514,6 +564,20 @@ def test_quality_separates_and_stays_calibrated(spark):
     assert quality.score(docs_of(spark, []), model).count() == 0
 
 
+def test_quality_query_learns_from_its_fold_alone(spark, tmp_path):
+    from strandloom.llm import queries
+
+    held = {i for i in range(600) if zlib.crc32(str(i).encode()) % 3 == 1}
+    rows = [(i, prose(i, 60) if i % 2 else prose(i, 40).upper().replace(" ", "!! ")) for i in range(600)] + [(7, "z" * 900)] * 50 + ODD
+    docs_of(spark, rows).withColumn("score", F.lit("clash")).write.parquet(str(tmp_path / "documents.parquet"))
+    # the labels of the held-out fold are turned round: whoever learned from them would do badly
+    spark.createDataFrame([(i, (i % 2) ^ (i in held), 0) for i in range(600)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = queries.op10_quality(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in got)
+    mine = [r for r in got if r.doc_id is not None and 10 <= r.doc_id < 600]
+    assert all(r.held_out == (r.doc_id in held) for r in mine) and np.mean([r.predicted == r.doc_id % 2 for r in mine]) > 0.97
+
+
 # -- pipeline ----------------------------------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, tmp_path):
