@@ -8,14 +8,15 @@ EPSILON, that their whole distance exceeds the query's current k-th best are aba
 scored exactly, in double precision, on the original vectors.
 
 The number of probed lists is set by measuring recall against brute force on a bounded sample of queries: it doubles
-until TARGET is reached, and all lists are probed if nothing less will do. Lists are cut into blocks of bounded size, so
-that one vector that a third of all rows hold, or one large list, is scanned by many tasks; each block gives its k best,
-and the query's k best come from those, with the window's partial limit before the shuffle.
-
-Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do vectors
-of another length than the longest; a query never finds its own id; ties go to smaller ids; fewer candidates than k give
-that many rows; of rows of one id the smallest vector counts; an empty table gives an empty
-result; other columns are not carried.
+until TARGET is reached. Should all lists with the test miss it, they are scanned without the test, which is exact. Lists
+are cut into blocks of bounded size, and so are the queries that probe a list, so that one vector that a third of all rows
+hold, or one large list, is scanned by many tasks; each block gives its k best, and the query's k best come from those,
+with the window's partial limit before the shuffle.
+
+Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of each
+length are searched among themselves; a query never finds its own id; ties go to smaller ids; fewer candidates than k give
+that many rows; of rows of one id the smallest vector counts; an empty table gives an empty result; other columns are not
+carried.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ AUDIT_QUERIES = 64
 TARGET = 0.97
 #: Rows of a list's block; columns of a column block; strictness of the abandoning test.
 BLOCK = 4096
+#: Queries of a list's block.
+ASKED = 1024
 COLUMNS = 16
 EPSILON = 2.1
 MAX_LISTS = 4096
@@ -93,7 +96,7 @@ class Index:
         return augmented(v, np.linalg.norm(v, axis=1), self.top, query) @ self.rotation
 
 
-def scan(index: Index, queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int):
+def scan(index: Index, queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, epsilon: float = EPSILON):
     """(query, row, score) positions of the k best rows of a block for each query, by adaptive dimension scan."""
     q, x = index.rotated(queries, True), index.rotated(rows, False)
     dims = x.shape[1]
@@ -114,7 +117,7 @@ def scan(index: Index, queries: np.ndarray, query_ids: np.ndarray, rows: np.ndar
             part = part + np.einsum("ij,ij->i", gap, gap)
             if b < dims and np.isfinite(bound):
                 # a partial distance over b of dims columns estimates the whole as dims / b times itself
-                keep = part * (dims / b) <= bound * (1 + EPSILON / math.sqrt(b)) ** 2
+                keep = part * (dims / b) <= bound * (1 + epsilon / math.sqrt(b)) ** 2
                 alive, part = alive[keep], part[keep]
         score = rows[alive] @ queries[i]
         if len(alive) > k:
@@ -137,15 +140,21 @@ def matrix(column: pd.Series) -> np.ndarray:
 def search(rows: DataFrame, queries: DataFrame, k: int = 20, target: float = TARGET) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k rows of largest inner product; both tables as ``usable`` gives them."""
     spark = rows.sparkSession
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top"), F.max(F.size("v")).alias("dim")).first()
-    if not facts["n"]:
-        return spark.createDataFrame([], schema)
-    dim = facts["dim"]
-    rows, queries = rows.where(F.size("v") == dim), queries.where(F.size("v") == dim)
-    lists = int(min(MAX_LISTS, max(1, round(0.5 * math.sqrt(facts["n"])))))
-    sample = np.array([r["v"] for r in lowest_by_hash(rows.select("id", "v"), "id", FIT_ROWS).collect()])
-    index = Index(sample, facts["top"], lists)
+    out = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    # one index for each length of vectors: one, in a sound table
+    facts = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top")).orderBy("dim").collect()
+    for f in facts:
+        here = F.size("v") == f["dim"]
+        out = out.union(search_length(rows.where(here), queries.where(here), f["n"], f["top"], k, target))
+    return out
+
+
+def search_length(rows: DataFrame, queries: DataFrame, n: int, top: float, k: int, target: float) -> DataFrame:
+    """``search`` among n vectors of one length, the longest of norm ``top``."""
+    spark = rows.sparkSession
+    lists = int(min(MAX_LISTS, max(1, round(0.5 * math.sqrt(n)))))
+    sample = np.array([r["v"] for r in lowest_by_hash(rows.select("id", "v"), "id", FIT_ROWS, n).collect()])
+    index = Index(sample, top, lists)
     shared = spark.sparkContext.broadcast(index)
 
     def assign(batches):
@@ -153,42 +162,49 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, target: float = TAR
             yield batch.assign(list=shared.value.lists(matrix(batch["v"]), 1, False)[:, 0])
 
     listed = written(rows.select("id", "v").mapInPandas(assign, "id bigint, v array<double>, list int"), "lists")
-    sizes = listed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))  # at most MAX_LISTS rows
 
-    def found(asked: DataFrame, probes: int) -> DataFrame:
+    def parts(frame: DataFrame, size: int, name: str) -> DataFrame:
+        return frame.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))  # at most MAX_LISTS rows
+
+    blocks = parts(listed, BLOCK, "blocks")
+
+    def found(asked: DataFrame, probes: int, epsilon: float) -> DataFrame:
         def probe(batches):
             for batch in batches:
                 yield batch.assign(lists=list(shared.value.lists(matrix(batch["qv"]), probes, True)))
 
         probed = asked.select(F.col("id").alias("q_id"), F.col("v").alias("qv")).mapInPandas(probe, "q_id bigint, qv array<double>, lists array<int>")
-        probed = probed.select("q_id", "qv", F.explode("lists").alias("list")).join(F.broadcast(sizes), "list")
-        probed = probed.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "q_id", "qv")
-        # blocks are dealt by a hash of the id; a list of one block has block 0 alone
-        blocked = listed.join(F.broadcast(sizes), "list").select("list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "v")
+        probed = written(probed.select("q_id", "qv", F.explode("lists").alias("list")), "probed")
+        both = blocks.join(parts(probed, ASKED, "groups"), "list")
+        # rows and queries of a list are dealt to blocks and groups by a hash of the id, and each of one meets each of the other
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        deal = lambda key, c: F.pmod(F.xxhash64(key), F.col(c)).cast("int")
+        sized = F.broadcast(both)
+        asking = probed.join(sized, "list").select("list", every("blocks").alias("block"), deal("q_id", "groups").alias("group"), "q_id", "qv")
+        giving = listed.join(sized, "list").select(F.col("list").alias("l2"), deal("id", "blocks").alias("b2"), every("groups").alias("g2"), "id", "v")
 
         def local(group: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
             if not len(group) or not len(block):
                 return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
             q_ids, ids = group["q_id"].to_numpy(), block["id"].to_numpy()
-            a, b, score = scan(shared.value, matrix(group["qv"]), q_ids, matrix(block["v"]), ids, k)
+            a, b, score = scan(shared.value, matrix(group["qv"]), q_ids, matrix(block["v"]), ids, k, epsilon)
             return pd.DataFrame({"query_id": q_ids[a], "vec_id": ids[b], "score": score})
 
-        best = probed.groupBy("list", "block").cogroup(blocked.select(F.col("list").alias("l2"), F.col("block").alias("b2"), "id", "v").groupBy("l2", "b2"))
-        best = best.applyInPandas(local, "query_id bigint, vec_id bigint, score double")
+        best = asking.groupBy("list", "block", "group").cogroup(giving.groupBy("l2", "b2", "g2")).applyInPandas(local, "query_id bigint, vec_id bigint, score double")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    probes = audited(listed, queries, index, found, k, target)
-    return found(queries, probes)
+    return found(queries, *audited(listed, queries, index, found, k, target))
 
 
-def audited(listed: DataFrame, queries: DataFrame, index: Index, found, k: int, target: float) -> int:
-    """Lists to probe: doubled until a bounded sample of queries, held against brute force, reaches the target recall."""
+def audited(listed: DataFrame, queries: DataFrame, index: Index, found, k: int, target: float) -> tuple[int, float]:
+    """Lists to probe, doubled until a bounded sample of queries, held against brute force, reaches the target recall, and
+    the strictness of the abandoning test: without bound if all lists with the test do not reach it."""
     spark = listed.sparkSession
     asked = lowest_by_hash(queries.select("id", "v"), "id", AUDIT_QUERIES)
     some = asked.collect()
     if not some:
-        return 1
+        return 1, EPSILON
     q_ids, q = np.array([r["id"] for r in some]), np.array([r["v"] for r in some])
     shared = spark.sparkContext.broadcast((q_ids, q))
 
@@ -210,14 +226,15 @@ def audited(listed: DataFrame, queries: DataFrame, index: Index, found, k: int,
     least = {r["query_id"]: (r["least"], r["n"]) for r in truth}
     sample = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in zip(q_ids, q, strict=True)], "id bigint, v array<double>")
     probes, lists = min(8, len(index.centres)), len(index.centres)
-    while probes < lists:
-        got = found(sample, probes).collect()  # at most AUDIT_QUERIES x k rows
+    while True:
+        got = found(sample, probes, EPSILON).collect()  # at most AUDIT_QUERIES x k rows
         # a result as near as the k-th true one counts, whichever of equals it is
         hits = sum(r["score"] >= least[r["query_id"]][0] - 1e-12 for r in got if r["query_id"] in least)
         if hits >= target * sum(n for _, n in least.values()):
-            return probes
-        probes *= 2
-    return lists
+            return probes, EPSILON
+        if probes == lists:
+            return lists, math.inf
+        probes = min(2 * probes, lists)
 
 
 def every(vectors: DataFrame, condition: Column, k: int = 20) -> DataFrame:

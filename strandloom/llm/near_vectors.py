@@ -13,8 +13,8 @@ link inside a component counts, without a row for it.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those without a label,
 link with nothing; vectors of other lengths link with nothing of this length; copies are links of each other; rows that
-repeat an id count once and get one result each; a null id links with nothing and is its own null component; an empty
-table gives an empty result; extra columns are not carried.
+repeat an id count once, with one of its vectors, and get one result each; a null id links with nothing, has a null
+component and is kept; an empty table gives an empty result; extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -223,13 +223,13 @@ def mark(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     good = usable(vectors.where("label IS NOT NULL"), carry=("label",))
     keyed = good.select("id", "v", "norm", F.xxhash64("label", F.size("v")).alias("g"), F.xxhash64("label", "v").alias("h1"), F.xxhash64(F.lit(5), "v", "label").alias("h2"))
     keyed = written(keyed, "vectors")
+    # rows of one id but several vectors: the id's least vector, by hash, stands for it
+    several = keyed.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("one"), F.max(F.struct("h1", "h2")).alias("other")).where("one <> other").select("id", "one")
+    keyed = keyed.join(several, "id", "left").where("one IS NULL OR (h1 = one.h1 AND h2 = one.h2)").drop("one")
     folded = keyed.groupBy("g", "h1", "h2").agg(F.min("id").alias("node"), F.count_distinct("id").alias("m"), F.min(F.struct("id", "v", "norm")).alias("x"))
     folded = written(folded.select("g", "h1", "h2", "node", "m", "x.v", "x.norm"), "folded")
-    # rows of one id but several vectors: the id's smallest node stands for it
-    place = keyed.join(folded.select("h1", "h2", "node"), ["h1", "h2"]).groupBy("id").agg(F.min("node").alias("node"))
-    place = written(place, "place")
-    nodes = folded.groupBy("node").agg(F.min(F.struct("g", "v", "norm", "m")).alias("x")).select(F.col("node").alias("id"), "x.*")
-    nodes = written(nodes, "nodes")
+    place = written(keyed.select("id", "h1", "h2").distinct().join(folded.select("h1", "h2", "node"), ["h1", "h2"]).select("id", "node"), "place")
+    nodes = folded.select(F.col("node").alias("id"), "g", "v", "norm", "m")
 
     def rounded(batches):
         for batch in batches:
@@ -253,5 +253,5 @@ def mark(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     out = every.join(result, F.col("vec_id") == F.col("r_id"), "left")
     return out.select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"),
-        (F.col("vec_id") == F.coalesce("component", "vec_id")).alias("kept"),
+        F.coalesce(F.col("vec_id") == F.coalesce("component", "vec_id"), F.lit(True)).alias("kept"),
     )

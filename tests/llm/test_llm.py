@@ -188,6 +188,40 @@ def test_near_vectors_pairs_that_no_list_holds(spark, monkeypatch):
     assert {got[i] for i in [50, *range(200, 240)]} == {(40, 50)} and got[20] == (0, 20)
 
 
+def test_near_vectors_of_repeated_ids(spark):
+    """An id with several vectors counts once, with one of them."""
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a, 1), (1, b, 1), (2, a, 1), (3, b, 1), (4, [1.0, 0.1, 0.0], 1), (5, [0.1, 1.0, 0.0], 1), (None, a, 1), (6, a, 2)]
+    got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors.mark(vectors_of(spark, rows)).collect()]
+    assert len(got) == len(rows) and got.count((None, 0, None, True)) == 1 and (6, 0, 6, True) in got and len({x for x in got if x[0] == 1}) == 1
+    links = {x[0]: x[1] for x in got}
+    assert sorted([links[2], links[3]]) == [1, 2] and links[1] == 2 and sorted([links[4], links[5]]) == [1, 2]
+
+
+def test_ann_list_that_all_queries_probe(spark, monkeypatch):
+    """One list of equal vectors, cut into blocks of rows and groups of queries; ties go to smaller ids."""
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    monkeypatch.setattr(ann, "ASKED", 3)
+    rows = [(i, [1.0, 2.0, 3.0], 1) for i in range(200)] + [(1000 + i, [1.0, 2.0, 3.0, 4.0], 1) for i in range(21)] + [(0, [1.0, 2.0, 3.0], 1)]
+    got = collections.defaultdict(list)
+    for r in ann.every(vectors_of(spark, rows), F.col("id") % 20 == 0, 20).orderBy("rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got == {q: [i for i in range(21) if i != q][:20] for q in range(0, 200, 20)} | {q: [1000 + i for i in range(21) if 1000 + i != q] for q in (1000, 1020)}
+
+
+def test_ann_scans_without_the_test_where_it_misses(spark, monkeypatch):
+    monkeypatch.setattr(ann, "EPSILON", -0.9)
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(np.random.default_rng(2).normal(size=(300, 40)))]
+    got = collections.defaultdict(set)
+    for r in ann.every(vectors_of(spark, rows), F.col("id") % 20 == 0, 5).collect():
+        got[r.query_id].add(r.vec_id)
+    x = np.array([r[1] for r in rows], np.float32).astype(float)
+    for q in range(0, 300, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert got[q] == set(np.argsort(-s)[:5].tolist())
+
+
 def test_ann_recall_and_order(spark):
     rows = cluster_rows() + [(4000, None, 1), (4020, [0.0] * 16, 1), (4040, [float("inf")] * 16, 1)]
     got = collections.defaultdict(list)
