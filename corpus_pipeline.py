@@ -32,13 +32,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays: that of the smallest id, once."""
+    """One document of each class of near duplicates stays: that of the smallest id. Of rows of one id one stays: that whose
+    text, without case and blanks, hashes least, as in the comparison."""
     gone = near_text.mark(docs).where("NOT kept").select("doc_id")
     left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     again = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     if again.isEmpty():
         return left
-    return left.join(again, "doc_id", "left_anti").select(docs.columns).union(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+    norm = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
+    first = F.struct(F.col("text").isNull(), norm == "", F.xxhash64(norm), F.xxhash64(F.lit(3), norm), F.xxhash64(F.to_json(F.struct("*"))))
+    one = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), first).alias("__row"))
+    return left.join(again, "doc_id", "left_anti").select(docs.columns).union(one.select("__row.*").select(docs.columns))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
