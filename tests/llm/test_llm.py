@@ -638,3 +638,27 @@ def test_pipeline_stages(spark, tmp_path):
     assert "joe.doe" not in kept["pii"].get(400, "") and "[EMAIL]" in kept["pii"].get(400, "[EMAIL]")
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).toPandas()
     assert packed.groupby("doc_id").length.sum().sub(packed.groupby("doc_id").doc_tokens.first()).eq(0).all()
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Each stage alone: null and empty texts, repeated ids and rows, clashing columns, and an empty table."""
+    import corpus_pipeline
+
+    rows = ODD + [(10 + i, "\n".join(prose(10 * i + j, 20) for j in range(4))) for i in range(6)] + [(30, None), (30, "  "), (31, prose(5, 30)), (31, prose(6, 30)), (31, None)]
+    spark.createDataFrame([(i, i % 2, 0) for i in range(10, 16)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    names = ("a", "b", "key", "root", "th", "pos", "h1", "hits", "score", "keys", "m", "entity", "row", "count")
+    docs = docs_of(spark, rows).select("*", *(F.lit(i).alias(n) for i, n in enumerate(names))).repartition(3)
+    ids = lambda frame: collections.Counter(r.doc_id for r in frame.collect())
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, docs, str(tmp_path)), stage(spark, docs.where("false"), str(tmp_path))
+        assert none.count() == 0 and none.columns == out.columns and set(ids(out)) <= set(ids(docs))
+        if name != "packing":
+            assert out.columns == docs.columns and out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+        if name in ("line_dedup", "pii"):
+            assert ids(out)[30] == 2 and ids(out)[31] == 3
+        if name == "near_dedup":
+            again = {(r.doc_id, r.text) for r in out.where("doc_id IN (30, 31)").collect()}
+            assert ids(out)[30] == ids(out)[31] == 1 and ids(out)[None] == ids(docs)[None]
+            assert again == {(r.doc_id, r.text) for r in stage(spark, docs.repartition(7, "n_chars"), "").where("doc_id IN (30, 31)").collect()} and (30, "  ") in again
+        if name == "packing":
+            assert set(ids(out)) == set(ids(docs))
