@@ -162,16 +162,18 @@ class Encoder:
 
     def packed(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        seen, out = self.seen, []
-        for chunk in self.chunks.findall(text):
-            known = seen.get(chunk)
-            if known is None:
-                known = self._chunk(chunk)
-                if len(chunk) <= 64:
-                    if len(seen) >= CHUNKS:
-                        seen.clear()
-                    seen[chunk] = known
-            out.append(known)
+        seen = self.seen
+        parts = self.chunks.findall(text)
+        out = list(map(seen.get, parts))
+        if None in out:
+            for i, known in enumerate(out):
+                if known is None:
+                    chunk = parts[i]
+                    out[i] = known = seen.get(chunk) or self._chunk(chunk)
+                    if len(chunk) <= 64:
+                        if len(seen) >= CHUNKS:
+                            seen.clear()
+                        seen[chunk] = known
         return b"".join(out)
 
     def encode(self, text: str) -> list[int]:

@@ -80,20 +80,21 @@ class WordTokens:
         return b"".join(out)
 
     def packed(self, text: str) -> bytes:
-        chunks, out = self.chunks, []
-        for chunk in text.translate(SPACES).split(" "):
-            known = chunks.get(chunk)
-            if known is None:
-                known = self._chunk(chunk)
-                if len(chunk) <= 64:
-                    if len(chunks) >= self.memory:
-                        chunks.clear()
-                    chunks[chunk] = known
-            out.append(known)
+        chunks = self.chunks
+        parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        out = list(map(chunks.get, parts))
+        if None in out:
+            for i, known in enumerate(out):
+                if known is None:
+                    chunk = parts[i]
+                    out[i] = known = chunks.get(chunk) or self._chunk(chunk)
+                    if len(chunk) <= 64:
+                        if len(chunks) >= self.memory:
+                            chunks.clear()
+                        chunks[chunk] = known
         return b"".join(out)
 
 
-SPACES = {ord(c): " " for c in "\t\n\r"}
 #: The letters by which byte-level BPE shows bytes: printable ones stand for themselves, the others follow from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
@@ -110,16 +111,21 @@ class Packer:
 
     def __init__(self, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS):
         self.tiers, self.step_tokens = tiers, step_tokens
-        self.waiting: list[tuple[int, int, int]] = []  # (length, number, start), the longest last
+        self.waiting: list[list[tuple[int, int, int]]] = [[] for _ in tiers]  # of each tier (length, number, start), the longest last
         self.steps = {t: 0 for t in tiers}
         self.made = 0
         self.out: list[tuple[int, int, int, int, int, int, int]] = []  # number, start, length, sequence, offset, tier, group
 
-    def tier(self, length: int) -> int:
-        return self.tiers[min(bisect_left(self.tiers, length), len(self.tiers) - 1)]
+    def route(self, length: int) -> int:
+        """The number of the shortest tier whose window holds a fragment."""
+        return min(bisect_left(self.tiers, length), len(self.tiers) - 1)
+
+    def wait(self, piece: tuple[int, int, int]) -> None:
+        insort(self.waiting[self.route(piece[0])], piece)
 
     def close(self, pieces: list[tuple[int, int, int]], tier: int) -> None:
-        offset, group = 0, self.steps[tier] * tier // self.step_tokens
+        # the steps of a tier follow each other; the tier stands above them, so no two tiers share a group
+        offset, group = 0, (self.route(tier) << 28) + self.steps[tier] * tier // self.step_tokens
         for length, number, start in pieces:
             self.out.append((number, start, length, self.made, offset, tier, group))
             offset += length
@@ -132,34 +138,40 @@ class Packer:
             self.close([(longest, number, start)], longest)
             start += longest
         if length > start:
-            insort(self.waiting, (length - start, number, start))
+            self.wait((length - start, number, start))
+
+    def best_fit(self, gap: int) -> tuple[int, int, int] | None:
+        """The longest fragment that fits a gap, of its tier or of the next shorter one that has any."""
+        for rows in reversed(self.waiting[: self.route(gap) + 1]):
+            if i := bisect_left(rows, (gap + 1,)):
+                return rows.pop(i - 1)
+        return None
+
+    def cut(self, gap: int) -> tuple[int, int, int]:
+        """As much as fits of the shortest fragment; the rest waits on."""
+        length, number, start = next(rows for rows in self.waiting if rows).pop(0)
+        self.wait((length - gap, number, start + gap))
+        return gap, number, start
 
     def fill(self, window: int) -> None:
         """One full window: its longest fragments first, then the best fits from this and the shorter tiers, the last cut."""
-        waiting, gap, pieces = self.waiting, window, []
+        gap, pieces = window, []
         while gap:
-            i = bisect_left(waiting, (gap + 1,)) - 1  # the longest that fits
-            if i >= 0:
-                piece = waiting.pop(i)
-            else:
-                length, number, start = waiting.pop(0)
-                piece = (gap, number, start)
-                insort(waiting, (length - gap, number, start + gap))
-            pieces.append(piece)
-            gap -= piece[0]
+            pieces.append(self.best_fit(gap) or self.cut(gap))
+            gap -= pieces[-1][0]
         self.close(pieces, window)
 
     def pack(self, last: bool) -> None:
         """Close full windows, tier by tier from the longest, while enough waits; ``last``: leave nothing waiting."""
-        total = sum(x[0] for x in self.waiting)
-        for low, window in reversed(list(zip((0, *self.tiers), self.tiers, strict=False))):
+        total = sum(x[0] for rows in self.waiting for x in rows)
+        for k in reversed(range(len(self.tiers))):
             # a tier's windows open with its own fragments; shorter ones fill the gaps
-            while total >= window and self.waiting and (last or self.waiting[-1][0] > low):
-                self.fill(window)
-                total -= window
-        if last and self.waiting:
-            self.close(self.waiting[::-1], self.tiers[-1])
-            self.waiting = []
+            while total >= self.tiers[k] and (last or any(self.waiting[k:])):
+                self.fill(self.tiers[k])
+                total -= self.tiers[k]
+        if last and total:
+            self.close([x for rows in reversed(self.waiting) for x in reversed(rows)], self.tiers[-1])
+            self.waiting = [[] for _ in self.tiers]
 
 
 def tokenize_and_pack(docs: DataFrame, vocabulary: str, end_id: int = 2, tiers: tuple[int, ...] = TIERS, text: str = "text") -> DataFrame:
@@ -182,9 +194,9 @@ def tokenize_and_pack(docs: DataFrame, vocabulary: str, end_id: int = 2, tiers:
             for n, start, length, sequence, offset, tier, group in packer.out:
                 doc, ids = held[n]
                 crc = zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)])
-                rows.append((doc, start, length, crc, len(ids) // 4, base + sequence, offset, tier, (base >> 34) * 10**9 + group))
+                rows.append((doc, start, length, crc, len(ids) // 4, base + sequence, offset, tier, base + group))
             packer.out.clear()
-            alive = {x[1] for x in packer.waiting}
+            alive = {x[1] for rows in packer.waiting for x in rows}
             for n in held.keys() - alive:
                 del held[n]
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECE.split(", ")])

@@ -514,6 +514,8 @@ def test_packing_covers_every_id_once(spark):
     rows = [(i, prose(i, n)) for i, n in enumerate([0, 1, 5, 50, 300, 2000, 9000, 40, 41, 42] * 3)] + ODD[:2] + [(77, "İSTANBUL Σς <|endoftext|> \u0085 K 1²"), (78, "a" * 20_000)]
     docs = docs_of(spark, rows).withColumn("start", F.lit(1))
     path = public.path("word_bpe_49k.json")
+    again = packing.tokenize_and_pack(docs.where("doc_id = 4"), path).toPandas()
+    assert again.length.sum() == 2 * again.doc_tokens.iloc[0] * docs.where("doc_id = 4").count() / 2  # rows that repeat are packed each
     pieces = packing.tokenize_and_pack(docs.dropDuplicates(["doc_id"]), path).toPandas()
     from tokenizers import Tokenizer
 
@@ -549,7 +551,10 @@ def test_packer_leaves_nothing(sizes):
     total = collections.Counter()
     for number, _, length, *_ in packer.out:
         total[number] += length
-    assert total == {i: n for i, n in enumerate(sizes)} and not packer.waiting
+    assert total == {i: n for i, n in enumerate(sizes)} and not any(packer.waiting)
+    tier_of = {}
+    for *_, tier, group in packer.out:
+        assert tier_of.setdefault(group, tier) == tier
 
 
 # -- 9 -----------------------------------------------------------------------------------------------------------------
