@@ -175,7 +175,9 @@ def cuts(reads: DataFrame, types: tuple[str, ...] = ("valid",), mtypes: tuple[st
     """
     rows = reads.where(F.col("type").isin(*types) & (F.col("mapped_id") != "BACKBONE") & F.col("cut_loc").rlike(r"^[LR]:-?\d+$"))
     rows = rows.select(F.col("mapped_id").alias("id"), F.split("cut_loc", ":")[0].alias("side"), F.split("cut_loc", ":")[1].cast("int").alias("cut"))
-    rows = rows.withColumn("v", F.when(F.col("id").rlike(r"^\d+-[MID]-[^-]*$"), variant(F.col("id"))))
+    # exploded as an array of one, so that the optimiser doesn't write the parsing out wherever a part of it is used
+    parsed = F.when(F.col("id").rlike(r"^\d+-[MID]-[^-]*$"), variant(F.col("id")))
+    rows = rows.select("*", F.explode(F.array(parsed)).alias("v"))
     if mtypes is not None:
         rows = rows.where(F.col("v").isNull() | F.col("v.mtype").isin(*mtypes))
     n, loc, kind = F.length("v.nts"), F.col("v.loc"), F.col("v.mtype")

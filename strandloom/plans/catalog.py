@@ -19,6 +19,8 @@ from ..operators import joins as J
 from ..operators import reads as R
 from ..operators import sampling as P
 from ..operators import signal as G
+from ..sources import text as T
+from ..sources.memo import passing_folder
 from ..sources.partitions import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -221,6 +223,72 @@ def bending_energy(spark, sf):
     return names.select("p_name", r6(S.least_bending_energy(F.col("p_name"), tables.STIFFNESS)).alias("energy"))
 
 
+# -- sources -----------------------------------------------------------------------------------------------------------
+
+def event_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """Classified reads: an event is a read whose id says what its reference's variant is."""
+    e = F.col("event_id")
+    kind = F.when(e % 3 == 0, "M").when(e % 3 == 1, "I").otherwise("D")
+    name = F.concat_ws("-", (F.col("user_id") % 225).cast("string"), kind, F.repeat(F.lit("A"), (e % 5 + 1).cast("int")))
+    type_ = F.when(F.col("event_type") == "error", "mutant").when(F.col("event_type").isin("view", "click"), "valid").otherwise("unIden")
+    cut = F.concat(F.when(e % 2 == 0, "L:").otherwise("R:"), ((e * 7) % 225).cast("string"))
+    rows = read(spark, sf, "events").select(e.cast("string").alias("read_id"), type_.alias("type"), F.when(e % 11 == 0, "BACKBONE").otherwise(name).alias("mapped_id"), cut.alias("cut_loc"))
+    return rows.withColumn("read_seq", F.lit("N"))
+
+
+READS = """er AS (SELECT event_id AS e, user_id % 225 AS loc, CASE event_id % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'I' ELSE 'D' END AS k, CAST(event_id % 5 + 1 AS INT) AS n,
+CASE WHEN event_type = 'error' THEN 'mutant' WHEN event_type IN ('view', 'click') THEN 'valid' ELSE 'unIden' END AS type, CASE WHEN event_id % 2 = 0 THEN 'L' ELSE 'R' END AS side, (event_id * 7) % 225 AS cut FROM events WHERE event_id % 11 <> 0)"""
+
+
+@query(f"WITH {READS} SELECT CAST(e AS VARCHAR) AS read_id, type, loc || '-' || k || '-' || repeat('A', n) AS mapped_id, side || ':' || cut AS cut_loc FROM er WHERE type <> 'unIden'")
+def sorted_scan(spark, sf):
+    path = passing_folder(spark, "sorted")
+    T.write_sorted(event_reads(spark, sf), path)
+    return T.sorted_reads(spark, path, ("valid", "mutant")).select("read_id", "type", "mapped_id", "cut_loc")
+
+
+@query(f"""WITH {READS}, w AS (SELECT *, loc - CASE WHEN k = 'I' THEN 0 ELSE 1 END AS st, loc + CASE k WHEN 'M' THEN n WHEN 'I' THEN n + 1 ELSE 0 END AS ed FROM er WHERE type = 'valid'),
+c AS (SELECT loc, k, n, side, cut - CASE WHEN side = 'L' AND k = 'I' THEN n ELSE 0 END AS cut, 225 - CASE WHEN k = 'D' THEN n ELSE 0 END AS tlen FROM w WHERE (side = 'R' AND cut < st) OR (side = 'L' AND cut > ed)),
+d AS (SELECT *, cut + CASE WHEN side = 'R' THEN {OFFSET} ELSE -{OFFSET} END AS pos FROM c)
+SELECT loc || '-' || k || '-' || repeat('A', n) AS id, CAST(pos AS INT) AS pos, CAST(count(*) AS DOUBLE) AS value FROM d WHERE pos >= 0 AND pos < tlen GROUP BY ALL""")
+def variant_dyads(spark, sf):
+    return R.dyad_histogram(R.cuts(event_reads(spark, sf)))
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS read_id, CAST(CASE WHEN event_type = 'error' THEN 4 ELSE 0 END AS INT) AS flag, CAST(event_id % 97 AS INT) AS pos, CAST(event_id % 6 AS INT) AS nm, event_type || ' of user' AS note,
+CAST(event_id % 97 + 10 + event_id % 20 + 5 + 1 + event_id % 4 + 7 + event_id % 11 AS INT) AS aligned_end, CAST(event_id % 97 + 10 + event_id % 20 + 5 AS INT) AS gap FROM events""")
+def sam_scan(spark, sf):
+    e = F.col("event_id")
+    cigar = F.concat((e % 20 + 10).cast("string"), F.lit("M"), (e % 3 + 1).cast("string"), F.lit("I5M"), (e % 4 + 1).cast("string"), F.lit("D"), (e % 11 + 7).cast("string"), F.lit("M"))
+    size = (e % 20 + 10 + e % 3 + 1 + 5 + e % 11 + 7).cast("int")
+    line = F.concat_ws("\t", e.cast("string"), F.when(F.col("event_type") == "error", "4").otherwise("0"), F.lit("ref"), (e % 97 + 1).cast("string"), F.lit("60"), cigar, F.lit("*"), F.lit("0"), F.lit("0"), F.repeat(F.lit("A"), size), F.repeat(F.lit("G"), size),
+                       F.concat(F.lit("NM:i:"), (e % 6).cast("string")), F.concat(F.lit("XS:Z:"), "event_type", F.lit(" of user")))
+    path = passing_folder(spark, "sam")
+    read(spark, sf, "events").select(line.alias("value")).write.text(path)
+    rows = T.sam(spark, path).withColumn("ops", R.cigar_ops(F.col("cigar"), F.col("pos")))
+    gap = F.element_at(F.filter("ops", lambda x: x["op"] == "D"), 1)["ref"]
+    return rows.select("read_id", "flag", "pos", "nm", F.col("tags")["XS"].alias("note"), R.aligned_end(F.col("ops"), F.col("pos")).alias("aligned_end"), gap.alias("gap"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS ref_id, upper(replace(p_name, ' ', '')) AS seq FROM part")
+def fasta_scan(spark, sf):
+    path = passing_folder(spark, "fasta")
+    T.write_fasta(read(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("ref_id"), F.col("p_name").alias("seq")), path)
+    return T.fasta(spark, path, upper=True)
+
+
+@query(f"WITH {BRANDS} SELECT id, pos, value, CAST(50 AS INT) AS ref_length, CAST(3 AS INT) AS wst, CAST(9 AS INT) AS wed FROM bs")
+def signal_file_scan(spark, sf):
+    none, numbers = F.lit(None).cast("string"), F.lit(None).cast("array<double>")
+    rows = G.to_arrays(brand_signal(spark, sf), ["id"]).select(
+        "id", F.lit(50).alias("ref_length"), F.lit(53).alias("left_offset"), F.lit(53).alias("right_offset"), none.alias("seq"), *(numbers.alias(c) for c in ("mgw", "helt", "prot", "roll", "top", "bottom")),
+        F.col("values").alias("dyad"), F.lit(3).alias("wst"), F.lit(9).alias("wed"), F.lit("linear").alias("method"),
+    )
+    path = passing_folder(spark, "signal")
+    T.write_signal_file(rows, path)
+    return T.signal_file(spark, path).select("id", "ref_length", "wst", "wed", F.posexplode("dyad").alias("pos", "value"))
+
+
 # -- reads to signals --------------------------------------------------------------------------------------------------
 
 @query("SELECT event_type, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percent FROM events GROUP BY event_type")
@@ -768,7 +836,9 @@ def classify_simulated(spark, sf):
     return R.crosstalk(R.classify_direct(sam, library, template))
 
 
-@query()
+@query("""WITH b AS (SELECT repeat('ACGTTGCAACGGTTAACC', 3) AS s), w AS (SELECT s, z.size, unnest(range(0, length(s) - z.size + 1)) AS loc FROM b, (SELECT unnest([1, 2, 3]) AS size) z),
+m AS (SELECT loc, translate(substr(s, loc + 1, size), 'ACGT', 'TGCA') AS nts, substr(s, 1, loc) || translate(substr(s, loc + 1, size), 'ACGT', 'TGCA') || substr(s, loc + size + 1) AS seq FROM w)
+SELECT loc || '-M-' || nts AS ref_id, seq FROM m QUALIFY row_number() OVER (PARTITION BY seq ORDER BY loc, loc || '-M-' || nts) = 1""")
 def scanning_library(spark, sf):
     from ..models import simulate
 

@@ -58,7 +58,8 @@ def merge_pairs(pairs: DataFrame, seq1: str, seq2: str, least: int = 10, mismatc
 
 def sam(spark: SparkSession, path: str) -> DataFrame:
     """(read_id, flag, rname, pos 0-based, mapq, cigar, seq, qual, tags, nm) of alignment rows; header lines are left out."""
-    f = _lines(spark, path).where(~F.col("value").startswith("@")).select(_fields(F.col("value")).alias("f")).where("size(f) >= 11")
+    # fields are parted by tabs alone: the value of a tag may hold blanks
+    f = _lines(spark, path).where(~F.col("value").startswith("@")).select(F.split(F.regexp_replace("value", r"\r$", ""), "\t").alias("f")).where("size(f) >= 11")
     tags = F.map_from_entries(F.transform(F.filter(F.slice("f", F.lit(12), F.greatest(F.size("f") - 11, F.lit(0))), lambda t: t.rlike("^..:.:")), lambda t: F.struct(F.substring(t, 1, 2), F.substring(t, F.lit(6), F.length(t)))))
     rows = f.select(F.col("f")[0].alias("read_id"), F.col("f")[1].cast("int").alias("flag"), F.col("f")[2].alias("rname"), (F.col("f")[3].cast("int") - 1).alias("pos"), F.col("f")[4].cast("int").alias("mapq"), F.col("f")[5].alias("cigar"), F.col("f")[9].alias("seq"), F.col("f")[10].alias("qual"), tags.alias("tags"))
     return rows.withColumn("nm", F.try_element_at("tags", F.lit("NM")).cast("int"))
@@ -78,7 +79,7 @@ def signal_file(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.text(path, wholetext=True)
     head = lambda name: F.regexp_extract(F.split("value", r"\n>")[0], rf"@{name}\s+(\d+)", 1).try_cast("int")
     records = whole.select(head("ref_length").alias("ref_length"), head("left_offset").alias("left_offset"), head("right_offset").alias("right_offset"), F.explode(F.slice(F.split("value", r"(?:^|\n)>"), F.lit(2), F.lit(1 << 30))).alias("r"))
-    lines = F.transform(F.split("r", r"\r?\n"), F.trim)
+    lines = F.transform(F.split("r", r"\r?\n"), lambda x: F.trim(x))  # trim itself would take the index as the letters to trim
     rows = records.withColumn("lines", lines)
     section = lambda name: F.get("lines", F.array_position("lines", f"@{name}").cast("int"))
     numbers = lambda name: F.when(F.array_contains("lines", f"@{name}"), F.transform(F.split(section(name), ","), lambda x: F.trim(x).try_cast("double")))

@@ -159,3 +159,10 @@ def test_containment_places(spark):
     got = sorted(tuple(r) for r in J.containment(asked, texts.dropDuplicates(), "qid", "q", "tid", "t", 4, unique=False).collect())
     assert got == [(7, 1, 0), (7, 1, 1), (7, 1, 7), (7, 1, 8), (8, 1, 4)]
     assert [r.qid for r in J.containment(asked, texts.dropDuplicates(), "qid", "q", "tid", "t", 4).collect()] == [8]
+
+
+def test_sample_of_each_cluster(spark):
+    frame = spark.createDataFrame([(str(i), i % 3) for i in range(30)] + [("x", 9)], "id string, c int")
+    got = P.sample(frame, "id", "cluster:c/4", {"c": "c"}, seed=1)
+    assert {r.cluster: r["count"] for r in got.groupBy("cluster").count().collect()} == {0: 4, 1: 4, 2: 4, 9: 1}
+    assert sorted(got.collect()) == sorted(P.sample(frame.repartition(5), "id", "cluster:c/4", {"c": "c"}, seed=1).collect())

@@ -76,3 +76,25 @@ def test_signal_file_to_peaks(spark, tmp_path):
     assert [(p.pos, p.value) for p in G.peaks(signal, ["id"], 2).orderBy("rank").collect()] == [(8, 9.0), (11, 2.0)]
     assert abs(G.location(signal, ["id"]).first().mean_pos - (8 * 9 + 11 * 2) / 11) < 1e-9
     assert rows.select(S.gc_percent(rows.seq)).first()[0] == 60.0
+
+
+def test_sam_tag_values_hold_blanks(spark, tmp_path):
+    row = text.sam(spark, put(tmp_path, "b.sam", "r1\t0\tref\t5\t42\t4M\t*\t0\t0\tACGT\tGGGG\tCO:Z:two  words\tNM:i:1\n")).first()
+    assert (row.tags["CO"], row.nm) == ("two  words", 1)
+
+
+def test_memo_computes_once(spark, tmp_path):
+    from strandloom.sources import memo
+
+    calls = []
+
+    def compute():
+        calls.append(1)
+        return spark.range(len(calls))
+
+    path = str(tmp_path / "kept")
+    assert [memo.load_or_compute(spark, path, compute).count() for _ in range(2)] == [1, 1]
+    assert memo.load_or_compute(spark, path, compute, again=True).count() == 2 and len(calls) == 2
+    (tmp_path / "kept" / "_SUCCESS").unlink()
+    assert memo.load_or_compute(spark, path, compute).count() == 3
+    assert memo.common_stem(["a/lib_rep1.sort", "a/lib_rep2.sort"]) == "a/lib_rep" and memo.common_stem(["x.a", "y.a"]) is None
