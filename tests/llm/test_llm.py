@@ -188,6 +188,40 @@ def test_near_vectors_pairs_that_no_list_holds(spark, monkeypatch):
     assert {got[i] for i in [50, *range(200, 240)]} == {(40, 50)} and got[20] == (0, 20)
 
 
+def test_near_vectors_counts_of_large_components(spark, monkeypatch):
+    """Components of many blocks, with members inside and outside half the threshold's angle of their mean, and copies."""
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(2, 16))
+    rows = [(i, (base[i % 2] + rng.normal(size=16) * (0.1 if i < 90 else 0.26)).tolist(), 1) for i in range(160)]
+    rows += [(500 + i, rows[i][1], 1) for i in range(0, 160, 3)]
+    monkeypatch.setattr(near_vectors, "BLOCK", 9)
+    monkeypatch.setattr(near_vectors, "GROUP", 20)
+    x = np.array([r[1] for r in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.93).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in near_vectors.mark(vectors_of(spark, rows)).collect()}
+    assert {r[0]: int(n) for r, n in zip(rows, want)} == got
+
+
+def test_near_vectors_audit(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(400, 24))
+    x[200:] = x[:200] + np.random.default_rng(4).normal(size=(200, 24)) * 0.05
+    nodes = spark.createDataFrame([(i, 1, v.tolist(), float(np.linalg.norm(v))) for i, v in enumerate(x)], "id long, g long, v array<double>, norm double")
+
+    def roots(n):
+        return spark.createDataFrame([(i + side, i) for i in range(n) for side in (0, 200)], "node long, root long")
+
+    assert near_vectors.audit(nodes, roots(200), 0.93) == 1.0
+    # one pair of 200 that no component holds is met, as all vectors are in the sample
+    assert near_vectors.audit(nodes, roots(199), 0.93) == 0.0
+    # without a link there is nothing to show unless all vectors were seen; few vectors show little
+    alone = nodes.where("id < 200")
+    assert near_vectors.audit(alone, roots(0), 0.93) == 1.0
+    monkeypatch.setattr(near_vectors, "AUDIT", 5)
+    assert near_vectors.audit(alone, roots(0), 0.93) == 0.0
+    assert near_vectors.audit(nodes, roots(200), 0.93) < 0.5
+
+
 def test_near_vectors_of_repeated_ids(spark):
     """An id with several vectors counts once, with one of them."""
     a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
