@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sequence import pieces, reverse_complement, words
 
 def deconvolve(rows: DataFrame, key: str, kernel: dict[str, dict[int, float]], ratio: float = 1.0, noise: float = 1e-6, rounds: int = 200, tolerance: float = 1e-3) -> DataFrame:
     """(key, dyad): centres under Poisson cuts, by the multiplicative expectation-maximisation update.
@@ -63,6 +64,15 @@ def equilibrium_path(p: np.ndarray, edges: np.ndarray, cost: np.ndarray, gamma:
     return steady_path(p, (edges + edges.T) / 2, (cost + cost.T) / 2, gamma)
 
 
+def driven_path(p: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """The transition matrix nearest in path entropy to ``transitions`` with the stationary distribution ``p``.
+
+    Carries an equilibrium walk to a steady state of another distribution, in or out of equilibrium.
+    """
+    joint, _ = steady_path(p, transitions, np.zeros_like(transitions), 0.0, 1e-12)
+    return joint / p[:, None]
+
+
 def maximum_caliber(rows: DataFrame, key: str, values: str, target: float | None = None, reach: int = 1, equilibrium: bool = True, gammas: np.ndarray | None = None) -> DataFrame:
     """(key, gamma, mean_cost, transitions): each id's signal as the stationary distribution of a walk of steps up to ``reach``.
 
@@ -202,8 +212,8 @@ def simulated_counts(spark: SparkSession, ids: int, length: int = 225, offset: i
     return spark.range(ids).mapInPandas(run, "id bigint, top array<double>, bottom array<double>, dyad array<double>")
 
 
-def simulated_reads(refs: DataFrame, per_ref: int, offset: int = 53, left: float = 0.8, right: float = 0.8, mismatch: float = 0.0, seed: int = 0) -> DataFrame:
-    """(read_id, seq, qual) of cut templates; the name ends in /<ref_id>/<cut>, the truth. Seeded by id and number."""
+def simulated_reads(refs: DataFrame, per_ref: int, offset: int = 53, left: float = 0.8, right: float = 0.8, mismatch: float = 0.0, indel: float = 0.0, seed: int = 0) -> DataFrame:
+    """(read_id, seq, qual) of cut templates, with letters changed, and dropped or doubled, at two rates; the name ends in /<ref_id>/<cut>, the truth. Seeded by id and number."""
     def run(batches):
         for batch in batches:
             rows = []
@@ -221,7 +231,10 @@ def simulated_reads(refs: DataFrame, per_ref: int, offset: int = 53, left: float
                     letters = list(piece)
                     for i in np.flatnonzero(rng.random(len(letters)) < mismatch):
                         letters[i] = rng.choice([c for c in "ACGT" if c != letters[i]])
-                    rows.append((f"sim:{k}/{ref}/{cut}", "".join(letters), "G" * len(letters)))
+                    for i in np.flatnonzero(rng.random(len(letters)) < indel) if indel else ():
+                        letters[i] = "" if rng.random() < 0.5 else letters[i] + rng.choice(list("ACGT"))
+                    made = "".join(letters)
+                    rows.append((f"sim:{k}/{ref}/{cut}", made, "G" * len(made)))
             yield pd.DataFrame(rows, columns=["read_id", "seq", "qual"])
 
     return refs.select("ref_id", "seq").mapInPandas(run, "read_id string, seq string, qual string")
@@ -240,6 +253,22 @@ def scanning_library(refs: DataFrame, sizes: list[int], kind: str = "M", letter:
     return made.groupBy("seq").agg(F.min_by("ref_id", F.struct("loc", "ref_id")).alias("ref_id")).select("ref_id", "seq")
 
 
+def insert_words(spark: SparkSession, k: int, letters: str = "ATCG") -> DataFrame:
+    """(word) the first word, in the order of ``letters``, of each class of words with the same steps on either strand."""
+    every = words(spark, k, letters).withColumn("__o", F.translate("kmer", letters, "0123456789"[: len(letters)]))
+    kind = F.array_join(F.transform(pieces(F.col("kmer"), 2), lambda x: F.least(x, reverse_complement(x))), " ")
+    return every.groupBy(kind.alias("__k")).agg(F.min_by("kmer", "__o").alias("word"), F.min("__o").alias("__o")).select("word", "__o")
+
+
+def kmer_library(refs: DataFrame, k: int, step: int = 5, left: str = "", right: str = "") -> DataFrame:
+    """(ref_id, seq): each insert word of length k in place of the reference's letters at every ``step``-th place, no doubles."""
+    spots = refs.where(F.length("seq") >= k).select("seq", F.explode(F.sequence(F.lit(0), F.length("seq") - k, F.lit(step))).alias("loc"))
+    made = spots.crossJoin(F.broadcast(insert_words(refs.sparkSession, k)))  # 4^k words at most
+    seq = F.concat(F.lit(left), F.substring("seq", F.lit(1), F.col("loc")), "word", F.substring("seq", F.col("loc") + k + 1, F.length("seq")), F.lit(right))
+    rows = made.select(F.concat_ws("-", "word", (F.col("loc") + len(left)).cast("string")).alias("ref_id"), seq.alias("seq"), "__o", "loc")
+    return rows.groupBy("seq").agg(F.min_by("ref_id", F.struct("__o", "loc")).alias("ref_id")).select("ref_id", "seq")
+
+
 def reduced_library(library: DataFrame) -> DataFrame:
     """One of each pair of reverse complements, the smaller sequence."""
     back = F.reverse(F.translate("seq", "ACGT", "TGCA"))

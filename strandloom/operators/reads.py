@@ -227,8 +227,18 @@ def crosstalk(reads: DataFrame) -> DataFrame:
 def library_report(reads: DataFrame, seq: str = "read_seq") -> DataFrame:
     """(measure, item, n): types, read lengths, GC percents and coverage of ids, in one pass over an expanded row."""
     gc = F.floor((F.length(seq) - F.length(F.regexp_replace(seq, "[GCgc]", ""))) * 100.0 / F.length(seq)).cast("string")
-    items = F.array(
-        F.struct(F.lit("type").alias("measure"), F.col("type").alias("item")), F.struct(F.lit("length"), F.length(seq).cast("string")),
-        F.struct(F.lit("gc"), gc), F.struct(F.lit("coverage"), F.when(F.col("type") == "valid", F.col("mapped_id"))),
-    )
+    named = lambda measure, item: F.struct(F.lit(measure).alias("measure"), item.alias("item"))
+    items = F.array(named("type", F.col("type")), named("length", F.length(seq).cast("string")), named("gc", gc), named("coverage", F.when(F.col("type") == "valid", F.col("mapped_id"))))
     return reads.select(F.explode(items).alias("x")).select("x.*").where("item IS NOT NULL").groupBy("measure", "item").agg(F.count(F.lit(1)).alias("n"))
+
+
+def library_coverage(reads: DataFrame, best: int = 10) -> DataFrame:
+    """(measure, item, n, mean, sd): valid reads an id, by kind and by size of its variant, and the ``best`` ids' own."""
+    counts = reads.where((F.col("type") == "valid") & F.col("mapped_id").isNotNull()).groupBy("mapped_id").agg(F.count(F.lit(1)).alias("c"))
+    # exploded as an array of one, so that the parsing is done once a row
+    v = counts.select("mapped_id", "c", F.explode(F.array(variant(F.col("mapped_id")))).alias("v"))
+    items = F.array(F.struct(F.lit("kind").alias("measure"), F.col("v.mtype").alias("item")), F.struct(F.lit("size").alias("measure"), F.col("v.size").cast("string").alias("item")))
+    told = v.select("c", F.explode(items).alias("x")).select("c", "x.*").where("item IS NOT NULL")
+    told = told.groupBy("measure", "item").agg(F.count(F.lit(1)).alias("n"), F.avg("c").alias("mean"), F.stddev_pop("c").alias("sd"))
+    first = counts.orderBy(F.desc("c"), "mapped_id").limit(best)
+    return told.union(first.select(F.lit("top"), "mapped_id", F.lit(1).cast("bigint"), F.col("c").cast("double"), F.lit(0.0)))

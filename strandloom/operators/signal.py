@@ -131,6 +131,20 @@ def share_of_bin(signal: DataFrame, key: list[str], low: int, high: int) -> Data
     return signal.groupBy(*key).agg(F.when(F.sum("value") > 0, inside / F.sum("value")).alias("share"))
 
 
+def depletion(signal: DataFrame, windows: DataFrame, key: str, control: str) -> DataFrame:
+    """(key, size, depletion): 1 minus an id's mass in its window (key, loc, size) over the control's there; null without any."""
+    mass = normalise(signal, [key])
+    reference = mass.where(F.col(key) == control).select("pos", F.col("value").alias("__c"))  # one id's positions
+    cells = windows.select(key, "size", F.explode(F.sequence(F.col("loc"), F.col("loc") + F.col("size") - 1)).alias("pos"))
+    sums = cells.join(mass, [key, "pos"]).join(F.broadcast(reference), "pos").groupBy(key, "size").agg(F.sum("value").alias("__v"), F.sum("__c").alias("__c"))
+    return sums.select(key, "size", F.when(F.col("__c") > 0, 1 - F.col("__v") / F.col("__c")).alias("depletion"))
+
+
+def spread_by(frame: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n, mean, sd) of the values that there are; the population's deviation."""
+    return frame.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
+
+
 def occupancy(signal: DataFrame, key: list[str], length: int = 147) -> DataFrame:
     """Sum of the values of the last ``length`` positions up to each one."""
     return signal.withColumn("value", F.sum("value").over(_by(key).orderBy("pos").rowsBetween(1 - length, 0)))

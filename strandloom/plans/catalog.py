@@ -6,6 +6,7 @@ a brand's signal is its parts' sizes; a customer's signal is its orders by month
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -682,11 +683,26 @@ def multi_key_order(spark, sf):
     return read(spark, sf, "part").select("p_brand", "p_partkey", F.row_number().over(w).alias("place"))
 
 
-@query()
+@query("SELECT c_custkey FROM customer ORDER BY md5('7:' || c_custkey), c_custkey LIMIT 100")
 def seeded_sample(spark, sf):
     return P.sample(read(spark, sf, "customer"), "c_custkey", "r:100", seed=7).select("c_custkey")
 
 
+@query("SELECT p_brand AS cluster, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY md5('3:' || p_partkey), p_partkey) <= 5")
+def cluster_sample(spark, sf):
+    return P.sample(read(spark, sf, "part"), "p_partkey", "cluster:brand/5", {"brand": "p_brand"}, 3).select("cluster", "p_partkey")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_name IN ('NATION_3', 'NATION_17')")
+def picked_ids(spark, sf):
+    return P.sample(read(spark, sf, "nation"), "n_name", "k:nation_3, Nation_17, nowhere").select("n_nationkey", "n_name")
+
+
+@query("SELECT c_custkey, CAST((row_number() OVER (ORDER BY substr(md5('1:' || c_custkey), 1, 13), c_custkey) - 1) % 10 AS INT) AS fold FROM customer")
+def even_folds(spark, sf):
+    return P.folds(read(spark, sf, "customer").select("c_custkey"), "c_custkey", 10, 1)
+
+
 # -- models ------------------------------------------------------------------------------------------------------------
 
 @query("""WITH l AS (SELECT p_name, unnest(range(1, length(p_name) + 1)) AS i FROM part), c AS (SELECT 1 AS ord, CAST(i - 1 AS INT) AS pos, substr(p_name, i - 1, 1) AS prev, substr(p_name, i, 1) AS cur FROM l WHERE i > 1
@@ -843,3 +859,252 @@ def scanning_library(spark, sf):
     from ..models import simulate
 
     return simulate.scanning_library(spark.createDataFrame([("ACGTTGCAACGGTTAACC" * 3,)], "seq string"), [1, 2, 3])
+
+
+# -- sequences under weights -------------------------------------------------------------------------------------------
+
+TEMPLATE = "".join("ACGT"[(i * i + 3 * i + i // 7) % 4] for i in range(LENGTH))
+
+
+def brand_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, n, seq): 50 letters of the template for each brand, from the place of its number."""
+    number = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
+    rows = read(spark, sf, "part").select(F.col("p_brand").alias("id"), number.alias("n")).distinct()
+    return rows.withColumn("seq", F.substring(F.lit(TEMPLATE), F.col("n") + 1, F.lit(50)))
+
+
+NUMBERED = f"""bq AS (SELECT id, n, substr('{TEMPLATE}', n + 1, 50) AS seq FROM (SELECT DISTINCT p_brand AS id, CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INT) AS n FROM part))"""
+
+
+@query("""WITH b AS (SELECT upper(p_name) AS s, p_size AS w FROM part UNION ALL SELECT reverse(translate(upper(p_name), 'ACGT', 'TGCA')), p_size FROM part), p AS (SELECT s, w, unnest(range(1, length(s))) AS i FROM b),
+c AS (SELECT i - 1 AS pos, substr(s, i, 2) AS kmer, sum(w) AS b, count(*) AS e FROM p GROUP BY ALL), f AS (SELECT pos, kmer, b / sum(b) OVER (PARTITION BY pos) AS b, e / sum(e) OVER (PARTITION BY pos) AS e FROM c)
+SELECT CAST(pos AS INT) AS pos, kmer, round(b, 6) AS weighted, round(e, 6) AS even, round(b / e, 6) AS fold FROM f""")
+def bias_report(spark, sf):
+    from ..models import frequencies
+
+    found = frequencies.bias_report(read(spark, sf, "part"), "p_name", "p_size", 2)
+    return found.select("pos", "kmer", *(r6(c).alias(c) for c in ("weighted", "even", "fold")))
+
+
+@query("""WITH g AS (SELECT p_name, CAST(ntile(4) OVER (ORDER BY p_retailprice, p_partkey) AS INT) AS grp FROM part), b AS (SELECT upper(p_name) AS s, grp FROM g UNION ALL SELECT reverse(translate(upper(p_name), 'ACGT', 'TGCA')), grp FROM g),
+p AS (SELECT s, grp, unnest(range(1, length(s) - 1)) AS i FROM b), c AS (SELECT grp, substr(s, i, 3) AS kmer, count(*) AS n FROM p GROUP BY ALL), a AS (SELECT kmer, sum(n) / (SELECT sum(n) FROM c) AS f FROM c GROUP BY kmer),
+o AS (SELECT grp, kmer, n / sum(n) OVER (PARTITION BY grp) AS f FROM c) SELECT grp, kmer, round(o.f / a.f, 6) AS fold FROM o JOIN a USING (kmer)""")
+def quantile_spectrum(spark, sf):
+    from ..models import frequencies
+
+    return frequencies.spectrum(read(spark, sf, "part"), "p_partkey", "p_name", "p_retailprice", 4, 3).withColumn("fold", r6("fold"))
+
+
+def shifted_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, seq): the template for each id that is cut, begun at the place of its id."""
+    ids = event_cuts(spark, sf).select("id").distinct()
+    at = F.pmod("id", F.lit(LENGTH)).cast("int")
+    return ids.withColumn("seq", F.concat(F.substring(F.lit(TEMPLATE), at + 1, F.lit(LENGTH)), F.substring(F.lit(TEMPLATE), F.lit(1), at)))
+
+
+FOLDS = f"""{CUTS}, sq AS (SELECT id, substr('{TEMPLATE}', CAST(id % {LENGTH} AS INT) + 1, {LENGTH}) || substr('{TEMPLATE}', 1, CAST(id % {LENGTH} AS INT)) AS seq FROM (SELECT DISTINCT id FROM cuts)),
+pc AS (SELECT CASE WHEN side = 'R' THEN substr(seq, cut, 3) ELSE reverse(translate(substr(seq, cut, 3), 'ACGT', 'TGCA')) END AS kmer FROM cuts JOIN sq USING (id) WHERE cut BETWEEN 1 AND {LENGTH - 2}),
+bg AS (SELECT substr(s, i, 3) AS kmer FROM (SELECT s, unnest(range(1, {LENGTH - 1})) AS i FROM (SELECT seq AS s FROM sq UNION ALL SELECT reverse(translate(seq, 'ACGT', 'TGCA')) FROM sq))),
+fo AS (SELECT kmer, a.n / b.n AS fold FROM (SELECT kmer, count(*) / sum(count(*)) OVER () AS n FROM pc GROUP BY kmer) a JOIN (SELECT kmer, count(*) / sum(count(*)) OVER () AS n FROM bg GROUP BY kmer) b USING (kmer))"""
+
+
+@query(f"WITH {FOLDS} SELECT kmer, round(fold, 6) AS fold FROM fo")
+def cut_kmer_folds(spark, sf):
+    from ..models import frequencies
+
+    return frequencies.cut_folds(event_cuts(spark, sf), shifted_sequences(spark, sf), "id", 3).withColumn("fold", r6("fold"))
+
+
+@query(f"""WITH {FOLDS}, cn AS (SELECT id, side, cut, count(*) AS n FROM cuts GROUP BY ALL),
+x AS (SELECT c.id, cut + CASE WHEN side = 'R' THEN {OFFSET} ELSE -{OFFSET} END AS pos, n, CASE WHEN side = 'R' THEN substr(seq, cut, 3) ELSE reverse(translate(substr(seq, cut, 3), 'ACGT', 'TGCA')) END AS kmer FROM cn c JOIN sq USING (id)),
+y AS (SELECT id, pos, sum(n / fold) AS v FROM x JOIN fo USING (kmer) WHERE pos BETWEEN {OFFSET + 1} AND {LENGTH - OFFSET - 2} GROUP BY ALL),
+z AS (SELECT sq.id, g.pos, coalesce(v, 0.0) AS v FROM sq CROSS JOIN (SELECT CAST(unnest(range({OFFSET + 1}, {LENGTH - OFFSET - 1})) AS INT) AS pos) g LEFT JOIN y ON y.id = sq.id AND y.pos = g.pos)
+SELECT id, pos, round(CASE WHEN sum(v) OVER (PARTITION BY id) > 0 THEN v / sum(v) OVER (PARTITION BY id) ELSE v END, 6) AS value FROM z""")
+def cut_correction(spark, sf):
+    from ..models import frequencies
+
+    seqs = shifted_sequences(spark, sf)
+    folds = frequencies.cut_folds(event_cuts(spark, sf), seqs, "id", 3)
+    return frequencies.corrected(strand_arrays(spark, sf).join(seqs, "id"), folds, "id", OFFSET, 3).withColumn("value", r6("value"))
+
+
+@query(f"""WITH {BRANDS}, {NUMBERED}, w AS (SELECT bs.id, value / sum(value) OVER (PARTITION BY bs.id) AS v, length(regexp_replace(substr(seq, pos - 9, 21), '[^GC]', '', 'g')) * 100.0 / 21 AS g, pos, length(seq) AS n FROM bs JOIN bq USING (id))
+SELECT id, round(sum(v * g), 6) AS gc FROM w WHERE pos BETWEEN 10 AND n - 11 GROUP BY id""")
+def weighted_gc(spark, sf):
+    from ..models import frequencies
+
+    return frequencies.weighted_gc(brand_signal(spark, sf), brand_sequences(spark, sf), "id", "seq", 21).withColumn("gc", r6("gc"))
+
+
+DEPLETED = f"""{BRANDS}, {NUMBERED}, ms AS (SELECT id, pos, value / sum(value) OVER (PARTITION BY id) AS v FROM bs),
+dp AS (SELECT q.id, n % 5 + 1 AS size, sum(a.v) AS v, sum(c.v) AS c FROM bq q JOIN ms a ON a.id = q.id AND a.pos BETWEEN n % 40 AND n % 40 + n % 5 JOIN ms c ON c.id = 'Brand#11' AND c.pos = a.pos GROUP BY ALL)"""
+
+
+@query(f"WITH {DEPLETED} SELECT CAST(size AS INT) AS size, count(CASE WHEN c > 0 THEN 1 END) AS n, round(avg(CASE WHEN c > 0 THEN 1 - v / c END), 6) + 0.0 AS mean, round(stddev_pop(CASE WHEN c > 0 THEN 1 - v / c END), 6) + 0.0 AS sd FROM dp GROUP BY size")
+def depletion_by_size(spark, sf):
+    windows = brand_sequences(spark, sf).select("id", (F.col("n") % 40).alias("loc"), (F.col("n") % 5 + 1).alias("size"))
+    found = G.spread_by(G.depletion(brand_signal(spark, sf), windows, "id", "Brand#11"), "size", "depletion")
+    return found.select("size", "n", r6("mean").alias("mean"), r6("sd").alias("sd"))
+
+
+@query(f"""WITH w AS (SELECT a.x || b.x || c.x AS w, a.o || b.o || c.o AS o FROM (SELECT unnest(['A','T','C','G']) AS x, unnest(['0','1','2','3']) AS o) a, (SELECT unnest(['A','T','C','G']) AS x, unnest(['0','1','2','3']) AS o) b, (SELECT unnest(['A','T','C','G']) AS x, unnest(['0','1','2','3']) AS o) c),
+k AS (SELECT *, least(w[1:2], reverse(translate(w[1:2], 'ACGT', 'TGCA'))) || least(w[2:3], reverse(translate(w[2:3], 'ACGT', 'TGCA'))) AS k FROM w), f AS (SELECT w, o FROM k QUALIFY row_number() OVER (PARTITION BY k ORDER BY o) = 1),
+m AS (SELECT w || '-' || (loc + 4) AS ref_id, 'ACGT' || substr(s, 1, loc) || w || substr(s, loc + 4) || 'TT' AS seq, o, loc FROM f, (SELECT '{TEMPLATE}' AS s), (SELECT unnest(range(0, {LENGTH - 2}, 5)) AS loc))
+SELECT ref_id, seq FROM m QUALIFY row_number() OVER (PARTITION BY seq ORDER BY o, loc) = 1""")
+def kmer_library(spark, sf):
+    from ..models import simulate
+
+    return simulate.kmer_library(spark.createDataFrame([(TEMPLATE,)], "seq string"), 3, 5, "ACGT", "TT")
+
+
+@query("""WITH l AS (SELECT DISTINCT upper(p_name) AS seq FROM part UNION SELECT reverse(translate(upper(p_name), 'ACGT', 'TGCA')) FROM part)
+SELECT min(seq) AS ref_id, min(seq) AS seq FROM l GROUP BY least(seq, reverse(translate(seq, 'ACGT', 'TGCA')))""")
+def reduced_library(spark, sf):
+    from ..models import simulate
+
+    names = read(spark, sf, "part").select(F.upper("p_name").alias("seq"))
+    both = names.union(names.select(S.reverse_complement(F.col("seq")))).distinct()
+    return simulate.reduced_library(both.withColumn("ref_id", F.col("seq"))).select("ref_id", "seq")
+
+
+@query("""WITH s AS (SELECT p_partkey, p_name AS seq, p_retailprice AS score, p_size AS snr FROM part ORDER BY score DESC, snr DESC, seq LIMIT 600)
+SELECT p_partkey, 'AC' || seq || 'GT' AS seq FROM s WHERE seq IN (SELECT p_name FROM part WHERE p_size > 30) ORDER BY score DESC, snr DESC, s.seq LIMIT 500""")
+def chosen_library(spark, sf):
+    from ..models import simulate
+
+    part = read(spark, sf, "part")
+    sites = part.select("p_partkey", F.col("p_name").alias("seq"), F.col("p_retailprice").alias("score"), F.col("p_size").alias("snr"))
+    return simulate.chosen_library(sites, part.where("p_size > 30").select(F.col("p_name").alias("seq")), left="AC", right="GT").select("p_partkey", "seq")
+
+
+@query("SELECT p_partkey, round(length(regexp_replace(right(upper(p_name), length(p_name) // 2), '[^GC]', '', 'g')) * 100.0 / (length(p_name) // 2) - length(regexp_replace(left(upper(p_name), length(p_name) // 2), '[^GC]', '', 'g')) * 100.0 / (length(p_name) // 2), 6) + 0.0 AS gap FROM part WHERE length(p_name) >= 2")
+def gc_sides(spark, sf):
+    return read(spark, sf, "part").where(F.length("p_name") >= 2).select("p_partkey", r6(S.gc_difference(F.upper("p_name"))).alias("gap"))
+
+
+@query(f"""WITH d(s, v) AS (VALUES {STEPS_SQL}), m(s, v) AS (VALUES {BASES_SQL}), b AS (SELECT p_partkey, upper(p_name) AS s FROM part UNION ALL SELECT p_partkey, reverse(translate(upper(p_name), 'ACGT', 'TGCA')) FROM part), p AS (SELECT p_partkey, s, unnest(range(1, length(s))) AS i FROM b),
+x AS (SELECT p_partkey, coalesce(d.v, 0) - CASE WHEN i > 1 THEN coalesce(m.v, 0) ELSE 0 END AS v FROM p LEFT JOIN d ON d.s = substr(p.s, i, 2) LEFT JOIN m ON m.s = substr(p.s, i, 1)) SELECT p_partkey, CAST(sum(v) AS DOUBLE) AS extinction FROM x GROUP BY p_partkey""")
+def duplex_extinction(spark, sf):
+    return read(spark, sf, "part").where(F.length("p_name") >= 2).select("p_partkey", S.duplex_extinction(F.col("p_name")).alias("extinction"))
+
+
+@query("""WITH l AS (SELECT p_partkey, p_name AS a, reverse(p_name) AS b, unnest(range(0, length(p_name))) AS i FROM part), x AS (SELECT p_partkey, i, i - row_number() OVER (PARTITION BY p_partkey ORDER BY i) AS isle FROM l WHERE substr(a, i + 1, 1) <> substr(b, i + 1, 1))
+SELECT p_partkey, CAST(min(i) AS INT) AS start, CAST(count(*) AS INT) AS size FROM x GROUP BY p_partkey, isle""")
+def mismatch_runs(spark, sf):
+    rows = read(spark, sf, "part").select("p_partkey", "p_name", F.reverse("p_name").alias("other"))
+    return S.mismatch_runs(rows, "p_partkey", "p_name", "other")
+
+
+@query("SELECT p_partkey, CAST(s - 1 + 2 AS INT) AS center, substr(p_name, s, 5) AS window FROM (SELECT p_partkey, p_name, unnest(range(1, length(p_name) - 3)) AS s FROM part WHERE length(p_name) >= 5)")
+def sequence_windows(spark, sf):
+    from ..models import regression
+
+    return regression.windows(read(spark, sf, "part"), "p_partkey", "p_name", 5).select("p_partkey", "center", F.col("window").alias("window"))
+
+
+@query("""SELECT p_partkey, CAST(length(regexp_replace(substr(upper(p_name), 1, 6), '[^E]', '', 'g')) AS DOUBLE) AS k_e_0, CAST(length(regexp_replace(substr(upper(p_name), 7, 6), '[^E]', '', 'g')) AS DOUBLE) AS k_e_1,
+CASE WHEN substr(p_name, 3, 1) = 'a' THEN 1.0::DOUBLE ELSE 0.0 END AS third_a FROM part""")
+def feature_columns(spark, sf):
+    from ..models import regression
+
+    bins = regression.kmer_columns(F.upper("p_name"), ["E"], 2, 12)
+    return read(spark, sf, "part").select("p_partkey", *(c.alias(n.lower()) for n, c in bins.items()), regression.markov_columns(F.upper("p_name"), [2])["m_2_A"].alias("third_a"))
+
+
+@query("""WITH f AS (SELECT CAST(length(p_name) AS DOUBLE) AS a, CAST(p_size AS DOUBLE) AS b, p_retailprice AS y FROM part), m AS (SELECT avg(a) AS a, avg(b) AS b, avg(y) AS y, count(*) AS n FROM f),
+s AS (SELECT var_pop(a) * count(*) + 1 AS aa, var_pop(b) * count(*) + 1 AS bb, covar_pop(a, b) * count(*) AS ab, covar_pop(a, y) * count(*) AS a_y, covar_pop(b, y) * count(*) AS b_y FROM f),
+c AS (SELECT (a_y * bb - ab * b_y) / (aa * bb - ab * ab) AS c1, (aa * b_y - ab * a_y) / (aa * bb - ab * ab) AS c2 FROM s) SELECT round(c1, 5) AS c1, round(c2, 5) AS c2, round(y - c1 * a - c2 * b, 4) AS intercept FROM c, m""")
+def ridge_fit(spark, sf):
+    from ..models import regression
+
+    rows = read(spark, sf, "part").select(F.length("p_name").cast("double").alias("a"), F.col("p_size").cast("double").alias("b"), "p_retailprice")
+    coefficients, intercept = regression.ridge(rows, ["a", "b"], "p_retailprice", 1.0)
+    return spark.createDataFrame([(round(coefficients[0], 5), round(coefficients[1], 5), round(intercept, 4))], "c1 double, c2 double, intercept double")
+
+
+# -- more of signals, reads and joins ----------------------------------------------------------------------------------
+
+@query(f"""WITH {NATIONS}, p AS (SELECT a.id AS id1, b.id AS id2, a.p AS p, b.p AS q, (a.p + b.p) / 2 AS m FROM nm a JOIN nm b ON a.pos = b.pos AND a.id < b.id)
+SELECT id1, id2, round(sqrt(greatest(sum(CASE WHEN p > 0 THEN 0.5 * p * log2(p / m) ELSE 0 END + CASE WHEN q > 0 THEN 0.5 * q * log2(q / m) ELSE 0 END), 0.0)), 6) AS js_distance, round(-ln(sum(sqrt(p * q))), 6) + 0.0 AS bhattacharyya FROM p GROUP BY ALL""")
+def mass_distances(spark, sf):
+    x, y = F.col("x"), F.col("y")
+    masses = region_masses(spark, sf).select("id", D.mass(F.col("values")).alias("m"))
+    pairs = J.all_pairs(masses, "id", "m", F.struct(D.js_distance(x, y).alias("js"), D.bhattacharyya(x, y).alias("b")))
+    return pairs.select("id1", "id2", r6("score.js").alias("js_distance"), r6("score.b").alias("bhattacharyya"))
+
+
+@query(f"""WITH {BRANDS}, m AS (SELECT pos, avg(value) AS v FROM bs GROUP BY pos), l AS (SELECT pos, v, lag(v) OVER (ORDER BY pos) AS a, lead(v) OVER (ORDER BY pos) AS b FROM m),
+r AS (SELECT pos, CAST(row_number() OVER (ORDER BY v DESC, pos DESC) AS INT) AS rank FROM l WHERE v > a AND v > b) SELECT bs.id, bs.pos, rank, value FROM bs JOIN r USING (pos) WHERE rank <= 5""")
+def common_peaks(spark, sf):
+    return G.common_peaks(brand_signal(spark, sf), ["id"], 5)
+
+
+@query(f"WITH {BRANDS} SELECT a.id, a.pos, a.value, b.value AS ahead FROM bs a LEFT JOIN bs b ON b.id = a.id AND b.pos = a.pos + 3")
+def shifted_signal(spark, sf):
+    signal = brand_signal(spark, sf)
+    return J.shifted(signal, signal, ["id"], 3, "ahead")
+
+
+@query(f"WITH {BRANDS} SELECT id, pos, round((value - min(value) OVER w) * 10.0 / (max(value) OVER w - min(value) OVER w) - 5, 6) + 0.0 AS value FROM bs WINDOW w AS (PARTITION BY id) QUALIFY max(value) OVER w > min(value) OVER w")
+def linear_rescale(spark, sf):
+    w = Window.partitionBy("id")
+    ends = brand_signal(spark, sf).withColumn("lo", F.min("value").over(w)).withColumn("hi", F.max("value").over(w)).where("hi > lo")
+    return ends.select("id", "pos", r6(S.rescale(F.col("value"), F.col("lo"), F.col("hi"), -5.0, 5.0)).alias("value"))
+
+
+@query(f"WITH {KDE} SELECT id, pos, round(d * d / sum(d * d) OVER (PARTITION BY id), 6) AS value FROM kd")
+def boltzmann_mass(spark, sf):
+    return G.boltzmann(G.energy(brand_signal(spark, sf), ["id"]), ["id"], 2.0).withColumn("value", r6("value"))
+
+
+@query(f"""WITH {BRANDS}, k AS (SELECT CAST(unnest(range(1, 25)) AS INT) AS k), t AS (SELECT id, k, sum(value * cos(2 * pi() * k * pos / 50)) AS re, -sum(value * sin(2 * pi() * k * pos / 50)) AS im FROM bs, k GROUP BY id, k)
+SELECT id, k, round(re / 50, 5) + 0.0 AS real, round(im / 50, 5) + 0.0 AS imaginary FROM t""")
+def fourier_phase(spark, sf):
+    turn = F.col("phase") * F.lit(math.pi)
+    terms = G.periodogram(brand_signal(spark, sf), ["id"])
+    return terms.select("id", "k", (F.round(F.col("amplitude") * F.cos(turn), 5) + 0.0).alias("real"), (F.round(F.col("amplitude") * F.sin(turn), 5) + 0.0).alias("imaginary"))
+
+
+@query("SELECT p_partkey, CAST(round(p_size * 0.5) AS BIGINT) AS copies FROM part WHERE round(p_size * 0.5) > 0")
+def weighted_copies(spark, sf):
+    return G.weighted_copies(read(spark, sf, "part").select("p_partkey", "p_size"), "p_size", 0.5).select("p_partkey", "copies")
+
+
+@query("""WITH m AS (SELECT c_nationkey AS k, dense_rank() OVER (ORDER BY avg(c_acctbal)) - 1 AS n FROM customer GROUP BY c_nationkey) SELECT c_custkey, CAST(n AS INT) AS cluster FROM customer JOIN m ON k = c_nationkey""")
+def relabelled_clusters(spark, sf):
+    from ..models import matrices
+
+    customer = read(spark, sf, "customer")
+    return matrices.relabel(customer.select("c_custkey", F.col("c_nationkey").alias("cluster")), "c_custkey", customer, "c_acctbal")
+
+
+@query("""WITH f AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS a, CAST(length(p_name) AS DOUBLE) AS b FROM part), m AS (SELECT avg(a) AS ma, avg(b) AS mb, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab FROM f),
+d AS (SELECT p_partkey, sqrt(greatest(((a - ma) * (a - ma) * bb - 2 * (a - ma) * (b - mb) * ab + (b - mb) * (b - mb) * aa) / (aa * bb - ab * ab), 0.0)) AS d FROM f, m) SELECT p_partkey, round(d, 6) AS distance FROM d""")
+def component_outliers(spark, sf):
+    from ..models import matrices
+
+    rows = read(spark, sf, "part").select("p_partkey", F.array(F.col("p_size").cast("double"), F.length("p_name").cast("double")).alias("pcs"))
+    return matrices.outliers(rows, "p_partkey").select("p_partkey", r6("distance").alias("distance"))
+
+
+@query(f"""WITH {READS.replace("WHERE event_id % 11 <> 0", "")} SELECT 'type' AS measure, type AS item, count(*) AS n FROM er GROUP BY 2 UNION ALL SELECT 'length', '1', count(*) FROM er UNION ALL SELECT 'gc', '0', count(*) FROM er
+UNION ALL SELECT 'coverage', CASE WHEN e % 11 = 0 THEN 'BACKBONE' ELSE loc || '-' || k || '-' || repeat('A', n) END, count(*) FROM er WHERE type = 'valid' GROUP BY 2""")
+def library_report(spark, sf):
+    return R.library_report(event_reads(spark, sf))
+
+
+@query(f"""WITH {READS}, c AS (SELECT loc || '-' || k || '-' || repeat('A', n) AS id, k, n, count(*) AS c FROM er WHERE type = 'valid' GROUP BY ALL)
+SELECT 'kind' AS measure, k AS item, count(*) AS n, round(avg(c), 6) AS mean, round(stddev_pop(c), 6) AS sd FROM c GROUP BY k UNION ALL SELECT 'size', CAST(n AS VARCHAR), count(*), round(avg(c), 6), round(stddev_pop(c), 6) FROM c GROUP BY n
+UNION ALL (SELECT 'top', id, 1, CAST(c AS DOUBLE), 0.0 FROM c ORDER BY c DESC, id LIMIT 10)""")
+def library_coverage(spark, sf):
+    found = R.library_coverage(event_reads(spark, sf).where("mapped_id <> 'BACKBONE'"))
+    return found.select("measure", "item", "n", r6("mean").alias("mean"), r6("sd").alias("sd"))
+
+
+@query(f"""WITH {CUTS}, c AS (SELECT id, side, cut, CAST(count(*) AS DOUBLE) AS n FROM cuts GROUP BY ALL), g AS (SELECT i.id, CAST(unnest(range(0, {LENGTH})) AS INT) AS pos FROM (SELECT DISTINCT id FROM cuts) i),
+t AS (SELECT g.id, g.pos, coalesce(r.n, 0) AS top, coalesce(l.n, 0) AS bottom FROM g LEFT JOIN c r ON r.id = g.id AND r.cut = g.pos AND r.side = 'R' LEFT JOIN c l ON l.id = g.id AND l.cut = g.pos AND l.side = 'L'),
+f AS (SELECT CASE WHEN a.pos >= 110 THEN coalesce(b.bottom, 0) ELSE a.top END - a.top AS d FROM t a LEFT JOIN t b ON b.id = a.id AND b.pos = a.pos + {2 * OFFSET}) SELECT count(*) AS n, sum(d * d) AS sum_squares, round(avg(d * d), 6) AS mean_squares FROM f""")
+def impute_residuals(spark, sf):
+    rows = strand_arrays(spark, sf)
+    truth = rows.select("id", F.posexplode("top").alias("pos", "true_top"))
+    return I.residuals(_cells(I.naive(rows)), truth, ["id", "pos"], "top", "true_top").withColumn("mean_squares", r6("mean_squares"))

@@ -106,3 +106,17 @@ def test_registered_models_run_their_default_rounds(spark, sf, monkeypatch):
         with pytest.raises(Called) as found:
             catalog.QUERIES[query](spark, sf)
         assert not {"rounds", "cycles", "burn"} & set(found.value.args[0])
+
+
+def test_driven_walk_has_the_distribution_asked_for():
+    start, asked = np.array([0.2, 0.3, 0.5]), np.array([0.5, 0.1, 0.4])
+    gap = np.abs(np.arange(3)[:, None] - np.arange(3)[None])
+    joint, _ = simulate.equilibrium_path(start, np.ones((3, 3)), gap.astype(float), 1.0)
+    walk = simulate.driven_path(asked, joint / start[:, None])
+    assert np.allclose(walk.sum(1), 1) and np.allclose(asked @ walk, asked)
+
+
+def test_reads_with_indels_keep_their_truth(spark):
+    refs = spark.createDataFrame([("601", "ACGT" * 50)], "ref_id string, seq string")
+    rows = simulate.simulated_reads(refs, 40, left=0.0, right=0.0, indel=0.1).collect()
+    assert {r.read_id.split("/")[1] for r in rows} == {"601"} and len({len(r.seq) for r in rows}) > 5 and all(len(r.seq) == len(r.qual) for r in rows)

@@ -166,3 +166,16 @@ def test_sample_of_each_cluster(spark):
     got = P.sample(frame, "id", "cluster:c/4", {"c": "c"}, seed=1)
     assert {r.cluster: r["count"] for r in got.groupBy("cluster").count().collect()} == {0: 4, 1: 4, 2: 4, 9: 1}
     assert sorted(got.collect()) == sorted(P.sample(frame.repartition(5), "id", "cluster:c/4", {"c": "c"}, seed=1).collect())
+
+
+def test_ranks_of_a_value_that_most_rows_hold(spark):
+    rows = spark.range(0, 5000, 1, 7).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 50 == 1, F.col("id")).otherwise(4).alias("v"))
+    got = {r["id"]: r["rank"] for r in P.global_rank(rows, "v", "id").collect()}
+    want = sorted((r["v"] is None, r["v"] or 0, r["id"]) for r in rows.collect())
+    assert got == {k[2]: i + 1 for i, k in enumerate(want)}
+    assert P.global_rank(rows.limit(0), "v", "id").collect() == []
+
+
+def test_folds_are_even(spark):
+    sizes = sorted(r["count"] for r in P.folds(spark.range(103), "id", 10, 3).groupBy("fold").count().collect())
+    assert sizes == [10] * 7 + [11] * 3
