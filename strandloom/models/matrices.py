@@ -118,9 +118,15 @@ def nmf(rows: DataFrame, key: str, values: str, rank: int, rounds: int = 100, se
     shape = data.select(key, F.col("v").alias("weights"), F.lit(0.0).alias("__e")).schema
     solved = data.mapInPandas(solve, shape)
     error = float(np.sqrt(solved.agg(F.sum("__e")).first()[0] or 0.0))
+    data.unpersist()
     return solved.select(key, "weights"), basis, error
 
 
+def nmf_errors(rows: DataFrame, key: str, values: str, ranks: list[int], rounds: int = 100, seed: int = 0) -> pd.DataFrame:
+    """rank, error: the Frobenius error of a factorisation of each rank, to choose one by."""
+    return pd.DataFrame([(r, nmf(rows, key, values, r, rounds, seed)[2]) for r in ranks], columns=["rank", "error"])
+
+
 def power_clusters(similarities: DataFrame, k: int, seed_rounds: int = 20) -> DataFrame:
     """(id, cluster) by power iteration on a table of similarities (id1, id2, score), distributed."""
     model = PowerIterationClustering(k=k, maxIter=seed_rounds, srcCol="id1", dstCol="id2", weightCol="score")
@@ -170,6 +176,30 @@ def spectral(similarities: DataFrame, k: int, value: str = "score", seed: int =
     return pd.DataFrame({"id": ids, "cluster": _lloyd(x / np.abs(x).max(), k, seed)})
 
 
+def bisections(similarities: DataFrame, value: str = "score", least: int = 2, depth: int = 8) -> pd.DataFrame:
+    """id, path: each id's way ("L" or "R" a level) through recursive spectral bisections, exact, bounded.
+
+    A part of more than ``least`` ids is cut by the sign of its second eigenvector; the side of its first id is "L". A part
+    that the sign leaves whole is not cut.
+    """
+    ids, s = pair_matrix(similarities, value, 1.0)
+    path, open_ = [""] * len(ids), [np.arange(len(ids))]
+    while open_:
+        part = open_.pop()
+        if len(part) <= max(least, 1) or len(path[part[0]]) >= depth:
+            continue
+        own = s[np.ix_(part, part)]
+        d = 1 / np.sqrt(np.maximum(own.sum(1), 1e-12))
+        second = np.linalg.eigh(d[:, None] * own * d[None])[1][:, -2]
+        right = (second >= 0) != (second[0] >= 0)
+        if right.any():
+            for side, mark in ((part[~right], "L"), (part[right], "R")):
+                open_.append(side)
+                for i in side:
+                    path[i] += mark
+    return pd.DataFrame({"id": ids, "path": path})
+
+
 def diffusion_map(distances: DataFrame, value: str, epsilon: float, dims: int = 2, steps: float = 1.0) -> pd.DataFrame:
     """id, coordinates: leading eigenvectors of the random walk on exp(-d^2 / (2 epsilon)), the constant one first."""
     ids, d = pair_matrix(distances, value, 0.0)

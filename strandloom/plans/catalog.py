@@ -1108,3 +1108,28 @@ def impute_residuals(spark, sf):
     rows = strand_arrays(spark, sf)
     truth = rows.select("id", F.posexplode("top").alias("pos", "true_top"))
     return I.residuals(_cells(I.naive(rows)), truth, ["id", "pos"], "top", "true_top").withColumn("mean_squares", r6("mean_squares"))
+
+
+@query("""WITH RECURSIVE t AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer),
+b AS (SELECT child AS node FROM t WHERE parent = 'r1' UNION ALL SELECT t.child FROM t JOIN b ON t.parent = b.node) SELECT node FROM b""")
+def tree_descendants(spark, sf):
+    from ..models import matrices
+
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    nations = read(spark, sf, "nation").select(name("r", "n_regionkey").alias("parent"), name("n", "n_nationkey").alias("child"))
+    customers = read(spark, sf, "customer").select(name("n", "c_nationkey").alias("parent"), name("c", "c_custkey").alias("child"))
+    return matrices.descendants(nations.union(customers), "r1")
+
+
+@query()
+def bisection_tree(spark, sf):
+    from ..models import matrices
+
+    return spark.createDataFrame(matrices.bisections(nation_pairs(spark, sf).withColumn("score", J.similarity(F.col("js")))))
+
+
+@query()
+def nmf_errors(spark, sf):
+    from ..models import matrices
+
+    return spark.createDataFrame(matrices.nmf_errors(G.to_arrays(brand_signal(spark, sf), ["id"]), "id", "values", [1, 2, 3]))

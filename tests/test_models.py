@@ -120,3 +120,18 @@ def test_reads_with_indels_keep_their_truth(spark):
     refs = spark.createDataFrame([("601", "ACGT" * 50)], "ref_id string, seq string")
     rows = simulate.simulated_reads(refs, 40, left=0.0, right=0.0, indel=0.1).collect()
     assert {r.read_id.split("/")[1] for r in rows} == {"601"} and len({len(r.seq) for r in rows}) > 5 and all(len(r.seq) == len(r.qual) for r in rows)
+
+
+def test_bisections_find_nested_blocks(spark):
+    block = lambda i: (i // 4, i // 2)
+    near = lambda i, j: 0.9 if block(i)[1] == block(j)[1] else 0.4 if block(i)[0] == block(j)[0] else 0.01
+    pairs = spark.createDataFrame([(i, j, near(i, j)) for i in range(8) for j in range(i + 1, 8)], "id1 int, id2 int, score double")
+    path = matrices.bisections(pairs).set_index("id")["path"]
+    assert [path[i] for i in range(8)] == ["LL", "LL", "LR", "LR"] + ["RL", "RL", "RR", "RR"]
+
+
+def test_nmf_errors_fall_with_the_rank(spark):
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(rng.random((12, 2)) @ rng.random((2, 6)))], "id int, v array<double>")
+    errors = matrices.nmf_errors(rows, "id", "v", [1, 2], rounds=30)["error"]
+    assert errors[1] < errors[0] / 3
