@@ -1126,10 +1126,3 @@ def bisection_tree(spark, sf):
     from ..models import matrices
 
     return spark.createDataFrame(matrices.bisections(nation_pairs(spark, sf).withColumn("score", J.similarity(F.col("js")))))
-
-
-@query()
-def nmf_errors(spark, sf):
-    from ..models import matrices
-
-    return spark.createDataFrame(matrices.nmf_errors(G.to_arrays(brand_signal(spark, sf), ["id"]), "id", "values", [1, 2, 3]))
