@@ -39,8 +39,8 @@ LEAST_WORDS = 200
 CAPITALS, SYMBOLS = bytes(range(65, 91)), b"#$%&*|"
 #: Compressed bytes of text that a task gathers before it hands its chains on.
 CHAIN_BYTES = 48 << 20
-#: Partitions of the texts for each split of the input.
-SPREAD = 2
+#: Bytes of text that a partition of the chains gets at most, about (compressed, a half or a third of it).
+PARTITION_BYTES = 128 << 20
 
 #: A row of the audit, as often as it stands there: doc_id, part, mask, count.
 Row = tuple[int | None, str, int, int]
@@ -132,9 +132,9 @@ def _walked(records: Iterator[tuple]) -> Iterator[Row]:
 
 def masks(docs: DataFrame) -> RDD:
     """(doc_id, part, mask, count) of the rows of ``docs`` (doc_id, text, source); rows that are equal may be counted in one."""
-    source = docs.select("doc_id", "text", "source").rdd
-    n = max(SPREAD * source.getNumPartitions(), 1)
-    dealt = source.mapPartitions(_routed).repartitionAndSortWithinPartitions(n, lambda key: key[0], keyfunc=lambda key: key)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(size // PARTITION_BYTES + 1, docs.sparkSession.sparkContext.defaultParallelism)
+    dealt = docs.select("doc_id", "text", "source").rdd.mapPartitions(_routed).repartitionAndSortWithinPartitions(n, lambda key: key[0], keyfunc=lambda key: key)
     return dealt.mapPartitions(_walked)
 
 
