@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import letters_once
+from ..sources.memo import Settled
 
 
 def contexts(seqs: DataFrame, key: str, seq: str, order: int) -> DataFrame:
@@ -66,3 +67,61 @@ def placement(scores: DataFrame, key: list[str], length: int = 147, chemical: fl
         return part[[*key, "start"]].assign(probability=np.exp(logp))
 
     return scores.groupBy(*key).applyInPandas(run, shape)
+
+
+def interpolated(seqs: DataFrame, key: str, seq: str, order: int, letters: int, fold: Column | None = None, rounds: int = 30) -> tuple[DataFrame, list[float], list[float]]:
+    """Deleted interpolation of all orders: (the table of ``table``, the weights, the held-out likelihoods).
+
+    Weights are for a uniform share of ``letters`` letters, then for the orders 0 to ``order``; they maximise the likelihood
+    of each fold (by default a quarter of the keys) under the counts of the other folds, by expectation-maximisation: a round is one aggregate over the
+    different (position, context, letter) of each fold, whose number is bounded by the contexts, not by the sequences. The
+    likelihoods (mean log a letter) are the mixture's, then those of the orders alone (None where a letter was never seen).
+    """
+    fold = F.pmod(F.xxhash64(key), F.lit(4)) if fold is None else fold
+    events = held_out(seqs, seq, order, fold).withColumn("p", F.concat(F.array(F.lit(1.0 / letters)), F.col("p")))
+    state = Settled(seqs.sparkSession, "held-out")
+    events = state.put(events)
+    weights = [1.0 / (order + 2)] * (order + 2)
+
+    def parts(w: list[float]) -> tuple[Column, list[Column]]:
+        each = [F.col("p")[i] * F.lit(float(w[i])) for i in range(order + 2)]
+        return sum(each[1:], each[0]), each
+
+    for _ in range(rounds):
+        total, each = parts(weights)
+        row = events.agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * x / total).alias(f"w{i}") for i, x in enumerate(each))).first()
+        if not row["n"]:
+            break
+        weights = [row[f"w{i}"] / row["n"] for i in range(order + 2)]
+    mix, _ = parts(weights)
+    alone = [F.when(F.min(F.col("p")[i + 1]) > 0, F.sum(F.col("n") * F.log(F.col("p")[i + 1])) / F.sum("n")) for i in range(order + 1)]
+    said = events.agg((F.sum(F.col("n") * F.log(mix)) / F.sum("n")).alias("m"), *(c.alias(f"o{i}") for i, c in enumerate(alone))).first()
+    return table(seqs, key, seq, order), weights, list(said)
+
+
+def held_out(seqs: DataFrame, seq: str, order: int, fold: Column) -> DataFrame:
+    """(fold, pos, prev, cur, n, p): what stands in each fold from position ``order`` on, and the shares that the other
+    folds give it by the last 0 to ``order`` letters (0 where they never saw the context)."""
+    counts = contexts(seqs.withColumn("__f", fold.cast("int")), "__f", seq, order).withColumnRenamed("__f", "fold")
+    counts = counts.where(F.col("pos") >= order).groupBy("fold", "ord", "pos", "prev", "cur").agg(F.count(F.lit(1)).alias("n"))
+    after, before = Window.partitionBy("ord", "pos", "prev", "cur"), Window.partitionBy("ord", "pos", "prev")
+    other = F.sum("n").over(after) - F.col("n")
+    own_context = F.sum("n").over(Window.partitionBy("ord", "pos", "prev", "fold"))
+    seen = F.sum("n").over(before) - own_context
+    shares = counts.select("fold", "ord", "pos", "prev", "cur", "n", F.when(seen > 0, other / seen).otherwise(0.0).alias("share"))
+    full = shares.where(F.col("ord") == order).select("fold", "pos", F.col("prev").alias("whole"), "cur", "n")
+    asked = full.withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(order)))).withColumn("prev", F.expr("right(whole, ord)"))
+    met = asked.join(shares.drop("n"), ["fold", "ord", "pos", "prev", "cur"])
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("ord", "share"))), lambda x: x["share"])
+    return met.groupBy("fold", "pos", F.col("whole").alias("prev"), "cur").agg(F.first("n").alias("n"), ordered.alias("p"))
+
+
+def mixed_score(seqs: DataFrame, key: str, seq: str, model: DataFrame, weights: list[float]) -> DataFrame:
+    """(key, score): log likelihood of each sequence under the weighted orders; before the highest order's first position
+    the weights of the orders that are there are raised to 1."""
+    order, letters_share = len(weights) - 2, weights[0]
+    used = contexts(seqs, key, seq, order).join(model.select("ord", "pos", "prev", "cur", F.exp("logp").alias("p")), ["ord", "pos", "prev", "cur"], "left")
+    weight = F.array(*map(F.lit, weights[1:]))[F.col("ord")]
+    places = used.groupBy(key, "pos").agg(F.sum(weight * F.coalesce("p", F.lit(0.0))).alias("s"), F.sum(weight).alias("w"))
+    even = F.lit(letters_share / max(model.select("cur").distinct().count(), 1))
+    return places.groupBy(key).agg(F.sum(F.log((F.col("s") + even) / (F.col("w") + letters_share))).alias("score"))

@@ -12,11 +12,15 @@ import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans, PowerIterationClustering
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.memo import Settled, passing_folder
+
 #: Ids of a pair matrix that may be brought to the driver (n^2 doubles: 128 MB).
 MATRIX_IDS = 4000
+#: Products of a round of the subspace iteration.
+POWER = 4
 
 
 def pca(rows: DataFrame, key: str, values: str, k: int | None = None, share: float = 0.9, standardise: bool = False) -> tuple[DataFrame, list[float]]:
@@ -47,6 +51,42 @@ def outliers(components: DataFrame, key: str, pcs: str = "pcs", share: float = 0
     return scored.crossJoin(F.broadcast(cut)).select(key, "distance", (F.col("distance") > F.col("__c")).alias("outlier"))
 
 
+def robust_envelope(components: DataFrame, key: str, pcs: str = "pcs", share: float = 0.01, core: float = 0.5, rounds: int = 10) -> DataFrame:
+    """(key, distance, outlier): distances from a centre and covariance that outliers don't move; the farthest ``share`` are
+    outliers.
+
+    Minimum covariance determinant by concentration steps: from medians and absolute deviations, each step takes the mean
+    and covariance of the ``core`` of rows that are nearest now. A step is two aggregates; it ends when the determinant no
+    longer falls. Distances are scaled so that their median is a normal sample's.
+    """
+    k = components.select(F.size(pcs)).first()[0]
+    x = [F.get(pcs, F.lit(i)) for i in range(k)]
+    near = lambda c, q: F.percentile_approx(c, q, F.lit(100000))
+    centre = list(components.agg(*(near(c, 0.5).alias(f"m{i}") for i, c in enumerate(x))).first())
+    wide = components.agg(*(near(F.abs(c - centre[i]), 0.5).alias(f"s{i}") for i, c in enumerate(x))).first()
+    inverse = np.diag([1.0 / max(s, 1e-9) ** 2 for s in wide])
+
+    def squared(centre: list, inverse: np.ndarray) -> Column:
+        d = [c - F.lit(float(m)) for c, m in zip(x, centre)]
+        return F.greatest(sum((d[i] * d[j] * float(inverse[i, j]) for i in range(k) for j in range(k)), F.lit(0.0)), F.lit(0.0))
+
+    least = np.inf
+    for _ in range(rounds):
+        cut = components.agg(near(squared(centre, inverse), core)).first()[0]
+        inner = components.where(squared(centre, inverse) <= F.lit(cut))
+        facts = inner.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(x)), *(F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i in range(k) for j in range(k))).first()
+        cov = np.array([[facts[f"c{i}_{j}"] for j in range(k)] for i in range(k)])
+        size = float(np.linalg.det(cov))
+        if size >= least * (1 - 1e-12):
+            break
+        least, centre, inverse = size, [facts[f"m{i}"] for i in range(k)], np.linalg.pinv(cov)
+    normal = k * (1 - 2 / (9 * k)) ** 3  # the median of a chi-squared variable of k degrees, near enough
+    scale = components.agg(near(squared(centre, inverse), 0.5)).first()[0] / normal or 1.0
+    scored = components.select(key, F.sqrt(squared(centre, inverse) / F.lit(float(scale))).alias("distance"))
+    cut = scored.agg(near(F.col("distance"), 1 - share).alias("__c"))
+    return scored.crossJoin(F.broadcast(cut)).select(key, "distance", (F.col("distance") > F.col("__c")).alias("outlier"))
+
+
 def kmeans(rows: DataFrame, key: str, values: str, k: int, seed: int = 0, bisecting: bool = False) -> DataFrame:
     """(key, cluster)."""
     vectors = rows.select(key, array_to_vector(F.transform(values, lambda x: x.cast("double"))).alias("features"))
@@ -200,6 +240,77 @@ def bisections(similarities: DataFrame, value: str = "score", least: int = 2, de
     return pd.DataFrame({"id": ids, "path": path})
 
 
+def leading_vectors(pairs: DataFrame, value: str, k: int, diagonal: float = 1.0, rounds: int = 40, tolerance: float = 1e-11, seed: int = 0) -> tuple[DataFrame, list[float]]:
+    """(id, root, vector) and the ``k`` largest eigenvalues of the normalised matrix of a half table (id1, id2, value).
+
+    The matrix is divided by the roots of its row sums on both sides, so its eigenvalues are at most 1. Block subspace
+    iteration: the table of pairs meets the table of vectors by a join on the id, sums by row make the next block, and the
+    block is made orthonormal by its Gram matrix; only k x k matrices come to the driver, so the number of ids is free.
+    A round multiplies ``POWER`` times and is written. Signs are such that each vector's entry of largest size is positive.
+    """
+    spark = pairs.sparkSession
+    both = pairs.select("id1", "id2", F.col(value).alias("s"))
+    both = both.union(both.select("id2", "id1", "s"))
+    ids = both.select(F.col("id1").alias("id")).distinct()
+    roots = both.groupBy(F.col("id1").alias("id")).agg(F.sqrt(F.sum("s") + F.lit(diagonal)).alias("root"))
+    state, kept = Settled(spark, "subspace"), Settled(spark, "pairs")
+    roots = kept.keep(roots)
+    weighed = both.join(roots.withColumnRenamed("id", "id1").withColumnRenamed("root", "r1"), "id1").join(roots.withColumnRenamed("id", "id2").withColumnRenamed("root", "r2"), "id2")
+    matrix = weighed.select("id1", "id2", (F.col("s") / F.col("r1") / F.col("r2")).alias("s"))
+    matrix = kept.keep(matrix.union(roots.select("id", "id", F.lit(diagonal) / F.col("root") ** 2)))
+    width = k + min(4, max(2, k))
+    start = ids.select("id", F.array(*((F.xxhash64("id", F.lit(seed * 1000 + i)) / F.lit(float(1 << 63))) for i in range(width))).alias("v"))
+
+    def times(block: DataFrame) -> DataFrame:
+        met = matrix.join(block.withColumnRenamed("id", "id2"), "id2")
+        return met.groupBy(F.col("id1").alias("id")).agg(F.array(*(F.sum(F.col("s") * F.col("v")[i]) for i in range(width))).alias("v"))
+
+    def gram(block: DataFrame, a: str = "v", b: str = "v") -> np.ndarray:
+        row = block.agg(*(F.sum(F.col(a)[i] * F.col(b)[j]).alias(f"g{i}_{j}") for i in range(width) for j in range(width))).first()
+        return np.array(list(row), float).reshape(width, width)
+
+    def turned(block: DataFrame, by: np.ndarray, column: str = "v") -> Column:
+        return F.array(*(sum((F.col(column)[i] * F.lit(float(by[i, j])) for i in range(1, width)), F.col(column)[0] * F.lit(float(by[0, j]))) for j in range(by.shape[1])))
+
+    block, before = state.put(start), np.zeros(width)
+    for turn in range(rounds):
+        product = block
+        for _ in range(POWER if turn else 0):
+            product = times(product)
+        product = state.put(product)
+        values, vectors = np.linalg.eigh(gram(product))
+        # directions that have vanished stay small and are found again by the next product
+        block = state.put(product.select("id", turned(product, vectors / np.sqrt(np.maximum(values, values[-1] * 1e-14 + 1e-300))).alias("v")))
+        now = np.maximum(values, 0.0)[::-1] ** (0.5 / POWER)
+        if turn > 1 and np.abs(now[:k] - before[:k]).max() < tolerance:
+            break
+        before = now
+    image = state.put(block.join(times(block).withColumnRenamed("v", "w"), "id"))
+    inner = gram(image, "v", "w")
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+    order = np.argsort(-values)[:k]
+    found = image.select("id", turned(image, vectors[:, order]).alias("v"))
+    largest = found.agg(*(F.max_by(F.col("v")[i], F.abs(F.col("v")[i])).alias(f"x{i}") for i in range(k))).first()
+    signs = [1.0 if (x or 0) >= 0 else -1.0 for x in largest]
+    vector = F.array(*(F.col("v")[i] * F.lit(signs[i]) for i in range(k)))
+    return state.close(found).join(roots, "id").select("id", "root", vector.alias("vector")), [float(values[i]) for i in order]
+
+
+def spectral_clusters(similarities: DataFrame, k: int, value: str = "score", seed: int = 0) -> DataFrame:
+    """(id, cluster): k-means of the leading eigenvectors, scaled by the roots; distributed, for any number of ids."""
+    vectors, _ = leading_vectors(similarities, value, k)
+    rows = vectors.select("id", F.transform("vector", lambda x: x / F.col("root")).alias("x"))
+    return kmeans(rows, "id", "x", k, seed)
+
+
+def diffusion_coordinates(distances: DataFrame, value: str, epsilon: float, dims: int = 2, steps: float = 1.0) -> DataFrame:
+    """(id, coordinates): as ``diffusion_map``, distributed, for any number of ids; signs as ``leading_vectors`` gives them."""
+    kernel = distances.select("id1", "id2", F.exp(-F.col(value) * F.col(value) / (2 * epsilon)).alias("s"))
+    vectors, values = leading_vectors(kernel, "s", dims)
+    scale = F.array(*(F.lit(max(v, 0.0) ** (epsilon * steps)) for v in values))
+    return vectors.select("id", F.zip_with("vector", scale, lambda x, y: x / F.col("root") * y).alias("coordinates"))
+
+
 def diffusion_map(distances: DataFrame, value: str, epsilon: float, dims: int = 2, steps: float = 1.0) -> pd.DataFrame:
     """id, coordinates: leading eigenvectors of the random walk on exp(-d^2 / (2 epsilon)), the constant one first."""
     ids, d = pair_matrix(distances, value, 0.0)
@@ -231,10 +342,30 @@ def average_linkage(distances: DataFrame, value: str, threshold: float | None =
     return pd.DataFrame({"id": ids, "cluster": np.unique(owner, return_inverse=True)[1]}), merges
 
 
-def descendants(tree: DataFrame, root: str | int) -> DataFrame:
-    """(node) below a node of a table (parent, child), by a recursive query."""
-    tree.createOrReplaceTempView("__tree")
-    return tree.sparkSession.sql(f"WITH RECURSIVE below(node) AS (SELECT child FROM __tree WHERE parent = '{root}' UNION ALL SELECT t.child FROM __tree t JOIN below b ON t.parent = b.node) SELECT node FROM below")
+def descendants(tree: DataFrame, root: str | int, hops: int = 3) -> DataFrame:
+    """(node): every node below a node of a table (parent, child), once each, whatever the depth.
+
+    A round goes ``hops`` levels down from the nodes that the round before met first, and leaves out those met before, so
+    cycles end (a node on a cycle is below itself) and a round costs what it meets. Each round's nodes are written.
+    """
+    spark = tree.sparkSession
+    edges = tree.select(F.col("parent").alias("__p"), F.col("child").alias("node")).where("__p IS NOT NULL AND node IS NOT NULL")
+    folder, number = passing_folder(spark, "below"), 0
+    schema = edges.select("node").schema
+    front = edges.where(F.col("__p") == F.lit(root)).select("node").distinct()
+    while True:
+        path = f"{folder}/{number}"
+        front.write.parquet(path)
+        front = spark.read.schema(schema).parquet(path)
+        number += 1
+        met = spark.read.schema(schema).parquet(*(f"{folder}/{i}" for i in range(number)))
+        if front.isEmpty():
+            return met
+        reached, level = None, front
+        for _ in range(hops):
+            level = edges.join(level.withColumnRenamed("node", "__p"), "__p").select("node").distinct()
+            reached = level if reached is None else reached.union(level)
+        front = reached.distinct().join(met, "node", "left_anti")
 
 
 def tsne(distances: DataFrame, value: str, perplexity: float = 30.0, rounds: int = 500, seed: int = 0) -> pd.DataFrame:
@@ -266,22 +397,54 @@ def tsne(distances: DataFrame, value: str, perplexity: float = 30.0, rounds: int
     return pd.DataFrame({"id": ids, "x": y[:, 0], "y": y[:, 1]})
 
 
-def natural_breaks(values: np.ndarray, classes: int) -> list[float]:
-    """Upper ends of the ``classes`` runs of sorted values with the least sum of squares within runs."""
-    x = np.sort(np.asarray(values, float))
+def natural_breaks(values: np.ndarray, classes: int, counts: np.ndarray | None = None) -> list[float]:
+    """Upper ends of the ``classes`` runs of sorted values with the least sum of squares within runs.
+
+    ``counts`` says how often each value stands there; equal values are one. The best cut of a longer prefix never lies
+    before that of a shorter one, so each layer of the recurrence is solved by halves, in O(n log n).
+    """
+    x, back = np.unique(np.asarray(values, float), return_inverse=True)
+    c = np.bincount(back, weights=None if counts is None else np.asarray(counts, float), minlength=len(x)).astype(float)
     n = len(x)
-    s1, s2 = np.r_[0, np.cumsum(x)], np.r_[0, np.cumsum(x * x)]
-    cost = np.full((classes + 1, n + 1), np.inf)
-    cut = np.zeros((classes + 1, n + 1), int)
-    cost[0, 0] = 0
+    classes = min(classes, n)
+    shifted = x - (c * x).sum() / c.sum() if n else x
+    s0, s1, s2 = (np.r_[0, np.cumsum(v)] for v in (c, c * shifted, c * shifted * shifted))
+    best, cuts = np.r_[0.0, np.full(n, np.inf)], []
     for k in range(1, classes + 1):
-        for end in range(k, n + 1):
-            start = np.arange(k - 1, end)
-            within = s2[end] - s2[start] - (s1[end] - s1[start]) ** 2 / (end - start)
-            total = cost[k - 1, start] + within
-            cost[k, end], cut[k, end] = total.min(), start[total.argmin()]
+        now, cut = np.full(n + 1, np.inf), np.zeros(n + 1, int)
+        open_ = [(k, n, k - 1, n - 1)]
+        while open_:
+            low, high, first, last = open_.pop()
+            if low > high:
+                continue
+            end = (low + high) // 2
+            start = np.arange(first, min(last, end - 1) + 1)
+            total = best[start] + s2[end] - s2[start] - (s1[end] - s1[start]) ** 2 / (s0[end] - s0[start])
+            i = int(total.argmin())
+            now[end], cut[end] = total[i], start[i]
+            open_ += [(low, end - 1, first, int(start[i])), (end + 1, high, int(start[i]), last)]
+        best = now
+        cuts.append(cut)
     ends, at = [], n
-    for k in range(classes, 0, -1):
+    for cut in reversed(cuts):
         ends.append(float(x[at - 1]))
-        at = cut[k, at]
+        at = cut[at]
     return ends[::-1]
+
+
+def breaks_by(rows: DataFrame, group: list[str], value: str, classes: int) -> DataFrame:
+    """(group, breaks, within): the natural breaks of each group's values and the sum of squares within the classes.
+
+    What meets in a task is the different values of one group, with how often each stands there.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    shape = counts.select(*group, F.array("v").alias("breaks"), F.col("v").alias("within")).schema
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        v, n = part["v"].to_numpy(float), part["n"].to_numpy(float)
+        ends = natural_breaks(v, classes, n)
+        own = np.searchsorted(ends, v)
+        within = sum((n[own == i] * (v[own == i] - np.average(v[own == i], weights=n[own == i])) ** 2).sum() for i in set(own))
+        return part[group].head(1).assign(breaks=[ends], within=float(within))
+
+    return counts.groupBy(*group).applyInPandas(run, shape)

@@ -7,17 +7,18 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import gc_percent, pieces, runs
+from ..functions.sequence import explode_pieces, gc_percent, pieces, runs
 
 
 def windows(seqs: DataFrame, key: str, seq: str, size: int = 147) -> DataFrame:
     """(key, center, window): every window of ``size`` letters, named by its middle position."""
-    starts = F.explode(F.sequence(F.lit(1), F.length(seq) - size + 1))
-    return seqs.where(F.length(seq) >= size).select(key, seq, starts.alias("s")).select(key, (F.col("s") - 1 + size // 2).alias("center"), F.substring(F.col(seq), F.col("s"), F.lit(size)).alias("window"))
+    return explode_pieces(seqs, [key], seq, size).select(key, (F.col("pos") + size // 2).alias("center"), F.col("kmer").alias("window"))
 
 
 def kmer_columns(seq: Column, words: list[str], bins: int = 1, size: int = 147, symmetric: bool = False) -> dict[str, Column]:
@@ -70,6 +71,110 @@ def ridge(rows: DataFrame, features: list[str], label: str, alpha: float = 1.0)
     return [float(x) for x in model.coefficients], float(model.intercept)
 
 
+#: Features whose normal matrix may be brought to the driver (n^2 doubles: 128 MB).
+GRAM_FEATURES = 4096
+
+
+def symmetric_steps(seq: Column, size: int, width: int = 1, letters: str = "ACGT") -> Column:
+    """One-hot pieces of ``width`` letters at each place of a window, averaged with the reverse complement's."""
+    words = [""]
+    for _ in range(width):
+        words = [w + c for w in words for c in letters]
+    back = F.reverse(F.translate(seq, "ACGT", "TGCA"))
+    known = F.array(*map(F.lit, words))
+
+    def hot(a: Column, b: Column) -> Column:
+        return F.transform(known, lambda w: ((a == w).cast("double") + (b == w).cast("double")) / 2)
+
+    return F.flatten(F.zip_with(F.slice(pieces(seq, width), 1, size - width + 1), F.slice(pieces(back, width), 1, size - width + 1), hot))
+
+
+def symmetric_track(values: Column) -> Column:
+    """A shape's values along a window, averaged with the same read backwards."""
+    return F.zip_with(values, F.reverse(values), lambda a, b: (a + b) / 2)
+
+
+def against_key(rows: DataFrame, key: str, place: str, reference: str | int, columns: list[str]) -> DataFrame:
+    """Each number, or array of numbers, less the reference key's at the same place; the reference's rows and places that
+    it lacks are left out."""
+    base = rows.where(F.col(key) == F.lit(reference)).select(place, *(F.col(c).alias(f"__{c}") for c in columns))
+    return _less(rows.where(F.col(key) != F.lit(reference)).join(base, place), rows, columns)
+
+
+def against_place(rows: DataFrame, key: str, place: str, reference: int, columns: list[str]) -> DataFrame:
+    """Each number, or array of numbers, less the same key's at the reference place; keys without that place are left out."""
+    base = rows.where(F.col(place) == F.lit(reference)).select(key, *(F.col(c).alias(f"__{c}") for c in columns))
+    return _less(rows.where(F.col(place) != F.lit(reference)).join(base, key), rows, columns)
+
+
+def _less(met: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    array = {f.name for f in rows.schema.fields if f.dataType.typeName() == "array"}
+    less = lambda c: F.zip_with(F.col(c), F.col(f"__{c}"), lambda a, b: a - b) if c in array else F.col(c) - F.col(f"__{c}")
+    return met.select(*(less(c).alias(c) if c in columns else F.col(c) for c in rows.columns))
+
+
+def gram(rows: DataFrame, families: list[str], label: str) -> tuple[list[int], np.ndarray, np.ndarray, int]:
+    """Sizes of the families (array columns of one length each), X'X, X'y and the number of rows.
+
+    A task multiplies its batches and hands on one row for each pair of families: what moves is as large as the blocks of
+    the normal matrix, whatever the number of rows. Rows without a label are left out.
+    """
+    data = rows.where(F.col(label).isNotNull()).select(*(F.col(c).cast("array<double>").alias(c) for c in families), F.col(label).cast("double").alias("__y"))
+    first = data.select(*(F.size(c) for c in families)).first()
+    sizes = [int(n) for n in first] if first else [0] * len(families)
+    if sum(sizes) > GRAM_FEATURES:
+        raise ValueError(f"over {GRAM_FEATURES} features; use ridge's iterative solver")
+
+    def multiply(parts):
+        sums, n = {}, 0
+        for part in parts:
+            if not len(part):
+                continue
+            x = [np.vstack(part[c].map(lambda v: np.array([np.nan if u is None else u for u in v], float)).to_numpy()) for c in families] + [part["__y"].to_numpy(float)[:, None]]
+            n += len(part)
+            for i, a in enumerate(x):
+                for j in range(i, len(x)):
+                    sums[i, j] = sums.get((i, j), 0.0) + a.T @ x[j]
+        for (i, j), m in sums.items():
+            yield pd.DataFrame({"i": [i], "j": [j], "m": [m.ravel()], "n": [n]})
+
+    parts = data.mapInPandas(multiply, "i int, j int, m array<double>, n bigint")
+    # what is no number comes from Python as null
+    numbers = F.transform("m", lambda x: F.coalesce(x, F.lit(float("nan"))))
+    blocks = parts.groupBy("i", "j").agg(vector_to_array(Summarizer.sum(array_to_vector(numbers))).alias("m"), F.sum("n").alias("n")).collect()
+    ends = np.cumsum([0, *sizes, 1])
+    whole, n = np.zeros((ends[-1], ends[-1])), 0
+    for b in blocks:
+        block = np.array(b["m"]).reshape(ends[b["i"] + 1] - ends[b["i"]], -1)
+        whole[ends[b["i"]] : ends[b["i"] + 1], ends[b["j"]] : ends[b["j"] + 1]] = block
+        whole[ends[b["j"]] : ends[b["j"] + 1], ends[b["i"]] : ends[b["i"] + 1]] = block.T
+        n = b["n"]
+    return sizes, whole[:-1, :-1], whole[:-1, -1], int(n)
+
+
+def block_ridge(rows: DataFrame, families: list[str], label: str, alpha: float = 1.0) -> dict[str, list[float]]:
+    """The coefficients of each family that minimise |y - Xb|^2 + alpha |b|^2, from the blocks of the normal matrix.
+
+    A column with a value that is missing or no number (as at the ends of a shape's track) is dropped, and gets 0. Without
+    an intercept: differences from a reference have none.
+    """
+    sizes, whole, right, _ = gram(rows, families, label)
+    good = ~np.isnan(np.diag(whole))
+    solved = np.zeros(len(right))
+    if good.any():
+        inner = whole[np.ix_(good, good)] + alpha * np.eye(int(good.sum()))
+        solved[good] = np.linalg.solve(inner, right[good])
+    ends = np.cumsum([0, *sizes])
+    return {c: solved[ends[i] : ends[i + 1]].tolist() for i, c in enumerate(families)}
+
+
+def block_predict(rows: DataFrame, coefficients: dict[str, list[float]], name: str = "prediction") -> DataFrame:
+    """The linear form over the families; a value that isn't there counts as 0."""
+    zero = lambda x: F.coalesce(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0))
+    parts = [F.aggregate(F.zip_with(F.col(c), F.array(*(F.lit(float(x)) for x in b)), lambda x, k: zero(x) * k), F.lit(0.0), lambda s, v: s + v) for c, b in coefficients.items() if b]
+    return rows.withColumn(name, sum(parts[1:], parts[0]) if parts else F.lit(0.0))
+
+
 def predict(rows: DataFrame, features: list[str], coefficients: list[float], intercept: float, name: str = "prediction") -> DataFrame:
     """The linear form as a column expression."""
     total = F.lit(float(intercept))

@@ -1,8 +1,8 @@
 """Imputation of the cuts that cannot be observed, inside and beyond an id's identification window.
 
 Signals are rows (id, tlen, wst, wed, top, bottom) with dense arrays: top strand cuts are unobservable from ``wst`` on,
-bottom strand cuts up to ``wed``. All array steps are expressions; only robust fits and the sampler are Python, and those
-are grouped by position or by group, each bounded by the ids of one library group.
+bottom strand cuts up to ``wed``. All array steps are expressions; only robust fits are Python, on counts of different
+pairs of values. The sampler is in ``gibbs``.
 """
 
 from __future__ import annotations
@@ -33,13 +33,17 @@ def naive(rows: DataFrame, offset: int = 53) -> DataFrame:
     return filled.withColumn("dyad", _dyads(offset))
 
 
-def huber(x: np.ndarray, y: np.ndarray, epsilon: float = 1.35, alpha: float = 1e-4, rounds: int = 100) -> tuple[float, float, np.ndarray]:
-    """Slope, intercept and inlier mask of a robust line: concomitant-scale Huber regression by reweighted least squares."""
-    slope, const = 0.0, float(np.median(y))
-    scale = max(float(np.median(np.abs(y - const))) * 1.4826, 1e-6)
+def huber(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, epsilon: float = 1.35, alpha: float = 1e-4, rounds: int = 100) -> tuple[float, float, np.ndarray]:
+    """Slope, intercept and inlier mask of a robust line: concomitant-scale Huber regression by reweighted least squares.
+
+    ``n`` says how often each pair stands there.
+    """
+    n = np.ones(len(x)) if n is None else n
+    slope, const = 0.0, middle(y, n)
+    scale = max(middle(np.abs(y - const), n) * 1.4826, 1e-6)
     for _ in range(rounds):
         r = y - slope * x - const
-        w = np.where(np.abs(r) <= epsilon * scale, 1.0, epsilon * scale / np.maximum(np.abs(r), 1e-12))
+        w = n * np.where(np.abs(r) <= epsilon * scale, 1.0, epsilon * scale / np.maximum(np.abs(r), 1e-12))
         sw, sx, sy = w.sum(), (w * x).sum(), (w * y).sum()
         sxx, sxy = (w * x * x).sum() + alpha * scale, (w * x * y).sum()
         det = sxx * sw - sx * sx
@@ -49,8 +53,8 @@ def huber(x: np.ndarray, y: np.ndarray, epsilon: float = 1.35, alpha: float = 1e
         r = y - new[0] * x - new[1]
         inner = np.abs(r) <= epsilon * scale
         # the scale that is stationary in the joint loss, given the residuals
-        free = max(len(y) - epsilon**2 * (~inner).sum(), 1e-6)
-        now = max(float(np.sqrt((r[inner] ** 2).sum() / free)), 1e-6)
+        free = max(n.sum() - epsilon**2 * n[~inner].sum(), 1e-6)
+        now = max(float(np.sqrt((n[inner] * r[inner] ** 2).sum() / free)), 1e-6)
         done = abs(new[0] - slope) + abs(new[1] - const) + abs(now - scale) < 1e-9
         (slope, const), scale = new, now
         if done:
@@ -58,23 +62,25 @@ def huber(x: np.ndarray, y: np.ndarray, epsilon: float = 1.35, alpha: float = 1e
     return slope, const, np.abs(y - slope * x - const) <= epsilon * scale
 
 
-def line_pair(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float] | None:
-    """Lines y(x) and x(y) between two strands' counts, or None where there is too little to tell.
+def middle(x: np.ndarray, n: np.ndarray) -> float:
+    """The median of values that stand there ``n`` times each."""
+    order = np.argsort(x, kind="stable")
+    ends = np.cumsum(n[order])
+    low, high = np.searchsorted(ends, [(ends[-1] - 1) / 2, ends[-1] / 2], side="right")
+    return float(x[order][low] + x[order][min(high, len(x) - 1)]) / 2
 
-    Fewer than 3 pairs, or over 0.7 zeros on either side: none. Below 0.2 correlation: the medians. Otherwise robust
-    fits both ways; the one with the smaller R^2 on its inliers is replaced by the other's inverse; a fit of negative R^2
-    or of a slope over 100 by the median.
-    """
-    if len(x) < 3 or (x == 0).mean() > 0.7 or (y == 0).mean() > 0.7:
-        return None
-    spread = x.std() * y.std()
-    if spread == 0 or abs(((x - x.mean()) * (y - y.mean())).mean() / spread) < 0.2:
-        return 0.0, float(np.median(y)), 0.0, float(np.median(x))
 
+def robust_pair(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float, float, float]:
+    """Robust lines y(x) and x(y) between two strands' counts, pairs weighted by how often they stand there.
+
+    The fit with the smaller R^2 on its inliers is replaced by the other's inverse; a fit of negative R^2 or of a slope over
+    100 by the median.
+    """
     def fit(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
-        slope, const, inner = huber(a, b)
-        total = ((b[inner] - b[inner].mean()) ** 2).sum() if inner.any() else 0.0
-        return slope, const, 1 - ((b[inner] - slope * a[inner] - const) ** 2).sum() / total if total > 0 else -1.0
+        slope, const, inner = huber(a, b, n)
+        m = n[inner]
+        total = (m * (b[inner] - (m * b[inner]).sum() / m.sum()) ** 2).sum() if inner.any() else 0.0
+        return slope, const, 1 - (m * (b[inner] - slope * a[inner] - const) ** 2).sum() / total if total > 0 else -1.0
 
     a1, c1, r1 = fit(x, y)
     a2, c2, r2 = fit(y, x)
@@ -84,27 +90,61 @@ def line_pair(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float]
         elif r2 < r1 and a1:
             a2, c2 = 1 / a1, -c1 / a1
     if r1 < 0 or abs(a1) > 100:
-        a1, c1 = 0.0, float(np.median(y))
+        a1, c1 = 0.0, middle(y, n)
     if r2 < 0 or abs(a2) > 100:
-        a2, c2 = 0.0, float(np.median(x))
+        a2, c2 = 0.0, middle(x, n)
     return a1, c1, a2, c2
 
 
-def linear(rows: DataFrame, group: list[str], offset: int = 53) -> DataFrame:
-    """Unobservable cuts by lines fitted, in each group and position, between the strands' observable counts."""
+def pair_counts(rows: DataFrame, group: list[str], offset: int = 53) -> DataFrame:
+    """(group, pos, x, y, n): how often each pair of counts of the two strands stands at a position that both can observe."""
     first = F.greatest(F.col("wed") + 1 - 2 * offset, F.lit(0))
     last = F.least(F.size("top") - 2 * offset, F.col("wst")) - 1
     seen = rows.where(first <= last).select(*group, "top", "bottom", F.explode(F.sequence(first, last)).alias("pos"))
     pairs = seen.select(*group, "pos", F.get("top", F.col("pos")).alias("x"), F.get("bottom", F.col("pos") + 2 * offset).alias("y"))
-    shape = pairs.select(*group, "pos", F.lit(0.0).alias("a1"), F.lit(0.0).alias("c1"), F.lit(0.0).alias("a2"), F.lit(0.0).alias("c2")).schema
+    return pairs.groupBy(*group, "pos", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+def branches(counts: DataFrame, group: list[str]) -> DataFrame:
+    """(group, pos, pairs, branch, x, y): how a position is to be filled, and the medians of both strands.
+
+    ``none`` with fewer than 3 pairs or over 0.7 zeros on either side; ``median`` below 0.2 correlation; else ``line``.
+    """
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    facts = counts.groupBy(*group, "pos").agg(
+        F.sum(n).alias("pairs"), F.sum(F.when(x == 0, n).otherwise(0)).alias("zx"), F.sum(F.when(y == 0, n).otherwise(0)).alias("zy"),
+        F.sum(n * x).alias("sx"), F.sum(n * y).alias("sy"), F.sum(n * x * x).alias("sxx"), F.sum(n * y * y).alias("syy"), F.sum(n * x * y).alias("sxy"),
+        F.percentile(x, F.lit(0.5), n).alias("x"), F.percentile(y, F.lit(0.5), n).alias("y"),
+    )
+    m = F.col("pairs")
+    spread = (m * F.col("sxx") - F.col("sx") ** 2) * (m * F.col("syy") - F.col("sy") ** 2)
+    correlation = (m * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(spread)
+    few = (m < 3) | (F.col("zx") / m > 0.7) | (F.col("zy") / m > 0.7)
+    branch = F.when(few, "none").when((spread <= 0) | (F.abs(correlation) < 0.2), "median").otherwise("line")
+    return facts.select(*group, "pos", "pairs", branch.alias("branch"), "x", "y")
+
+
+def lines(rows: DataFrame, group: list[str], offset: int = 53) -> DataFrame:
+    """(group, pos, a1, c1, a2, c2): lines bottom(top) and top(bottom) of each group and position that has enough pairs.
+
+    What meets in a task is the different pairs of counts of one position, not the ids of its group.
+    """
+    counts = pair_counts(rows, group, offset)
+    told = branches(counts, group)
+    zero = F.lit(0.0)
+    flat = told.where("branch = 'median'").select(*group, "pos", zero.alias("a1"), F.col("y").alias("c1"), zero.alias("a2"), F.col("x").alias("c2"))
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
-        found = line_pair(part["x"].to_numpy(float), part["y"].to_numpy(float))
-        head = part[[*group, "pos"]].head(1 if found else 0)
-        return head.assign(**dict(zip(("a1", "c1", "a2", "c2"), found or [0.0] * 4, strict=True)))
+        found = robust_pair(part["x"].to_numpy(float), part["y"].to_numpy(float), part["n"].to_numpy(float))
+        return part[[*group, "pos"]].head(1).assign(**dict(zip(("a1", "c1", "a2", "c2"), found, strict=True)))
+
+    fitted = counts.join(told.where("branch = 'line'").select(*group, "pos"), [*group, "pos"], "left_semi")
+    return flat.union(fitted.groupBy(*group, "pos").applyInPandas(fit, flat.schema))
 
-    lines = pairs.groupBy(*group, "pos").applyInPandas(fit, shape)
-    table = lines.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("pos", F.struct("a1", "c1", "a2", "c2")))).alias("__lines"))
+
+def linear(rows: DataFrame, group: list[str], offset: int = 53) -> DataFrame:
+    """Unobservable cuts by lines fitted, in each group and position, between the strands' observable counts."""
+    table = lines(rows, group, offset).groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("pos", F.struct("a1", "c1", "a2", "c2")))).alias("__lines"))
     met = rows.join(table, group, "left")
     cells = F.sequence(F.lit(0), F.size("top") - 1)
     line = lambda j: F.try_element_at("__lines", j)
@@ -115,45 +155,6 @@ def linear(rows: DataFrame, group: list[str], offset: int = 53) -> DataFrame:
     return filled.withColumn("dyad", _dyads(offset))
 
 
-def bayesian(rows: DataFrame, group: list[str], offset: int = 53, cycles: int = 200, burn: int = 50, seed: int = 1) -> DataFrame:
-    """Unobservable cuts as posterior medians of a Poisson model, by Gibbs sampling within each group.
-
-    Top and bottom cuts of a centre at p are Poisson with means D(p) r and D(p) (1 - r): gamma draws for the centres, a
-    beta draw for the strand ratio of each position, Poisson draws for what is missing. Groups run apart, each seeded by
-    its own keys, so a run can be repeated.
-    """
-    shape = rows.select(*rows.columns, F.col("top").alias("dyad")).schema
-
-    def sample(part: pd.DataFrame) -> pd.DataFrame:
-        key = "|".join(str(part[g].iloc[0]) for g in group)
-        rng = np.random.default_rng([seed, *key.encode()])
-        top, bottom = np.vstack(part["top"]).astype(float), np.vstack(part["bottom"]).astype(float)
-        n, length = top.shape
-        at = np.arange(length)
-        no_top, no_bottom = at[None] >= part["wst"].to_numpy()[:, None], at[None] <= part["wed"].to_numpy()[:, None]
-        centre = np.arange(offset, length - offset)
-        t, b = top[:, centre - offset], bottom[:, centre + offset]
-        mt, mb = no_top[:, centre - offset], no_bottom[:, centre + offset]
-        t, b = np.where(mt, b, t), np.where(mb, np.where(mt, 0.5, t), b)
-        kept_t, kept_b = [], []
-        for cycle in range(cycles):
-            ratio = rng.beta(1 + np.where(mt | mb, 0, t).sum(0), 1 + np.where(mt | mb, 0, b).sum(0))
-            seen = np.where(mt, 0, t) + np.where(mb, 0, b)
-            share = np.where(mt, 0, ratio) + np.where(mb, 0, 1 - ratio)
-            mean = rng.gamma(seen + 0.5, 1.0) / np.maximum(share, 0.05)
-            t, b = np.where(mt, rng.poisson(mean * ratio), t), np.where(mb, rng.poisson(mean * (1 - ratio)), b)
-            if cycle >= burn:
-                kept_t.append(np.where(mt, t, 0))
-                kept_b.append(np.where(mb, b, 0))
-        top[:, centre - offset] = np.where(mt, np.median(kept_t, 0), top[:, centre - offset])
-        bottom[:, centre + offset] = np.where(mb, np.median(kept_b, 0), bottom[:, centre + offset])
-        dyad = np.zeros_like(top)
-        dyad[:, centre] = top[:, centre - offset] + bottom[:, centre + offset]
-        return part.assign(top=list(top), bottom=list(bottom), dyad=list(dyad))
-
-    return rows.groupBy(*group).applyInPandas(sample, shape)
-
-
 def residuals(imputed: DataFrame, truth: DataFrame, key: list[str], value: str, true_value: str) -> DataFrame:
     """(n, sum_squares, mean_squares) of an imputation against the truth."""
     d = F.col(value) - F.col(true_value)

@@ -82,17 +82,27 @@ def unmapped(sam: DataFrame) -> Column:
     return (F.col("pos") < 0) | (F.col("flag").bitwiseAND(4) != 0) | (F.col("rname") == "*")
 
 
+def met_calls(tokens: DataFrame, refs: DataFrame) -> DataFrame:
+    """``tokens`` (call, ...) with the length of the reference of that name, and the letters a call without one changes."""
+    met = tokens.join(refs.select(F.col("ref_id").alias("call"), F.length("seq").alias("ref_len")), "call", "left")
+    size = F.length(F.regexp_extract("call", r"^-?\d+-[MID]-(.*)$", 1))
+    return met.withColumn("edit", F.when(F.col("ref_len").isNull() & F.col("call").isNotNull(), size).otherwise(0))
+
+
+def probe(calls: DataFrame, refs: DataFrame) -> DataFrame:
+    """(read_id, hits, edits): how many calls of each read (read_id, calls) are references, and the letters of the others."""
+    tokens = calls.select("read_id", F.explode_outer("calls").alias("call"))
+    return met_calls(tokens, refs).groupBy("read_id").agg(F.count("ref_len").alias("hits"), F.sum("edit").alias("edits"))
+
+
 def classify_direct(sam: DataFrame, refs: DataFrame, backbone: str, max_edits: int = 20, margin: int = 10) -> DataFrame:
     """(read_id, type, hit, cut_loc) of reads aligned to the backbone: their variant calls are looked up in ``refs`` (ref_id, seq)."""
     called = variant_calls(sam, backbone)
     bad = unmapped(called)
     token = called.select("read_id", "pos", "aligned_end", bad.alias("bad"), F.explode_outer("calls").alias("call"))
-    known = refs.select(F.col("ref_id").alias("call"), F.length("seq").alias("ref_len"))
-    met = token.join(known, "call", "left")
-    size = F.length(F.regexp_extract("call", r"^-?\d+-[MID]-(.*)$", 1))
-    grouped = met.groupBy("read_id", "pos", "aligned_end", "bad").agg(
+    grouped = met_calls(token, refs).groupBy("read_id", "pos", "aligned_end", "bad").agg(
         F.sort_array(F.collect_list(F.when(F.col("ref_len").isNotNull(), F.struct(F.col("call"), F.col("ref_len"))))).alias("hits"),
-        F.sum(F.when(F.col("ref_len").isNull() & F.col("call").isNotNull(), size).otherwise(0)).alias("edits"),
+        F.sum("edit").alias("edits"),
     )
     one = F.get("hits", 0)
     v = variant(one["call"])
@@ -213,7 +223,8 @@ def valid_fraction(reads: DataFrame, key: str, valid: Column) -> DataFrame:
 def abundance(reads: DataFrame, key: str) -> DataFrame:
     """(key, share) of all reads."""
     counts = reads.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(key, (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))
+    total = reads.agg(F.count(F.lit(1)).alias("__all"))  # one row
+    return counts.crossJoin(F.broadcast(total)).select(key, (F.col("n") / F.col("__all")).alias("share"))
 
 
 def crosstalk(reads: DataFrame) -> DataFrame:

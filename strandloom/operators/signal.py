@@ -178,6 +178,25 @@ def periodogram(signal: DataFrame, key: list[str]) -> DataFrame:
     return parts.select(*key, "k", (F.col("n") / F.col("k")).alias("period"), (F.sqrt(F.col("re") ** 2 + F.col("im") ** 2) / F.col("n")).alias("amplitude"), (F.atan2("im", "re") / math.pi).alias("phase"))
 
 
+def resampled(points: DataFrame, key: list[str], x: str, y: str, first: int, last: int) -> DataFrame:
+    """(key, pos, value) at the whole places from ``first`` to ``last``, on straight lines between a key's points.
+
+    Equal places are one point, of their mean. A key's points are sorted once; a place is told by the line that ends there
+    or passes it. A key whose points don't reach from ``first`` to ``last`` is left out.
+    """
+    w = Window.partitionBy(*key).orderBy("__x")
+    ends = Window.partitionBy(*key)
+    knots = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*key, F.col(x).cast("double").alias("__x")).agg(F.avg(y).alias("__y"))
+    lines = knots.select(*key, "__x", "__y", F.lag("__x").over(w).alias("__a"), F.lag("__y").over(w).alias("__b"), F.min("__x").over(ends).alias("__lo"), F.max("__x").over(ends).alias("__hi"))
+    lines = lines.where((F.col("__lo") <= first) & (F.col("__hi") >= last))
+    low = F.greatest(F.when(F.col("__a").isNull(), F.ceil("__x")).otherwise(F.floor("__a") + 1), F.lit(first)).cast("int")
+    high = F.least(F.floor("__x"), F.lit(last)).cast("int")
+    # a key's least point tells its own place only
+    places = lines.where(low <= high).withColumn("pos", F.explode(F.sequence(low, high)))
+    share = (F.col("pos") - F.col("__a")) / (F.col("__x") - F.col("__a"))
+    return places.select(*key, "pos", F.when(F.col("__a").isNull(), F.col("__y")).otherwise(F.col("__b") + share * (F.col("__y") - F.col("__b"))).alias("value"))
+
+
 def lomb_scargle(signal: DataFrame, key: list[str], periods: list[float]) -> DataFrame:
     """(key, period, power): normalised Lomb-Scargle power of the centred signal, whose positions may have gaps."""
     mean = F.avg("value").over(_by(key))

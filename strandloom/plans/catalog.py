@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..functions import tables
 from ..operators import divergence as D
+from ..operators import gibbs as B
 from ..operators import impute as I
 from ..operators import joins as J
 from ..operators import reads as R
@@ -28,6 +29,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 LENGTH, OFFSET = 225, 53
+TEMPLATE = "".join("ACGT"[(i * i + 3 * i + i // 7) % 4] for i in range(LENGTH))
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -226,6 +228,11 @@ def bending_energy(spark, sf):
 
 # -- sources -----------------------------------------------------------------------------------------------------------
 
+def event_piece() -> Column:
+    """20 to 49 letters of the template, from a place that the user says."""
+    return F.substring(F.lit(TEMPLATE), (F.col("user_id") % 150 + 1).cast("int"), (F.col("event_id") % 30 + 20).cast("int"))
+
+
 def event_reads(spark: SparkSession, sf: str) -> DataFrame:
     """Classified reads: an event is a read whose id says what its reference's variant is."""
     e = F.col("event_id")
@@ -233,12 +240,11 @@ def event_reads(spark: SparkSession, sf: str) -> DataFrame:
     name = F.concat_ws("-", (F.col("user_id") % 225).cast("string"), kind, F.repeat(F.lit("A"), (e % 5 + 1).cast("int")))
     type_ = F.when(F.col("event_type") == "error", "mutant").when(F.col("event_type").isin("view", "click"), "valid").otherwise("unIden")
     cut = F.concat(F.when(e % 2 == 0, "L:").otherwise("R:"), ((e * 7) % 225).cast("string"))
-    rows = read(spark, sf, "events").select(e.cast("string").alias("read_id"), type_.alias("type"), F.when(e % 11 == 0, "BACKBONE").otherwise(name).alias("mapped_id"), cut.alias("cut_loc"))
-    return rows.withColumn("read_seq", F.lit("N"))
+    return read(spark, sf, "events").select(e.cast("string").alias("read_id"), type_.alias("type"), F.when(e % 11 == 0, "BACKBONE").otherwise(name).alias("mapped_id"), cut.alias("cut_loc"), event_piece().alias("read_seq"))
 
 
-READS = """er AS (SELECT event_id AS e, user_id % 225 AS loc, CASE event_id % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'I' ELSE 'D' END AS k, CAST(event_id % 5 + 1 AS INT) AS n,
-CASE WHEN event_type = 'error' THEN 'mutant' WHEN event_type IN ('view', 'click') THEN 'valid' ELSE 'unIden' END AS type, CASE WHEN event_id % 2 = 0 THEN 'L' ELSE 'R' END AS side, (event_id * 7) % 225 AS cut FROM events WHERE event_id % 11 <> 0)"""
+READS = f"""er AS (SELECT event_id AS e, user_id % 225 AS loc, CASE event_id % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'I' ELSE 'D' END AS k, CAST(event_id % 5 + 1 AS INT) AS n,
+CASE WHEN event_type = 'error' THEN 'mutant' WHEN event_type IN ('view', 'click') THEN 'valid' ELSE 'unIden' END AS type, CASE WHEN event_id % 2 = 0 THEN 'L' ELSE 'R' END AS side, (event_id * 7) % 225 AS cut, substr('{TEMPLATE}', CAST(user_id % 150 + 1 AS INT), CAST(event_id % 30 + 20 AS INT)) AS piece FROM events WHERE event_id % 11 <> 0)"""
 
 
 @query(f"WITH {READS} SELECT CAST(e AS VARCHAR) AS read_id, type, loc || '-' || k || '-' || repeat('A', n) AS mapped_id, side || ':' || cut AS cut_loc FROM er WHERE type <> 'unIden'")
@@ -347,7 +353,7 @@ def linear_impute(spark, sf):
 
 @query()
 def bayes_impute(spark, sf):
-    return _cells(I.bayesian(strand_arrays(spark, sf).withColumn("g", F.pmod("id", F.lit(16))), ["g"]))
+    return _cells(B.bayesian(strand_arrays(spark, sf).withColumn("g", F.pmod("id", F.lit(16))), ["g"], OFFSET))
 
 
 @query("SELECT user_id, round(avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END), 6) AS share FROM events GROUP BY user_id")
@@ -633,10 +639,10 @@ def substring_join(spark, sf):
     return J.by_centre(names.select(F.col("p_name").alias("n1")), names.select(F.col("p_name").alias("n2")), "n1", "n2", 3, "left").select("n1", "n2")
 
 
-@query("""WITH q AS (SELECT item_id, substr(text, 1, 24) AS q FROM benchmark WHERE length(text) >= 24), h AS (SELECT item_id, doc_id, q, string_split(text, q) AS parts FROM documents JOIN q ON contains(text, q)),
-o AS (SELECT item_id, doc_id, q, parts, unnest(range(1, len(parts))) AS i FROM h) SELECT item_id, doc_id, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * 24 AS INT) AS pos FROM o""")
+@query("""WITH q AS (SELECT item_id, text AS q FROM benchmark WHERE length(text) >= 12), h AS (SELECT item_id, doc_id, q, string_split(text, q) AS parts FROM documents JOIN q ON contains(text, q)),
+o AS (SELECT item_id, doc_id, q, parts, unnest(range(1, len(parts))) AS i FROM h) SELECT item_id, doc_id, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(q) AS INT) AS pos FROM o""")
 def containment(spark, sf):
-    queries = read(spark, sf, "benchmark").where(F.length("text") >= 24).select("item_id", F.left("text", F.lit(24)).alias("q"))
+    queries = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("q"))
     return J.containment(queries, spread(read(spark, sf, "documents").select("doc_id", "text")), "item_id", "q", "doc_id", "text", 12, unique=False)
 
 
@@ -844,12 +850,11 @@ def classify_simulated(spark, sf):
     """Reads cut from the template library, as an aligner would place them, classified and held against the truth."""
     from ..models import simulate
 
-    template = "".join("ACGT"[(i * i + 3 * i + i // 7) % 4] for i in range(LENGTH))
-    library = simulate.scanning_library(spark.createDataFrame([(template,)], "seq string"), [1, 3])
+    library = simulate.scanning_library(spark.createDataFrame([(TEMPLATE,)], "seq string"), [1, 3])
     made = simulate.simulated_reads(library, 2)
     start = F.when(F.element_at(F.split("read_id", "/"), -1).startswith("R"), F.split(F.element_at(F.split("read_id", "/"), -1), ":")[1].cast("int") + 1).otherwise(0)
     sam = made.select("read_id", F.lit(0).alias("flag"), F.lit("BACKBONE").alias("rname"), start.alias("pos"), F.concat(F.length("seq").cast("string"), F.lit("M")).alias("cigar"), "seq")
-    return R.crosstalk(R.classify_direct(sam, library, template))
+    return R.crosstalk(R.classify_direct(sam, library, TEMPLATE))
 
 
 @query("""WITH b AS (SELECT repeat('ACGTTGCAACGGTTAACC', 3) AS s), w AS (SELECT s, z.size, unnest(range(0, length(s) - z.size + 1)) AS loc FROM b, (SELECT unnest([1, 2, 3]) AS size) z),
@@ -863,8 +868,6 @@ def scanning_library(spark, sf):
 
 # -- sequences under weights -------------------------------------------------------------------------------------------
 
-TEMPLATE = "".join("ACGT"[(i * i + 3 * i + i // 7) % 4] for i in range(LENGTH))
-
 
 def brand_sequences(spark: SparkSession, sf: str) -> DataFrame:
     """(id, n, seq): 50 letters of the template for each brand, from the place of its number."""
@@ -1087,7 +1090,8 @@ def component_outliers(spark, sf):
     return matrices.outliers(rows, "p_partkey").select("p_partkey", r6("distance").alias("distance"))
 
 
-@query(f"""WITH {READS.replace("WHERE event_id % 11 <> 0", "")} SELECT 'type' AS measure, type AS item, count(*) AS n FROM er GROUP BY 2 UNION ALL SELECT 'length', '1', count(*) FROM er UNION ALL SELECT 'gc', '0', count(*) FROM er
+@query(f"""WITH {READS.replace("WHERE event_id % 11 <> 0", "")} SELECT 'type' AS measure, type AS item, count(*) AS n FROM er GROUP BY 2 UNION ALL SELECT 'length', CAST(length(piece) AS VARCHAR), count(*) FROM er GROUP BY 2
+UNION ALL SELECT 'gc', CAST(CAST(floor(length(regexp_replace(piece, '[^GC]', '', 'g')) * 100.0 / length(piece)) AS BIGINT) AS VARCHAR), count(*) FROM er GROUP BY 2
 UNION ALL SELECT 'coverage', CASE WHEN e % 11 = 0 THEN 'BACKBONE' ELSE loc || '-' || k || '-' || repeat('A', n) END, count(*) FROM er WHERE type = 'valid' GROUP BY 2""")
 def library_report(spark, sf):
     return R.library_report(event_reads(spark, sf))
@@ -1126,3 +1130,7 @@ def bisection_tree(spark, sf):
     from ..models import matrices
 
     return spark.createDataFrame(matrices.bisections(nation_pairs(spark, sf).withColumn("score", J.similarity(F.col("js")))))
+
+
+# the queries that ``extended`` registers
+from . import extended  # noqa: E402, F401

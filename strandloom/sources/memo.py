@@ -39,6 +39,34 @@ def passing_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+class Settled:
+    """Steps of an iteration, each written in the shared folder and read again, so that a lost executor repeats one step.
+
+    A state replaces the state before it, whose files go; what is kept beside it is small and goes when the application ends.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.name, self.last = spark, name, None
+
+    def keep(self, frame: DataFrame) -> DataFrame:
+        path = passing_folder(self.spark, self.name)
+        frame.write.parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
+    def put(self, frame: DataFrame) -> DataFrame:
+        path = passing_folder(self.spark, self.name)
+        frame.write.parquet(path)
+        if self.last is not None:
+            at, files = _path(self.spark, self.last)
+            files.delete(at, True)
+        self.last = path
+        return self.spark.read.schema(frame.schema).parquet(path)
+
+    def close(self, frame: DataFrame) -> DataFrame:
+        self.last = None
+        return frame
+
+
 def common_stem(paths: Iterable[str]) -> str | None:
     """What all file names, without their last extension, begin with; null where that is nothing."""
     return os.path.commonprefix([os.path.splitext(p)[0] for p in paths]) or None

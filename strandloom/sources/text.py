@@ -1,7 +1,7 @@
 """Readers of line and record formats as DataFrames, and writers.
 
 Line formats split anywhere. Record formats (a mark at line start, then lines) are read with the mark as the separator,
-which Spark splits as well; only files whose sections depend on all lines before are read whole, one row a file.
+which Spark splits as well; those whose records depend on more than their own lines come from ``records``, by byte ranges.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .records import FOUR_LINES, SPLIT_BYTES, records
+
 
 def _fields(line: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")
@@ -25,23 +27,26 @@ def sorted_reads(spark: SparkSession, path: str, types: tuple[str, ...] | None =
     return rows.where(F.col("type").isin(*types)) if types else rows
 
 
-def fasta(spark: SparkSession, path: str, upper: bool = False) -> DataFrame:
-    """(ref_id, seq): a record's lines are joined; the id is the header's first word."""
+def fasta(spark: SparkSession, path: str, upper: bool = False, tricky: bool = False) -> DataFrame:
+    """(ref_id, seq): a record's lines are joined; the id is the header's first word, or with ``tricky`` "chr" and the value
+    of a "[chromosome=..]" field where there is one."""
     records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
     parts = F.split("value", r"\r?\n", 2)
     seq = F.regexp_replace(F.coalesce(F.get(parts, 1), F.lit("")), r"\s+", "")
-    return records.select(F.regexp_extract(parts[0], r"^\s*(\S+)", 1).alias("ref_id"), (F.upper(seq) if upper else seq).alias("seq")).where("ref_id <> ''")
+    word, number = F.regexp_extract(parts[0], r"^\s*(\S+)", 1), F.regexp_extract(parts[0], r"\[chromosome=([^\]]+)\]", 1)
+    name = F.when(number != "", F.concat(F.lit("chr"), number)).otherwise(word) if tricky else word
+    return records.select(name.alias("ref_id"), (F.upper(seq) if upper else seq).alias("seq")).where("ref_id <> ''")
 
 
-def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(read_id, seq, qual) of four-line records.
+def fastq(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(read_id, seq, qual) of four-line records."""
+    l = F.col("lines")
+    return records(spark, path, FOUR_LINES, split_bytes=split_bytes).select(F.regexp_extract(l[0], r"^@(\S+)", 1).alias("read_id"), l[1].alias("seq"), l[3].alias("qual"))
 
-    Lines are numbered within their file by their byte order: a record never spans files, and quality lines may begin
-    with any mark, so the lines are counted, not searched.
-    """
-    whole = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("l"))
-    rows = whole.select(F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("l") - 3) / 4).cast("int")), lambda i: F.struct(F.get("l", i * 4).alias("h"), F.get("l", i * 4 + 1).alias("seq"), F.get("l", i * 4 + 3).alias("qual")))).alias("r"))
-    return rows.where(F.col("r.h").startswith("@")).select(F.regexp_extract("r.h", r"^@(\S+)", 1).alias("read_id"), "r.seq", "r.qual")
+
+def write_fastq(rows: DataFrame, path: str) -> None:
+    """Four-line records of rows (read_id, seq, qual)."""
+    rows.select(F.concat(F.lit("@"), "read_id", F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("value")).write.mode("overwrite").text(path)
 
 
 def merge_pairs(pairs: DataFrame, seq1: str, seq2: str, least: int = 10, mismatches: float = 0.1) -> DataFrame:
@@ -71,16 +76,16 @@ SECTIONS = {
 }
 
 
-def signal_file(spark: SparkSession, path: str) -> DataFrame:
+def signal_file(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """One row for each id of signal files: header values, sequence, shapes, window, method and the dense signals.
 
-    A file is one row at first (its header holds for all its records), then one row for each of its records.
+    A file's header holds for all its records: it goes with each byte range of the file.
     """
-    whole = spark.read.text(path, wholetext=True)
-    head = lambda name: F.regexp_extract(F.split("value", r"\n>")[0], rf"@{name}\s+(\d+)", 1).try_cast("int")
-    records = whole.select(head("ref_length").alias("ref_length"), head("left_offset").alias("left_offset"), head("right_offset").alias("right_offset"), F.explode(F.slice(F.split("value", r"(?:^|\n)>"), F.lit(2), F.lit(1 << 30))).alias("r"))
-    lines = F.transform(F.split("r", r"\r?\n"), lambda x: F.trim(x))  # trim itself would take the index as the letters to trim
-    rows = records.withColumn("lines", lines)
+    found = records(spark, path, ">", head=True, split_bytes=split_bytes)
+    head = lambda name: F.regexp_extract(F.try_element_at("head", F.lit(name)), r"^(\d+)", 1).try_cast("int").alias(name)
+    # trim itself would take the index as the letters to trim
+    lines = F.transform(F.transform("lines", lambda x: F.regexp_replace(x, "^>", "")), lambda x: F.trim(x))
+    rows = found.select(head("ref_length"), head("left_offset"), head("right_offset"), lines.alias("lines"))
     section = lambda name: F.get("lines", F.array_position("lines", f"@{name}").cast("int"))
     numbers = lambda name: F.when(F.array_contains("lines", f"@{name}"), F.transform(F.split(section(name), ","), lambda x: F.trim(x).try_cast("double")))
     text = lambda name: F.when(F.array_contains("lines", f"@{name}"), section(name))
@@ -172,8 +177,7 @@ def loops(spark: SparkSession, path: str, trim: int = 0) -> DataFrame:
 
 def assays(spark: SparkSession, path: str) -> DataFrame:
     """(sample, rep, time, value): "@sample" sections of rows "time v v ..."; a repeated name is skipped after its first."""
-    records = spark.read.text(path, wholetext=True).select(F.posexplode(F.slice(F.split("value", r"(?:^|\n)@"), F.lit(2), F.lit(1 << 30))).alias("i", "r"))
-    named = records.select("i", F.trim(F.split("r", r"\r?\n")[0]).alias("sample"), F.slice(F.split("r", r"\r?\n"), F.lit(2), F.lit(1 << 30)).alias("l"))
+    named = records(spark, path, "@").select(F.struct("file", "start").alias("i"), F.trim(F.substring(F.col("lines")[0], 2, 1 << 30)).alias("sample"), F.slice("lines", F.lit(2), F.lit(1 << 30)).alias("l"))
     first = named.groupBy("sample").agg(F.min_by("l", "i").alias("l"))
     rows = first.select("sample", F.explode("l").alias("line")).select("sample", F.transform(_fields(F.col("line")), lambda x: x.try_cast("double")).alias("v"))
     return rows.where("size(v) >= 2 AND v[0] IS NOT NULL").select("sample", F.col("v")[0].alias("time"), F.posexplode(F.slice("v", F.lit(2), F.lit(1 << 30))).alias("rep", "value")).where("value IS NOT NULL").select("sample", "rep", "time", "value")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import sequence as S
 from strandloom.models import simulate
 from strandloom.operators import divergence as D
+from strandloom.operators import gibbs as B
 from strandloom.operators import impute as I
 from strandloom.operators import joins as J
 from strandloom.operators import reads as R
@@ -81,7 +82,7 @@ def test_cuts_by_variant(spark):
 def test_imputation_recovers_hidden_cuts(spark):
     truth = simulate.simulated_counts(spark, 12, length=120, offset=20, centres=(40, 60, 80), width=30, depth=60.0, noise=0.0, seed=3)
     hidden = truth.select("id", F.lit(55).alias("wst"), F.lit(60).alias("wed"), F.transform("top", lambda x, i: F.when(i >= 55, 0.0).otherwise(x)).alias("top"), F.transform("bottom", lambda x, i: F.when(i <= 60, 0.0).otherwise(x)).alias("bottom"), F.lit("g").alias("g"), F.col("dyad").alias("truth"))
-    for filled in (I.naive(hidden, 20), I.linear(hidden, ["g"], 20), I.bayesian(hidden, ["g"], 20, cycles=40, burn=10)):
+    for filled in (I.naive(hidden, 20), I.linear(hidden, ["g"], 20), B.bayesian(hidden, ["g"], 20, rounds=4, inner=6, burn=1)):
         rows = filled.select("dyad", "truth", "top").collect()
         assert all(len(r.dyad) == 120 for r in rows)
         if "g" in filled.columns and filled.count():
