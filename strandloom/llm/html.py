@@ -8,14 +8,15 @@ tokens that such passages cover go, and runs that only one page has stay. On a p
 main text; on a page without one, the open unique runs are.
 
 The host's stream is sorted in shards of pages, each of bounded size; a shard gives each distinct RUN-token prefix of its
-sorted suffixes once, with the number of pages that have it. Those counts are summed over the shards of a host (pages lie
-in one shard each, so the sum is exact), and the prefixes on enough pages go back to the shards. A large host is thus
-never in one task, and passages that repeat across its shards are found as well.
+sorted suffixes once, with the number of pages that have it. Those counts are summed over the shards of a host (a page, and
+with it its copies, lies in one shard, so the sum is exact), and the prefixes on enough pages go back to the shards that
+have them. A large host is thus never in one task, and passages that repeat across its shards are found as well. Each page
+is parsed once, and what it says is written.
 
 Defined results: null and empty html give an empty text; character references are decoded once; white space inside a
 block becomes one space; malformed nesting closes at the next end tag that matches, or at the end, and a quote that never
-closes ends with its tag; identical pages count
-as pages of their own when passages are counted, and rows that repeat get the same text; a null url is a host of its
+closes ends with its tag; pages of a host that say the same outside their articles (rows that repeat, copies under other
+addresses) count as one page when passages are counted, and get the same text; a null url is a host of its
 own; a page of any length is read whole; an empty table gives an empty result; other columns are not carried.
 """
 
@@ -82,6 +83,7 @@ def page_blocks(page: str | None) -> list[tuple[int, str]]:
     if not page:
         return out
     stack: list[tuple[str, bool, bool, bool]] = []  # name, then whether it makes its inside hidden, furniture, article
+    opened: dict[str, list[int]] = {}  # where each name stands in the stack
     parts: list[str] = []
     hidden = furniture = article = 0
 
@@ -112,12 +114,11 @@ def page_blocks(page: str | None) -> list[tuple[int, str]]:
         if name not in INLINE:
             flush()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    for _, h, f, a in stack[i:]:
-                        hidden, furniture, article = hidden - h, furniture - f, article - a
-                    del stack[i:]
-                    break
+            if opened.get(name):
+                for _ in range(len(stack) - opened[name][-1]):
+                    closed, h, f, a = stack.pop()
+                    opened[closed].pop()
+                    hidden, furniture, article = hidden - h, furniture - f, article - a
             continue
         if name in RAW and not m[3].endswith("/"):
             end = RAW_END[name].search(page, at)
@@ -134,6 +135,7 @@ def page_blocks(page: str | None) -> list[tuple[int, str]]:
         a = name in ARTICLE or (name in ("div", "section") and bool(marks) and not f and bool(CONTENT_MARKS.search(marks)))
         if h or f or a or name not in INLINE:
             flush() if h or f or a else None
+            opened.setdefault(name, []).append(len(stack))
             stack.append((name, h, f, a))
             hidden, furniture, article = hidden + h, furniture + f, article + a
     flush()
@@ -191,31 +193,20 @@ def passages(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return mixed, owner[order], position[order]
 
 
-OUTSIDE = "page_id bigint, url string, kinds array<int>, texts array<string>, has_article boolean"
+PARSED = "page_id bigint, url string, article string, kinds array<int>, texts array<string>"
 
 
-def outside_blocks(pages: DataFrame) -> DataFrame:
-    """One row for each page with the blocks outside its article."""
+def parsed(pages: DataFrame) -> DataFrame:
+    """One row for each page: the text of its article, empty without one, and the blocks outside it. One narrow pass."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [page_blocks(h) for h in batch.pop("html").tolist()]
             yield batch.assign(
+                article=["\n".join(t for k, t in x if k == KEEP) for x in found],
                 kinds=[[k for k, _ in x if k != KEEP] for x in found], texts=[[t for k, t in x if k != KEEP] for x in found],
-                has_article=[any(k == KEEP for k, _ in x) for x in found],
-            )
+            )
 
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInPandas(run, OUTSIDE)
-
-
-def article_texts(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text) of the pages that have an article. One narrow pass."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = ["\n".join(t for k, t in page_blocks(h) if k == KEEP) for h in batch.pop("html").tolist()]
-            out = batch.assign(text=texts)
-            yield out[out["text"] != ""]
-
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInPandas(run, "page_id bigint, url string, text string")
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInPandas(run, PARSED)
 
 
 def outside(texts) -> list[str]:
@@ -226,25 +217,33 @@ def outside(texts) -> list[str]:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages`` (page_id, url, html)."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    # the rows' numbers hold once they are written, and rows that repeat have numbers of their own
-    found = written(outside_blocks(pages).withColumn("host", host).withColumn("uid", F.monotonically_increasing_id()), "outside")
-    # hosts are cut into shards of pages by the row's number; how many follows from the characters of the host's pages
+    said = F.to_json(F.struct("kinds", "texts"))
+    found = parsed(pages).withColumn("host", host).withColumn("c1", F.xxhash64(said)).withColumn("c2", F.xxhash64(F.lit(7), said))
+    found = written(found, "parsed")
+    # what pages of a host say outside their articles, once each; copies meet by their hashes before their texts move
+    copies = found.groupBy("host", "c1", "c2").agg(F.first("kinds").alias("kinds"), F.first("texts").alias("texts"), F.min(F.col("article") != "").alias("has_article"))
+    # hosts are cut into shards of pages by their hash; how many follows from the characters of the host's pages
     size = F.aggregate("texts", F.lit(PAGE_CHARS).cast("bigint"), lambda s, t: s + F.length(t))
-    sizes = found.groupBy("host").agg(F.ceil(F.sum(size) / SHARD_CHARS).cast("int").alias("shards"))
-    dealt = found.join(sizes, "host").withColumn("shard", F.pmod(F.xxhash64("uid"), F.col("shards")))
+    distinct = written(copies, "distinct")
+    sizes = distinct.groupBy("host").agg(F.ceil(F.sum(size) / SHARD_CHARS).cast("int").alias("shards"))
+    dealt = distinct.join(sizes, "host").withColumn("shard", F.pmod("c1", F.col("shards")))
 
     def count_runs(group: pd.DataFrame) -> pd.DataFrame:
         keys, owner, _ = passages([outside(t) for t in group["texts"]])
         # equal runs stand together in the suffix order; each counts once a page
         pairs = np.unique(np.stack([keys.view(np.int64), owner]), axis=1) if len(keys) else np.zeros((2, 0), np.int64)
-        runs, n = np.unique(pairs[0], return_counts=True)
-        return pd.DataFrame({"host": pd.Series([group["host"].iloc[0]] * len(runs), dtype=object), "key": runs, "pages": n})
-
-    counted = dealt.select("host", "shard", "texts").groupBy("host", "shard").applyInPandas(count_runs, "host string, key bigint, pages bigint")
+        runs, first, n = np.unique(pairs[0], return_index=True, return_counts=True)
+        is_open = ~group["has_article"].to_numpy(bool)[pairs[1]] if len(runs) else np.zeros(0, bool)
+        asked = np.add.reduceat(is_open.astype(int), first) > 0 if len(runs) else np.zeros(0, bool)
+        head = {c: pd.Series([group[c].iloc[0]] * len(runs), dtype=object) for c in ("host", "shard")}
+        return pd.DataFrame({**head, "key": runs, "pages": n, "asked": asked})
+
+    counted = dealt.select("host", "shard", "texts", "has_article").groupBy("host", "shard").applyInPandas(count_runs, "host string, shard bigint, key bigint, pages bigint, asked boolean")
+    counted = written(counted, "runs")
     repeated = counted.groupBy("host", "key").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= PAGES).select("host", "key")
-    repeated = written(repeated, "runs")
-    open_pages = dealt.where("NOT has_article").select("host", "shard", "page_id", "url", "kinds", "texts")
-    wanted = repeated.join(open_pages.select("host", "shard").distinct(), "host").select(F.col("host").alias("r_host"), F.col("shard").alias("r_shard"), "key")
+    # a shard gets the repeated runs that its own pages without an article have
+    wanted = counted.where("asked").join(repeated, ["host", "key"], "left_semi").select(F.col("host").alias("r_host"), F.col("shard").alias("r_shard"), "key")
+    open_pages = dealt.where("NOT has_article").select("host", "shard", "c1", "c2", "kinds", "texts")
 
     def cover(group: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
         streams = [outside(t) for t in group["texts"]]
@@ -263,8 +262,9 @@ def extract(pages: DataFrame) -> DataFrame:
                 if k == OPEN and (unique := " ".join(w for w, c in zip(words, here, strict=True) if not c)):
                     kept.append(unique)
             texts.append("\n".join(kept))
-        return pd.DataFrame({"page_id": group["page_id"], "url": group["url"], "text": texts})
+        return pd.DataFrame({"host": group["host"], "c1": group["c1"], "c2": group["c2"], "text": texts})
 
-    open_texts = open_pages.groupBy("host", "shard").cogroup(wanted.groupBy("r_host", "r_shard")).applyInPandas(cover, "page_id bigint, url string, text string")
-    both = article_texts(pages).unionByName(open_texts)
+    open_texts = open_pages.groupBy("host", "shard").cogroup(wanted.groupBy("r_host", "r_shard")).applyInPandas(cover, "host string, c1 bigint, c2 bigint, text string")
+    with_article = found.where("article <> ''").select("page_id", "url", F.col("article").alias("text"))
+    both = with_article.unionByName(found.where("article = ''").select("page_id", "url", "host", "c1", "c2").join(open_texts, ["host", "c1", "c2"]).select("page_id", "url", "text"))
     return both.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))

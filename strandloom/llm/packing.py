@@ -2,12 +2,14 @@
 
 A document goes to the shortest window tier that holds it (a longer one is cut into whole windows of the longest tier
 first). Each tier is packed best fit, longest fragment first; the gaps that stay in the long windows are filled from the
-fragments of shorter tiers, the last of them cut to fit, so that a window closes only when it is full. Full windows of a
-tier are dealt to step groups of the same number of tokens each. What is left at the end of a task's rows closes in
-windows of falling tiers; only the rest below the shortest tier is padded, at most one sequence a task.
+fragments of shorter tiers, the last of them cut to fit, so that a window closes only when it is full. What is left at the
+end of a task's rows closes in windows of falling tiers; only the rest below the shortest tier is padded, at most one
+sequence a task.
 
 Packing is local to a task: no shuffle, no global order, and memory bounded by a block of rows and one window a tier.
-The sequence ids carry the task's number, so they are unique, and a task that runs again gives the same ones.
+The sequence ids carry the task's number, so they are unique. The pieces are written; then a second, small pass counts the
+windows of each task and tier, and numbers the windows of a tier through all tasks, so that step groups hold the same number
+of tokens of one tier each, but for the last group of a tier.
 
 Defined results: null and empty texts pack as the end id alone; a text of any length is cut, none is dropped; rows that
 repeat are packed each; ids of a document lie in exactly one piece each; an empty table gives an empty result. Columns
@@ -25,9 +27,11 @@ from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Window lengths of the tiers, ascending; each a power of two.
 TIERS = (256, 512, 1024, 2048, 4096)
 #: Tokens of a step group.
@@ -37,6 +41,8 @@ BLOCK_TOKENS = 1_500_000
 MEMORY = 500_000
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, tier int, step_group bigint"
+#: The same within a task: the task, and the window's number of its tier there.
+LOCAL = PIECE.replace("step_group bigint", "task int, step bigint")
 
 
 class WordTokens:
@@ -50,7 +56,8 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # a text that holds one of the file's own marks is encoded whole, as the library does
+        self.marks = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.memory = memory
         self.chunks: dict[str, bytes] = {}
@@ -80,6 +87,9 @@ class WordTokens:
         return b"".join(out)
 
     def packed(self, text: str) -> bytes:
+        low = text.lower()
+        if any(mark in low for mark in self.marks):
+            return self._raw(text)
         chunks = self.chunks
         parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         out = list(map(chunks.get, parts))
@@ -109,8 +119,8 @@ def shared_words(path: str) -> WordTokens:
 class Packer:
     """Packs fragments (document, start, length) into full windows; whatever waits stays for the next block."""
 
-    def __init__(self, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS):
-        self.tiers, self.step_tokens = tiers, step_tokens
+    def __init__(self, tiers: tuple[int, ...] = TIERS):
+        self.tiers = tiers
         self.waiting: list[list[tuple[int, int, int]]] = [[] for _ in tiers]  # of each tier (length, number, start), the longest last
         self.steps = {t: 0 for t in tiers}
         self.made = 0
@@ -124,10 +134,9 @@ class Packer:
         insort(self.waiting[self.route(piece[0])], piece)
 
     def close(self, pieces: list[tuple[int, int, int]], tier: int) -> None:
-        # the steps of a tier follow each other; the tier stands above them, so no two tiers share a group
-        offset, group = 0, (self.route(tier) << 28) + self.steps[tier] * tier // self.step_tokens
+        offset = 0
         for length, number, start in pieces:
-            self.out.append((number, start, length, self.made, offset, tier, group))
+            self.out.append((number, start, length, self.made, offset, tier, self.steps[tier]))
             offset += length
         self.steps[tier] += 1
         self.made += 1
@@ -175,7 +184,7 @@ class Packer:
 
 
 def tokenize_and_pack(docs: DataFrame, vocabulary: str, end_id: int = 2, tiers: tuple[int, ...] = TIERS, text: str = "text") -> DataFrame:
-    """A row for each piece (see PIECE) of every document (doc_id and ``text``), in one narrow pass.
+    """A row for each piece (see PIECE) of every document (doc_id and ``text``): one narrow pass over the texts.
 
     ``vocabulary`` is the path of a tokenizer file that every executor has, as part of an installed package.
     """
@@ -184,22 +193,23 @@ def tokenize_and_pack(docs: DataFrame, vocabulary: str, end_id: int = 2, tiers:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        base = TaskContext.get().partitionId() << 34
+        task = TaskContext.get().partitionId()
+        base = task << 34
         words, packer, end = shared_words(vocabulary), Packer(tiers), end_id.to_bytes(4, "little")
         held: dict[int, tuple[int | None, bytes]] = {}
         number = waits = 0
 
         def result() -> pd.DataFrame:
             rows = []
-            for n, start, length, sequence, offset, tier, group in packer.out:
+            for n, start, length, sequence, offset, tier, step in packer.out:
                 doc, ids = held[n]
                 crc = zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)])
-                rows.append((doc, start, length, crc, len(ids) // 4, base + sequence, offset, tier, base + group))
+                rows.append((doc, start, length, crc, len(ids) // 4, base + sequence, offset, tier, task, step))
             packer.out.clear()
             alive = {x[1] for rows in packer.waiting for x in rows}
             for n in held.keys() - alive:
                 del held[n]
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECE.split(", ")])
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in LOCAL.split(", ")])
             return out.astype({"doc_id": "Int64"})
 
         for batch in batches:
@@ -217,4 +227,16 @@ def tokenize_and_pack(docs: DataFrame, vocabulary: str, end_id: int = 2, tiers:
         packer.pack(last=True)
         yield result()
 
-    return chosen.mapInPandas(run, PIECE)
+    return in_steps(written(chosen.mapInPandas(run, LOCAL), "pieces"))
+
+
+def in_steps(pieces: DataFrame, step_tokens: int = STEP_TOKENS) -> DataFrame:
+    """Pieces with the step groups of their windows, numbered through all tasks; a group holds windows of one tier."""
+    windows = pieces.groupBy("task", "tier").agg((F.max("step") + 1).alias("n"))
+    # one row a task and tier
+    before = F.sum("n").over(Window.partitionBy("tier").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    first = windows.select("task", "tier", F.coalesce(before, F.lit(0)).alias("first"))
+    number = F.floor((F.col("first") + F.col("step")) * F.col("tier") / step_tokens)
+    # the tier stands above the numbers, so no two tiers share a group
+    group = (F.col("tier").cast("bigint") * (1 << 40) + number).alias("step_group")
+    return pieces.join(first, ["task", "tier"]).select(*(group if c.startswith("step_group") else c.split()[0] for c in PIECE.split(", ")))

@@ -520,10 +520,11 @@ def test_html_runs_equal_brute_force(spark, monkeypatch):
     rows += [rows[0], rows[0]]
     streams = [[b.split() for b in blocks_of(r[2], html.OPEN)] for r in rows]
     have = collections.defaultdict(set)
-    for n, (r, blocks) in enumerate(zip(rows, streams)):
+    for r, blocks in zip(rows, streams):
         for b in blocks:
             for i in range(len(b) - html.RUN + 1):
-                have[r[1].split("/")[2], tuple(b[i : i + html.RUN])].add(n)
+                # rows that say the same are one page
+                have[r[1].split("/")[2], tuple(b[i : i + html.RUN])].add(tuple(map(tuple, blocks)))
     want = collections.Counter()
     for r, blocks in zip(rows, streams):
         kept = []
@@ -554,7 +555,6 @@ def test_packing_covers_every_id_once(spark):
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(path)
-    reference.encode_special_tokens = True
     seen = {r.doc_id: r.text or "" for r in docs.dropDuplicates(["doc_id"]).collect()}
     assert set(pieces.doc_id) == set(seen)
     for doc, part in pieces.groupby("doc_id"):
@@ -586,9 +586,10 @@ def test_packer_leaves_nothing(sizes):
     for number, _, length, *_ in packer.out:
         total[number] += length
     assert total == {i: n for i, n in enumerate(sizes)} and not any(packer.waiting)
-    tier_of = {}
-    for *_, tier, group in packer.out:
-        assert tier_of.setdefault(group, tier) == tier
+    steps = collections.defaultdict(set)
+    for *_, sequence, _, tier, step in packer.out:
+        steps[tier].add((step, sequence))
+    assert all([step for step, _ in sorted(found)] == list(range(len(found))) for found in steps.values())
 
 
 # -- 9 -----------------------------------------------------------------------------------------------------------------

@@ -1,19 +1,23 @@
 """Filter audit, chat formatting and periodic runs, each against a plain version."""
 
+import array
 import hashlib
 import itertools
 import json
 import random
 import re
+import time
 import zlib
 
 import duckdb
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from strandloom.llm import audit, chat, periodic, queries
+from strandloom.llm import audit, chat, html, packing, periodic, queries
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -255,3 +259,53 @@ def test_op12_of_an_empty_table(spark, tmp_path):
     assert row.conv_id == -7 and row.n_turns == 2 and row.loss_chars == len(said)
     assert row.turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
     assert row.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
+# -- pages and packing -------------------------------------------------------------------------------------------------
+
+PAGE = "page_id long, url string, html string"
+
+
+def test_rows_that_repeat_a_page_keep_its_text(spark):
+    body = " ".join(f"w{i}" for i in range(40))
+    notice = "please accept all the cookies of this host now"
+    rows = [(1, "http://h/1", f"<div>{body}</div>")] * 3 + [(2, "http://h/copy", f"<div>{body}</div>")]
+    rows += [(10 + i, "http://n/1", f"<p>{notice}</p><p>own words {i} of page {i}</p>") for i in range(3)] + [(20 + i, "http://m/1", f"<p>{notice}</p><p>own words {i}</p>") for i in range(2)] * 3
+    got = sorted({(r.page_id, r.text) for r in html.extract(spark.createDataFrame(rows, PAGE).repartition(4)).collect()})
+    assert got == [(1, body), (2, body), *((10 + i, f"own words {i} of page {i}") for i in range(3)), *((20 + i, f"{notice}\nown words {i}") for i in range(2))]
+
+
+@pytest.mark.parametrize("part", ["<div></p>", "<div>", "</p>", "<p><div></p>", "<ul><li></ol>"])
+def test_end_tags_that_match_nothing_are_linear(part):
+    began = time.perf_counter()
+    html.page_blocks("<article>" + part * 60_000 + "</article>")
+    short = time.perf_counter() - began
+    html.page_blocks("<article>" + "".join(f"<div>" for _ in range(60_000)) + part * 60_000)
+    assert short < 3 and time.perf_counter() - began < 8
+
+
+def test_nested_ends_close_what_they_should():
+    page = "<article>a<div class='ads'>x<p>y</span></div>b</article><div>c<article>d</div>e</article>f"
+    assert html.page_blocks(page) == [(html.KEEP, "a"), (html.DROP, "x"), (html.DROP, "y"), (html.KEEP, "b"), (html.OPEN, "c"), (html.KEEP, "d"), (html.OPEN, "e"), (html.OPEN, "f")]
+
+
+def test_marks_of_the_tokenizer_as_the_library_reads_them(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    reference = Tokenizer.from_file(path)
+    words = packing.WordTokens(path)
+    texts = ["a <|endoftext|> b", "<|startoftext|>a", "x<|endoftext|>\n<|ENDOFTEXT|> y", "<|endoftext", "plain  text\u00e9 \u0130 < | end", "<|endoftext|>" * 50]
+    for text in texts:
+        want = reference.encode(text, add_special_tokens=False).ids
+        assert list(array.array("I", words.packed(text))) == want, text
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, task int, step int")
+    for r in packing.tokenize_and_pack(docs, path).groupBy("doc_id").agg(F.max("doc_tokens").alias("n"), F.sum("length").alias("s")).collect():
+        assert r.n == r.s == len(reference.encode(texts[r.doc_id], add_special_tokens=False).ids) + 1
+
+
+def test_step_groups_hold_the_same_tokens(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(6)
+    pieces = packing.tokenize_and_pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    groups = pieces.select("step_group", "tier", "sequence_id").distinct().groupBy("step_group").agg(F.sum("tier").alias("n"), F.countDistinct("tier").alias("tiers"), F.first("tier").alias("tier")).collect()
+    assert all(g.tiers == 1 and g.n <= packing.STEP_TOKENS for g in groups)
+    for tier in {g.tier for g in groups}:
+        assert sum(g.n < packing.STEP_TOKENS for g in groups if g.tier == tier) <= 1
