@@ -21,6 +21,16 @@ def contexts(seqs: DataFrame, key: str, seq: str, order: int) -> DataFrame:
     return seqs.where(F.length(seq) > 0).select(key, F.explode(every).alias("x")).select(key, "x.*")
 
 
+def longest_contexts(seqs: DataFrame, key: str, seq: str, order: int) -> DataFrame:
+    """(key, ord, pos, prev, cur) for every position with as many letters before it as there are, up to ``order``."""
+    def at(letters: Column, pos: Column) -> Column:
+        o = F.least(F.lit(order), pos)
+        return F.struct(o.alias("ord"), pos.alias("pos"), F.array_join(F.slice(letters, pos - o + 1, o), "").alias("prev"), F.get(letters, pos).alias("cur"))
+
+    every = letters_once(F.col(seq), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 1), lambda pos: at(c, pos)))
+    return seqs.where(F.length(seq) > 0).select(key, F.explode(every).alias("x")).select(key, "x.*")
+
+
 def table(seqs: DataFrame, key: str, seq: str, order: int, positional: bool = True) -> DataFrame:
     """(ord, [pos,] prev, cur, n, logp): natural log of the share of ``cur`` after ``prev``."""
     place = ["pos"] if positional else []
@@ -34,7 +44,7 @@ def score(seqs: DataFrame, key: str, seq: str, model: DataFrame, order: int, bac
 
     The model is one row a context: 4^(order+1) a position, so the join is broadcast by its size, or shuffled beyond it.
     """
-    used = contexts(seqs, key, seq, order).where(F.col("ord") == F.least(F.lit(order), F.col("pos")))
+    used = longest_contexts(seqs, key, seq, order)
     met = used.join(model.select("ord", "pos", "prev", "cur", "logp"), ["ord", "pos", "prev", "cur"], "left")
     value = F.col("logp")
     if background is not None:

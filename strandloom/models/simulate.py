@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -74,12 +75,13 @@ def driven_path(p: np.ndarray, transitions: np.ndarray) -> np.ndarray:
 
 
 def maximum_caliber(rows: DataFrame, key: str, values: str, target: float | None = None, reach: int = 1, equilibrium: bool = True, gammas: np.ndarray | None = None) -> DataFrame:
-    """(key, gamma, mean_cost, transitions): each id's signal as the stationary distribution of a walk of steps up to ``reach``.
+    """(key, gamma, mean_cost, error, transitions): each id's signal as the stationary distribution of a walk of steps up to
+    ``reach``; ``error`` is the largest gap between the walk's distribution and the signal's, small where scaling converged.
 
     With ``target``, the gamma of the grid whose mean squared step is nearest to it; else gamma is 0.
     """
     grid = np.linspace(0, 100, 1000) if gammas is None else gammas
-    shape = rows.select(key, F.lit(0.0).alias("gamma"), F.lit(0.0).alias("mean_cost"), F.array(F.array(F.lit(0.0))).alias("transitions")).schema
+    shape = rows.select(key, F.lit(0.0).alias("gamma"), F.lit(0.0).alias("mean_cost"), F.lit(0.0).alias("error"), F.array(F.array(F.lit(0.0))).alias("transitions")).schema
 
     def run(batches):
         for batch in batches:
@@ -99,8 +101,26 @@ def maximum_caliber(rows: DataFrame, key: str, values: str, target: float | None
                     near = [grid[i] for i in (max(lo - 1, 0), lo)]
                     gamma = float(min(near, key=lambda g: abs(solve(p, edges, cost, g)[1] - target)))
                 joint, mean = solve(p, edges, cost, gamma)
-                out.append((k, gamma, mean, (joint / p[:, None]).tolist()))
-            yield pd.DataFrame(out, columns=[key, "gamma", "mean_cost", "transitions"])
+                error = float(max(np.abs(joint.sum(0) - p).max(), np.abs(joint.sum(1) - p).max()))
+                out.append((k, gamma, mean, error, (joint / p[:, None]).tolist()))
+            yield pd.DataFrame(out, columns=[key, "gamma", "mean_cost", "error", "transitions"])
+
+    return rows.mapInPandas(run, shape)
+
+
+def driven(rows: DataFrame, key: str, values: str, reach: int = 1) -> DataFrame:
+    """(key, transitions): each id's walk of even steps up to ``reach``, carried to its signal as the stationary distribution."""
+    shape = rows.select(key, F.array(F.array(F.lit(0.0))).alias("transitions")).schema
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for v in batch[values]:
+                p = np.asarray(v, float) + 1e-12
+                gap = np.abs(np.arange(len(p))[:, None] - np.arange(len(p))[None])
+                near = (gap <= reach).astype(float)
+                out.append(driven_path(p / p.sum(), near / near.sum(1, keepdims=True)).tolist())
+            yield pd.DataFrame({key: batch[key], "transitions": out})
 
     return rows.mapInPandas(run, shape)
 
@@ -156,6 +176,58 @@ def kinetic_traces(spark: SparkSession, rates: np.ndarray, replicas: int, until:
     return spark.range(replicas).select(F.col("id").alias("replica")).mapInPandas(run, "replica bigint, step bigint, time double, state int")
 
 
+def energy_walks(rows: DataFrame, key: str, energy: str, replicas: int, until: float, diffusion: float = 1.0, seed: int = 0) -> DataFrame:
+    """(key, replica, step, time, state): walks of several replicas on each id's energy profile, from its lowest place.
+
+    A replica is a row of its own, seeded by the id and its number, so the replicas of one id spread over tasks.
+    """
+    shape = rows.select(key, F.lit(0).cast("int").alias("replica"), F.lit(0).cast("bigint").alias("step"), F.lit(0.0).alias("time"), F.lit(0).alias("state")).schema
+    spread = rows.select(key, energy).withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
+
+    def run(batches):
+        for batch in batches:
+            for k, e, replica in zip(batch[key], batch[energy], batch["replica"], strict=True):
+                rng = np.random.default_rng([seed, zlib.crc32(str(k).encode()), int(replica)])
+                path = walk(energy_rates(np.asarray(e, float), diffusion), until, int(np.argmin(e)), rng)
+                yield pd.DataFrame({key: k, "replica": replica, "step": np.arange(len(path)), "time": [t for t, _ in path], "state": [s for _, s in path]})
+
+    return spread.mapInPandas(run, shape)
+
+
+def walk(rates: np.ndarray, until: float, start: int, rng: np.random.Generator) -> list[tuple[float, int]]:
+    """(time, state) of each step of one Gillespie walk."""
+    total, cumulative = rates.sum(1), np.cumsum(rates, 1)
+    path, state, time = [(0.0, start)], start, 0.0
+    while total[state] > 0:
+        time += rng.exponential(1 / total[state])
+        if time >= until:
+            break
+        state = int(np.searchsorted(cumulative[state], rng.random() * total[state], side="right"))
+        path.append((time, state))
+    return path
+
+
+def drawn_cuts(rows: DataFrame, key: str, means: str, offset: int, top_share: float = 0.5, seed: int = 0) -> DataFrame:
+    """(key, top, bottom, dyad): Poisson centres of each id's expected signal, and the cuts they make on either strand."""
+    numbers = F.array(F.lit(0.0))
+    shape = rows.select(key, numbers.alias("top"), numbers.alias("bottom"), numbers.alias("dyad")).schema
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for k, mean in zip(batch[key], batch[means], strict=True):
+                rng = np.random.default_rng([seed, zlib.crc32(str(k).encode())])
+                dyad = rng.poisson(np.asarray(mean, float))
+                right, n = rng.binomial(dyad, top_share), len(dyad)
+                top, bottom = np.zeros(n), np.zeros(n)
+                top[: max(n - offset, 0)] = right[offset:]
+                bottom[offset:] = (dyad - right)[: max(n - offset, 0)]
+                out.append((k, top.tolist(), bottom.tolist(), dyad.astype(float).tolist()))
+            yield pd.DataFrame(out, columns=[key, "top", "bottom", "dyad"])
+
+    return rows.mapInPandas(run, shape)
+
+
 def markov_traces(spark: SparkSession, transitions: np.ndarray, replicas: int, steps: int, start: int = 0, seed: int = 0) -> DataFrame:
     """(replica, step, state): a discrete chain."""
     table = np.cumsum(transitions, 1).tolist()

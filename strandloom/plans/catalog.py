@@ -173,11 +173,6 @@ def palindrome_test(spark, sf):
     return read(spark, sf, "part").select("p_partkey", S.is_palindrome(F.col("p_name")).alias("palindrome"))
 
 
-@query("SELECT a.x || b.x || c.x || d.x AS kmer FROM (SELECT unnest(['A','T','C','G']) AS x) a, (SELECT unnest(['A','T','C','G']) AS x) b, (SELECT unnest(['A','T','C','G']) AS x) c, (SELECT unnest(['A','T','C','G']) AS x) d")
-def kmer_words(spark, sf):
-    return S.words(spark, 4)
-
-
 @query("""WITH k AS (SELECT n_nationkey, translate(upper(substr(n_name, 1, 3)), 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC') AS w FROM nation), l AS (SELECT unnest(['A','T','C','G']) AS x)
 SELECT n_nationkey, a.x || b.x || c.x AS bubble FROM k, l a, l b, l c WHERE a.x <> substr(w, 1, 1) AND b.x <> substr(w, 2, 1) AND c.x <> substr(w, 3, 1)""")
 def mismatched_words(spark, sf):
@@ -785,7 +780,7 @@ def spectral(spark, sf):
     from ..models import matrices
 
     pairs = nation_pairs(spark, sf).withColumn("score", J.similarity(F.col("js")))
-    return spark.createDataFrame(matrices.spectral(pairs, 3))
+    return matrices.spectral_clusters(pairs, 3)
 
 
 @query()
@@ -806,7 +801,7 @@ def linkage(spark, sf):
 def diffusion_map(spark, sf):
     from ..models import matrices
 
-    return spark.createDataFrame(matrices.diffusion_map(nation_pairs(spark, sf), "js", 0.1).assign(coordinates=lambda d: d["coordinates"].map(lambda v: [float(x) for x in v])))
+    return matrices.diffusion_coordinates(nation_pairs(spark, sf), "js", 0.1)
 
 
 @query()
@@ -816,13 +811,6 @@ def tsne(spark, sf):
     return spark.createDataFrame(matrices.tsne(nation_pairs(spark, sf), "js"))
 
 
-@query()
-def em_deconvolution(spark, sf):
-    from ..models import simulate
-
-    return simulate.deconvolve(strand_arrays(spark, sf), "id", {"R": {-OFFSET: 1.0}, "L": {OFFSET: 1.0}})
-
-
 @query()
 def max_caliber(spark, sf):
     from ..models import simulate
@@ -830,42 +818,6 @@ def max_caliber(spark, sf):
     return simulate.maximum_caliber(G.to_arrays(brand_signal(spark, sf), ["id"]), "id", "values", target=2.0, reach=5)
 
 
-@query()
-def kinetic_mc(spark, sf):
-    from ..models import simulate
-
-    traces = simulate.kinetic_traces(spark, simulate.uniform_rates(20, 1.0, periodic=True), 100, 20.0)
-    return G.time_average(traces.withColumn("v", F.col("state").cast("double")), ["replica"], "time", "v")
-
-
-@query()
-def simulated_counts(spark, sf):
-    from ..models import simulate
-
-    return simulate.simulated_counts(spark, 50)
-
-
-@query()
-def classify_simulated(spark, sf):
-    """Reads cut from the template library, as an aligner would place them, classified and held against the truth."""
-    from ..models import simulate
-
-    library = simulate.scanning_library(spark.createDataFrame([(TEMPLATE,)], "seq string"), [1, 3])
-    made = simulate.simulated_reads(library, 2)
-    start = F.when(F.element_at(F.split("read_id", "/"), -1).startswith("R"), F.split(F.element_at(F.split("read_id", "/"), -1), ":")[1].cast("int") + 1).otherwise(0)
-    sam = made.select("read_id", F.lit(0).alias("flag"), F.lit("BACKBONE").alias("rname"), start.alias("pos"), F.concat(F.length("seq").cast("string"), F.lit("M")).alias("cigar"), "seq")
-    return R.crosstalk(R.classify_direct(sam, library, TEMPLATE))
-
-
-@query("""WITH b AS (SELECT repeat('ACGTTGCAACGGTTAACC', 3) AS s), w AS (SELECT s, z.size, unnest(range(0, length(s) - z.size + 1)) AS loc FROM b, (SELECT unnest([1, 2, 3]) AS size) z),
-m AS (SELECT loc, translate(substr(s, loc + 1, size), 'ACGT', 'TGCA') AS nts, substr(s, 1, loc) || translate(substr(s, loc + 1, size), 'ACGT', 'TGCA') || substr(s, loc + size + 1) AS seq FROM w)
-SELECT loc || '-M-' || nts AS ref_id, seq FROM m QUALIFY row_number() OVER (PARTITION BY seq ORDER BY loc, loc || '-M-' || nts) = 1""")
-def scanning_library(spark, sf):
-    from ..models import simulate
-
-    return simulate.scanning_library(spark.createDataFrame([("ACGTTGCAACGGTTAACC" * 3,)], "seq string"), [1, 2, 3])
-
-
 # -- sequences under weights -------------------------------------------------------------------------------------------
 
 
@@ -950,16 +902,6 @@ def depletion_by_size(spark, sf):
     return found.select("size", "n", r6("mean").alias("mean"), r6("sd").alias("sd"))
 
 
-@query(f"""WITH w AS (SELECT a.x || b.x || c.x AS w, a.o || b.o || c.o AS o FROM (SELECT unnest(['A','T','C','G']) AS x, unnest(['0','1','2','3']) AS o) a, (SELECT unnest(['A','T','C','G']) AS x, unnest(['0','1','2','3']) AS o) b, (SELECT unnest(['A','T','C','G']) AS x, unnest(['0','1','2','3']) AS o) c),
-k AS (SELECT *, least(w[1:2], reverse(translate(w[1:2], 'ACGT', 'TGCA'))) || least(w[2:3], reverse(translate(w[2:3], 'ACGT', 'TGCA'))) AS k FROM w), f AS (SELECT w, o FROM k QUALIFY row_number() OVER (PARTITION BY k ORDER BY o) = 1),
-m AS (SELECT w || '-' || (loc + 4) AS ref_id, 'ACGT' || substr(s, 1, loc) || w || substr(s, loc + 4) || 'TT' AS seq, o, loc FROM f, (SELECT '{TEMPLATE}' AS s), (SELECT unnest(range(0, {LENGTH - 2}, 5)) AS loc))
-SELECT ref_id, seq FROM m QUALIFY row_number() OVER (PARTITION BY seq ORDER BY o, loc) = 1""")
-def kmer_library(spark, sf):
-    from ..models import simulate
-
-    return simulate.kmer_library(spark.createDataFrame([(TEMPLATE,)], "seq string"), 3, 5, "ACGT", "TT")
-
-
 @query("""WITH l AS (SELECT DISTINCT upper(p_name) AS seq FROM part UNION SELECT reverse(translate(upper(p_name), 'ACGT', 'TGCA')) FROM part)
 SELECT min(seq) AS ref_id, min(seq) AS seq FROM l GROUP BY least(seq, reverse(translate(seq, 'ACGT', 'TGCA')))""")
 def reduced_library(spark, sf):

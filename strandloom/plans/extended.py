@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import sequence as S
 from ..operators import impute as I
 from ..operators import joins as J
 from ..operators import mapping as A
@@ -15,7 +16,7 @@ from ..operators import reads as R
 from ..operators import signal as G
 from ..sources import text as T
 from ..sources.memo import passing_folder
-from .catalog import CUTS, LENGTH, NATIONS, OFFSET, TEMPLATE, event_piece, query, r6, read, strand_arrays
+from .catalog import BRANDS, CUTS, LENGTH, NATIONS, OFFSET, TEMPLATE, brand_signal, event_piece, query, r6, read, strand_arrays
 
 # -- aligned reads -----------------------------------------------------------------------------------------------------
 
@@ -288,3 +289,140 @@ def interpolated_periodogram(spark, sf):
     even = G.resampled(points, ["id"], "x", "y", 4, 36)
     middle = even.withColumn("value", F.col("value") - F.avg("value").over(Window.partitionBy("id"))).withColumn("pos", F.col("pos") - 4)
     return G.periodogram(middle, ["id"]).select("id", "k", r6("period").alias("period"), (F.round(F.col("amplitude") ** 2, 4) + 0.0).alias("power"))
+
+
+# -- libraries and simulations over the tables -------------------------------------------------------------------------
+
+NAMES = f"""na AS (SELECT DISTINCT translate(upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')), '{FOLD[0]}', '{FOLD[1]}') AS s FROM part)"""
+
+
+def folded_names(spark: SparkSession, sf: str) -> DataFrame:
+    """(seq): the different names of parts, in four letters."""
+    return read(spark, sf, "part").select(folded("p_name").alias("seq")).distinct()
+
+
+ALPHABET = "(SELECT unnest(['A','T','C','G']) AS x, unnest(['0','1','2','3']) AS o)"
+
+
+@query(f"""WITH {NAMES}, w AS (SELECT a.x || b.x || c.x || d.x AS kmer FROM {ALPHABET} a, {ALPHABET} b, {ALPHABET} c, {ALPHABET} d), p AS (SELECT s, unnest(range(1, length(s) - 2)) AS i FROM na)
+SELECT kmer, count(s) AS n FROM w LEFT JOIN (SELECT s, substr(s, i, 4) AS k FROM p) ON k = kmer GROUP BY kmer""")
+def kmer_words(spark, sf):
+    """Every word of four letters and how often it stands in the names, 0 included."""
+    counts = S.explode_pieces(folded_names(spark, sf), ["seq"], "seq", 4).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    return S.words(spark, 4).join(counts, "kmer", "left").select("kmer", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(f"""WITH {NAMES}, w AS (SELECT s, z.size, unnest(range(0, length(s) - z.size + 1)) AS loc FROM na, (SELECT unnest([1, 2, 3]) AS size) z WHERE length(s) > z.size),
+m AS (SELECT loc, translate(substr(s, loc + 1, size), 'ACGT', 'TGCA') AS nts, substr(s, 1, loc) || translate(substr(s, loc + 1, size), 'ACGT', 'TGCA') || substr(s, loc + size + 1) AS seq FROM w)
+SELECT loc || '-M-' || nts AS ref_id, seq FROM m QUALIFY row_number() OVER (PARTITION BY seq ORDER BY loc, loc || '-M-' || nts) = 1""")
+def scanning_library(spark, sf):
+    from ..models import simulate
+
+    return simulate.scanning_library(folded_names(spark, sf), [1, 2, 3])
+
+
+@query(f"""WITH {NAMES}, w AS (SELECT a.x || b.x || c.x AS w, a.o || b.o || c.o AS o FROM {ALPHABET} a, {ALPHABET} b, {ALPHABET} c),
+k AS (SELECT *, least(w[1:2], reverse(translate(w[1:2], 'ACGT', 'TGCA'))) || least(w[2:3], reverse(translate(w[2:3], 'ACGT', 'TGCA'))) AS k FROM w), f AS (SELECT w, o FROM k QUALIFY row_number() OVER (PARTITION BY k ORDER BY o) = 1),
+sp AS (SELECT s, unnest(range(0, length(s) - 2, 5)) AS loc FROM na WHERE length(s) >= 3), m AS (SELECT w || '-' || (loc + 4) AS ref_id, 'ACGT' || substr(s, 1, loc) || w || substr(s, loc + 4) || 'TT' AS seq, o, loc FROM f, sp)
+SELECT ref_id, seq FROM m QUALIFY row_number() OVER (PARTITION BY seq ORDER BY o, loc) = 1""")
+def kmer_library(spark, sf):
+    from ..models import simulate
+
+    return simulate.kmer_library(folded_names(spark, sf), 3, 5, "ACGT", "TT")
+
+
+@query()
+def simulated_counts(spark, sf):
+    """Cuts drawn from each brand's signal."""
+    from ..models import simulate
+
+    return simulate.drawn_cuts(G.to_arrays(brand_signal(spark, sf), ["id"]), "id", "values", 5)
+
+
+@query()
+def classify_simulated(spark, sf):
+    """Reads cut from the events' variants, as an aligner would place them, classified and held against the truth."""
+    from ..models import simulate
+
+    library = variant_library(spark, sf)
+    made = simulate.simulated_reads(library, 2)
+    last = F.element_at(F.split("read_id", "/"), -1)
+    start = F.when(last.startswith("R"), F.split(last, ":")[1].cast("int") + 1).otherwise(0)
+    sam = made.select("read_id", F.lit(0).alias("flag"), F.lit("BACKBONE").alias("rname"), start.alias("pos"), F.concat(F.length("seq").cast("string"), F.lit("M")).alias("cigar"), "seq")
+    return R.crosstalk(R.classify_direct(sam, library, TEMPLATE))
+
+
+@query()
+def kinetic_mc(spark, sf):
+    """Time averages of walks on each brand's energy profile."""
+    from ..models import simulate
+
+    profiles = G.to_arrays(G.energy(brand_signal(spark, sf), ["id"]).withColumnRenamed("energy", "value"), ["id"])
+    walks = simulate.energy_walks(profiles, "id", "values", 10, 20.0)
+    return G.time_average(walks.withColumn("v", F.col("state").cast("double")), ["id", "replica"], "time", "v")
+
+
+@query(f"""WITH {CUTS}, c AS (SELECT id, side, cut, CAST(count(*) AS DOUBLE) AS n FROM cuts GROUP BY ALL), g AS (SELECT i.id, CAST(unnest(range(0, {LENGTH})) AS INT) AS pos FROM (SELECT DISTINCT id FROM cuts) i),
+t AS (SELECT g.id, g.pos, coalesce(r.n, 0) + coalesce(l.n, 0) AS n FROM g LEFT JOIN c r ON r.id = g.id AND r.cut = g.pos - {OFFSET} AND r.side = 'R' LEFT JOIN c l ON l.id = g.id AND l.cut = g.pos + {OFFSET} AND l.side = 'L'),
+a AS (SELECT id, pos, n, n / 2 / (1 + 1e-6) AS d FROM t), b AS (SELECT id, pos, n, d * n / 2 / (d + 1e-6) AS d FROM a) SELECT id, pos, round(d * n / 2 / (d + 1e-6), 6) AS dyad FROM b""")
+def em_rounds(spark, sf):
+    """Three rounds of the update."""
+    from ..models import simulate
+
+    found = simulate.deconvolve(strand_arrays(spark, sf), "id", {"R": {-OFFSET: 1.0}, "L": {OFFSET: 1.0}}, rounds=3, tolerance=0.0)
+    return found.select("id", F.posexplode("dyad").alias("pos", "dyad")).select("id", "pos", r6("dyad").alias("dyad"))
+
+
+@query()
+def em_deconvolution(spark, sf):
+    from ..models import simulate
+
+    return simulate.deconvolve(strand_arrays(spark, sf), "id", {"R": {-OFFSET: 1.0}, "L": {OFFSET: 1.0}})
+
+
+@query(f"WITH {BRANDS} SELECT id, pos, round(value / sum(value) OVER (PARTITION BY id), 6) AS carried FROM bs")
+def driven_walks(spark, sf):
+    """Where a step of each brand's driven walk leads from the brand's signal: to the same signal."""
+    from ..models import simulate
+
+    rows = G.to_arrays(brand_signal(spark, sf), ["id"])
+    walks = simulate.driven(rows, "id", "values", reach=8).join(rows, "id")
+    total = F.aggregate("values", F.lit(0.0), lambda s, x: s + x)
+    cells = walks.select("id", total.alias("total"), F.explode(F.arrays_zip("values", "transitions")).alias("x")).select("id", "total", F.col("x.values").alias("p"), F.posexplode("x.transitions").alias("pos", "t"))
+    return cells.groupBy("id", "pos").agg(r6(F.sum(F.col("p") * F.col("t") / F.col("total"))).alias("carried"))
+
+
+@query("SELECT round(var_samp(p_size) + var_samp(length(p_name)) + var_samp(p_retailprice), 4) AS variance, CAST(3 AS BIGINT) AS parts FROM part")
+def pca_variance(spark, sf):
+    """All components together hold the variance of the columns."""
+    from ..models import matrices
+
+    rows = read(spark, sf, "part").select("p_partkey", F.array(F.col("p_size").cast("double"), F.length("p_name").cast("double"), "p_retailprice").alias("v"))
+    found, shares = matrices.pca(rows, "p_partkey", "v", 3)
+    total = sum((F.var_samp(F.get("pcs", F.lit(i))) for i in range(1, 3)), F.var_samp(F.get("pcs", F.lit(0))))
+    return found.agg(F.round(total, 4).alias("variance"), F.lit(len(shares)).cast("bigint").alias("parts"))
+
+
+STRANDS = """ge AS (SELECT p_partkey AS gene, p_brand AS chr, CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand, CAST(p_partkey * 3 AS INT) AS lo, CAST(p_partkey * 3 + p_size * 10 AS INT) AS hi FROM part),
+mk AS (SELECT p_brand AS chr, CAST(p_partkey * 4 AS INT) AS pos FROM part)"""
+
+
+def strand_spans(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Spans (gene, chr, strand, lo, hi) and marks (chr, pos) along the parts of a brand."""
+    part, k = read(spark, sf, "part"), F.col("p_partkey")
+    spans = part.select(k.alias("gene"), F.col("p_brand").alias("chr"), F.when(k % 2 == 0, "+").otherwise("-").alias("strand"), (k * 3).cast("int").alias("lo"), (k * 3 + F.col("p_size") * 10).cast("int").alias("hi"))
+    return spans, part.select(F.col("p_brand").alias("chr"), (k * 4).cast("int").alias("pos"))
+
+
+@query(f"""WITH {STRANDS} SELECT gene, CASE WHEN strand = '+' THEN min(pos) ELSE max(pos) END AS near_pos FROM ge LEFT JOIN mk ON mk.chr = ge.chr AND pos BETWEEN lo AND hi GROUP BY gene, strand""")
+def nearest_along_strand(spark, sf):
+    spans, marks = strand_spans(spark, sf)
+    plus = F.col("strand") == "+"
+    genes = spans.select("gene", "chr", "strand", F.when(plus, F.col("lo")).otherwise(F.col("hi")).alias("tss"), F.when(plus, F.col("hi")).otherwise(F.col("lo")).alias("tes"))
+    return J.asof_strand(genes, marks.withColumn("n", F.lit(1)), ["chr"], "tss", "tes", "strand", "pos", ["n"]).select("gene", "near_pos")
+
+
+@query(f"""WITH {STRANDS} SELECT gene, pos, CAST(row_number() OVER (PARTITION BY gene ORDER BY CASE WHEN strand = '+' THEN pos ELSE -pos END) AS INT) AS "order" FROM ge JOIN mk ON mk.chr = ge.chr AND pos > lo AND pos < hi""")
+def order_along_strand(spark, sf):
+    spans, marks = strand_spans(spark, sf)
+    return J.interval_order(marks, spans, "pos", "lo", "hi", "strand", ["gene"], 510, ["chr"]).select("gene", "pos", "order")

@@ -92,7 +92,7 @@ def test_prior_integrates_to_one():
 
 
 def test_registered_models_run_their_default_rounds(spark, sf, monkeypatch):
-    from strandloom.operators import impute
+    from strandloom.operators import gibbs
     from strandloom.plans import catalog
 
     class Called(Exception):
@@ -101,7 +101,7 @@ def test_registered_models_run_their_default_rounds(spark, sf, monkeypatch):
     def record(*_, **given):
         raise Called(given)
 
-    for where, name, query in ((impute, "bayesian", "bayes_impute"), (matrices, "nmf", "nmf"), (matrices, "tsne", "tsne"), (simulate, "deconvolve", "em_deconvolution")):
+    for where, name, query in ((gibbs, "bayesian", "bayes_impute"), (matrices, "nmf", "nmf"), (matrices, "tsne", "tsne"), (simulate, "deconvolve", "em_deconvolution")):
         monkeypatch.setattr(where, name, record)
         with pytest.raises(Called) as found:
             catalog.QUERIES[query](spark, sf)
