@@ -7,9 +7,11 @@ corpus: with N documents, a term t discloses the share
     log2(N / docs(e) * (joint(e, t) + docs(e) / N) / (docs(t) + 1))  /  log2(N / docs(e))
 
 of an entity e's information: P(e | t), smoothed by one document in which e has its corpus share. From DISCLOSURE on the
-term is generalised wherever it stands in a text with e; from REMOVAL on, which a few documents alone don't reach unless
-the corpus is very large, it is removed. Entities that only one text holds have the same counts with each of its terms, so
-they count as one.
+term is generalised wherever it stands in a text with e, to the class that its shape shows; from REMOVAL on, which a few
+documents alone don't reach unless the corpus is very large, it is removed. One text alone says of any rare word that it
+goes with the entity, so there only the words count that begin with a capital or stand within NEAR words of a protected
+value; other words count where two different texts or more hold both. Entities that only one text holds have the same counts with each of its
+terms, so they count as one.
 
 Defined results: null and empty texts have no spans and stay as they are; texts of any length are scanned whole; equal
 rows get equal spans; documents of one id but other text are told apart by the text's hash; an empty table gives an
@@ -20,8 +22,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,6 +36,8 @@ from .common import written
 KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSURE = 0.8
 REMOVAL = 0.95
+#: Words on either side of a protected value that one text alone may show to disclose it, whatever their shape.
+NEAR = 8
 #: Terms whose counts a task holds before it passes them on.
 HELD_TERMS = 200_000
 
@@ -96,11 +102,22 @@ def outside_words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[st
     return out
 
 
+def telling(text: str, words: list[tuple[str, int, int]], spans: list[tuple[str, int, int]]) -> list[bool]:
+    """Whether each word begins with a capital or stands within NEAR words of a base span."""
+    starts = [s for _, s, _ in words]
+    near = [0] * (len(words) + 1)
+    for _, s, _ in spans:
+        at = bisect_left(starts, s)
+        near[max(at - NEAR, 0)] += 1
+        near[min(at + NEAR, len(words))] -= 1
+    return [n > 0 or text[s].isupper() for s, n in zip(starts, accumulate(near))]
+
+
 def span_text(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-SCAN = "doc_id bigint, th bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, entities array<string>, words array<struct<term:string,s:int,e:int>>"
+SCAN = "doc_id bigint, th bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, entities array<string>, words array<struct<term:string,s:int,e:int,tells:boolean>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -111,7 +128,8 @@ def scan(docs: DataFrame) -> DataFrame:
             for text in batch.pop("text").tolist():
                 spans = base_spans(text)
                 found = Counter(k for k, _, _ in spans)
-                words = [dict(zip(("term", "s", "e"), x, strict=True)) for x in outside_words(text, spans)] if spans else []
+                words = outside_words(text, spans) if spans else []
+                words = [{"term": w, "s": s, "e": e, "tells": tells} for (w, s, e), tells in zip(words, telling(text, words, spans) if words else ())]
                 rows.append((*(found[k] for k in KINDS[:4]), span_text(spans), sorted({entity(k, text[s:e]) for k, s, e in spans}), words))
             more = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base", "entities", "words"], index=batch.index)
             yield pd.concat([batch, more], axis=1)
@@ -145,9 +163,11 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def disclosures(docs: DataFrame, scanned: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
     """(th, hits): for each text with entities the terms (term, share) that disclose ``threshold`` of one or more."""
     n = float(scanned.count())
+    # each term of a text, and those that this text alone may show to disclose
+    tells = F.array_distinct(F.transform(F.filter("words", lambda x: x["tells"]), lambda x: x["term"])).alias("tells")
     terms = F.array_distinct(F.transform("words", lambda x: x["term"])).alias("terms")
-    texts = scanned.where(F.size("entities") > 0).select("th", "entities", terms)
-    texts = written(texts.groupBy("th").agg(F.count(F.lit(1)).alias("m"), F.first("entities").alias("entities"), F.first("terms").alias("terms")), "texts")
+    texts = scanned.where(F.size("entities") > 0).select("th", "entities", terms, tells)
+    texts = written(texts.groupBy("th").agg(F.count(F.lit(1)).alias("m"), *(F.first(c).alias(c) for c in ("entities", "terms", "tells"))), "texts")
     each = texts.select("th", "m", F.explode("entities").alias("entity"))
     known = written(each.groupBy("entity").agg(F.sum("m").alias("docs_e"), F.count(F.lit(1)).alias("texts_e")), "entities")
     counts = written(term_counts(docs, written(texts.select(F.explode("terms").alias("term")).distinct(), "terms")), "counts")
@@ -157,10 +177,11 @@ def disclosures(docs: DataFrame, scanned: DataFrame, threshold: float = DISCLOSU
         return joint.where(F.col("docs_e") < n).join(counts, "term").withColumn("share", share).where(F.col("share") >= threshold)
 
     alone = each.join(known.where("texts_e = 1"), "entity").select("th").distinct()
-    alone = texts.join(alone, "th").select("th", F.col("m").alias("docs_e"), F.col("m").alias("joint"), F.explode("terms").alias("term"))
+    alone = texts.join(alone, "th").select("th", F.col("m").alias("docs_e"), F.col("m").alias("joint"), F.explode("tells").alias("term"))
     shared = each.join(known.where("texts_e > 1"), "entity").select("th", "entity", "docs_e")
-    shared = texts.join(shared, "th").select("th", "m", "entity", "docs_e", F.explode("terms").alias("term"))
-    pairs = disclosing(shared.groupBy("entity", "docs_e", "term").agg(F.sum("m").alias("joint"))).select("entity", "term", "share")
+    shared = texts.join(shared, "th").select("th", "m", "entity", "docs_e", "tells", F.explode("terms").alias("term"))
+    pairs = shared.groupBy("entity", "docs_e", "term").agg(F.sum("m").alias("joint"), F.count(F.lit(1)).alias("both"), F.max(F.array_contains("tells", F.col("term"))).alias("told"))
+    pairs = disclosing(pairs.where("both > 1 OR told")).select("entity", "term", "share")
     found = disclosing(alone).select("th", "term", "share").union(shared.join(pairs, ["entity", "term"]).select("th", "term", "share"))
     best = found.groupBy("th", "term").agg(F.max("share").alias("share"))
     return written(best.groupBy("th").agg(F.collect_list(F.struct("term", "share")).alias("hits")), "disclosures")
@@ -192,6 +213,11 @@ def find(docs: DataFrame) -> DataFrame:
     return plain.union(rest)
 
 
+def term_class(word: str) -> str:
+    """What a term is generalised to, by its shape."""
+    return "CODE" if word.isupper() else "NAME" if word[:1].isupper() else "WORD"
+
+
 def masked(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
     """The text with each (kind, start, end, removed) as its kind in brackets, or gone; overlapping spans become one."""
     out, at = [], 0
@@ -205,7 +231,9 @@ def masked(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` generalised, disclosing terms generalised or removed; all columns stay."""
     hits = disclosures(docs, written(scan(docs), "scan")).select(F.col("th").alias("__th"), F.col("hits").alias("__hits"))
-    source = docs.join(hits, F.xxhash64("text") == F.col("__th"), "left").select(*docs.columns, "__hits")
+    # a text without "@" and digits holds no protected value: it meets nothing, so null texts don't meet under one key
+    maybe = F.coalesce(F.col("text").rlike("[@0-9]"), F.lit(False))
+    source = docs.where(maybe).join(hits, F.xxhash64("text") == F.col("__th"), "left").select(*docs.columns, "__hits")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -214,12 +242,12 @@ def sanitise(docs: DataFrame) -> DataFrame:
                 spans = base_spans(text)
                 if spans:
                     known = {x["term"]: x["share"] for x in found} if found is not None else {}
-                    terms = [("term", a, b, known[t] >= REMOVAL) for t, a, b in outside_words(text, spans) if t in known] if known else []
+                    terms = [(term_class(text[a:b]), a, b, known[t] >= REMOVAL) for t, a, b in outside_words(text, spans) if t in known] if known else []
                     text = masked(text, [(k, s, e, False) for k, s, e in spans] + terms)
                 out.append(text)
             yield batch.assign(text=pd.Series(out, index=batch.index, dtype=object))
 
-    return source.mapInPandas(run, docs.schema)
+    return source.mapInPandas(run, docs.schema).union(docs.where(~maybe))
 
 
 def digest(spans: list[tuple[str, int, int]]) -> str:

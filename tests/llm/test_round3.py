@@ -4,6 +4,7 @@ import array
 import hashlib
 import itertools
 import json
+import math
 import random
 import re
 import time
@@ -17,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strandloom.llm import audit, chat, html, packing, periodic, queries
+from strandloom.llm import audit, chat, html, packing, periodic, pii, queries
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -309,3 +310,64 @@ def test_step_groups_hold_the_same_tokens(spark, sf):
     assert all(g.tiers == 1 and g.n <= packing.STEP_TOKENS for g in groups)
     for tier in {g.tier for g in groups}:
         assert sum(g.n < packing.STEP_TOKENS for g in groups if g.tier == tier) <= 1
+
+
+# -- personal data -----------------------------------------------------------------------------------------------------
+
+
+def plain_disclosures(rows):
+    """{doc: {term: share}} by counting every pair of an entity and a term."""
+    spans = {i: pii.base_spans(t) for i, t in rows}
+    texts = dict(rows)
+    words = {i: pii.outside_words(t or "", spans[i]) for i, t in rows}
+    entities = {i: {pii.entity(k, texts[i][s:e]) for k, s, e in spans[i]} for i in texts}
+    every = {i: {w.lower() for w in pii.WORD.findall(t or "")} for i, t in rows}
+    tells = {i: {w for (w, _, _), x in zip(words[i], pii.telling(texts[i], words[i], spans[i])) if x} if words[i] else set() for i in texts}
+    n, out = len(rows), {}
+    for i in texts:
+        for e in entities[i]:
+            holders = [j for j in texts if e in entities[j]]
+            for term in {w for w, _, _ in words[i]}:
+                both = [j for j in holders if term in {w for w, _, _ in words[j]}]
+                if len({texts[j] for j in both}) < 2 and not any(term in tells[j] for j in both):
+                    continue
+                if len(holders) < n:
+                    p = (len(both) + len(holders) / n) / (sum(term in every[j] for j in texts) + 1)
+                    share = math.log2(n / len(holders) * p) / math.log2(n / len(holders)) if p else 0
+                    if share >= pii.DISCLOSURE - 1e-12:
+                        out.setdefault(i, {})[term] = max(share, out.get(i, {}).get(term, 0))
+    return out
+
+
+def test_terms_equal_a_count_over_all_pairs(spark):
+    rng = random.Random(11)
+    pool = ["Anna", "Brugge", "carpet", "delta", "evening", "FERRO", "garden", "Hollis", "island", "jacket", "kettle", "lemon"]
+    rows = []
+    for i in range(90):
+        words = [rng.choice(pool) if rng.random() < 0.15 else f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(rng.randrange(5, 40))]
+        if i % 3 == 0:
+            words.insert(rng.randrange(len(words)), f"person{i % 4 if i % 2 else 100 + i}@mail.example.com")
+            words.append(f"Name{chr(97 + i % 26)}zz")
+        rows.append((i, " ".join(words)))
+    rows += [(200, rows[3][1]), (201, rows[3][1]), (202, None), (203, "")]
+    want = plain_disclosures(rows)
+    got = {}
+    for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        text = dict(rows)[r.doc_id]
+        terms = {text[int(s) : int(e)].lower() for k, s, e in (x.split(":") for x in r.spans.split(",") if x) if k == "term"}
+        if terms:
+            got[r.doc_id] = terms
+    assert got == {i: set(t) for i, t in want.items()} and len(got) > 10
+
+
+def test_terms_are_generalised_by_class(spark):
+    common = "and then the others also came to this place with more of the same things as before "
+    rows = [(i, common * 2) for i in range(80)] + [(100, f"Write to Quillandra or the ZORVAX desk, reach brimblewick at bo.li@one.example.com {common}"), (101, None), (102, "no. 7 of 9")]
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string").withColumn("hits", F.lit(1))).collect()}
+    assert clean[100].startswith("[NAME] to [NAME] or the [CODE] ") and "[WORD] at [EMAIL]" in clean[100] and clean[101] is None and clean[102] == "no. 7 of 9" and clean[3] == common * 2
+
+
+def test_personal_data_in_very_long_texts(spark):
+    text = "word " * 200_000 + "x@y.zz " + "word " * 200_000
+    (row,) = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row.spans.startswith("email:1000000:1000006") and row.n_email == 1
