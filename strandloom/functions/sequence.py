@@ -123,6 +123,12 @@ def extinction(seq: Column) -> Column:
     return F.when(F.length(up) >= 2, total - inner)
 
 
+def library_extinction(library: DataFrame, seq: str, weight: str, by: list[str]) -> DataFrame:
+    """(by, total, mean) of both strands' coefficients over a library, each sequence as often as ``weight`` says."""
+    both = F.coalesce(duplex_extinction(F.col(seq)), F.lit(0.0)) * F.col(weight)
+    return library.groupBy(*by).agg(F.sum(both).alias("total"), (F.sum(both) / F.sum(weight)).alias("mean"))
+
+
 def duplex_extinction(seq: Column) -> Column:
     """Both strands."""
     return extinction(seq) + extinction(reverse_complement(seq))

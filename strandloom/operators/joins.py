@@ -85,6 +85,13 @@ def interval_mean_rollup(spans: DataFrame, start: str, end: str, value: str, by:
     return grown.rollup("pos", by).agg(F.avg(value).alias("value"), F.count(F.lit(1)).alias("n")).where("pos IS NOT NULL")
 
 
+def around_centres(means: DataFrame, centres: list[int], span: int, by: list[str]) -> DataFrame:
+    """(by, centre, shift, value): means (by, pos, value) told from each centre, from ``-span`` to ``span``; null where a
+    place has none. The centres are a stated list."""
+    grid = means.select(*by).distinct().withColumn("centre", F.explode(F.array(*map(F.lit, centres)))).withColumn("shift", F.explode(F.sequence(F.lit(-span), F.lit(span))))
+    return grid.withColumn("pos", F.col("centre") + F.col("shift")).join(means, [*by, "pos"], "left").select(*by, "centre", "shift", "value")
+
+
 #: Rows of a block of all_pairs: a task holds two, and compares about this number squared.
 BLOCK_ROWS = 4096
 

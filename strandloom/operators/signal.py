@@ -253,3 +253,24 @@ def power_rescale(signal: DataFrame, key: list[str], exponent: float | Column) -
 def weighted_copies(frame: DataFrame, weight: str, scale: float = 1.0) -> DataFrame:
     """Rows with a ``copies`` column round(weight * scale) to weight later sums with; rows of no copy go."""
     return frame.withColumn("copies", F.round(F.col(weight) * scale).cast("bigint")).where("copies > 0")
+
+
+def furthest_peak(signal: DataFrame, key: list[str], centre: int, top: int = 5) -> DataFrame:
+    """(key, distance): of the top peaks the one furthest from ``centre``, and on which side; of equal ones the higher."""
+    gap = F.col("pos") - centre
+    return peaks(signal, key, top).groupBy(*key).agg(F.max_by(gap, F.struct(F.abs(gap), -F.col("rank"))).alias("distance"))
+
+
+def most_counted(signal: DataFrame, key: list[str], scale: float = 1000.0, share: float = 0.5, margin: int = 73) -> DataFrame:
+    """(key, pos, strand, copies): the ``share`` of each id's positions, ``margin`` from both ends, that hold most of its
+    signal, on both strands, with the number of copies that stands for it; by copies, then position."""
+    total, last = F.sum("value").over(_by(key)), F.max("pos").over(_by(key))
+    counted = signal.withColumn("copies", F.round(F.col("value") * scale / total).cast("bigint")).withColumn("__last", last)
+    inside = counted.where((F.col("pos") >= margin) & (F.col("pos") <= F.col("__last") - margin))
+    ranked = inside.withColumn("__r", F.row_number().over(_by(key).orderBy(F.desc("copies"), "pos"))).withColumn("__n", F.count(F.lit(1)).over(_by(key)))
+    return ranked.where(F.col("__r") <= F.round(F.col("__n") * share)).select(*key, "pos", F.explode(F.array(F.lit("+"), F.lit("-"))).alias("strand"), "copies")
+
+
+def boltzmann_padded(profile: DataFrame, key: list[str], scale: float, first: int, last: int, value: str = "energy") -> DataFrame:
+    """``boltzmann`` of a profile that tells of inner positions only, with 0 at the others from ``first`` to ``last``."""
+    return densify(boltzmann(profile, key, scale, value), key, first, last)

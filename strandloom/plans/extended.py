@@ -16,7 +16,7 @@ from ..operators import reads as R
 from ..operators import signal as G
 from ..sources import text as T
 from ..sources.memo import passing_folder
-from .catalog import BRANDS, CUTS, LENGTH, NATIONS, OFFSET, TEMPLATE, brand_signal, event_piece, query, r6, read, strand_arrays
+from .catalog import BASES_SQL, BRANDS, CUTS, LENGTH, NATIONS, OFFSET, STEPS_SQL, TEMPLATE, brand_signal, event_piece, query, r6, read, strand_arrays
 
 # -- aligned reads -----------------------------------------------------------------------------------------------------
 
@@ -426,3 +426,47 @@ def nearest_along_strand(spark, sf):
 def order_along_strand(spark, sf):
     spans, marks = strand_spans(spark, sf)
     return J.interval_order(marks, spans, "pos", "lo", "hi", "strand", ["gene"], 510, ["chr"]).select("gene", "pos", "order")
+
+
+# -- peaks, counts and libraries ---------------------------------------------------------------------------------------
+
+PEAKS = f"""{BRANDS}, l AS (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b FROM bs WINDOW w AS (PARTITION BY id ORDER BY pos)),
+pk AS (SELECT id, pos, value, row_number() OVER (PARTITION BY id ORDER BY value DESC, pos DESC) AS k FROM l WHERE value > a AND value > b QUALIFY k <= 5)"""
+
+
+@query(f"WITH {PEAKS} SELECT id, CAST(arg_max(pos - 25, (abs(pos - 25), -k)) AS INT) AS distance FROM pk GROUP BY id")
+def furthest_peak(spark, sf):
+    return G.furthest_peak(brand_signal(spark, sf), ["id"], 25)
+
+
+@query(f"WITH {PEAKS} SELECT bs.id, bs.pos, coalesce(pk.value, 0.0) AS value FROM bs LEFT JOIN pk ON pk.id = bs.id AND pk.pos = bs.pos")
+def peak_reduction(spark, sf):
+    return G.highlight_peaks(brand_signal(spark, sf), ["id"], 5, 0)
+
+
+@query(f"""WITH {BRANDS}, c AS (SELECT id, pos, CAST(round(value * 1000.0 / sum(value) OVER (PARTITION BY id)) AS BIGINT) AS copies FROM bs),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY copies DESC, pos) AS r, count(*) OVER (PARTITION BY id) AS n FROM c WHERE pos BETWEEN 8 AND 41) SELECT id, pos, strand, copies FROM r, (SELECT unnest(['+', '-']) AS strand) WHERE r <= round(n * 0.5)""")
+def most_counted(spark, sf):
+    return G.most_counted(brand_signal(spark, sf), ["id"], margin=8)
+
+
+@query(f"""WITH {BRANDS}, e AS (SELECT id, pos, exp(-3.0 * (value / 10.0)) AS w FROM bs WHERE pos BETWEEN 5 AND 44) SELECT bs.id, bs.pos, round(coalesce(w / sum(w) OVER (PARTITION BY bs.id), 0.0), 6) AS value FROM bs LEFT JOIN e ON e.id = bs.id AND e.pos = bs.pos""")
+def padded_mass(spark, sf):
+    inner = brand_signal(spark, sf).where("pos BETWEEN 5 AND 44").select("id", "pos", (F.col("value") / 10.0).alias("energy"))
+    return G.boltzmann_padded(inner, ["id"], 3.0, 0, 49).withColumn("value", r6("value"))
+
+
+@query("""WITH p AS (SELECT p_brand, unnest(range(p_size, p_size + 5)) AS pos, p_retailprice AS v FROM part), m AS (SELECT p_brand, CAST(pos AS INT) AS pos, avg(v) AS v FROM p GROUP BY ALL),
+g AS (SELECT p_brand, c AS centre, CAST(s AS INT) AS shift FROM (SELECT DISTINCT p_brand FROM part), (SELECT unnest([5, 25, 50]) AS c), (SELECT unnest(range(-8, 9)) AS s)) SELECT g.p_brand, g.centre, g.shift, round(m.v, 6) AS value FROM g LEFT JOIN m ON m.p_brand = g.p_brand AND m.pos = centre + shift""")
+def shifted_means(spark, sf):
+    spans = read(spark, sf, "part").select("p_brand", "p_size", (F.col("p_size") + 5).alias("e"), F.col("p_retailprice").alias("v"))
+    means = J.interval_mean(spans, "p_size", "e", "v", ["p_brand"]).drop("n")
+    return J.around_centres(means, [5, 25, 50], 8, ["p_brand"]).withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH d(s, v) AS (VALUES {STEPS_SQL}), m(s, v) AS (VALUES {BASES_SQL}), b AS (SELECT p_partkey, upper(p_name) AS s FROM part UNION ALL SELECT p_partkey, reverse(translate(upper(p_name), 'ACGT', 'TGCA')) FROM part), p AS (SELECT p_partkey, s, unnest(range(1, length(s))) AS i FROM b),
+x AS (SELECT p_partkey, sum(coalesce(d.v, 0) - CASE WHEN i > 1 THEN coalesce(m.v, 0) ELSE 0 END) AS v FROM p LEFT JOIN d ON d.s = substr(p.s, i, 2) LEFT JOIN m ON m.s = substr(p.s, i, 1) GROUP BY p_partkey)
+SELECT p_brand, round(sum(coalesce(v, 0) * p_size), 4) AS total, round(sum(coalesce(v, 0) * p_size) / sum(p_size), 4) AS mean FROM part LEFT JOIN x USING (p_partkey) GROUP BY p_brand""")
+def library_extinction(spark, sf):
+    found = S.library_extinction(read(spark, sf, "part"), "p_name", "p_size", ["p_brand"])
+    return found.select("p_brand", F.round("total", 4).alias("total"), F.round("mean", 4).alias("mean"))
