@@ -186,14 +186,16 @@ def train(texts: list[str], labels: list[str], rounds: int = 30, seed: int = 11)
 def fit(docs: DataFrame, learn: Column | None = None, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Learn from (doc_id, text, lang) rows with a language, only where ``learn`` (a condition on doc_id) holds.
 
-    One pass takes the texts whose ids hash lowest in each language, by a window that each task limits before the shuffle.
+    One pass takes the texts whose ids hash lowest in each language, by a window that each task limits before the shuffle;
+    texts of over SAMPLE_CHARS characters come after all others of their language, and teach by their first ones.
     """
-    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.length("text").between(1, SAMPLE_CHARS))
+    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.length("text") > 0))
+    known = known.withColumn("__long", F.length("text") > SAMPLE_CHARS).withColumn("text", F.left("text", F.lit(SAMPLE_CHARS)))
     if learn is not None:
         known = known.where(learn)
     languages = known.select("lang").distinct().count()
     each = max(1, min(per_language, SAMPLE_ROWS // max(languages, 1)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(20)), "doc_id", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy("__long", F.xxhash64("doc_id", F.lit(20)), "doc_id", F.xxhash64("text"))
     rows = known.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= each).drop("__r").collect()
     rows = sorted({(r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["text"]) for r in rows})
     return train([r[3] for r in rows], [r[2] for r in rows])

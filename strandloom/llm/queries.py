@@ -40,9 +40,9 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
-    model = langid.fit(docs, learn=remainder != 2)
-    return langid.label_documents(docs.withColumn("held_out", remainder == 2), model, keep=("doc_id", "held_out"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = langid.fit(docs, learn=~held_out)
+    return langid.label_documents(docs.withColumn("held_out", held_out), model, keep=("doc_id", "held_out"))
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +59,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
-    model = quality.fit(docs, labels, learn=remainder != 1)
-    return quality.score(docs.withColumn("held_out", remainder == 1), model, keep=("doc_id", "held_out"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    model = quality.fit(docs, labels, learn=~held_out)
+    return quality.score(docs.withColumn("held_out", held_out), model, keep=("doc_id", "held_out"))
 
 
 def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

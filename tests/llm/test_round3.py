@@ -13,12 +13,13 @@ import zlib
 import duckdb
 import public_tokenizers
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strandloom.llm import audit, chat, html, packing, periodic, pii, queries
+from strandloom.llm import audit, chat, html, langid, packing, periodic, pii, quality, queries
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -371,3 +372,42 @@ def test_personal_data_in_very_long_texts(spark):
     text = "word " * 200_000 + "x@y.zz " + "word " * 200_000
     (row,) = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert row.spans.startswith("email:1000000:1000006") and row.n_email == 1
+
+
+# -- languages ---------------------------------------------------------------------------------------------------------
+
+
+def test_a_language_of_long_texts_is_learned(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 300)
+    rng = random.Random(6)
+    vocabulary = {"aa": ["kala", "muto", "pisu", "reno", "taki"], "bb": ["zwerg", "schnee", "pflug", "knecht", "strumpf"]}
+    text = lambda lang, n: " ".join(rng.choice(vocabulary[lang]) for _ in range(n))
+    rows = [(i, text("aa", 30), "aa", None, 0) for i in range(20)] + [(100 + i, text("bb", 200), "bb", None, 0) for i in range(20)] + [(None, text("bb", 20), None, None, 0), (None, None, "aa", None, 0)]
+    sf = as_table(tmp_path, spark.createDataFrame(rows, DOCS), "documents")
+    got = queries.op6_language(spark, sf).collect()
+    assert {r.lang_pred for r in got if r.doc_id is not None and r.doc_id >= 100} == {"bb"} and {r.lang_pred for r in got if r.doc_id is not None and r.doc_id < 100} == {"aa"}
+    assert sorted((r.held_out, r.lang_pred) for r in got if r.doc_id is None) == [(False, "bb"), (False, "und")]
+
+
+def plain_score(model, text):
+    """The score of one text by the library and the formula alone."""
+    data = (text or "").encode()
+    sizes = []
+    for dictionary in (model.good, model.bad):
+        packer = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
+        sizes.append(sum(len(packer.compress(data[i : i + quality.BLOCK])) for i in range(0, len(data), quality.BLOCK)))
+    if not data:
+        z = model.weights[4]
+    else:
+        g, b = sizes
+        d, size = (b - g) / (b + g), min(1.5, (b + g) / (2 * len(data)))
+        z = sum(w * x for w, x in zip(model.weights, (10 * d, 10 * d * size, size, size * size, 1.0)))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_equal_sizes_counted_plainly(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    some = [(r.doc_id, r.text) for r in docs.where("doc_id % 4 = 0").collect()] + [(-1, None), (-2, ""), (None, "a b c"), (-3, "\u00e9 " * 30_000)]
+    got = sorted((r.doc_id is not None, r.doc_id or 0, round(r.score, 9)) for r in quality.score(spark.createDataFrame(some, "doc_id long, text string"), model).collect())
+    assert got == sorted((i is not None, i or 0, round(plain_score(model, t), 9)) for i, t in some)
