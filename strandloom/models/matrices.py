@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans, PowerIterationClustering
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +20,8 @@ from ..sources.memo import Settled, passing_folder
 
 #: Ids of a pair matrix that may be brought to the driver (n^2 doubles: 128 MB).
 MATRIX_IDS = 4000
-#: Products of a round of the subspace iteration.
-POWER = 4
+#: Products of one Krylov subspace.
+POWER = 5
 
 
 def pca(rows: DataFrame, key: str, values: str, k: int | None = None, share: float = 0.9, standardise: bool = False) -> tuple[DataFrame, list[float]]:
@@ -240,60 +241,68 @@ def bisections(similarities: DataFrame, value: str = "score", least: int = 2, de
     return pd.DataFrame({"id": ids, "path": path})
 
 
-def leading_vectors(pairs: DataFrame, value: str, k: int, diagonal: float = 1.0, rounds: int = 40, tolerance: float = 1e-11, seed: int = 0) -> tuple[DataFrame, list[float]]:
+def leading_vectors(pairs: DataFrame, value: str, k: int, diagonal: float = 1.0, restarts: int = 8, tolerance: float = 1e-9, seed: int = 0) -> tuple[DataFrame, list[float]]:
     """(id, root, vector) and the ``k`` largest eigenvalues of the normalised matrix of a half table (id1, id2, value).
 
-    The matrix is divided by the roots of its row sums on both sides, so its eigenvalues are at most 1. Block subspace
-    iteration: the table of pairs meets the table of vectors by a join on the id, sums by row make the next block, and the
-    block is made orthonormal by its Gram matrix; only k x k matrices come to the driver, so the number of ids is free.
-    A round multiplies ``POWER`` times and is written. Signs are such that each vector's entry of largest size is positive.
+    The matrix is divided by the roots of its row sums on both sides, so its eigenvalues are at most 1. Block Krylov
+    subspaces: the table of pairs meets a table of a few vectors by a join on the id, and sums by row make the next block;
+    after ``POWER`` products the best vectors of all blocks together come from their Gram matrix, which alone is brought to
+    the driver, and begin the next subspace. So the number of ids is free. Each product is written. Signs are such that each
+    vector's entry of largest size is positive.
     """
     spark = pairs.sparkSession
-    both = pairs.select("id1", "id2", F.col(value).alias("s"))
-    both = both.union(both.select("id2", "id1", "s"))
-    ids = both.select(F.col("id1").alias("id")).distinct()
-    roots = both.groupBy(F.col("id1").alias("id")).agg(F.sqrt(F.sum("s") + F.lit(diagonal)).alias("root"))
-    state, kept = Settled(spark, "subspace"), Settled(spark, "pairs")
-    roots = kept.keep(roots)
+    state, kept = Settled(spark, "krylov"), Settled(spark, "pairs")
+    half = kept.keep(pairs.select("id1", "id2", F.col(value).alias("s")))
+    both = half.union(half.select("id2", "id1", "s"))
+    roots = kept.keep(both.groupBy(F.col("id1").alias("id")).agg(F.sqrt(F.sum("s") + F.lit(diagonal)).alias("root")))
     weighed = both.join(roots.withColumnRenamed("id", "id1").withColumnRenamed("root", "r1"), "id1").join(roots.withColumnRenamed("id", "id2").withColumnRenamed("root", "r2"), "id2")
     matrix = weighed.select("id1", "id2", (F.col("s") / F.col("r1") / F.col("r2")).alias("s"))
     matrix = kept.keep(matrix.union(roots.select("id", "id", F.lit(diagonal) / F.col("root") ** 2)))
-    width = k + min(4, max(2, k))
-    start = ids.select("id", F.array(*((F.xxhash64("id", F.lit(seed * 1000 + i)) / F.lit(float(1 << 63))) for i in range(width))).alias("v"))
-
-    def times(block: DataFrame) -> DataFrame:
-        met = matrix.join(block.withColumnRenamed("id", "id2"), "id2")
-        return met.groupBy(F.col("id1").alias("id")).agg(F.array(*(F.sum(F.col("s") * F.col("v")[i]) for i in range(width))).alias("v"))
-
-    def gram(block: DataFrame, a: str = "v", b: str = "v") -> np.ndarray:
-        row = block.agg(*(F.sum(F.col(a)[i] * F.col(b)[j]).alias(f"g{i}_{j}") for i in range(width) for j in range(width))).first()
-        return np.array(list(row), float).reshape(width, width)
-
-    def turned(block: DataFrame, by: np.ndarray, column: str = "v") -> Column:
-        return F.array(*(sum((F.col(column)[i] * F.lit(float(by[i, j])) for i in range(1, width)), F.col(column)[0] * F.lit(float(by[0, j]))) for j in range(by.shape[1])))
-
-    block, before = state.put(start), np.zeros(width)
-    for turn in range(rounds):
-        product = block
-        for _ in range(POWER if turn else 0):
-            product = times(product)
-        product = state.put(product)
-        values, vectors = np.linalg.eigh(gram(product))
-        # directions that have vanished stay small and are found again by the next product
-        block = state.put(product.select("id", turned(product, vectors / np.sqrt(np.maximum(values, values[-1] * 1e-14 + 1e-300))).alias("v")))
-        now = np.maximum(values, 0.0)[::-1] ** (0.5 / POWER)
-        if turn > 1 and np.abs(now[:k] - before[:k]).max() < tolerance:
+    width = k + 2
+
+    def extended(basis: DataFrame) -> DataFrame:
+        """The basis (id, v) with the product of its last block after it."""
+        last = basis.select(F.col("id").alias("id2"), F.slice("v", F.size("v") - width + 1, F.lit(width)).alias("x"))
+        image = matrix.join(last, "id2").groupBy(F.col("id1").alias("id")).agg(F.array(*(F.sum(F.col("s") * F.col("x")[i]) for i in range(width))).alias("w"))
+        return basis.join(image, "id").select("id", F.concat("v", "w").alias("v"))
+
+    def gram(basis: DataFrame, n: int) -> np.ndarray:
+        outer = F.flatten(F.transform("v", lambda x: F.transform("v", lambda y: x * y)))
+        return np.array(basis.agg(vector_to_array(Summarizer.sum(array_to_vector(outer))).alias("g")).first()["g"]).reshape(n, n)
+
+    def turned(by: np.ndarray) -> Column:
+        row = lambda column: F.aggregate(F.zip_with(F.slice("v", 1, len(column)), F.array(*(F.lit(float(x)) for x in column)), lambda a, c: a * c), F.lit(0.0), lambda total, x: total + x)
+        return F.array(*(row(by[:, j]) for j in range(by.shape[1])))
+
+    def wave(i: int) -> Column:
+        return F.xxhash64("id", F.lit(seed * 1000 + i)) / F.lit(float(1 << 63))
+
+    # the first vector is known: the roots
+    block = roots.select("id", F.array(F.col("root"), *(wave(i) for i in range(1, width))).alias("v"))
+    before = np.zeros(k)
+    for _ in range(restarts):
+        basis = state.put(block)
+        for _ in range(POWER):
+            basis = state.put(extended(basis))
+        size = width * POWER
+        whole = gram(basis, size + width)
+        inner, image = whole[:size, :size], whole[:size, width:]
+        scale = 1 / np.sqrt(np.maximum(np.diag(inner), 1e-300))
+        spread, axes = np.linalg.eigh(inner * scale[:, None] * scale)
+        good = spread > spread[-1] * 1e-12
+        by = scale[:, None] * axes[:, good] / np.sqrt(spread[good])
+        small = by.T @ ((image + image.T) / 2) @ by
+        values, vectors = np.linalg.eigh(small)
+        order = np.argsort(-values)[:width]
+        block = basis.select("id", F.concat(turned(by @ vectors[:, order]), F.array(*(wave(100 + i) for i in range(width - len(order)))) if len(order) < width else F.array().cast("array<double>")).alias("v"))
+        now = values[order][:k]
+        if len(now) == k and np.abs(now - before[: len(now)]).max() < tolerance:
             break
-        before = now
-    image = state.put(block.join(times(block).withColumnRenamed("v", "w"), "id"))
-    inner = gram(image, "v", "w")
-    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
-    order = np.argsort(-values)[:k]
-    found = image.select("id", turned(image, vectors[:, order]).alias("v"))
+        before = np.r_[now, np.zeros(k - len(now))]
+    found = state.put(block)
     largest = found.agg(*(F.max_by(F.col("v")[i], F.abs(F.col("v")[i])).alias(f"x{i}") for i in range(k))).first()
-    signs = [1.0 if (x or 0) >= 0 else -1.0 for x in largest]
-    vector = F.array(*(F.col("v")[i] * F.lit(signs[i]) for i in range(k)))
-    return state.close(found).join(roots, "id").select("id", "root", vector.alias("vector")), [float(values[i]) for i in order]
+    vector = F.array(*(F.col("v")[i] * F.lit(1.0 if (largest[i] or 0) >= 0 else -1.0) for i in range(k)))
+    return state.close(found).join(roots, "id").select("id", "root", vector.alias("vector")), [float(x) for x in now]
 
 
 def spectral_clusters(similarities: DataFrame, k: int, value: str = "score", seed: int = 0) -> DataFrame:
