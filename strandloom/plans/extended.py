@@ -141,10 +141,10 @@ def assay_scan(spark, sf):
     return T.assays(spark, path)
 
 
-@query("SELECT p_brand AS chr, CAST(p_partkey AS INT) AS pos, CAST(p_size AS DOUBLE) AS score, p_retailprice - 950 AS snr FROM part WHERE p_retailprice > 950")
+@query("SELECT p_brand AS chr, CAST(p_partkey AS INT) AS pos, p_retailprice AS score, CAST(p_size - 25 AS DOUBLE) AS snr FROM part WHERE p_size > 25")
 def nucleosome_scan(spark, sf):
     path = passing_folder(spark, "map")
-    line = F.concat_ws("\t", "p_brand", (F.col("p_partkey") + 1).cast("string"), F.col("p_size").cast("string"), (F.col("p_retailprice") - 950).cast("string"))
+    line = F.concat_ws("\t", "p_brand", (F.col("p_partkey") + 1).cast("string"), F.col("p_retailprice").cast("string"), (F.col("p_size") - 25).cast("string"))
     read(spark, sf, "part").select(line.alias("value")).write.text(path)
     return T.nucleosomes(spark, path)
 
@@ -282,12 +282,12 @@ def differenced_ridge(spark, sf):
 
 
 @query("""WITH k AS (SELECT p_brand AS id, p_size * 0.8::DOUBLE AS x, avg(p_retailprice) AS y FROM part GROUP BY ALL), l AS (SELECT id, x, y, lag(x) OVER w AS a, lag(y) OVER w AS b, min(x) OVER (PARTITION BY id) AS lo, max(x) OVER (PARTITION BY id) AS hi FROM k WINDOW w AS (PARTITION BY id ORDER BY x)),
-g AS (SELECT CAST(unnest(range(4, 37)) AS INT) AS pos), v AS (SELECT id, pos, b + (pos - a) / (x - a) * (y - b) AS v FROM l JOIN g ON pos > a AND pos <= x WHERE lo <= 4 AND hi >= 36), m AS (SELECT id, pos - 4 AS pos, v - avg(v) OVER (PARTITION BY id) AS v FROM v),
-f AS (SELECT CAST(unnest(range(1, 16)) AS INT) AS k), t AS (SELECT id, k, sum(v * cos(2 * pi() * k * pos / 33)) AS re, sum(v * sin(2 * pi() * k * pos / 33)) AS im FROM m, f GROUP BY id, k) SELECT id, k, round(33.0 / k, 6) AS period, round((re * re + im * im) / (33 * 33), 4) + 0.0 AS power FROM t""")
+g AS (SELECT CAST(unnest(range(8, 25)) AS INT) AS pos), v AS (SELECT id, pos, coalesce(b + (pos - a) / (x - a) * (y - b), y) AS v FROM l JOIN g ON pos <= x AND pos > coalesce(a, x - 1) AND (a IS NOT NULL OR pos = x) WHERE lo <= 8 AND hi >= 24), m AS (SELECT id, pos - 8 AS pos, v - avg(v) OVER (PARTITION BY id) AS v FROM v),
+f AS (SELECT CAST(unnest(range(1, 8)) AS INT) AS k), t AS (SELECT id, k, sum(v * cos(2 * pi() * k * pos / 17)) AS re, sum(v * sin(2 * pi() * k * pos / 17)) AS im FROM m, f GROUP BY id, k) SELECT id, k, round(17.0 / k, 6) AS period, round((re * re + im * im) / (17 * 17), 4) + 0.0 AS power FROM t""")
 def interpolated_periodogram(spark, sf):
     points = read(spark, sf, "part").select(F.col("p_brand").alias("id"), (F.col("p_size") * F.lit(0.8)).alias("x"), F.col("p_retailprice").alias("y"))
-    even = G.resampled(points, ["id"], "x", "y", 4, 36)
-    middle = even.withColumn("value", F.col("value") - F.avg("value").over(Window.partitionBy("id"))).withColumn("pos", F.col("pos") - 4)
+    even = G.resampled(points, ["id"], "x", "y", 8, 24)
+    middle = even.withColumn("value", F.col("value") - F.avg("value").over(Window.partitionBy("id"))).withColumn("pos", F.col("pos") - 8)
     return G.periodogram(middle, ["id"]).select("id", "k", r6("period").alias("period"), (F.round(F.col("amplitude") ** 2, 4) + 0.0).alias("power"))
 
 
