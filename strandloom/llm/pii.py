@@ -24,10 +24,12 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,8 @@ REMOVAL = 0.95
 NEAR = 8
 #: Terms whose counts a task holds before it passes them on.
 HELD_TERMS = 200_000
+#: Bits of the filter of the terms that are counted (8 MB).
+FILTER_BITS = 1 << 26
 
 # A run of local-part characters is taken whole, with the rest of the address if it follows: a match can begin nowhere
 # else but at the run's start, since all later starts of the run meet the same rest. The same holds for runs of digits.
@@ -137,13 +141,36 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInPandas(run, SCAN)
 
 
+def filter_bits(terms: Iterable[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(t) % FILTER_BITS for t in terms), np.int64)
+
+
+def term_filter(terms: DataFrame) -> np.ndarray:
+    """A bit for each of FILTER_BITS hashes, set where a term has it: of one size whatever the terms, merged as a tree."""
+    def marks(rows) -> Iterator[np.ndarray]:
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        at = filter_bits(r[0] for r in rows)
+        np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        yield bits
+
+    return terms.select("term").rdd.mapPartitions(marks).treeAggregate(np.zeros(FILTER_BITS // 8, np.uint8), np.bitwise_or, np.bitwise_or)
+
+
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, docs_t): how many rows of ``docs`` hold each of ``terms`` (distinct) anywhere."""
+    """(term, docs_t): how many rows of ``docs`` hold each of ``terms`` (distinct) anywhere.
+
+    A task passes on only what the filter of the terms lets through; with more terms than the filter can tell apart it lets
+    all through, and the join decides as ever.
+    """
+    wanted = docs.sparkSession.sparkContext.broadcast(term_filter(terms))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: Counter[str] = Counter()
 
         def counted() -> Iterator[pd.DataFrame]:
-            items = list(found.items())
+            at = filter_bits(found)
+            let = (wanted.value[at >> 3] >> (at & 7)) & 1
+            items = [item for item, x in zip(found.items(), let.tolist()) if x]
             for i in range(0, len(items), 10_000):
                 yield pd.DataFrame(items[i : i + 10_000], columns=["term", "n"])
             found.clear()
@@ -163,25 +190,29 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def disclosures(docs: DataFrame, scanned: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
     """(th, hits): for each text with entities the terms (term, share) that disclose ``threshold`` of one or more."""
     n = float(scanned.count())
-    # each term of a text, and those that this text alone may show to disclose
-    tells = F.array_distinct(F.transform(F.filter("words", lambda x: x["tells"]), lambda x: x["term"])).alias("tells")
-    terms = F.array_distinct(F.transform("words", lambda x: x["term"])).alias("terms")
-    texts = scanned.where(F.size("entities") > 0).select("th", "entities", terms, tells)
-    texts = written(texts.groupBy("th").agg(F.count(F.lit(1)).alias("m"), *(F.first(c).alias(c) for c in ("entities", "terms", "tells"))), "texts")
+    # the terms that a text alone may show to disclose, and its others
+    term = lambda words: F.transform(words, lambda x: x["term"])
+    tells = F.array_distinct(term(F.filter("words", lambda x: x["tells"])))
+    texts = scanned.where(F.size("entities") > 0).select("th", "entities", tells.alias("tells"), F.array_except(term("words"), tells).alias("others"))
+    texts = written(texts.groupBy("th").agg(F.count(F.lit(1)).alias("m"), *(F.first(c).alias(c) for c in ("entities", "tells", "others"))), "texts")
+    marked = F.concat(*(F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(c == "tells").alias("tells"))) for c in ("tells", "others")))
     each = texts.select("th", "m", F.explode("entities").alias("entity"))
     known = written(each.groupBy("entity").agg(F.sum("m").alias("docs_e"), F.count(F.lit(1)).alias("texts_e")), "entities")
-    counts = written(term_counts(docs, written(texts.select(F.explode("terms").alias("term")).distinct(), "terms")), "counts")
     share = F.log2(n / F.col("docs_e") * (F.col("joint") + F.col("docs_e") / n) / (F.col("docs_t") + 1)) / F.log2(n / F.col("docs_e"))
 
-    def disclosing(joint: DataFrame) -> DataFrame:
-        return joint.where(F.col("docs_e") < n).join(counts, "term").withColumn("share", share).where(F.col("share") >= threshold)
-
     alone = each.join(known.where("texts_e = 1"), "entity").select("th").distinct()
     alone = texts.join(alone, "th").select("th", F.col("m").alias("docs_e"), F.col("m").alias("joint"), F.explode("tells").alias("term"))
     shared = each.join(known.where("texts_e > 1"), "entity").select("th", "entity", "docs_e")
-    shared = texts.join(shared, "th").select("th", "m", "entity", "docs_e", "tells", F.explode("terms").alias("term"))
-    pairs = shared.groupBy("entity", "docs_e", "term").agg(F.sum("m").alias("joint"), F.count(F.lit(1)).alias("both"), F.max(F.array_contains("tells", F.col("term"))).alias("told"))
-    pairs = disclosing(pairs.where("both > 1 OR told")).select("entity", "term", "share")
+    shared = texts.join(shared, "th").select("th", "m", "entity", "docs_e", F.explode(marked).alias("x")).select("th", "m", "entity", "docs_e", "x.term", "x.tells")
+    pairs = shared.groupBy("entity", "docs_e", "term").agg(F.sum("m").alias("joint"), F.count(F.lit(1)).alias("both"), F.max("tells").alias("told"))
+    pairs = written(pairs.where("both > 1 OR told"), "pairs")
+    # only terms that may disclose are counted over the corpus
+    counts = written(term_counts(docs, written(alone.select("term").union(pairs.select("term")).distinct(), "terms")), "counts")
+
+    def disclosing(joint: DataFrame) -> DataFrame:
+        return joint.where(F.col("docs_e") < n).join(counts, "term").withColumn("share", share).where(F.col("share") >= threshold)
+
+    pairs = disclosing(pairs).select("entity", "term", "share")
     found = disclosing(alone).select("th", "term", "share").union(shared.join(pairs, ["entity", "term"]).select("th", "term", "share"))
     best = found.groupBy("th", "term").agg(F.max("share").alias("share"))
     return written(best.groupBy("th").agg(F.collect_list(F.struct("term", "share")).alias("hits")), "disclosures")
