@@ -18,6 +18,7 @@ other than the id are not carried.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -58,6 +59,9 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         # a text that holds one of the file's own marks is encoded whole, as the library does
         self.marks = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # what all marks begin with, where that has no case, is looked for first; the empty text is in every text
+        begin = os.path.commonprefix(self.marks)
+        self.sign = begin if begin == begin.upper() else ""
         self.model = self.tokenizer.model
         self.memory = memory
         self.chunks: dict[str, bytes] = {}
@@ -87,9 +91,10 @@ class WordTokens:
         return b"".join(out)
 
     def packed(self, text: str) -> bytes:
-        low = text.lower()
-        if any(mark in low for mark in self.marks):
-            return self._raw(text)
+        if self.sign in text:
+            low = text.lower()
+            if any(mark in low for mark in self.marks):
+                return self._raw(text)
         chunks = self.chunks
         parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         out = list(map(chunks.get, parts))
