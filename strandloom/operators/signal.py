@@ -211,9 +211,14 @@ def lomb_scargle(signal: DataFrame, key: list[str], periods: list[float]) -> Dat
 
 
 def pair_distances(marks: DataFrame, key: list[str], group: str, lags: int) -> DataFrame:
-    """(group, lag, n): how often two marks of one group lie ``lag`` positions apart in one id, 1..lags."""
-    spread = marks.select(*key, group, F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + lags)).alias("pos"), F.col("pos").alias("__from"))
-    return spread.join(marks, [*key, group, "pos"]).groupBy(group, (F.col("pos") - F.col("__from")).alias("lag")).agg(F.count(F.lit(1)).alias("n"))
+    """(group, lag, n): how often two marks of one group lie ``lag`` positions apart in one id, 1..lags.
+
+    A mark meets those after it in a running window over its id and group, so nothing is joined: a join with marks that are
+    made from a short text would be planned by the size of the text's file, and all marks be sent to every task.
+    """
+    ahead = F.collect_list("pos").over(Window.partitionBy(*key, group).orderBy("pos").rangeBetween(1, lags))
+    met = marks.dropna(subset=[*key, group, "pos"]).withColumn("__ahead", ahead).select(group, F.col("pos").alias("__from"), F.explode("__ahead").alias("pos"))
+    return met.groupBy(group, (F.col("pos") - F.col("__from")).alias("lag")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def elementwise(signal: DataFrame, how: str = "mean", by: list[str] | None = None) -> DataFrame:
