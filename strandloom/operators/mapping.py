@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.sequence import pieces, reverse_complement
 
 CHUNK = 4096
+#: Letters and rows' own bytes of the sequences that may be broadcast; more of them, and the genome, are joined by shuffles.
+BESIDE_BYTES = 1 << 23
 
 
 def chunks(genome: DataFrame, overlap: int, chunk: int = CHUNK) -> DataFrame:
@@ -26,13 +28,15 @@ def hits(genome: DataFrame, reads: DataFrame, seed: int = 12, chunk: int = CHUNK
     """(read_id, chr, pos, strand) of every exact occurrence of ``reads`` (read_id, seq) in ``genome`` (chr, seq).
 
     Seeds are as long as the shortest sequence at most. A palindrome is found on both strands; empty sequences nowhere.
+    The joins are named here: the planner knows the sizes of files only, and would send the genome's pieces to every task.
     """
     named = reads.where(F.length("seq") > 0).select("read_id", "seq").distinct()
-    size = named.agg(F.min(F.length("seq")).alias("least"), F.max(F.length("seq")).alias("most")).first()
+    size = named.agg(F.min(F.length("seq")).alias("least"), F.max(F.length("seq")).alias("most"), F.sum(F.length("seq") + 64).alias("bytes")).first()
     schema = f"read_id {reads.schema['read_id'].dataType.simpleString()}, chr {genome.schema['chr'].dataType.simpleString()}, pos bigint, strand string"
     if size["least"] is None:
         return reads.sparkSession.createDataFrame([], schema)
     k, most = min(seed, size["least"]), size["most"]
+    beside = F.broadcast if 4 * size["bytes"] <= BESIDE_BYTES else lambda frame: frame.hint("merge")
     cut = chunks(genome, most, chunk)
     own = cut.select("chr", "no", F.posexplode(pieces(F.col("text"), k)).alias("at", "seed")).where(F.col("at") < chunk)
     counts = own.groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
@@ -40,19 +44,19 @@ def hits(genome: DataFrame, reads: DataFrame, seed: int = 12, chunk: int = CHUNK
     turned = named.select("read_id", strands.alias("x")).select("read_id", "x.strand", "x.s")
     # a sequence's seeds: its letters in groups of k, the rest left out
     seeds = turned.select("read_id", "strand", F.posexplode(F.regexp_extract_all("s", F.lit(f"(?s).{{{k}}}"), F.lit(0))).alias("i", "seed"))
-    met = seeds.join(counts, "seed", "left")
+    met = seeds.join(counts.hint("merge"), "seed", "left")
     rarest = met.groupBy("read_id", "strand").agg(F.min_by(F.struct("seed", "i"), F.struct(F.coalesce("n", F.lit(0)), "i")).alias("x"), F.count_if(F.col("n").isNull()).alias("gone"))
-    asked = turned.join(rarest.where("gone = 0").select("read_id", "strand", "x.seed", (F.col("x.i") * k).alias("before")), ["read_id", "strand"])
-    places = own.join(asked, "seed").select("read_id", "strand", "s", "chr", (F.col("no").cast("bigint") * chunk + F.col("at") - F.col("before")).alias("pos")).where("pos >= 0")
+    asked = turned.join(rarest.where("gone = 0").select("read_id", "strand", "x.seed", (F.col("x.i") * k).alias("before")).hint("merge"), ["read_id", "strand"])
+    places = own.join(beside(asked), "seed").select("read_id", "strand", "s", "chr", (F.col("no").cast("bigint") * chunk + F.col("at") - F.col("before")).alias("pos")).where("pos >= 0")
     places = places.withColumn("no", F.floor(F.col("pos") / chunk).cast("int"))
     same = F.substring(F.col("text"), (F.col("pos") - F.col("no").cast("bigint") * chunk + 1).cast("int"), F.length("s")) == F.col("s")
-    return places.join(cut, ["chr", "no"]).where(same).select("read_id", "chr", "pos", "strand")
+    return places.join(cut.hint("merge"), ["chr", "no"]).where(same).select("read_id", "chr", "pos", "strand")
 
 
 def mapped(genome: DataFrame, reads: DataFrame, seed: int = 12) -> DataFrame:
     """(read_id, chr, pos, strand, places) of every sequence: its first place (by chr, pos, strand), or nulls and 0."""
     found = hits(genome, reads, seed).groupBy("read_id").agg(F.min(F.struct("chr", "pos", "strand")).alias("x"), F.count(F.lit(1)).alias("places"))
-    return reads.select("read_id").distinct().join(found, "read_id", "left").select("read_id", "x.chr", "x.pos", "x.strand", F.coalesce("places", F.lit(0)).alias("places"))
+    return reads.select("read_id").distinct().join(found.hint("merge"), "read_id", "left").select("read_id", "x.chr", "x.pos", "x.strand", F.coalesce("places", F.lit(0)).alias("places"))
 
 
 def lifted(sites: DataFrame, old: DataFrame, new: DataFrame, flank: int = 100, reach: int = 10_000, seed: int = 12) -> DataFrame:
@@ -71,7 +75,7 @@ def cut_around(genome: DataFrame, sites: DataFrame, flank: int) -> DataFrame:
     """(id, seq): up to ``flank`` letters before each site and from it on, cut from the chunk that holds the first."""
     begin = F.greatest(F.col("pos") - flank, F.lit(0))
     wanted = sites.select("id", "chr", begin.alias("b"), (F.col("pos") + flank - begin).cast("int").alias("n"), F.floor(begin / CHUNK).cast("int").alias("no"))
-    return wanted.join(chunks(genome, 2 * flank), ["chr", "no"]).select("id", _piece("text", F.col("b") - F.col("no") * CHUNK, F.col("n")).alias("seq"))
+    return wanted.join(chunks(genome, 2 * flank).hint("merge"), ["chr", "no"]).select("id", _piece("text", F.col("b") - F.col("no") * CHUNK, F.col("n")).alias("seq"))
 
 
 def _piece(text: str, at: Column, n: Column) -> Column:

@@ -5,11 +5,12 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
+from strandloom.operators import mapping
 from strandloom.operators import signal as G
 
 
 def plan(frame):
-    return frame._jdf.queryExecution().executedPlan().toString()
+    return frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
 
 
 def test_pair_distances_send_no_marks_to_every_task(spark):
@@ -22,3 +23,19 @@ def test_pair_distances_send_no_marks_to_every_task(spark):
     want = Counter((s, q - p) for i, p, s in held for j, q, t in held if i == j and s == t and 1 <= q - p <= 4)
     assert {(r.step, r.lag): r.n for r in got.collect()} == want
     assert "Broadcast" not in plan(got)
+
+
+def test_mapping_sends_no_piece_of_the_genome_to_every_task(spark, monkeypatch):
+    letters = "".join("ACGT"[(i * i * 7 + i // 3) % 4] for i in range(3000))
+    genome = spark.createDataFrame([("c", letters), ("d", letters[500:900])], "chr string, seq string")
+    reads = spark.createDataFrame([(i, letters[i * 37 : i * 37 + 30]) for i in range(60)] + [(99, "A" * 30)], "read_id int, seq string")
+    found = mapping.mapped(genome, reads, 10)
+    want = {(i, "c" if s in letters else None) for i, s in reads.collect()}
+    few = sorted(map(tuple, found.collect()))
+    assert {(r[0], r[1]) for r in few} == want
+    # only the sequences may be broadcast
+    assert plan(found).count("BroadcastExchange") <= 1
+    monkeypatch.setattr(mapping, "BESIDE_BYTES", 0)
+    many = mapping.mapped(genome, reads, 10)
+    assert sorted(map(tuple, many.collect())) == few
+    assert "Broadcast" not in plan(many)
