@@ -2,9 +2,11 @@
 
 from collections import Counter
 
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
 
 from strandloom.functions import sequence as S
+from strandloom.operators import divergence as D
 from strandloom.operators import mapping
 from strandloom.operators import signal as G
 
@@ -39,3 +41,42 @@ def test_mapping_sends_no_piece_of_the_genome_to_every_task(spark, monkeypatch):
     many = mapping.mapped(genome, reads, 10)
     assert sorted(map(tuple, many.collect())) == few
     assert "Broadcast" not in plan(many)
+
+
+def test_silhouette_equals_a_plain_count(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=3).round(3).tolist(), f"c{i % 3}") for i in range(60)]
+    rows += [(60 + i, rows[0][1], "c0") for i in range(5)] + [(70, [1.0, None, 2.0], "c1"), (71, None, "c2"), (72, [1.0, 2.0], "c1"), (73, [4.0, 2.0], None), (None, [1.0, 2.0, 3.0], "c0"), (3, [0.0, 0.5, 0.0], "c1"), (80, [1e9, 1e9, 1e9], "far"), (81, [1e9, 1e9, 1e9 + 1], "far")]
+
+    def gap(x, y):
+        return None if x is None or y is None or len(x) != len(y) or None in x or None in y else sum((a - b) ** 2 for a, b in zip(x, y)) ** 0.5
+
+    sums = {}
+    for i, x, c in rows:
+        for j, y, d in rows:
+            if i is not None and j is not None and i != j:
+                met = sums.setdefault((i, c), {}).setdefault(d, [])
+                met += [g for g in [gap(x, y)] if g is not None]
+    want = {}
+    for (i, c), others in sums.items():
+        means = {d: sum(v) / len(v) for d, v in others.items() if v}
+        a, b = means.get(c) if c is not None else None, min((m for d, m in means.items() if c is not None and d is not None and d != c), default=None)
+        want[i, c] = 0.0 if a is None or b is None else (b - a) / max(a, b)
+    frame = spark.createDataFrame(rows, "id int, v array<double>, c string")
+    got = D.silhouette(frame, "id", "v", "c")
+    found = {(r.id, r.c): r.silhouette for r in got.collect()}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+    # distances are added up where they are made
+    assert "Generate explode(array(struct" not in plan(got) and "FlatMapGroupsInArrow" in plan(got)
+
+    # the same sums whatever the rows taken at once
+    for p, q in ((0, 1), (0, 0)):
+        part = [(k, v, c, i % 2 if p != q else 0, p, q) for i, (k, v, c) in enumerate(rows) if k is not None and (v is None or None not in v)]
+        types = [pa.int32(), pa.list_(pa.float64()), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], names=["k", "v", "c", "__i", "__p", "__q"])
+        told = []
+        for at_once in (3, 256):
+            monkeypatch.setattr(D, "AT_ONCE", at_once)
+            table = pa.Table.from_batches(list(D.block_sums(iter([batch])))).to_pandas()
+            told.append(table.groupby(["k", "own", "other"], dropna=False).sum().sort_index())
+        assert told[0].index.equals(told[1].index) and (told[0]["n"] == told[1]["n"]).all() and np.allclose(told[0]["s"], told[1]["s"])
