@@ -52,6 +52,8 @@ IP = re.compile(r"[0-9]++(\.[0-9]++\.[0-9]++\.[0-9]++)?")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+# an email's "@" and the letter after it; seven characters of the others, the first a digit: the least an address has
+MAYBE = r"@[A-Za-z0-9-]|[0-9][0-9 ().-]{6}"
 WORD = re.compile(r"[^\W\d_]{3,}")
 
 
@@ -184,7 +186,8 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
         yield from counted()
 
     each = docs.select("text").mapInPandas(run, "term string, n bigint")
-    return each.join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").cast("bigint").alias("docs_t"))
+    # added up before they meet the terms: a term's rows become one where they are made, and once more where they meet
+    return each.groupBy("term").agg(F.sum("n").cast("bigint").alias("docs_t")).join(terms.hint("merge"), "term", "left_semi")
 
 
 def disclosures(docs: DataFrame, scanned: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
@@ -206,8 +209,12 @@ def disclosures(docs: DataFrame, scanned: DataFrame, threshold: float = DISCLOSU
     shared = texts.join(shared, "th").select("th", "m", "entity", "docs_e", F.explode(marked).alias("x")).select("th", "m", "entity", "docs_e", "x.term", "x.tells")
     pairs = shared.groupBy("entity", "docs_e", "term").agg(F.sum("m").alias("joint"), F.count(F.lit(1)).alias("both"), F.max("tells").alias("told"))
     pairs = written(pairs.where("both > 1 OR told"), "pairs")
-    # only terms that may disclose are counted over the corpus
-    counts = written(term_counts(docs, written(alone.select("term").union(pairs.select("term")).distinct(), "terms")), "counts")
+    # only terms that may disclose are counted over the corpus: the texts with entities hold a term at least so often, and
+    # the share falls with that number, so where it is too small already no count can bring it back
+    held = texts.select("m", F.explode(F.concat("tells", "others")).alias("term")).groupBy("term").agg(F.sum("m").alias("docs_t"))
+    asked = alone.select("term", "docs_e", "joint").union(pairs.select("term", "docs_e", "joint")).distinct().where(F.col("docs_e") < n)
+    terms = asked.join(held.hint("merge"), "term").where(share >= threshold).select("term").distinct()
+    counts = written(term_counts(docs, written(terms, "terms")), "counts")
 
     def disclosing(joint: DataFrame) -> DataFrame:
         return joint.where(F.col("docs_e") < n).join(counts, "term").withColumn("share", share).where(F.col("share") >= threshold)
@@ -237,7 +244,7 @@ def find(docs: DataFrame) -> DataFrame:
             yield pd.concat([batch.drop(columns="base"), pd.DataFrame(rows, columns=["base_sha256", "spans", "n_term"], index=batch.index)], axis=1)
 
     # rows without entities need no join, so copies of their texts don't meet in a task
-    rest = scanned.where(F.size("entities") > 0).join(hits, "th", "left").select(*columns, "words", "hits").mapInPandas(run, FOUND)
+    rest = scanned.where(F.size("entities") > 0).join(hits.hint("merge"), "th", "left").select(*columns, "words", "hits").mapInPandas(run, FOUND)
     plain = scanned.where(F.size("entities") == 0).select(
         *columns[:-1], F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), F.lit("").alias("spans"), F.lit(0).cast("bigint").alias("n_term")
     )
@@ -262,9 +269,10 @@ def masked(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` generalised, disclosing terms generalised or removed; all columns stay."""
     hits = disclosures(docs, written(scan(docs), "scan")).select(F.col("th").alias("__th"), F.col("hits").alias("__hits"))
-    # a text without "@" and digits holds no protected value: it meets nothing, so null texts don't meet under one key
-    maybe = F.coalesce(F.col("text").rlike("[@0-9]"), F.lit(False))
-    source = docs.where(maybe).join(hits, F.xxhash64("text") == F.col("__th"), "left").select(*docs.columns, "__hits")
+    # a text without the least that every pattern asks for holds no protected value: it meets nothing and doesn't move, and
+    # null texts don't meet under one key
+    maybe = F.coalesce(F.col("text").rlike(MAYBE), F.lit(False))
+    source = docs.where(maybe).join(hits.hint("merge"), F.xxhash64("text") == F.col("__th"), "left").select(*docs.columns, "__hits")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -4,8 +4,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
+from strandloom.llm import pii
 from strandloom.operators import divergence as D
 from strandloom.operators import mapping
 from strandloom.operators import signal as G
@@ -80,3 +82,21 @@ def test_silhouette_equals_a_plain_count(spark, monkeypatch):
             table = pa.Table.from_batches(list(D.block_sums(iter([batch])))).to_pandas()
             told.append(table.groupby(["k", "own", "other"], dropna=False).sum().sort_index())
         assert told[0].index.equals(told[1].index) and (told[0]["n"] == told[1]["n"]).all() and np.allclose(told[0]["s"], told[1]["s"])
+
+
+def test_common_terms_of_entity_texts_are_not_counted(spark, monkeypatch):
+    common = "alpha beta gamma delta"
+    rows = [(i, f"{common} Rare{chr(97 + i % 26)}{chr(97 + i // 26)} user{i}@mail.example {common}") for i in range(60)] + [(100 + i, f"plain words only {i}") for i in range(140)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    asked, counts = [], pii.term_counts
+    monkeypatch.setattr(pii, "term_counts", lambda d, terms: asked.extend(r.term for r in terms.collect()) or counts(d, terms))
+    found = {r.doc_id: r.n_term for r in pii.find(docs).collect()}
+    assert len(asked) == len(set(asked)) == 60 and all(t.startswith("rare") for t in asked)
+    assert all(found[i] == (1 if i < 60 else 0) for i, _ in rows)
+
+
+def test_texts_that_may_hold_a_value_are_all_asked(spark):
+    texts = ["a@b.c", "x@-.y", "1.1.1.1", "4111111111111111", "4111 1111-1111 1111", "+1 2345678", "+1).(-  2345678", "+12345678", "no 12 34", "@", "call +1234567", "1.2.3.999", "", None]
+    maybe = [r.m for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.coalesce(F.col("t").rlike(pii.MAYBE), F.lit(False)).alias("m")).collect()]
+    assert all(m for t, m in zip(texts, maybe) if pii.base_spans(t))
+    assert maybe[8:10] == [False, False]
