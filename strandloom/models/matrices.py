@@ -20,6 +20,8 @@ from ..sources.memo import Settled, passing_folder
 
 #: Ids of a pair matrix that may be brought to the driver (n^2 doubles: 128 MB).
 MATRIX_IDS = 4000
+#: Bytes of a matrix that a task of a round of NMF takes.
+PART_BYTES = 1 << 21
 #: Products of one Krylov subspace.
 POWER = 5
 
@@ -110,8 +112,10 @@ def nmf(rows: DataFrame, key: str, values: str, rank: int, rounds: int = 100, se
     small sums over all rows, W'X and W'W. So no matrix of all rows exists anywhere.
     """
     data = rows.select(key, F.transform(values, lambda x: F.greatest(x.cast("double"), F.lit(0.0))).alias("v")).cache()
-    facts = data.agg(F.max(F.size("v")).alias("m"), F.avg(F.aggregate("v", F.lit(0.0), lambda s, x: s + x)).alias("t")).first()
+    facts = data.agg(F.max(F.size("v")).alias("m"), F.avg(F.aggregate("v", F.lit(0.0), lambda s, x: s + x)).alias("t"), F.count(F.lit(1)).alias("n")).first()
     m = facts["m"] or 0
+    # as many tasks a round as the matrix has parts of some size, however many partitions the rows it was made from had
+    held = data.coalesce(max(1, -(-facts["n"] * m * 8 // PART_BYTES)))
     rng = np.random.default_rng(seed)
     basis = rng.random((rank, m)) * np.sqrt(max((facts["t"] or 1.0) / max(m, 1) / rank, 1e-12)) + 1e-9
 
@@ -134,7 +138,7 @@ def nmf(rows: DataFrame, key: str, values: str, rank: int, rounds: int = 100, se
                     a, b = a + w.T @ x, b + w.T @ w
             yield pd.DataFrame({"i": np.arange(rank), "a": list(a), "b": list(b)})
 
-        parts = data.select("v").mapInPandas(sums, "i int, a array<double>, b array<double>")
+        parts = held.select("v").mapInPandas(sums, "i int, a array<double>, b array<double>")
         # element-wise sums over the partitions' matrices, so the driver gets one
         cells = parts.select("i", F.posexplode(F.concat("a", "b")).alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
         both = np.zeros((rank, m + rank))

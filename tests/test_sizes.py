@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
 from strandloom.llm import pii
+from strandloom.models import matrices
 from strandloom.operators import divergence as D
 from strandloom.operators import mapping
 from strandloom.operators import signal as G
@@ -100,3 +101,15 @@ def test_texts_that_may_hold_a_value_are_all_asked(spark):
     maybe = [r.m for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.coalesce(F.col("t").rlike(pii.MAYBE), F.lit(False)).alias("m")).collect()]
     assert all(m for t, m in zip(texts, maybe) if pii.base_spans(t))
     assert maybe[8:10] == [False, False]
+
+
+def test_nmf_rounds_have_few_tasks_for_a_small_matrix(spark):
+    rows = spark.createDataFrame([(i, [float((i * j) % 5 + 1) for j in range(6)]) for i in range(40)], "id int, v array<double>")
+    tracker, wide = spark.sparkContext.statusTracker(), []
+    for rounds in (2, 7):
+        spark.sparkContext.setJobGroup(f"nmf-{rounds}", "")
+        matrices.nmf(rows.repartition(40), "id", "v", 2, rounds=rounds)
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(f"nmf-{rounds}") for s in tracker.getJobInfo(j).stageIds]
+        wide.append(sum(s.numTasks >= 40 and s.numCompletedTasks > 0 for s in stages if s))
+    # the passes before and after the rounds have a task a partition, the rounds have one
+    assert wide[0] == wide[1]
