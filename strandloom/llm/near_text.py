@@ -29,11 +29,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, settled, written
+from .common import components, in_slices, settled, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -149,31 +149,33 @@ def sign_batch(texts: list[str], shingler: Shingler, k: int, weighted: bool) ->
 
 def band_keys(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
     """(doc_id, keys): one 64-bit key for each band of the signature of (doc_id, text). One narrow pass."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for batch in batches:
-            for i in range(0, len(batch), 64):
-                part = batch.iloc[i : i + 64]
-                signed, sizes = sign_batch(part["text"].tolist(), shingler, bands * rows, weighted)
-                keys = np.zeros((len(part), bands), U64)
-                for r in range(rows):
-                    keys = mix((keys + signed[:, r::rows][:, :bands]) * GOLD + U64(r))
-                keys = mix(keys + np.arange(1, bands + 1, dtype=U64) * GOLD).view(np.int64)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "keys": list(keys), "n": sizes})
+        for part in in_slices(batches, 64):
+            signed, sizes = sign_batch(part.column("text").to_pylist(), shingler, bands * rows, weighted)
+            keys = np.zeros((part.num_rows, bands), U64)
+            for r in range(rows):
+                keys = mix((keys + signed[:, r::rows][:, :bands]) * GOLD + U64(r))
+            keys = mix(keys + np.arange(1, bands + 1, dtype=U64) * GOLD).view(np.int64)
+            yield pa.record_batch([part.column("doc_id"), listed(keys.reshape(-1), np.full(len(keys), bands)), pa.array(sizes.astype(np.int32))], ["doc_id", "keys", "n"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, keys array<bigint>, n int")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, keys array<bigint>, n int")
+
+
+def listed(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """An Arrow column of lists of ``sizes`` from their values in a row."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(values))
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, s): the sorted distinct shingle hashes of (doc_id, text)."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for batch in batches:
-            for i in range(0, len(batch), 512):
-                part = batch.iloc[i : i + 512]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "s": [np.unique(shingler.shingles(t)).view(np.int64) for t in part["text"]]})
+        for part in in_slices(batches, 64):
+            sets = [np.unique(shingler.shingles(t)).view(np.int64) for t in part.column("text").to_pylist()]
+            yield pa.record_batch([part.column("doc_id"), listed(np.concatenate(sets), np.array([len(s) for s in sets]))], ["doc_id", "s"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, s array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, s array<bigint>")
 
 
 def scored(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -230,7 +232,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     exploded = signed.select("doc_id", "n", F.explode("keys").alias("key"))
     centre = exploded.groupBy("key").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "b")
     members = written(exploded.join(centre, "key").select("key", F.col("doc_id").alias("a"), "b", "n"), "members")
-    sets = written(shingle_sets(source.join(members.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi")).groupBy("doc_id").agg(F.min("s").alias("s")), "shingles")
+    sets = written(shingle_sets(source.where("text IS NOT NULL").join(members.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi")).groupBy("doc_id").agg(F.min("s").alias("s")), "shingles")
 
     def joined(found: DataFrame) -> DataFrame:
         return components(found.where(F.col("jaccard") >= similarity).select("a", "b"), "classes")

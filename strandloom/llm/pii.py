@@ -44,6 +44,8 @@ NEAR = 8
 HELD_TERMS = 200_000
 #: Bits of the filter of the terms that are counted (8 MB).
 FILTER_BITS = 1 << 26
+#: Bytes of a part of the filter, and tasks that merge the parts.
+FILTER_PART, FILTER_TASKS = 1 << 16, 8
 
 # A run of local-part characters is taken whole, with the rest of the address if it follows: a match can begin nowhere
 # else but at the run's start, since all later starts of the run meet the same rest. The same holds for runs of digits.
@@ -148,14 +150,36 @@ def filter_bits(terms: Iterable[str]) -> np.ndarray:
 
 
 def term_filter(terms: DataFrame) -> np.ndarray:
-    """A bit for each of FILTER_BITS hashes, set where a term has it: of one size whatever the terms, merged as a tree."""
-    def marks(rows) -> Iterator[np.ndarray]:
+    """A bit for each of FILTER_BITS hashes, set where a term has it: of one size whatever the terms.
+
+    A task's bits go on as the parts in which it has any, and a part's rows are merged in one task. The steps are a data frame's, as
+    Spark keeps workers of their own, beside those of the data frames, for an RDD's Python steps.
+    """
+    def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.zeros(FILTER_BITS // 8, np.uint8)
-        at = filter_bits(r[0] for r in rows)
-        np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        yield bits
+        for batch in batches:
+            at = filter_bits(batch["term"])
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        yield from passed(bits)
 
-    return terms.select("term").rdd.mapPartitions(marks).treeAggregate(np.zeros(FILTER_BITS // 8, np.uint8), np.bitwise_or, np.bitwise_or)
+    def passed(bits: np.ndarray) -> Iterator[pd.DataFrame]:
+        for part, of in enumerate(bits.reshape(-1, FILTER_PART)):
+            if of.any():
+                yield pd.DataFrame({"part": [part], "bits": [of.tobytes()]})
+
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(FILTER_BITS // 8, np.uint8).reshape(-1, FILTER_PART)
+        for batch in batches:
+            for part, of in zip(batch["part"], batch["bits"], strict=True):
+                bits[part] |= np.frombuffer(of, np.uint8)
+        yield from passed(bits)
+
+    bits = np.zeros((FILTER_BITS // 8 // FILTER_PART, FILTER_PART), np.uint8)
+    parts = terms.select("term").mapInPandas(marks, "part int, bits binary").repartition(FILTER_TASKS, "part")
+    # each part is whole in one task after the exchange, so a row a part comes back: the filter's size at most
+    for row in parts.mapInPandas(merged, "part int, bits binary").collect():
+        bits[row["part"]] |= np.frombuffer(row["bits"], np.uint8)
+    return bits.reshape(-1)
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:

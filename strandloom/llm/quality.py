@@ -17,11 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowest_by_hash
+from .common import in_slices, lowest_by_hash
 
 #: Fixed parameters of the production queries.
 BLOCK = 1024
@@ -166,11 +167,10 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame
     """The rows of ``docs`` that score ``threshold`` or more, all columns as they are. One narrow pass."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most DICT_BYTES
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         sizer = Sizer(known.good, known.bad)
-        for batch in batches:
-            scores = known.score(sizer.features([t if isinstance(t, str) else None for t in batch["text"]]))
-            yield batch[scores >= threshold]
+        for part in in_slices(batches):
+            yield part.filter(pa.array(known.score(sizer.features(part.column("text").to_pylist())) >= threshold))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
