@@ -34,6 +34,10 @@ RATIOS, NOISES = 17, 9
 #: Least mean of a centre and least rate of a strand, which keep logarithms finite.
 LEAST_DYAD, LEAST_RATE = 0.5, 1e-3
 MARKS = np.array([0.0, 0.25, 0.5, 0.75, 1.0])
+#: Groups whose sums a task adds up before it passes them on.
+HELD_GROUPS = 64
+#: Rows that make a task of their own worth while, and the number of tasks from which they get more rows instead.
+ROWS_A_TASK, MOST_TASKS = 128, 512
 
 
 def median_marks(heights: np.ndarray, places: np.ndarray, n: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,9 +82,25 @@ def grid(sigma: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def profile(t: np.ndarray, b: np.ndarray, d: np.ndarray, sigma: float) -> np.ndarray:
-    """Sums over the rows of the log likelihood, at each centre and point of the grid: (centres, ratios x noises)."""
+    """Sums over the rows of the log likelihood, at each centre and point of the grid: (centres, ratios x noises).
+
+    A logarithm counts only where its strand has cuts, so it is taken there alone.
+    """
     ratios, noises = grid(sigma)
-    return np.stack([_log_likelihood(t, b, d, r, noise).sum(axis=0) for r in ratios for noise in noises], axis=1)
+    out = np.empty((t.shape[1], len(ratios) * len(noises)))
+    rate = np.empty(d.shape)
+    strands = [(x[where], d[where], where[1]) for x in (t, b) for where in [np.nonzero(x)]]
+    for i, r in enumerate(ratios):
+        means = [d * q for q in (r, 1 - r)]
+        seen = [own * q for (_, own, _), q in zip(strands, (r, 1 - r), strict=True)]
+        for j, noise in enumerate(noises):
+            sums = np.zeros(t.shape[1])
+            for mean, own, sign, (n, _, centre) in zip(means, seen, (1, -1), strands, strict=True):
+                np.add(mean, sign * noise, out=rate)
+                sums -= np.maximum(rate, LEAST_RATE, out=rate).sum(axis=0)
+                sums += np.bincount(centre, n * np.log(np.maximum(own + sign * noise, LEAST_RATE)), len(sums))
+            out[:, i * len(noises) + j] = sums
+    return out
 
 
 def walk_parameters(sums: np.ndarray, ratio: np.ndarray, noise: np.ndarray, sigma: float, rng: np.random.Generator, steps: int, prior: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
@@ -111,27 +131,51 @@ def walk_parameters(sums: np.ndarray, ratio: np.ndarray, noise: np.ndarray, sigm
 
 def sweep(d: np.ndarray, t: np.ndarray, b: np.ndarray, mean: np.ndarray, var: np.ndarray, ratio: np.ndarray, noise: np.ndarray, draws: list[np.random.Generator], steps: int) -> np.ndarray:
     """Metropolis-Hastings steps for the centres of some rows; each row has a generator of its own."""
-    alpha, beta, size = mean**2 / var, mean / var, np.sqrt(var) * np.ones_like(d)
-
-    def density(x: np.ndarray) -> np.ndarray:
-        return (alpha - 1) * np.log(x) - beta * x + _log_likelihood(t, b, x, ratio, noise)
-
-    now = density(d)
-    width = d.shape[1]
-    moves = np.stack([g.normal(size=(steps, width)) for g in draws], axis=1)
-    tests = np.log(np.stack([g.uniform(size=(steps, width)) for g in draws], axis=1))
+    more, beta, size, rest = mean**2 / var - 1, mean / var, np.sqrt(var) * np.ones_like(d), 1 - ratio
+
+    # a logarithm of a rate counts only where its strand has cuts
+    strands = [(where, x.ravel()[where]) for x in (t, b) for where in [np.flatnonzero(x)]]
+
+    def density(x: np.ndarray, log_x: np.ndarray) -> np.ndarray:
+        out = more * log_x
+        out -= beta * x
+        for (where, n), share, sign in zip(strands, (ratio, rest), (1, -1), strict=True):
+            rate = x * share
+            rate += sign * noise
+            np.maximum(rate, LEAST_RATE, out=rate)
+            out -= rate
+            out.ravel()[where] += n * np.log(rate.ravel()[where])
+        return out
+
+    log_d = np.log(d)
+    now = density(d, log_d)
+    moves, tests = np.empty((2, len(d), steps, d.shape[1]))
+    for i, g in enumerate(draws):
+        g.standard_normal(out=moves[i])
+        g.random(out=tests[i])
+    np.log(tests, out=tests)
     for step in range(steps):
         # wide and narrow proposals in turn
-        x = d + moves[step] * np.where(step % 2, np.sqrt(d), size)
-        # the narrow proposal's width depends on the place it starts from
-        back = np.where(step % 2, 0.5 * np.log(d / np.maximum(x, 1e-9)) - (d - x) ** 2 / 2 * (1 / np.maximum(x, 1e-9) - 1 / d), 0.0)
+        x = d + moves[:, step] * (np.sqrt(d) if step % 2 else size)
         inside = x > 1e-6
-        new = density(np.where(inside, x, 1.0))
-        taken = inside & (tests[step] < new - now + back)
-        d, now = np.where(taken, x, d), np.where(taken, new, now)
+        x[~inside] = 1.0
+        log_x = np.log(x)
+        new = density(x, log_x)
+        gain = new - now
+        if step % 2:
+            # the narrow proposal's width depends on the place it starts from
+            gain += 0.5 * (log_d - log_x) - (d - x) ** 2 / 2 * (1 / x - 1 / d)
+        taken = inside & (tests[:, step] < gain)
+        for old, found in ((d, x), (log_d, log_x), (now, new)):
+            np.copyto(old, found, where=taken)
     return d
 
 
+def tasks_of(rows: int) -> int:
+    """Tasks of a round: one for each ROWS_A_TASK rows, and MOST_TASKS of more rows where those are many."""
+    return max(1, min(MOST_TASKS, -(-rows // ROWS_A_TASK)))
+
+
 def _chunks(parts: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
     """Parts of at most so many rows: what a step holds besides its batch doesn't grow with the batch."""
     for part in parts:
@@ -161,7 +205,9 @@ def bayesian(
     at = lambda c, shift: F.slice(F.transform(c, lambda x: x.cast("double")), offset + shift + 1, length - 2 * offset)
     none = F.array().cast("array<double>")
     start = first.select(*(F.col(c) for c in rows.columns if c not in ("top", "bottom")), "top", "bottom", at("dyad", 0).alias("__d"), at("top", -offset).alias("__t"), at("bottom", offset).alias("__b"), at("dyad", 0).alias("__mean"), none.alias("__marks"))
+    # by their number, not their bytes: a row is some kilobytes, and thousands of draws
     now = state.put(start)
+    now = state.put(now.repartition(tasks_of(now.count()), key))
     sigmas = state.keep(_noise(now, group))
     columns = now.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in now.schema.fields)
@@ -199,11 +245,22 @@ def bayesian(
         return run
 
     def summed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in _chunks(parts):
+        held: dict[tuple, tuple[list, np.ndarray]] = {}
+
+        def passed() -> Iterator[pd.DataFrame]:
+            for names, values in held.values():
+                yield pd.DataFrame([names] * len(centres), columns=group).assign(centre=np.arange(len(centres)), sums=list(values))
+            held.clear()
+
+        for part in _chunks(parts, 1024):
             for _, one in part.groupby(group, dropna=False):
                 values = profile(_stack(one["__t"]), _stack(one["__b"]), np.maximum(_stack(one["__d"]), LEAST_DYAD), float(one["__sigma"].iloc[0]))
-                head = pd.DataFrame([[one[g].iloc[0] for g in group]] * len(centres), columns=group)
-                yield head.assign(centre=np.arange(len(centres)), sums=list(values))
+                names = [one[g].iloc[0] for g in group]
+                own = held.setdefault(tuple(None if pd.isna(v) else v for v in names), (names, np.zeros_like(values)))
+                own[1][:] += values
+            if len(held) > HELD_GROUPS:
+                yield from passed()
+        yield from passed()
 
     def walked(number: int):
         def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -224,7 +281,7 @@ def bayesian(
     for number in range(rounds):
         now = state.put(of_group(now, parameters).mapInPandas(advance(number), fields))
         if number + 1 < rounds:
-            parts = of_group(now, parameters.select(*group, "__sigma")).mapInPandas(summed, f"{group_fields}, centre int, sums array<double>")
+            parts = of_group(now.select(*group, "__t", "__b", "__d"), parameters.select(*group, "__sigma")).mapInPandas(summed, f"{group_fields}, centre int, sums array<double>")
             total = parts.groupBy(*group, "centre").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
             parameters = state.keep(of_group(total, parameters).groupBy(*group).applyInPandas(walked(number), shape))
     return _filled(state.close(now), rows, centres, offset, (rounds - burn) * inner)
