@@ -26,12 +26,12 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_slices, written
 
 #: Window lengths of the tiers, ascending; each a power of two.
 TIERS = (256, 512, 1024, 2048, 4096)
@@ -39,11 +39,34 @@ TIERS = (256, 512, 1024, 2048, 4096)
 STEP_TOKENS = 32_768
 #: Tokens of documents that wait together for packing.
 BLOCK_TOKENS = 1_500_000
-MEMORY = 500_000
+#: Entries of each half of the memory of words.
+MEMORY = 250_000
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, tier int, step_group bigint"
 #: The same within a task: the task, and the window's number of its tier there.
 LOCAL = PIECE.replace("step_group bigint", "task int, step bigint")
+LOCAL_TYPES = {c.split()[0]: pa.int32() if c.endswith(" int") else pa.int64() for c in LOCAL.split(", ")}
+
+
+class Lately:
+    """What was asked for lately, in two halves of at most ``size`` entries: the newer half, when full, becomes the older, and
+    what is found there moves back. So words that come again stay, and those of one text go."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def older(self, key: str) -> bytes | None:
+        known = self.old.get(key)
+        if known is not None:
+            self.put(key, known)
+        return known
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
 
 
 class WordTokens:
@@ -63,9 +86,8 @@ class WordTokens:
         begin = os.path.commonprefix(self.marks)
         self.sign = begin if begin == begin.upper() else ""
         self.model = self.tokenizer.model
-        self.memory = memory
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        # chunks and words in one: a chunk that is one word has that word's ids
+        self.known = Lately(memory)
         # The splitter of a chunk of plain letters and marks; anything else goes to the tokenizer as it is.
         self.plain = re.compile(r"[0-9a-zà-öø-ÿœß!-/:-@\[-`{-~]+\Z")
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -77,16 +99,16 @@ class WordTokens:
         low = chunk.lower()
         if not self.plain.match(low):
             return self._raw(chunk)
-        out = []
+        memory, out = self.known, []
         for word in self.split.findall(low):
-            known = self.words.get(word)
+            known = memory.new.get(word)
+            if known is None:
+                known = memory.older(word)
             if known is None:
                 # the pre-token alone, as the file's byte-level step shows it to the model
                 shown = word if word.isascii() else "".join(map(BYTE_LETTERS.__getitem__, word.encode()))
                 known = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-                if len(self.words) >= self.memory:
-                    self.words.clear()
-                self.words[word] = known
+                memory.put(word, known)
             out.append(known)
         return b"".join(out)
 
@@ -95,18 +117,21 @@ class WordTokens:
             low = text.lower()
             if any(mark in low for mark in self.marks):
                 return self._raw(text)
-        chunks = self.chunks
+        memory = self.known
         parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        out = list(map(chunks.get, parts))
+        out = list(map(memory.new.get, parts))
         if None in out:
             for i, known in enumerate(out):
                 if known is None:
                     chunk = parts[i]
-                    out[i] = known = chunks.get(chunk) or self._chunk(chunk)
-                    if len(chunk) <= 64:
-                        if len(chunks) >= self.memory:
-                            chunks.clear()
-                        chunks[chunk] = known
+                    known = memory.new.get(chunk)
+                    if known is None:
+                        known = memory.older(chunk)
+                    if known is None:
+                        known = self._chunk(chunk)
+                        if len(chunk) <= 64:
+                            memory.put(chunk, known)
+                    out[i] = known
         return b"".join(out)
 
 
@@ -195,7 +220,7 @@ def tokenize_and_pack(docs: DataFrame, vocabulary: str, end_id: int = 2, tiers:
     """
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
@@ -204,7 +229,7 @@ def tokenize_and_pack(docs: DataFrame, vocabulary: str, end_id: int = 2, tiers:
         held: dict[int, tuple[int | None, bytes]] = {}
         number = waits = 0
 
-        def result() -> pd.DataFrame:
+        def result() -> pa.RecordBatch:
             rows = []
             for n, start, length, sequence, offset, tier, step in packer.out:
                 doc, ids = held[n]
@@ -214,13 +239,13 @@ def tokenize_and_pack(docs: DataFrame, vocabulary: str, end_id: int = 2, tiers:
             alive = {x[1] for rows in packer.waiting for x in rows}
             for n in held.keys() - alive:
                 del held[n]
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in LOCAL.split(", ")])
-            return out.astype({"doc_id": "Int64"})
+            columns = zip(*rows) if rows else [()] * len(LOCAL.split(", "))
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, LOCAL_TYPES.values(), strict=True)], names=list(LOCAL_TYPES))
 
-        for batch in batches:
-            for doc, value in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
-                ids = (words.packed(value) if isinstance(value, str) and value else b"") + end
-                held[number] = (None if doc is None or doc != doc else int(doc), ids)
+        for part in in_slices(batches):
+            for doc, value in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                ids = (words.packed(value) if value else b"") + end
+                held[number] = (doc, ids)
                 packer.add(number, len(ids) // 4)
                 number += 1
                 waits += len(ids) // 4
@@ -232,7 +257,7 @@ def tokenize_and_pack(docs: DataFrame, vocabulary: str, end_id: int = 2, tiers:
         packer.pack(last=True)
         yield result()
 
-    return in_steps(written(chosen.mapInPandas(run, LOCAL), "pieces"))
+    return in_steps(written(chosen.mapInArrow(run, LOCAL), "pieces"))
 
 
 def in_steps(pieces: DataFrame, step_tokens: int = STEP_TOKENS) -> DataFrame:

@@ -29,11 +29,12 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_slices, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSURE = 0.8
@@ -126,23 +127,27 @@ def span_text(spans) -> str:
 
 
 SCAN = "doc_id bigint, th bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, entities array<string>, words array<struct<term:string,s:int,e:int,tells:boolean>>"
+SCANNED = {
+    **dict.fromkeys(("n_email", "n_ip", "n_card", "n_phone"), pa.int64()), "base": pa.string(), "entities": pa.list_(pa.string()),
+    "words": pa.list_(pa.struct([("term", pa.string()), ("s", pa.int32()), ("e", pa.int32()), ("tells", pa.bool_())])),
+}
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Base spans of each row, its entities and, if it has any, its words. One narrow pass; texts aren't carried on."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in in_slices(batches):
             rows = []
-            for text in batch.pop("text").tolist():
+            for text in part.column("text").to_pylist():
                 spans = base_spans(text)
                 found = Counter(k for k, _, _ in spans)
                 words = outside_words(text, spans) if spans else []
                 words = [{"term": w, "s": s, "e": e, "tells": tells} for (w, s, e), tells in zip(words, telling(text, words, spans) if words else ())]
                 rows.append((*(found[k] for k in KINDS[:4]), span_text(spans), sorted({entity(k, text[s:e]) for k, s, e in spans}), words))
-            more = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base", "entities", "words"], index=batch.index)
-            yield pd.concat([batch, more], axis=1)
+            more = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), SCANNED.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), *more], names=["doc_id", "th", *SCANNED])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInPandas(run, SCAN)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, SCAN)
 
 
 def filter_bits(terms: Iterable[str]) -> np.ndarray:
@@ -190,26 +195,27 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """
     wanted = docs.sparkSession.sparkContext.broadcast(term_filter(terms))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()
 
-        def counted() -> Iterator[pd.DataFrame]:
+        def counted() -> Iterator[pa.RecordBatch]:
             at = filter_bits(found)
             let = (wanted.value[at >> 3] >> (at & 7)) & 1
             items = [item for item, x in zip(found.items(), let.tolist()) if x]
             for i in range(0, len(items), 10_000):
-                yield pd.DataFrame(items[i : i + 10_000], columns=["term", "n"])
+                terms, ns = zip(*items[i : i + 10_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(ns, pa.int64())], names=["term", "n"])
             found.clear()
 
-        for batch in batches:
-            for text in batch["text"].tolist():
+        for part in in_slices(batches):
+            for text in part.column("text").to_pylist():
                 if text:
                     found.update({w.lower() for w in set(WORD.findall(text))})
                 if len(found) > HELD_TERMS:
                     yield from counted()
         yield from counted()
 
-    each = docs.select("text").mapInPandas(run, "term string, n bigint")
+    each = docs.select("text").mapInArrow(run, "term string, n bigint")
     # added up before they meet the terms: a term's rows become one where they are made, and once more where they meet
     return each.groupBy("term").agg(F.sum("n").cast("bigint").alias("docs_t")).join(terms.hint("merge"), "term", "left_semi")
 
@@ -298,19 +304,20 @@ def sanitise(docs: DataFrame) -> DataFrame:
     maybe = F.coalesce(F.col("text").rlike(MAYBE), F.lit(False))
     source = docs.where(maybe).join(hits.hint("merge"), F.xxhash64("text") == F.col("__th"), "left").select(*docs.columns, "__hits")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in in_slices(batches):
             out = []
-            for text, found in zip(batch["text"].tolist(), batch.pop("__hits").tolist(), strict=True):
+            for text, found in zip(part.column("text").to_pylist(), part.column("__hits").to_pylist(), strict=True):
                 spans = base_spans(text)
                 if spans:
                     known = {x["term"]: x["share"] for x in found} if found is not None else {}
                     terms = [(term_class(text[a:b]), a, b, known[t] >= REMOVAL) for t, a, b in outside_words(text, spans) if t in known] if known else []
                     text = masked(text, [(k, s, e, False) for k, s, e in spans] + terms)
                 out.append(text)
-            yield batch.assign(text=pd.Series(out, index=batch.index, dtype=object))
+            at = part.schema.get_field_index("text")
+            yield part.set_column(at, part.schema.field(at), pa.array(out, part.schema.field(at).type)).drop_columns("__hits")
 
-    return source.mapInPandas(run, docs.schema).union(docs.where(~maybe))
+    return source.mapInArrow(run, docs.schema).union(docs.where(~maybe))
 
 
 def digest(spans: list[tuple[str, int, int]]) -> str:
