@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import lines, near_text, packing, pii, quality
-from strandloom.llm.common import written
+from strandloom.llm.common import perhaps, written
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -35,7 +35,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each class of near duplicates stays: that of the smallest id. Of rows of one id one stays: that whose
     text, without case and blanks, hashes least, as in the comparison."""
     gone = near_text.mark(docs).where("NOT kept").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # texts that are surely none of these stay where they are read
+    source = perhaps(docs.withColumn("__id", F.col("doc_id").cast("bigint")), gone.withColumnRenamed("doc_id", "__id"), "__id")
+    left = source.where("__maybe").join(gone, "doc_id", "left_anti").select(docs.columns).union(source.where("NOT __maybe").select(docs.columns))
     again = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     if again.isEmpty():
         return left

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import perhaps, written
+
 WINDOW = 3
 
 
@@ -49,11 +51,17 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with repeats taken out of ``text``, and __n_lines and __n_removed."""
+    """All columns of ``docs`` with repeats taken out of ``text``, and __n_lines and __n_removed.
+
+    Only texts that may hold a repeat move to meet the places of theirs, and their lines are cut after that; the others
+    stay where they are read.
+    """
     starts = repeated_windows(docs).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("__starts"))
-    starts = starts.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__starts")
-    source = docs.withColumn("__lines", F.split("text", "\n"))
-    joined = source.join(starts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left")
+    starts = written(starts.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__starts"), "starts")
+    source = perhaps(docs.withColumn("__id", F.col("doc_id")).withColumn("__th", F.xxhash64("text")), starts, "__id", "__th")
+    some, names = source.where("__maybe").drop("__id", "__th"), docs.columns
+    joined = some.join(starts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left")
+    joined = joined.withColumn("__lines", F.split("text", "\n"))
     n, k = F.size("__lines"), F.size("__starts")
     # what stays lies between the end of one covered span and the start of the next
     gaps = F.filter(
@@ -69,11 +77,13 @@ def cleaned(docs: DataFrame) -> DataFrame:
     kept = F.when(F.col("__starts").isNotNull(), F.flatten(F.transform(gaps, lambda g: F.slice("__lines", g["a"] + 1, g["b"] - g["a"]))))
     out = joined.withColumn("__kept", kept)
     text = F.when(F.col("__kept").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
-    return out.select(
-        *(text.alias(c) if c == "text" else F.col(c) for c in docs.columns),
+    changed = out.select(
+        *(text.alias(c) if c == "text" else F.col(c) for c in names),
         F.coalesce(F.size("__lines"), F.lit(0)).cast("bigint").alias("__n_lines"),
         F.when(F.col("__kept").isNull(), 0).otherwise(F.size("__lines") - F.size("__kept")).cast("bigint").alias("__n_removed"),
     )
+    whole = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("bigint")
+    return source.where("NOT __maybe").select(*names, whole.alias("__n_lines"), F.lit(0).cast("bigint").alias("__n_removed")).union(changed)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

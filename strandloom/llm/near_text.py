@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, in_slices, settled, written
+from .common import components, in_slices, perhaps, settled, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -232,7 +232,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     exploded = signed.select("doc_id", "n", F.explode("keys").alias("key"))
     centre = exploded.groupBy("key").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "b")
     members = written(exploded.join(centre, "key").select("key", F.col("doc_id").alias("a"), "b", "n"), "members")
-    sets = written(shingle_sets(source.where("text IS NOT NULL").join(members.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi")).groupBy("doc_id").agg(F.min("s").alias("s")), "shingles")
+    # texts move only if they may be those of members
+    ids = members.select(F.col("a").alias("doc_id"))
+    texts = perhaps(source.where("text IS NOT NULL"), ids, "doc_id").where("__maybe").join(ids.distinct(), "doc_id", "left_semi")
+    sets = written(shingle_sets(texts).groupBy("doc_id").agg(F.min("s").alias("s")), "shingles")
 
     def joined(found: DataFrame) -> DataFrame:
         return components(found.where(F.col("jaccard") >= similarity).select("a", "b"), "classes")
