@@ -40,7 +40,7 @@ SIMILARITY = 0.8
 BANDS = 40
 ROWS = 7
 #: Words whose hashes a worker remembers; emptied when full, which changes no result.
-MEMORY = 500_000
+MEMORY = 50_000
 
 U64 = np.uint64
 GOLD = U64(0x9E3779B97F4A7C15)
