@@ -10,8 +10,10 @@ from strandloom.functions import sequence as S
 from strandloom.llm import pii
 from strandloom.models import matrices
 from strandloom.operators import divergence as D
+from strandloom.operators import joins as J
 from strandloom.operators import mapping
 from strandloom.operators import signal as G
+from strandloom.plans import catalog
 
 
 def plan(frame):
@@ -113,3 +115,30 @@ def test_nmf_rounds_have_few_tasks_for_a_small_matrix(spark):
         wide.append(sum(s.numTasks >= 40 and s.numCompletedTasks > 0 for s in stages if s))
     # the passes before and after the rounds have a task a partition, the rounds have one
     assert wide[0] == wide[1]
+
+
+def test_pairs_of_repeated_values_take_few_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_ROWS", 300)
+    balances = np.random.default_rng(5).uniform(-999, 9999, 600).round(2).tolist()
+    rows = [(1 + i + 600 * k, i % 25, x) for k in range(4) for i, x in enumerate(balances)]
+    spark.createDataFrame(rows, "s_suppkey bigint, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    catalog.QUERIES["allpairs_similarity"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    n = len(rows) * (len(rows) - 1) // 2
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.count() == n == got.select("id1", "id2").distinct().where("id1 < id2").count()
+    # 6 bytes a row and more in the order of all_pairs
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 3 * n
+
+
+def test_pairs_by_value_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(J, "RUN_ROWS", 7)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(rng.integers(0, 9)), float(rng.integers(0, 3))]) for i in range(300)] + [(300 + i, [5.0, 1.0]) for i in range(200)]
+    rows += [(3, [1.0, 2.0]), (3, [1.0, 2.0]), (700, None), (701, [None, 1.0]), (702, [2.0, None]), (703, []), (None, [1.0, 1.0]), (704, [float("nan"), 0.0]), (-5, [float("inf"), 0.0])]
+    given = spark.createDataFrame(rows, "id bigint, v array<double>")
+    by = {size: J.euclidean(F.col("x"), F.col("y"), size).cast("string").alias("score") for size in (None, 2)}
+    want = Counter(map(tuple, J.all_pairs(given.where("v IS NULL OR size(v) = 2"), "id", "v", by[None]).collect()))
+    assert Counter(map(tuple, J.all_pairs_by_value(given.where("v IS NULL OR size(v) = 2"), "id", "v", by[2]).collect())) == want
+    assert J.all_pairs_by_value(given, "id", "v", by[2]).count() == J.all_pairs(given, "id", "v", by[2]).count()
+    assert J.all_pairs_by_value(given.where("false"), "id", "v", by[2]).count() == 0
