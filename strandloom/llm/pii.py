@@ -28,7 +28,6 @@ from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -160,29 +159,29 @@ def term_filter(terms: DataFrame) -> np.ndarray:
     A task's bits go on as the parts in which it has any, and a part's rows are merged in one task. The steps are a data frame's, as
     Spark keeps workers of their own, beside those of the data frames, for an RDD's Python steps.
     """
-    def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS // 8, np.uint8)
         for batch in batches:
-            at = filter_bits(batch["term"])
+            at = filter_bits(batch.column("term").to_pylist())
             np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
         yield from passed(bits)
 
-    def passed(bits: np.ndarray) -> Iterator[pd.DataFrame]:
+    def passed(bits: np.ndarray) -> Iterator[pa.RecordBatch]:
         for part, of in enumerate(bits.reshape(-1, FILTER_PART)):
             if of.any():
-                yield pd.DataFrame({"part": [part], "bits": [of.tobytes()]})
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([of.tobytes()], pa.binary())], names=["part", "bits"])
 
-    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS // 8, np.uint8).reshape(-1, FILTER_PART)
         for batch in batches:
-            for part, of in zip(batch["part"], batch["bits"], strict=True):
+            for part, of in zip(batch.column("part").to_pylist(), batch.column("bits").to_pylist(), strict=True):
                 bits[part] |= np.frombuffer(of, np.uint8)
         yield from passed(bits)
 
     bits = np.zeros((FILTER_BITS // 8 // FILTER_PART, FILTER_PART), np.uint8)
-    parts = terms.select("term").mapInPandas(marks, "part int, bits binary").repartition(FILTER_TASKS, "part")
+    parts = terms.select("term").mapInArrow(marks, "part int, bits binary").repartition(FILTER_TASKS, "part")
     # each part is whole in one task after the exchange, so a row a part comes back: the filter's size at most
-    for row in parts.mapInPandas(merged, "part int, bits binary").collect():
+    for row in parts.mapInArrow(merged, "part int, bits binary").collect():
         bits[row["part"]] |= np.frombuffer(row["bits"], np.uint8)
     return bits.reshape(-1)
 
@@ -263,6 +262,7 @@ def find(docs: DataFrame) -> DataFrame:
     scanned = written(scan(docs), "scan")
     hits = disclosures(docs, scanned)
     columns = ("doc_id", *(f"n_{k}" for k in KINDS[:4]), "base")
+    import pandas as pd  # here, as the pipeline's workers read this module and need none of it
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -14,9 +14,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import Column, DataFrame
@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import in_slices, lowest_by_hash
 
+if TYPE_CHECKING:  # the pipeline's workers read this module and need none of it
+    import pandas as pd
+
 #: Fixed parameters of the production queries.
 BLOCK = 1024
 LEVEL = 3

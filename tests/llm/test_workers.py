@@ -1,5 +1,9 @@
 """What an executor's Python workers hold, in the pipeline's stages."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -71,3 +75,10 @@ def test_packing_and_pii_read_texts_in_slices(spark, monkeypatch):
         assert len(most) <= 512
         most.clear()
     assert sum(b.num_rows for b in out) == 1200 and out[0].column("entities").to_pylist()[:2] == [[], ["email:a@b.cd"]]
+
+
+def test_modules_that_the_pipelines_workers_read_need_no_pandas():
+    # 27 MB in each of an executor's workers
+    said = "import sys, corpus_pipeline; print('pandas' in sys.modules)"
+    ran = subprocess.run([sys.executable, "-c", said], cwd=Path(__file__).parents[2], capture_output=True, text=True, timeout=60)
+    assert ran.stdout.split() == ["False"], ran.stderr
